@@ -76,7 +76,8 @@ def hex_hamming_distance(hash1, hash2) -> Column:
     return hamming_distance(hex_to_bits(h1), hex_to_bits(h2), same)
 
 
-def assert_equal_lengths(hashes_df, method_col: str = "hashing_method_id", hash_col: str = "hash"):
+def assert_equal_lengths(hashes_df, method_col: str = "hashing_method_id", hash_col: str = "hash",
+                         id_col: str | None = None):
     """One check per method (not per pair): every hash of a method has the same length.
 
     Returns a tiny DataFrame ``(method, nbits)``; evaluating it raises
@@ -85,6 +86,7 @@ def assert_equal_lengths(hashes_df, method_col: str = "hashing_method_id", hash_
     agg = hashes_df.groupBy(method_col).agg(
         F.min(F.length(hash_col)).alias("_lo"), F.max(F.length(hash_col)).alias("_hi"),
         F.count(F.lit(1)).alias("n"),
+        *([F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id")] if id_col else []),
     )
     return agg.select(
         method_col,
@@ -92,4 +94,5 @@ def assert_equal_lengths(hashes_df, method_col: str = "hashing_method_id", hash_
         .otherwise(F.raise_error(F.lit("Hashes must have the same length")))
         .alias("nbits"),
         "n",
+        *(["min_id", "max_id"] if id_col else []),
     )

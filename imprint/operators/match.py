@@ -47,6 +47,7 @@ class MatchPlan:
     counts: dict  # method -> (rows, nbits)
     blocks: dict  # method -> B (blocks shape only)
     partitions: int
+    id_range: tuple = (0, 0)  # (min id, max id) over all methods
 
 
 def prepare(hashes: DataFrame, id_col: str = "id", method_col: str = "hashing_method_id",
@@ -62,10 +63,11 @@ def prepare(hashes: DataFrame, id_col: str = "id", method_col: str = "hashing_me
 
 def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_col: str = "hash",
                shape: str = "auto", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-               target_pairs_per_task: int = TARGET_PAIRS_PER_TASK) -> MatchPlan:
+               target_pairs_per_task: int = TARGET_PAIRS_PER_TASK, id_col: str = "id") -> MatchPlan:
     """Decide the physical shape from per-method row counts (one row per method reaches the driver)."""
-    stats = assert_equal_lengths(hashes, method_col, hash_col).collect()
+    stats = assert_equal_lengths(hashes, method_col, hash_col, id_col).collect()
     counts = {r[method_col]: (int(r["n"]), int(r["nbits"])) for r in stats}
+    id_range = (min((int(r["min_id"]) for r in stats), default=0), max((int(r["max_id"]) for r in stats), default=0))
     total = sum(n for n, _ in counts.values())
     slots = max(hashes.sparkSession.sparkContext.defaultParallelism, 1)
     if shape == "auto":
@@ -73,7 +75,7 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
     pairs = sum(n * (n + 1) // 2 for n, _ in counts.values())
     if shape == "broadcast":
         parts = max(slots * 2, min(slots * 64, math.ceil(pairs / target_pairs_per_task)))
-        return MatchPlan("broadcast", counts, {}, parts)
+        return MatchPlan("broadcast", counts, {}, parts, id_range)
     blocks = {}
     for m, (n, _) in counts.items():
         # (n/B)^2 / 2 pairs per off-diagonal block pair ~ target
@@ -83,7 +85,7 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
             b += 1
         blocks[m] = b
     parts = max(1, sum(b * (b + 1) // 2 for b in blocks.values()))
-    return MatchPlan("blocks", counts, blocks, parts)
+    return MatchPlan("blocks", counts, blocks, parts, id_range)
 
 
 def _with_distance(pairs: DataFrame, nbits_expr) -> DataFrame:
@@ -97,7 +99,7 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
 
     ``carry`` columns of the input (e.g. image ids) come out suffixed ``1``/``2``.
     """
-    plan = plan or plan_match(hashes, method_col, hash_col, **plan_kw)
+    plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, **plan_kw)
     rows = prepare(hashes, id_col, method_col, hash_col, carry)
     spark = hashes.sparkSession
     nbits_map = F.create_map(*[x for m, (_, nb) in plan.counts.items() for x in (F.lit(m), F.lit(float(nb)))]) \

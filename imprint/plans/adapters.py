@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from imprint.functions import grid as G
 from imprint.operators import registry as R
 from imprint.operators.tables import first_by_key
+from imprint.session import spread
 
 GRID_SIDE = 8
 
@@ -33,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def grid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, user_name, px) — one 8x8 grey image per embedding row."""
-    emb = table(spark, sf_dir, "embeddings")
+    emb = spread(table(spark, sf_dir, "embeddings"))
     return emb.select(
         F.col("vec_id").alias("image_id"),
         F.concat(F.lit("u"), F.col("label").cast("string")).alias("user_name"),

@@ -7,7 +7,7 @@ Column names match :mod:`imprint.plans.oracle` exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.functions import grid as G
@@ -18,15 +18,25 @@ from imprint.operators import match as M
 from imprint.operators import tables as TB
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
 from imprint.plans import adapters as A
+from imprint.session import cut_lineage
 from imprint.sources import paths as P
 
 # Fixed parameters of the registered queries.
-NEAR_BITS = 10  # near-duplicate threshold, in bits of 64
+NEAR_BITS = 14  # near-duplicate threshold, in bits of 64 (banded: 15 bands)
 PAGE_START, PAGE_SIZE = 100, 100  # keyset page of hashes (the reference pages by 100)
 BACKLOG_START, BACKLOG_SIZE = 500, 10
 LOOKUP_ID, LOOKUP_METHOD = 7, 2
 
 
+def stored_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """The ``hashes`` table, materialised once to the reliable checkpoint folder.
+
+    Like the stored table it stands for, it is read by the shape statistics and
+    by the joins instead of being recomputed from the images by each of them.
+    """
+    return cut_lineage(A.fingerprints(spark, sf))
+
+
 def q_average_hash(spark: SparkSession, sf: str) -> DataFrame:
     img = A.grid_images(spark, sf)
     return img.select("image_id", H.average_hash("px").alias("hash"))
@@ -65,11 +75,11 @@ def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_pairs(A.fingerprints(spark, sf))
+    return M.match_pairs(stored_fingerprints(spark, sf))
 
 
 def _pairs_with_images(spark: SparkSession, sf: str) -> DataFrame:
-    fp = A.fingerprints(spark, sf)
+    fp = stored_fingerprints(spark, sf)
     return M.match_pairs(fp, carry=("image_id", "modification_id"))
 
 
@@ -82,19 +92,19 @@ def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_variant_detection(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.variant_detection(A.fingerprints(spark, sf), NEAR_BITS)
+    return AN.variant_detection(stored_fingerprints(spark, sf), NEAR_BITS)
 
 
 def q_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.near_duplicates(A.fingerprints(spark, sf), NEAR_BITS)
+    return AN.near_duplicates(stored_fingerprints(spark, sf), NEAR_BITS)
 
 
 def q_nearest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.nearest_hash(A.fingerprints(spark, sf))
+    return AN.nearest_hash(stored_fingerprints(spark, sf))
 
 
 def q_match_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    fp = A.fingerprints(spark, sf)
+    fp = stored_fingerprints(spark, sf)
     near = AN.near_duplicates(fp, NEAR_BITS)
     return AN.provenance(near, fp, MODIFICATIONS.frame(spark), HASHING_METHODS.frame(spark))
 
@@ -148,12 +158,12 @@ def q_user_from_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hash_page(spark: SparkSession, sf: str) -> DataFrame:
-    fp = A.fingerprints(spark, sf)
+    fp = stored_fingerprints(spark, sf)
     return TB.keyset_page(fp, PAGE_START, PAGE_SIZE, where=F.col("hashing_method_id") == 1).select("id", "hash")
 
 
 def q_hash_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    fp = A.fingerprints(spark, sf)
+    fp = stored_fingerprints(spark, sf)
     return fp.where((F.col("hashing_method_id") == LOOKUP_METHOD) & (F.col("id") == LOOKUP_ID)).select("id", "hash")
 
 

@@ -76,3 +76,14 @@ def cut_lineage(df):
     """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, factor: int = 1):
+    """Give a small input at least one partition per slot before per-row heavy work.
+
+    Large inputs already have many partitions and are returned unchanged (no shuffle).
+    """
+    slots = max(df.sparkSession.sparkContext.defaultParallelism, 1) * factor
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
