@@ -151,6 +151,48 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
     return out.select(*cols)
 
 
+def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col: str = "hashing_method_id",
+                    hash_col: str = "hash", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                    target_pairs_per_task: int = TARGET_PAIRS_PER_TASK) -> DataFrame:
+    """All pairs between two disjoint hash sets of the same method (new x old of an incremental run).
+
+    Pairs come out as (least(id), greatest(id)).  The smaller side is broadcast
+    while it fits ``broadcast_max_rows``; otherwise both sides are cut into
+    blocks (Ba x Bb grid per method, each row replicated to one grid row or column).
+    """
+    sa = {r[method_col]: int(r["n"]) for r in assert_equal_lengths(a, method_col, hash_col).collect()}
+    sb = {r[method_col]: int(r["n"]) for r in assert_equal_lengths(b, method_col, hash_col).collect()}
+    ra, rb = prepare(a, id_col, method_col, hash_col), prepare(b, id_col, method_col, hash_col)
+    slots = max(a.sparkSession.sparkContext.defaultParallelism, 1)
+    na, nb = sum(sa.values()), sum(sb.values())
+    if min(na, nb) <= broadcast_max_rows:
+        big, small = (ra, rb) if na >= nb else (rb, ra)
+        pairs_total = sum(sa.get(m, 0) * sb.get(m, 0) for m in sa)
+        parts = max(slots * 2, min(slots * 64, math.ceil(pairs_total / target_pairs_per_task) or 1))
+        l = big.repartition(parts).select(F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m")
+        r = small.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m")
+        j = l.join(F.broadcast(r), "m")
+    else:
+        side = math.sqrt(2.0 * target_pairs_per_task)
+        grid = {m: (max(1, math.ceil(sa[m] / side)), max(1, math.ceil(sb.get(m, 0) / side))) for m in sa}
+        ga = F.create_map(*[x for m, (ba, _) in grid.items() for x in (F.lit(m), F.lit(ba))])
+        gb = F.create_map(*[x for m, (_, bb) in grid.items() for x in (F.lit(m), F.lit(bb))])
+        parts = max(1, sum(ba * bb for ba, bb in grid.values()))
+        l = ra.select("*", F.pmod(F.xxhash64("id"), F.element_at(ga, F.col("m"))).cast("int").alias("bi"),
+                      F.explode(F.sequence(F.lit(0), F.element_at(gb, F.col("m")) - 1)).alias("bj"))
+        r = rb.select("*", F.explode(F.sequence(F.lit(0), F.element_at(ga, F.col("m")) - 1)).alias("bi"),
+                      F.pmod(F.xxhash64("id"), F.element_at(gb, F.col("m"))).cast("int").alias("bj"))
+        l = l.repartition(parts, "m", "bi", "bj").select(
+            F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m", "bi", "bj")
+        r = r.repartition(parts, "m", "bi", "bj").select(
+            F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m", "bi", "bj")
+        j = l.join(r, ["m", "bi", "bj"])
+    return j.select(
+        F.least("id1", "id2").alias("hash_id1"), F.greatest("id1", "id2").alias("hash_id2"),
+        hamming_distance("bits1", "bits2", 64).alias("hamming_distance"), F.col("m").alias(method_col),
+    )
+
+
 def match_progress(matches: DataFrame):
     """Attach a row counter to a match output (A3/T4): returns (df, observation).
 

@@ -182,45 +182,55 @@ def raster_fingerprints(variants: DataFrame, id_col: str = "modified_image_id")
     return src.mapInPandas(run, HASH_SCHEMA)
 
 
-CHAIN_SCHEMA = T.StructType([
-    T.StructField("image_id", T.LongType()),
+CHAIN_FIELDS = [
     T.StructField("modification_id", T.IntegerType()),
     T.StructField("digest", T.StringType()),
     T.StructField("hashing_method_id", T.IntegerType()),
     T.StructField("hash", T.StringType()),
-])
+    T.StructField("valid", T.BooleanType()),
+]
 
 
-def raster_hashes(images: DataFrame, image_col: str = "image", id_col: str = "image_id") -> DataFrame:
+def raster_hashes(images: DataFrame, image_col: str = "image", keys: tuple[str, ...] = ("image_id",),
+                  keep_invalid: bool = False) -> DataFrame:
     """J1 + J2 fused: decode once, every modification, its digest, every hashing method.
 
-    Output rows are narrow (ids, digest, hash), so the first-writer dedup that
-    follows shuffles no pixels.  Invalid images (height -1) are skipped.
+    Output rows are narrow (``keys``, ids, digest, hash), so the first-writer
+    dedup that follows shuffles no pixels.  Undecodable images (height -1)
+    give one row with ``valid = false`` when ``keep_invalid``, else nothing.
     """
     from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
 
     mods = [(MODIFICATIONS.ids()[n], m) for n, m in MODIFICATIONS.items()]
     methods = [(HASHING_METHODS.ids()[n], m) for n, m in HASHING_METHODS.items()]
-    src = images.where(F.col(f"{image_col}.height") > 0).select(
-        F.col(id_col).cast("bigint").alias("image_id"),
-        F.col(f"{image_col}.height").alias("h"), F.col(f"{image_col}.width").alias("w"),
-        F.col(f"{image_col}.nChannels").alias("c"), F.col(f"{image_col}.data").alias("data"),
+    src = images if keep_invalid else images.where(F.col(f"{image_col}.height") > 0)
+    src = src.select(
+        *keys,
+        F.col(f"{image_col}.height").alias("_h"), F.col(f"{image_col}.width").alias("_w"),
+        F.col(f"{image_col}.nChannels").alias("_c"), F.col(f"{image_col}.data").alias("_data"),
     )
+    key_fields = [f for f in src.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + CHAIN_FIELDS)
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for iid, h, w, c, data in zip(pdf.image_id, pdf.h, pdf.w, pdf.c, pdf.data):
+            for rec, h, w, c, data in zip(pdf[list(keys)].itertuples(index=False, name=None),
+                                          pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"]):
+                if h is None or int(h) <= 0:
+                    out.append(rec + (None, None, None, None, False))
+                    continue
                 rgb = to_rgb(data, int(h), int(w), int(c))
                 for mid, mod in mods:
                     v = mod.raster(rgb)
                     digest = content_digest(v)
                     grey = to_grey(v)
                     for hid, meth in methods:
-                        out.append((iid, mid, digest, hid, format(meth.raster(grey), f"0{meth.nbits // 4}x")))
-            yield pd.DataFrame(out, columns=[f.name for f in CHAIN_SCHEMA.fields])
+                        out.append(rec + (mid, digest, hid, format(meth.raster(grey), f"0{meth.nbits // 4}x"), True))
+            yield pd.DataFrame(out, columns=names)
 
-    return src.mapInPandas(run, CHAIN_SCHEMA)
+    return src.mapInPandas(run, schema)
 
 
 # ---- batch kernels: many same-size grids at once (N, H, W) -------------------------------------

@@ -16,7 +16,7 @@ from imprint.functions.resample import resize_grid
 from imprint.operators import analytics as AN
 from imprint.operators import match as M
 from imprint.operators import tables as TB
-from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
+from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS, batch_hash_udf
 from imprint.plans import adapters as A
 from imprint.session import cut_lineage
 from imprint.sources import paths as P
@@ -43,8 +43,10 @@ def q_average_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dct_hash(spark: SparkSession, sf: str) -> DataFrame:
+    # dense 32x32 matrix work: the Arrow batch kernel (H.dct_hash is the same arithmetic as Columns)
     img = A.tiled_images(spark, sf)
-    return img.select("image_id", H.dct_hash("px").alias("hash"))
+    udf = batch_hash_udf(HASHING_METHODS.get("dct-hash"), 32, 32)
+    return img.select("image_id", udf("px").alias("hash"))
 
 
 def q_rotate_90(spark: SparkSession, sf: str) -> DataFrame:

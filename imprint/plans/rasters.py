@@ -21,7 +21,7 @@ from imprint.operators.raster import raster_hashes
 from imprint.operators.tables import first_by_key
 from imprint.plans import adapters as A
 from imprint.session import scratch_path
-from imprint.sources.images import png_bytes, read_images, split_valid
+from imprint.sources.images import png_bytes, read_images
 
 
 def write_derived_pngs(spark: SparkSession, sf_dir: str) -> str:
@@ -75,7 +75,7 @@ def fingerprint_derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     One ``mapInPandas`` pass per image; the dedup shuffle moves only ids, digests and hashes.
     """
     root = write_derived_pngs(spark, sf_dir)
-    valid, _bad = split_valid(read_images(spark, root))
-    rows = raster_hashes(valid.select(_image_id().alias("image_id"), "image"))
+    imgs = read_images(spark, root)
+    rows = raster_hashes(imgs.select(_image_id().alias("image_id"), "image"), keys=("image_id",))
     kept = first_by_key(rows, ["digest", "hashing_method_id"], ["image_id", "modification_id"])
     return kept.select("image_id", "modification_id", "hashing_method_id", "hash")
