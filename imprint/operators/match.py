@@ -88,6 +88,14 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
     return MatchPlan("blocks", counts, blocks, parts, id_range)
 
 
+def _nbits_expr(widths: dict):
+    """Bit width per method as a literal (one width) or a small literal map."""
+    if all(nb == 64 for nb in widths.values()):
+        return F.lit(64.0)
+    pairs = [x for m, nb in widths.items() for x in (F.lit(m), F.lit(float(nb)))]
+    return F.element_at(F.create_map(*pairs), F.col("m"))
+
+
 def _with_distance(pairs: DataFrame, nbits_expr) -> DataFrame:
     return pairs.withColumn("hamming_distance", hamming_distance("bits1", "bits2", nbits_expr))
 
@@ -102,12 +110,7 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
     plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, **plan_kw)
     rows = prepare(hashes, id_col, method_col, hash_col, carry)
     spark = hashes.sparkSession
-    nbits_map = F.create_map(*[x for m, (_, nb) in plan.counts.items() for x in (F.lit(m), F.lit(float(nb)))]) \
-        if plan.counts else F.create_map(F.lit(0), F.lit(64.0))
-    if all(nb == 64 for _, nb in plan.counts.values()):
-        nbits = F.lit(64.0)
-    else:
-        nbits = F.element_at(nbits_map, F.col("m"))
+    nbits = _nbits_expr({m: nb for m, (_, nb) in plan.counts.items()})
 
     def side(df, suffix):
         return df.select(
@@ -160,8 +163,14 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
     while it fits ``broadcast_max_rows``; otherwise both sides are cut into
     blocks (Ba x Bb grid per method, each row replicated to one grid row or column).
     """
-    sa = {r[method_col]: int(r["n"]) for r in assert_equal_lengths(a, method_col, hash_col).collect()}
-    sb = {r[method_col]: int(r["n"]) for r in assert_equal_lengths(b, method_col, hash_col).collect()}
+    st_a = assert_equal_lengths(a, method_col, hash_col).collect()
+    st_b = assert_equal_lengths(b, method_col, hash_col).collect()
+    sa = {r[method_col]: int(r["n"]) for r in st_a}
+    sb = {r[method_col]: int(r["n"]) for r in st_b}
+    widths = {r[method_col]: int(r["nbits"]) for r in st_a + st_b}
+    for r in st_b:
+        if r[method_col] in sa and widths[r[method_col]] != int(r["nbits"]):
+            raise ValueError("Hashes must have the same length")
     ra, rb = prepare(a, id_col, method_col, hash_col), prepare(b, id_col, method_col, hash_col)
     slots = max(a.sparkSession.sparkContext.defaultParallelism, 1)
     na, nb = sum(sa.values()), sum(sb.values())
@@ -189,7 +198,8 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
         j = l.join(r, ["m", "bi", "bj"])
     return j.select(
         F.least("id1", "id2").alias("hash_id1"), F.greatest("id1", "id2").alias("hash_id2"),
-        hamming_distance("bits1", "bits2", 64).alias("hamming_distance"), F.col("m").alias(method_col),
+        hamming_distance("bits1", "bits2", _nbits_expr(widths)).alias("hamming_distance"),
+        F.col("m").alias(method_col),
     )
 
 

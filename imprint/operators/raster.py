@@ -192,16 +192,17 @@ CHAIN_FIELDS = [
 
 
 def raster_hashes(images: DataFrame, image_col: str = "image", keys: tuple[str, ...] = ("image_id",),
-                  keep_invalid: bool = False) -> DataFrame:
+                  keep_invalid: bool = False, limit: int | None = None) -> DataFrame:
     """J1 + J2 fused: decode once, every modification, its digest, every hashing method.
 
     Output rows are narrow (``keys``, ids, digest, hash), so the first-writer
     dedup that follows shuffles no pixels.  Undecodable images (height -1)
     give one row with ``valid = false`` when ``keep_invalid``, else nothing.
+    ``limit`` caps the variants per image in registry order (L3; default none).
     """
     from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
 
-    mods = [(MODIFICATIONS.ids()[n], m) for n, m in MODIFICATIONS.items()]
+    mods = [(MODIFICATIONS.ids()[n], m) for n, m in MODIFICATIONS.items()][:limit]
     methods = [(HASHING_METHODS.ids()[n], m) for n, m in HASHING_METHODS.items()]
     src = images if keep_invalid else images.where(F.col(f"{image_col}.height") > 0)
     src = src.select(

@@ -170,14 +170,16 @@ def method_frame(spark: SparkSession) -> DataFrame:
     return HASHING_METHODS.frame(spark)
 
 
-def grid_variants(images: DataFrame, width: int, height: int, px_col: str = "px") -> DataFrame:
+def grid_variants(images: DataFrame, width: int, height: int, px_col: str = "px",
+                  limit: int | None = None) -> DataFrame:
     """J1 fan-out in one pass: one row per (image, registered modification), Column form.
 
     The registry is a handful of entries, so the fan-out is an ``inline`` of a
     literal-sized array per row: no join, no shuffle, the grid is read once.
+    ``limit`` caps the variants per image in registry order (L3; default none).
     """
     structs = []
-    for name, mod in MODIFICATIONS.items():
+    for name, mod in MODIFICATIONS.items()[:limit]:
         px, w, h = mod.grid(F.col(px_col), F.lit(width), F.lit(height))
         structs.append(F.struct(
             F.lit(MODIFICATIONS.ids()[name]).alias("modification_id"),

@@ -121,3 +121,24 @@ def keyset_page(df: DataFrame, start: int, size: int, id_col: str = "id", where:
     if where is not None:
         q = q.where(where)
     return q.orderBy(id_col).limit(size)
+
+
+def point_lookup(df: DataFrame, select: list[str], **equals) -> DataFrame:
+    """``SELECT select WHERE k1 = v1 AND ...`` (pushed to the Parquet scan)."""
+    cond = None
+    for k, v in equals.items():
+        c = F.col(k) == F.lit(v)
+        cond = c if cond is None else cond & c
+    return df.where(cond).select(*select)
+
+
+def strict_single(df: DataFrame, what: str) -> DataFrame:
+    """The reference raises when a point lookup finds nothing; keep that as an opt-in check."""
+    if df.limit(1).count() == 0:
+        raise LookupError(f"no row for {what}")
+    return df
+
+
+def distinct_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """The distinct method ids present (the keyset walk over methods, as one scan)."""
+    return df.select(id_col).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.operators import match as M
-from imprint.operators.raster import raster_hashes
+from imprint.operators.raster import raster_hashes, raster_variants
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
 from imprint.operators.tables import first_by_key, insert_or_ignore, lookup_id
 from imprint.session import cut_lineage
@@ -50,7 +50,8 @@ def _registry_map(spark: SparkSession, store: Store, registry, table: str, out:
     return F.broadcast(reg.join(store.read(table), "name").select("reg_id", F.col("id").alias(out)))
 
 
-def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_root: str) -> BatchResult:
+def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_root: str,
+                 store_rasters: bool = False) -> BatchResult:
     """One batch of ``(path, user_name, image)`` rows through load, modify and hash.
 
     The batch is decoded once: the raster pass emits narrow rows (path, user,
@@ -94,18 +95,38 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     keys = ["modified_image_id", "hashing_method_id", "hash"]
     new_hashes = cut_lineage(insert_or_ignore(store.read("hashes"), hashes, keys, keys))
     store.append("hashes", new_hashes)
+    if store_rasters:
+        write_variant_rasters(store, images, new_images, new_mod, variant_root)
     bad = rows.where(~F.col("valid")).count()
     return BatchResult(new_images.count(), new_mod.count(), new_hashes.count(), bad)
 
 
+def write_variant_rasters(store: Store, images: DataFrame, new_images: DataFrame, new_mod: DataFrame,
+                          variant_root: str) -> None:
+    """Pixels of newly inserted variants, keyed by their content path, appended as Parquet.
+
+    Opt-in, because it decodes the batch a second time; only the inserted
+    variants are kept (a semi-join on narrow keys after the raster pass).
+    """
+    src = images.join(new_images.select(F.col("id").alias("image_id"), "path"), "path")
+    pix = raster_variants(src)
+    keep = new_mod.select("image_id", "modification_id", "path")
+    mods = _registry_map(store.spark, store, MODIFICATIONS, "modifications", "mod_id")
+    pix = pix.join(mods, pix.modification_id == F.col("reg_id")).drop("reg_id", "modification_id") \
+        .withColumnRenamed("mod_id", "modification_id")
+    out = pix.join(keep, ["image_id", "modification_id"]).select("path", "height", "width", "n_channels", "data")
+    out.write.mode("append").parquet(store.path("variant_rasters"))
+
+
 def quarantine(images: DataFrame) -> DataFrame:
     """Files the image source could not decode (``height = -1``)."""
     return split_valid(images)[1].select("path", "user_name")
 
 
-def ingest_folder(spark: SparkSession, store: Store, image_root: str, variant_root: str) -> BatchResult:
+def ingest_folder(spark: SparkSession, store: Store, image_root: str, variant_root: str,
+                  store_rasters: bool = False) -> BatchResult:
     """Batch form: scan the whole folder once."""
-    return ingest_batch(spark, store, read_images(spark, image_root), variant_root)
+    return ingest_batch(spark, store, read_images(spark, image_root), variant_root, store_rasters)
 
 
 def ingest_stream(spark: SparkSession, store: Store, image_root: str, variant_root: str, checkpoint: str,

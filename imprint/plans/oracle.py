@@ -283,4 +283,14 @@ SELECT t.image_id, 'u' || CAST(l.label AS VARCHAR) AS user_name, 32 AS height, 3
 FROM tiled t JOIN lab l USING (image_id)""",
         "raster_fingerprint": f"""WITH {RASTER}
 SELECT image_id, modification_id, hashing_method_id, {hex_sql('f')} AS hash FROM rf""",
+        "stored_chain": f"""WITH {RASTER},
+n AS (SELECT (SELECT count(*) FROM files) AS images, (SELECT count(*) FROM ru) AS variants,
+             (SELECT count(DISTINCT user_name) FROM files) AS users)
+SELECT 'modifications' AS table_name, CAST(2 AS BIGINT) AS rows
+UNION ALL SELECT 'hashing_methods', 2
+UNION ALL SELECT 'users', users + 1 FROM n
+UNION ALL SELECT 'images', images FROM n
+UNION ALL SELECT 'modified_images', variants FROM n
+UNION ALL SELECT 'hashes', 2 * variants FROM n
+UNION ALL SELECT 'matches', variants * (variants + 1) FROM n""",
     }

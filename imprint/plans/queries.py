@@ -237,6 +237,12 @@ def q_raster_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint_derived_images(spark, sf)
 
 
+def q_stored_chain(spark: SparkSession, sf: str) -> DataFrame:
+    from imprint.plans.rasters import stored_chain_counts
+
+    return stored_chain_counts(spark, sf)
+
+
 QUERIES = {
     "average_hash": q_average_hash,
     "dct_hash": q_dct_hash,
@@ -266,4 +272,5 @@ QUERIES = {
     "stream_ingest": q_stream_ingest,
     "image_scan": q_image_scan,
     "raster_fingerprint": q_raster_fingerprint,
+    "stored_chain": q_stored_chain,
 }

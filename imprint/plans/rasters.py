@@ -79,3 +79,19 @@ def fingerprint_derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raster_hashes(imgs.select(_image_id().alias("image_id"), "image"), keys=("image_id",))
     kept = first_by_key(rows, ["digest", "hashing_method_id"], ["image_id", "modification_id"])
     return kept.select("image_id", "modification_id", "hashing_method_id", "hash")
+
+
+def stored_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stored job over the derived files: load, modify, hash, match; rows per table."""
+    from imprint.plans.chain import ingest_folder, match_new
+    from imprint.sources.store import SCHEMAS, Store
+
+    root = write_derived_pngs(spark, sf_dir)
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest_folder(spark, store, root, "/variants")
+    match_new(spark, store)
+    out = None
+    for name in SCHEMAS:
+        row = store.read(name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
