@@ -144,15 +144,28 @@ def ingest_stream(spark: SparkSession, store: Store, image_root: str, variant_ro
 
 def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     """T5 + J3 + J7g: pair every hash above its method's watermark with all hashes up to it and
-    with each other (self-pairs included); append; return the number of new pairs (A3)."""
-    hashes = store.read("hashes")
-    done = store.read("matches").groupBy("hashing_method_id").agg(F.max("hash_id2").alias("wm"))
-    tagged = hashes.join(F.broadcast(done), "hashing_method_id", "left") \
+    with each other (self-pairs included); append; return the number of new pairs (A3).
+
+    The watermark comes from the ``upto`` partition folders of ``matches`` (a
+    listing, not a scan); each run writes its pairs under ``upto`` = the largest
+    hash id it covered, in one job commit, so a failed run leaves no folder and
+    is simply redone.
+    """
+    wm = store.match_watermarks()
+    hashes = store.read("hashes").select("id", "hash", "hashing_method_id")
+    marks = spark.createDataFrame([(m, w) for m, w in wm.items()] or [(-1, -1)], "hashing_method_id int, wm long")
+    tagged = hashes.join(F.broadcast(marks), "hashing_method_id", "left") \
         .withColumn("is_new", F.col("id") > F.coalesce(F.col("wm"), F.lit(-1)))
     tagged = cut_lineage(tagged.select("id", "hash", "hashing_method_id", "is_new"))
     new = tagged.where("is_new").drop("is_new")
     old = tagged.where(~F.col("is_new")).drop("is_new")
+    upto = {r["hashing_method_id"]: int(r["u"]) for r in
+            new.groupBy("hashing_method_id").agg(F.max("id").alias("u")).collect()}
+    if not upto:
+        return 0
     pairs = M.match_pairs(new, **plan_kw).unionByName(M.match_rectangle(new, old))
-    pairs, obs = M.match_progress(pairs)
+    upto_col = F.element_at(F.create_map(*[x for m, u in upto.items() for x in (F.lit(m), F.lit(u))]),
+                            F.col("hashing_method_id"))
+    pairs, obs = M.match_progress(pairs.withColumn("upto", upto_col))
     store.append("matches", pairs)
     return int(obs.get.get("matched", 0))

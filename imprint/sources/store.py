@@ -34,7 +34,9 @@ SCHEMAS = {
     "matches": _schema(("hash_id1", L, False), ("hash_id2", L, False), ("hamming_distance", D, False),
                        ("hashing_method_id", I, False)),
 }
-PARTITIONS = {"matches": ["hashing_method_id"]}
+# ``upto`` = the largest hash id a match run covered; the match watermark is read
+# from these partition folders instead of scanning the (largest) matches table.
+PARTITIONS = {"matches": ["hashing_method_id", "upto"]}
 # Fixed value: the seeded default user.
 DEFAULT_USER = "undefined"
 
@@ -55,14 +57,37 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
     def append(self, name: str, df: DataFrame) -> None:
-        w = df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields]).write.mode("append")
+        extra = [c for c in PARTITIONS.get(name, []) if c not in SCHEMAS[name].fieldNames()]
+        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields] + [F.col(c) for c in extra]
+        w = df.select(*cols).write.mode("append")
         if name in PARTITIONS:
             w = w.partitionBy(*PARTITIONS[name])
         w.parquet(self.path(name))
 
+    def match_watermarks(self) -> dict[int, int]:
+        """Per method, the largest hash id already matched: from partition folder names only."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        base = jvm.org.apache.hadoop.fs.Path(self.path("matches"))
+        fs = base.getFileSystem(conf)
+        out: dict[int, int] = {}
+        if not fs.exists(base):
+            return out
+        for m_dir in fs.listStatus(base):
+            name = m_dir.getPath().getName()
+            if not (m_dir.isDirectory() and name.startswith("hashing_method_id=")):
+                continue
+            m = int(name.split("=", 1)[1])
+            for u_dir in fs.listStatus(m_dir.getPath()):
+                un = u_dir.getPath().getName()
+                if u_dir.isDirectory() and un.startswith("upto="):
+                    out[m] = max(out.get(m, -1), int(un.split("=", 1)[1]))
+        return out
+
     def views(self) -> None:
         """Every table as a temp view for ad-hoc ``spark.sql``."""
         for name in SCHEMAS:
@@ -72,13 +97,26 @@ class Store:
         """Create the tables, seed the default user, register dimension names (get-or-create)."""
         for name in SCHEMAS:
             if not self._exists(name):
-                self.append(name, self.spark.createDataFrame([], SCHEMAS[name]))
+                empty = self.spark.createDataFrame([], SCHEMAS[name])
+                if name == "users":  # S6: the seed row goes in with the table
+                    empty = self.spark.createDataFrame([(1, DEFAULT_USER)], SCHEMAS[name])
+                for c in PARTITIONS.get(name, []):
+                    if c not in empty.columns:
+                        empty = empty.withColumn(c, F.lit(None).cast("long"))
+                self.append(name, empty)
         self.ensure_names("users", [DEFAULT_USER])
         self.ensure_names("modifications", modification_names)
         self.ensure_names("hashing_methods", method_names)
 
     def ensure_names(self, table: str, names: list[str]) -> None:
-        """J7a/J7c/J7e on a name dimension; ids follow the given order of first appearance."""
+        """J7a/J7c/J7e on a name dimension; ids follow the given order of first appearance.
+
+        The registry dimensions hold a handful of rows, so the present names are
+        read first and the insert job runs only when one is missing.
+        """
+        present = {r["name"] for r in self.read(table).where(F.col("name").isin(names)).select("name").collect()}
+        if present >= set(names):
+            return
         rows = self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
         new = insert_or_ignore(self.read(table), rows, ["name"], ["pos"])
         self.append(table, new.select("id", "name"))
