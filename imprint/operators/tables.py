@@ -25,6 +25,11 @@ from imprint.session import cut_lineage
 def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys``: the one that is first by ``order`` (ties broken by the remaining columns)."""
     rest = [c for c in df.columns if c not in keys and c not in order]
+    if not rest and len(order) <= 1:
+        # a single ordering column and nothing else: plain min(), a hash aggregate
+        if not order:
+            return df.select(*keys).distinct()
+        return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(*df.columns)
     packed = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest]) \
         .select(*df.columns)
@@ -38,7 +43,7 @@ def dropped_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in ``existing`` (only the key columns of ``existing`` are read)."""
-    return incoming.join(existing.select(*keys).distinct(), on=keys, how="left_anti")
+    return incoming.join(existing.select(*keys), on=keys, how="left_anti")
 
 
 def max_id(df: DataFrame, id_col: str = "id") -> Column:
@@ -106,8 +111,7 @@ def lookup_id(df: DataFrame, dim: DataFrame, name_col: str, dim_name: str = "nam
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Child rows whose non-null foreign key has no parent row."""
-    return child.where(F.col(fk).isNotNull()).join(
-        parent.select(F.col(pk).alias(fk)).distinct(), on=fk, how="left_anti")
+    return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), on=fk, how="left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
