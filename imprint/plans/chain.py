@@ -67,9 +67,10 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
                                  ["name"], ["name"])
     store.append("users", users_new.select("id", "name"))
     with_uid = lookup_id(files, store.read("users"), "user_name", "name", "id", "user_id", broadcast_dim=False)
-    new_images = cut_lineage(insert_or_ignore(store.read("images"), with_uid.select("path", "user_id"),
-                                              ["path"], ["path"]))
-    store.append("images", new_images)
+    # insert_or_ignore materialises its rows before numbering them, so reading
+    # new_images again below is cheap and sees exactly the appended rows
+    new_images = insert_or_ignore(store.read("images"), with_uid.select("path", "user_id"), ["path"], ["path"])
+    n_images = store.append("images", new_images)
 
     # modify + hash rows of the new, decodable images, with the store's dimension ids
     mods = _registry_map(spark, store, MODIFICATIONS, "modifications", "mod_id")
@@ -85,20 +86,18 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     # first writer per content path (W1), then insert-or-ignore against stored variants (J7d)
     variants = first_by_key(ok.select(F.col("vpath").alias("path"), "image_id", "modification_id").distinct(),
                             ["path"], ["image_id", "modification_id"])
-    new_mod = cut_lineage(insert_or_ignore(store.read("modified_images"), variants, ["path"],
-                                           ["image_id", "modification_id"]))
-    store.append("modified_images", new_mod)
+    new_mod = insert_or_ignore(store.read("modified_images"), variants, ["path"], ["image_id", "modification_id"])
+    n_mod = store.append("modified_images", new_mod)
 
     # hashes of the variants that were inserted (J7f), serial ids
     hashes = ok.join(new_mod.select(F.col("id").alias("modified_image_id"), "image_id", "modification_id"),
                      ["image_id", "modification_id"]).select("hash", "modified_image_id", "hashing_method_id")
     keys = ["modified_image_id", "hashing_method_id", "hash"]
-    new_hashes = cut_lineage(insert_or_ignore(store.read("hashes"), hashes, keys, keys))
-    store.append("hashes", new_hashes)
+    n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
     if store_rasters:
         write_variant_rasters(store, images, new_images, new_mod, variant_root)
     bad = rows.where(~F.col("valid")).count()
-    return BatchResult(new_images.count(), new_mod.count(), new_hashes.count(), bad)
+    return BatchResult(n_images, n_mod, n_hashes, bad)
 
 
 def write_variant_rasters(store: Store, images: DataFrame, new_images: DataFrame, new_mod: DataFrame,
@@ -166,6 +165,4 @@ def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     pairs = M.match_pairs(new, **plan_kw).unionByName(M.match_rectangle(new, old))
     upto_col = F.element_at(F.create_map(*[x for m, u in upto.items() for x in (F.lit(m), F.lit(u))]),
                             F.col("hashing_method_id"))
-    pairs, obs = M.match_progress(pairs.withColumn("upto", upto_col))
-    store.append("matches", pairs)
-    return int(obs.get.get("matched", 0))
+    return store.append("matches", pairs.withColumn("upto", upto_col))

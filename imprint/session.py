@@ -36,9 +36,37 @@ def build_session(cpus: int | str = "*", app: str = "imprint", extra: dict | Non
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``imprint`` importable in the Python workers (Arrow UDFs, mapInPandas).
+
+    Zips the package once per SparkContext and adds it with ``addPyFile``, the
+    standard way to distribute job code; clusters that install the package on
+    every executor do not need it, and a second call is a no-op.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="imprint-code-"), "imprint.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -50,19 +78,30 @@ def shared_root(spark: SparkSession) -> str:
     the master is local do we set a fresh temp folder (tests, bench).
     """
     sc = spark.sparkContext
-    root = spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
+    root = _LOCAL_ROOTS.get(id(sc)) or _conf(spark)
     if not root:
         if not _is_local(spark):
             raise RuntimeError(
                 f"{_CKPT_KEY} is not set; point it at a folder all executors share"
             )
         root = tempfile.mkdtemp(prefix="imprint-ckpt-")
-        spark.conf.set(_CKPT_KEY, root)
+        _LOCAL_ROOTS[id(sc)] = root
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
+def _conf(spark: SparkSession):
+    try:
+        v = spark.conf.get(_CKPT_KEY, None)
+    except Exception:  # noqa: BLE001 - some sessions refuse to read core keys
+        v = None
+    return v or spark.sparkContext.getConf().get(_CKPT_KEY, None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared root for one job's output."""
     root = shared_root(spark)

@@ -60,13 +60,18 @@ class Store:
         df = self.spark.read.parquet(self.path(name))
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame) -> int:
+        """Append rows (one job, committed atomically); returns how many were written."""
+        from pyspark.sql import Observation
+
         extra = [c for c in PARTITIONS.get(name, []) if c not in SCHEMAS[name].fieldNames()]
         cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields] + [F.col(c) for c in extra]
-        w = df.select(*cols).write.mode("append")
+        obs = Observation(f"append_{name}")
+        w = df.select(*cols).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append")
         if name in PARTITIONS:
             w = w.partitionBy(*PARTITIONS[name])
         w.parquet(self.path(name))
+        return int(obs.get.get("rows", 0))
 
     def match_watermarks(self) -> dict[int, int]:
         """Per method, the largest hash id already matched: from partition folder names only."""
