@@ -99,8 +99,12 @@ def get_or_create(existing: DataFrame, requests: DataFrame, keys: list[str], id_
 
 
 def lookup_id(df: DataFrame, dim: DataFrame, name_col: str, dim_name: str = "name", dim_id: str = "id",
-              out: str = "id", strict: bool = False, broadcast_dim: bool = True) -> DataFrame:
-    """Equi lookup of an id by name.  ``strict`` raises on a missing name (the reference errors)."""
+              out: str = "id", strict: bool = False, broadcast_dim: bool = False) -> DataFrame:
+    """Equi lookup of an id by name.  ``strict`` raises on a missing name (the reference errors).
+
+    ``broadcast_dim`` forces a broadcast; pass it only for a dimension with a
+    bound (the registries).  Otherwise Spark's size-checked planner decides.
+    """
     d = dim.select(F.col(dim_name).alias(name_col), F.col(dim_id).alias(out))
     joined = df.join(F.broadcast(d) if broadcast_dim else d, on=name_col, how="left")
     if strict:

@@ -18,7 +18,7 @@ from imprint.operators import match as M
 from imprint.operators import tables as TB
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS, batch_hash_udf
 from imprint.plans import adapters as A
-from imprint.session import cut_lineage
+from imprint.session import materialise
 from imprint.sources import paths as P
 
 # Fixed parameters of the registered queries.
@@ -29,12 +29,12 @@ LOOKUP_ID, LOOKUP_METHOD = 7, 2
 
 
 def stored_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    """The ``hashes`` table, materialised once to the reliable checkpoint folder.
+    """The ``hashes`` table, written once as Parquet to the shared folder.
 
     Like the stored table it stands for, it is read by the shape statistics and
     by the joins instead of being recomputed from the images by each of them.
     """
-    return cut_lineage(A.fingerprints(spark, sf))
+    return materialise(A.fingerprints(spark, sf), "hashes")
 
 
 def q_average_hash(spark: SparkSession, sf: str) -> DataFrame:

@@ -126,3 +126,14 @@ def spread(df, factor: int = 1):
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+def materialise(df, name: str):
+    """Write ``df`` as a Parquet table in a fresh folder of the shared root and read it back.
+
+    Cuts lineage like ``checkpoint()``, and later reads get column pruning,
+    filter pushdown and real size statistics for join planning.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
