@@ -30,7 +30,7 @@ from imprint.operators import match as M
 from imprint.operators.raster import raster_hashes, raster_variants
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
 from imprint.operators.tables import first_by_key, insert_or_ignore, lookup_id
-from imprint.session import cut_lineage
+from imprint.session import materialise
 from imprint.sources.images import read_images, split_valid, stream_images
 from imprint.sources.paths import content_path
 from imprint.sources.store import Store
@@ -59,7 +59,7 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     later step reads those.
     """
     store.init(MODIFICATIONS.names(), HASHING_METHODS.names())
-    rows = cut_lineage(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True))
+    rows = materialise(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True), "batch-rows")
     files = rows.select("path", "user_name").distinct()
 
     # load: users (get-or-create by name), then every file on its path, ids in path order
@@ -155,7 +155,7 @@ def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     marks = spark.createDataFrame([(m, w) for m, w in wm.items()] or [(-1, -1)], "hashing_method_id int, wm long")
     tagged = hashes.join(F.broadcast(marks), "hashing_method_id", "left") \
         .withColumn("is_new", F.col("id") > F.coalesce(F.col("wm"), F.lit(-1)))
-    tagged = cut_lineage(tagged.select("id", "hash", "hashing_method_id", "is_new"))
+    tagged = materialise(tagged.select("id", "hash", "hashing_method_id", "is_new"), "match-input")
     new = tagged.where("is_new").drop("is_new")
     old = tagged.where(~F.col("is_new")).drop("is_new")
     upto = {r["hashing_method_id"]: int(r["u"]) for r in
