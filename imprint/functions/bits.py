@@ -49,6 +49,40 @@ def bool_array_to_bits(flags) -> Column:
     )
 
 
+HEX_DIGITS = "0123456789abcdef"
+
+
+def bool_array_to_hex(flags) -> Column:
+    """ARRAY<BOOLEAN> of any length divisible by 4 (first = most significant) -> lower-case hex."""
+    def nib(f, j):
+        v = F.lit(0)
+        for i, w in enumerate((8, 4, 2, 1)):
+            v = v + F.element_at(f, j * 4 + i + 1).cast("int") * w
+        return F.substring(F.lit(HEX_DIGITS), 1, 16).substr(v + 1, F.lit(1))
+
+    return let(flags, lambda f: F.array_join(
+        F.transform(F.sequence(F.lit(0), F.floor(F.size(f) / 4).cast("int") - 1), lambda j: nib(f, j)), ""))
+
+
+def hex_to_words(hash_col) -> Column:
+    """Hex fingerprint of any length -> ARRAY<BIGINT> of 16-digit chunks (the last may be shorter).
+
+    Two hashes of the same length chunk identically, so XOR word by word counts differing bits.
+    """
+    h = _c(hash_col)
+    checked = F.when(h.rlike(r"^[0-9a-f]+$"), h).otherwise(
+        F.raise_error(F.concat(F.lit("invalid hex hash: "), F.coalesce(h, F.lit("NULL")))))
+    return let(checked, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 16).cast("int")),
+        lambda k: F.conv(F.substring(x, 1, 1 << 20).substr(k * 16 + 1, F.lit(16)), 16, -10).cast("bigint")))
+
+
+def words_bit_count(w1, w2) -> Column:
+    """Number of differing bits between two word arrays of equal length."""
+    return F.aggregate(F.zip_with(_c(w1), _c(w2), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+                       F.lit(0), lambda acc, x: acc + x)
+
+
 def hex_to_bits(hash_col) -> Column:
     """Hex fingerprint (up to 16 digits) -> BIGINT; invalid hex raises instead of giving 0."""
     h = _c(hash_col)

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from imprint.functions.bits import _c, bits_to_hex, bool_array_to_bits, let
+from imprint.functions.bits import _c, bits_to_hex, bool_array_to_bits, bool_array_to_hex, let
 
 DCT_SIDE = 32  # hash_size * highfreq_factor (8 * 4)
 DCT_KEEP = 8  # low-frequency block kept
@@ -38,22 +38,34 @@ def dct_basis(keep: int = DCT_KEEP, side: int = DCT_SIDE, scale_bits: int = DCT_
     ]
 
 
-def average_hash_bits(px) -> Column:
-    """BIGINT fingerprint of a grey grid (<= 64 pixels): bit = pixel * n >= sum(pixels)."""
+def average_hash_flags(px) -> Column:
+    """ARRAY<BOOLEAN>: pixel * n >= sum(pixels), row-major."""
 
     def body(p):
         n = F.size(p).cast("bigint")
         return let(
             F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x),
-            lambda total: bool_array_to_bits(F.transform(p, lambda x: x.cast("bigint") * n >= total)),
+            lambda total: F.transform(p, lambda x: x.cast("bigint") * n >= total),
         )
 
     return let(px, body)
 
 
+def average_hash_bits(px) -> Column:
+    """BIGINT fingerprint of a grey grid (<= 64 pixels)."""
+    return bool_array_to_bits(average_hash_flags(px))
+
+
+def flags_to_hex(flags, nbits: int) -> Column:
+    """Hex of a flag array: via one BIGINT up to 64 bits, nibble by nibble beyond."""
+    if nbits <= 64:
+        return bits_to_hex(bool_array_to_bits(flags), nbits)
+    return bool_array_to_hex(flags)
+
+
 def average_hash(px, hash_size: int = 8) -> Column:
     """Lower-case hex average hash of a ``hash_size`` x ``hash_size`` grey grid."""
-    return bits_to_hex(average_hash_bits(px), hash_size * hash_size)
+    return flags_to_hex(average_hash_flags(px), hash_size * hash_size)
 
 
 def _dct_rows(p: Column, basis: Column, keep: int, side: int) -> Column:
@@ -90,27 +102,31 @@ def dct_coefficients(px, keep: int = DCT_KEEP, side: int = DCT_SIDE) -> Column:
     return let(px, lambda p: let(_dct_rows(p, basis, keep, side), lambda r: _dct_cols(r, basis, keep, side)))
 
 
-def median_threshold_bits(coeffs) -> Column:
-    """Bit = coefficient > median, with the median of an even count = mean of the two middles.
+def median_threshold_flags(coeffs) -> Column:
+    """Flag = coefficient > median, with the median of an even count = mean of the two middles.
 
     Compared as ``2 * c > m1 + m2`` so it stays in integers.
     """
 
     def body(c):
-        return let(F.array_sort(c), lambda srt: bool_array_to_bits(F.transform(
+        return let(F.array_sort(c), lambda srt: F.transform(
             c,
             lambda x: x * 2 > F.element_at(srt, F.floor((F.size(c) + 1) / 2).cast("int"))
             + F.element_at(srt, F.floor(F.size(c) / 2).cast("int") + 1),
-        )))
+        ))
 
     return let(coeffs, body)
 
 
+def median_threshold_bits(coeffs) -> Column:
+    return bool_array_to_bits(median_threshold_flags(coeffs))
+
+
 def dct_hash_bits(px, keep: int = DCT_KEEP, side: int = DCT_SIDE) -> Column:
-    """BIGINT DCT fingerprint of a ``side x side`` grey grid."""
+    """BIGINT DCT fingerprint of a ``side x side`` grey grid (keep <= 8)."""
     return median_threshold_bits(dct_coefficients(px, keep, side))
 
 
 def dct_hash(px, hash_size: int = DCT_KEEP, side: int = DCT_SIDE) -> Column:
     """Lower-case hex DCT hash of a ``side x side`` grey grid."""
-    return bits_to_hex(dct_hash_bits(px, hash_size, side), hash_size * hash_size)
+    return flags_to_hex(median_threshold_flags(dct_coefficients(px, hash_size, side)), hash_size * hash_size)

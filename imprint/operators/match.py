@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.functions.bits import assert_equal_lengths, hamming_distance, hex_to_bits
+from imprint.functions.bits import assert_equal_lengths, hamming_distance, hex_to_bits, hex_to_words, words_bit_count
 
 BROADCAST_MAX_ROWS = 2_000_000
 TARGET_PAIRS_PER_TASK = 20_000_000
@@ -49,18 +49,33 @@ class MatchPlan:
     partitions: int
     id_range: tuple = (0, 0)  # (min id, max id) over all methods
 
+    @property
+    def wide(self) -> bool:
+        """Any method wider than 64 bits: hashes travel as word arrays instead of one BIGINT."""
+        return any(nb > 64 for _, nb in self.counts.values())
+
 
 def prepare(hashes: DataFrame, id_col: str = "id", method_col: str = "hashing_method_id",
-            hash_col: str = "hash", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Narrow join rows: (id, method, bits, *carry).  Raster and text columns never enter."""
+            hash_col: str = "hash", carry: tuple[str, ...] = (), wide: bool = False) -> DataFrame:
+    """Narrow join rows: (id, method, bits, *carry).  Raster and text columns never enter.
+
+    ``bits`` is one BIGINT for hashes up to 64 bits, else an ARRAY<BIGINT> of 16-digit chunks.
+    """
     return hashes.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.col(method_col).alias("m"),
-        hex_to_bits(hash_col).alias("bits"),
+        (hex_to_words(hash_col) if wide else hex_to_bits(hash_col)).alias("bits"),
         *carry,
     )
 
 
+def bit_diff(b1, b2, wide: bool = False):
+    """Number of differing bits of two prepared ``bits`` values."""
+    c1 = F.col(b1) if isinstance(b1, str) else b1
+    c2 = F.col(b2) if isinstance(b2, str) else b2
+    return words_bit_count(c1, c2) if wide else F.bit_count(c1.bitwiseXOR(c2))
+
+
 def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_col: str = "hash",
                shape: str = "auto", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                target_pairs_per_task: int = TARGET_PAIRS_PER_TASK, id_col: str = "id") -> MatchPlan:
@@ -96,19 +111,23 @@ def _nbits_expr(widths: dict):
     return F.element_at(F.create_map(*pairs), F.col("m"))
 
 
-def _with_distance(pairs: DataFrame, nbits_expr) -> DataFrame:
-    return pairs.withColumn("hamming_distance", hamming_distance("bits1", "bits2", nbits_expr))
+def _with_distance(pairs: DataFrame, nbits_expr, wide: bool = False) -> DataFrame:
+    d = bit_diff("bits1", "bits2", wide)
+    return pairs.withColumn("distance_bits", d.cast("int")) \
+        .withColumn("hamming_distance", F.col("distance_bits").cast("double") / nbits_expr.cast("double"))
 
 
 def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str = "id",
                 method_col: str = "hashing_method_id", hash_col: str = "hash",
-                carry: tuple[str, ...] = (), keep_bits: bool = False, **plan_kw) -> DataFrame:
+                carry: tuple[str, ...] = (), keep_bits: bool = False, with_bits: bool = False,
+                **plan_kw) -> DataFrame:
     """(hash_id1, hash_id2, hamming_distance, hashing_method_id[, carry1/2...]) for all pairs.
 
-    ``carry`` columns of the input (e.g. image ids) come out suffixed ``1``/``2``.
+    ``carry`` columns of the input (e.g. image ids) come out suffixed ``1``/``2``;
+    ``with_bits`` adds ``distance_bits`` (the integer count of differing bits).
     """
     plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, **plan_kw)
-    rows = prepare(hashes, id_col, method_col, hash_col, carry)
+    rows = prepare(hashes, id_col, method_col, hash_col, carry, wide=plan.wide)
     spark = hashes.sparkSession
     nbits = _nbits_expr({m: nb for m, (_, nb) in plan.counts.items()})
 
@@ -143,7 +162,7 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
             *[F.when(swap, F.col(f"{n}2")).otherwise(F.col(f"{n}1")).alias(f"{n}1") for n in ("id", "bits", *carry)],
             *[F.when(swap, F.col(f"{n}1")).otherwise(F.col(f"{n}2")).alias(f"{n}2") for n in ("id", "bits", *carry)],
         )
-    out = _with_distance(out, nbits)
+    out = _with_distance(out, nbits, plan.wide)
     cols = [
         F.col("id1").alias("hash_id1"), F.col("id2").alias("hash_id2"), "hamming_distance",
         F.col("m").alias(method_col),
@@ -151,6 +170,8 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
     ]
     if keep_bits:
         cols += ["bits1", "bits2"]
+    if with_bits:
+        cols += ["distance_bits"]
     return out.select(*cols)
 
 
@@ -171,7 +192,8 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
     for r in st_b:
         if r[method_col] in sa and widths[r[method_col]] != int(r["nbits"]):
             raise ValueError("Hashes must have the same length")
-    ra, rb = prepare(a, id_col, method_col, hash_col), prepare(b, id_col, method_col, hash_col)
+    wide = any(nb > 64 for nb in widths.values())
+    ra, rb = prepare(a, id_col, method_col, hash_col, wide=wide), prepare(b, id_col, method_col, hash_col, wide=wide)
     slots = max(a.sparkSession.sparkContext.defaultParallelism, 1)
     na, nb = sum(sa.values()), sum(sb.values())
     if min(na, nb) <= broadcast_max_rows:
@@ -198,7 +220,7 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
         j = l.join(r, ["m", "bi", "bj"])
     return j.select(
         F.least("id1", "id2").alias("hash_id1"), F.greatest("id1", "id2").alias("hash_id2"),
-        hamming_distance("bits1", "bits2", _nbits_expr(widths)).alias("hamming_distance"),
+        (bit_diff("bits1", "bits2", wide).cast("double") / _nbits_expr(widths)).alias("hamming_distance"),
         F.col("m").alias(method_col),
     )
 

@@ -248,14 +248,23 @@ def resize_batch(grids: np.ndarray, out_w: int, out_h: int) -> np.ndarray:
     return cur
 
 
-def pack_bits(flags: np.ndarray) -> np.ndarray:
-    """(N, 64) booleans, MSB first -> (N,) uint64."""
-    return np.packbits(flags.astype(np.uint8), axis=1).view(">u8").reshape(-1).astype(np.uint64)
+def flags_hex(flags: np.ndarray) -> list[str]:
+    """(N, nbits) booleans, MSB first -> hex strings of nbits // 4 digits (any nbits divisible by 4)."""
+    n = flags.shape[1]
+    pad = (-n) % 8
+    packed = np.packbits(flags.astype(np.uint8), axis=1)
+    width = n // 4
+    out = []
+    for row in packed:
+        v = int.from_bytes(row.tobytes(), "big") >> pad
+        out.append(format(v, f"0{width}x"))
+    return out
 
 
 def average_bits_batch(grids: np.ndarray) -> np.ndarray:
+    """(N, H, W) -> (N, H*W) flags: pixel * n >= sum."""
     flat = grids.reshape(grids.shape[0], -1).astype(np.int64)
-    return pack_bits(flat * flat.shape[1] >= flat.sum(axis=1, keepdims=True))
+    return flat * flat.shape[1] >= flat.sum(axis=1, keepdims=True)
 
 
 def dct_bits_batch(grids: np.ndarray, keep: int = 8) -> np.ndarray:
@@ -268,9 +277,4 @@ def dct_bits_batch(grids: np.ndarray, keep: int = 8) -> np.ndarray:
     srt = np.sort(coeffs, axis=1)
     n = coeffs.shape[1]
     lo, hi = srt[:, (n + 1) // 2 - 1: (n + 1) // 2], srt[:, n // 2: n // 2 + 1]
-    return pack_bits(coeffs * 2 > lo + hi)
-
-
-def hex64(values: np.ndarray, nbits: int = 64) -> list[str]:
-    width = nbits // 4
-    return [format(int(v), f"0{width}x") for v in values]
+    return coeffs * 2 > lo + hi

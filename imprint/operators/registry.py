@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from imprint.functions import grid as G
 from imprint.functions import hashing as H
-from imprint.functions.bits import bits_to_hex
 from imprint.functions.resample import resize_grid
 
 
@@ -103,7 +102,7 @@ class AverageHash:
 
     def grid(self, px, w: int, h: int):
         s = self.hash_size
-        return bits_to_hex(H.average_hash_bits(resize_grid(px, w, h, s, s)), s * s)
+        return H.average_hash(resize_grid(px, w, h, s, s), s)
 
     def batch(self, grids: np.ndarray) -> np.ndarray:
         from imprint.operators.raster import average_bits_batch, resize_batch
@@ -133,8 +132,7 @@ class DCTHash:
 
     def grid(self, px, w: int, h: int):
         s = self.side
-        return bits_to_hex(H.dct_hash_bits(resize_grid(px, w, h, s, s), self.hash_size, s),
-                           self.hash_size * self.hash_size)
+        return H.dct_hash(resize_grid(px, w, h, s, s), self.hash_size, s)
 
     def batch(self, grids: np.ndarray) -> np.ndarray:
         from imprint.operators.raster import dct_bits_batch, resize_batch
@@ -191,14 +189,14 @@ def grid_variants(images: DataFrame, width: int, height: int, px_col: str = "px"
 
 def batch_hash_udf(method, width: int, height: int):
     """Arrow-batched fingerprint of same-size grey grids: one numpy call per batch of rows."""
-    from imprint.operators.raster import hex64
+    from imprint.operators.raster import flags_hex
 
     @F.pandas_udf("string")
     def run(px: pd.Series) -> pd.Series:
         if len(px) == 0:
             return pd.Series([], dtype=object)
         grids = np.stack(px.to_numpy()).astype(np.int64).reshape(len(px), height, width)
-        return pd.Series(hex64(method.batch(grids), method.nbits))
+        return pd.Series(flags_hex(method.batch(grids)))
 
     return run
 

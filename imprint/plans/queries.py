@@ -82,7 +82,7 @@ def q_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pairs_with_images(spark: SparkSession, sf: str) -> DataFrame:
     fp = stored_fingerprints(spark, sf)
-    return M.match_pairs(fp, carry=("image_id", "modification_id"))
+    return M.match_pairs(fp, carry=("image_id", "modification_id"), with_bits=True)
 
 
 def q_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
