@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from imprint.functions.bits import _c, bits_to_hex, bool_array_to_bits, bool_array_to_hex, let
+from imprint.functions.bits import bits_to_hex, bool_array_to_bits, bool_array_to_hex, let
 
 DCT_SIDE = 32  # hash_size * highfreq_factor (8 * 4)
 DCT_KEEP = 8  # low-frequency block kept

@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.functions.bits import assert_equal_lengths, hamming_distance, hex_to_bits, hex_to_words, words_bit_count
+from imprint.functions.bits import assert_equal_lengths, hex_to_bits, hex_to_words, words_bit_count
 
 BROADCAST_MAX_ROWS = 2_000_000
 TARGET_PAIRS_PER_TASK = 20_000_000
