@@ -41,6 +41,16 @@ def dropped_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.join(winners, on=keys + order, how="left_anti")
 
 
+def losers_with_winner(df: DataFrame, keys: list[str], order_col: str, winner_col: str) -> DataFrame:
+    """B1: rows that lost the first-writer race on ``keys``, with the winner's ``order_col``.
+
+    The winners side has one row per key; a hot key on the other side is split
+    by AQE's skew-join handling.
+    """
+    winners = df.groupBy(*keys).agg(F.min(order_col).alias(winner_col))
+    return df.join(winners, keys).where(F.col(order_col) != F.col(winner_col))
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in ``existing`` (only the key columns of ``existing`` are read)."""
     return incoming.join(existing.select(*keys), on=keys, how="left_anti")

@@ -283,6 +283,19 @@ SELECT t.image_id, 'u' || CAST(l.label AS VARCHAR) AS user_name, 32 AS height, 3
 FROM tiled t JOIN lab l USING (image_id)""",
         "raster_fingerprint": f"""WITH {RASTER}
 SELECT image_id, modification_id, hashing_method_id, {hex_sql('f')} AS hash FROM rf""",
+        "exact_duplicates": """WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents)
+SELECT d.doc_id, d.digest, w.first_doc_id
+FROM d JOIN (SELECT digest, min(doc_id) AS first_doc_id FROM d GROUP BY digest) w USING (digest)
+WHERE d.doc_id <> w.first_doc_id""",
+        "sql_extraction": f"""WITH {RASTER},
+rfp AS (SELECT r.image_id, r.modification_id, r.hashing_method_id, f.user_name, {hex_sql('r.f')} AS hash
+        FROM rf r JOIN files f USING (image_id))
+SELECT a.hashing_method_id, a.user_name = b.user_name AS same_user,
+       CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS INTEGER) AS distance_bits,
+       count(*) AS pairs
+FROM rfp a JOIN rfp b ON a.hashing_method_id = b.hashing_method_id
+ AND (a.image_id < b.image_id OR (a.image_id = b.image_id AND a.modification_id < b.modification_id))
+GROUP BY ALL""",
         "stored_chain": f"""WITH {RASTER},
 n AS (SELECT (SELECT count(*) FROM files) AS images, (SELECT count(*) FROM ru) AS variants,
              (SELECT count(DISTINCT user_name) FROM files) AS users)

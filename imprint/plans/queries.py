@@ -237,6 +237,18 @@ def q_raster_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint_derived_images(spark, sf)
 
 
+def q_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = A.table(spark, sf, "documents")
+    rows = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
+    return TB.losers_with_winner(rows, ["digest"], "doc_id", "first_doc_id").select("doc_id", "digest", "first_doc_id")
+
+
+def q_sql_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    from imprint.plans.rasters import sql_extraction
+
+    return sql_extraction(spark, sf)
+
+
 def q_stored_chain(spark: SparkSession, sf: str) -> DataFrame:
     from imprint.plans.rasters import stored_chain_counts
 
@@ -273,4 +285,6 @@ QUERIES = {
     "image_scan": q_image_scan,
     "raster_fingerprint": q_raster_fingerprint,
     "stored_chain": q_stored_chain,
+    "exact_duplicates": q_exact_duplicates,
+    "sql_extraction": q_sql_extraction,
 }

@@ -81,17 +81,52 @@ def fingerprint_derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("image_id", "modification_id", "hashing_method_id", "hash")
 
 
-def stored_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole stored job over the derived files: load, modify, hash, match; rows per table."""
+def run_stored_chain(spark: SparkSession, sf_dir: str):
+    """Derive the files, then load, modify, hash and match them into a fresh store."""
     from imprint.plans.chain import ingest_folder, match_new
-    from imprint.sources.store import SCHEMAS, Store
+    from imprint.sources.store import Store
 
     root = write_derived_pngs(spark, sf_dir)
     store = Store(spark, scratch_path(spark, "store"))
     ingest_folder(spark, store, root, "/variants")
     match_new(spark, store)
+    return store
+
+
+def stored_chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stored job over the derived files: load, modify, hash, match; rows per table."""
+    from imprint.sources.store import SCHEMAS
+
+    store = run_stored_chain(spark, sf_dir)
     out = None
     for name in SCHEMAS:
         row = store.read(name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# What a user of the result tables writes — plain SQL over the seven tables.
+DETECTION_SQL = """
+SELECT h1.hashing_method_id,
+       u1.name = u2.name AS same_user,
+       CAST(round(m.hamming_distance * 64) AS INT) AS distance_bits,
+       count(*) AS pairs
+FROM matches m
+JOIN hashes h1 ON m.hash_id1 = h1.id
+JOIN hashes h2 ON m.hash_id2 = h2.id
+JOIN modified_images v1 ON h1.modified_image_id = v1.id
+JOIN modified_images v2 ON h2.modified_image_id = v2.id
+JOIN images i1 ON v1.image_id = i1.id
+JOIN images i2 ON v2.image_id = i2.id
+JOIN users u1 ON i1.user_id = u1.id
+JOIN users u2 ON i2.user_id = u2.id
+WHERE m.hash_id1 <> m.hash_id2
+GROUP BY h1.hashing_method_id, u1.name = u2.name, CAST(round(m.hamming_distance * 64) AS INT)
+"""
+
+
+def sql_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 + D1: the stored chain, its tables as temp views, and one SQL text over them."""
+    store = run_stored_chain(spark, sf_dir)
+    store.views()
+    return spark.sql(DETECTION_SQL)
