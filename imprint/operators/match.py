@@ -49,6 +49,11 @@ class MatchPlan:
     partitions: int
     id_range: tuple = (0, 0)  # (min id, max id) over all methods
 
+    @property
+    def all64(self) -> bool:
+        """Every method is exactly 64 bits wide (what the pigeonhole bands assume)."""
+        return all(nb == 64 for _, nb in self.counts.values())
+
     @property
     def wide(self) -> bool:
         """Any method wider than 64 bits: hashes travel as word arrays instead of one BIGINT."""
