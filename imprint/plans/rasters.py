@@ -27,6 +27,9 @@ from imprint.sources.images import png_bytes, read_images
 def write_derived_pngs(spark: SparkSession, sf_dir: str) -> str:
     """Write one PNG per tiled image; returns the folder (a fresh one per call)."""
     root = scratch_path(spark, "derived-png")
+    if "://" in root and not root.startswith("file:"):
+        raise ValueError("deriving raster files needs the shared folder as a mounted path (file:), "
+                         f"got {root}")
     local_root = root.replace("file://", "").replace("file:", "")
     emb = A.table(spark, sf_dir, "embeddings")
     labels = emb.where(F.col("vec_id") % 16 == 0).select(
