@@ -98,8 +98,8 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
         return MatchPlan("broadcast", counts, {}, parts, id_range)
     blocks = {}
     for m, (n, _) in counts.items():
-        # (n/B)^2 / 2 pairs per off-diagonal block pair ~ target
-        b = max(1, math.ceil(n / math.sqrt(2.0 * target_pairs_per_task)))
+        # an off-diagonal block pair holds (n/B)^2 pairs, a diagonal one half that: ~ target
+        b = max(1, math.ceil(n / math.sqrt(float(target_pairs_per_task))))
         # enough block pairs to keep every slot busy with dynamic scheduling
         while b * (b + 1) // 2 < slots * 4 and b < max(n, 1):
             b += 1
@@ -133,7 +133,6 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
     """
     plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, **plan_kw)
     rows = prepare(hashes, id_col, method_col, hash_col, carry, wide=plan.wide)
-    spark = hashes.sparkSession
     nbits = _nbits_expr({m: nb for m, (_, nb) in plan.counts.items()})
 
     def side(df, suffix):
@@ -193,9 +192,9 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
     st_b = assert_equal_lengths(b, method_col, hash_col).collect()
     sa = {r[method_col]: int(r["n"]) for r in st_a}
     sb = {r[method_col]: int(r["n"]) for r in st_b}
-    widths = {r[method_col]: int(r["nbits"]) for r in st_a + st_b}
+    widths = {r[method_col]: int(r["nbits"]) for r in st_a}
     for r in st_b:
-        if r[method_col] in sa and widths[r[method_col]] != int(r["nbits"]):
+        if widths.setdefault(r[method_col], int(r["nbits"])) != int(r["nbits"]):
             raise ValueError("Hashes must have the same length")
     wide = any(nb > 64 for nb in widths.values())
     ra, rb = prepare(a, id_col, method_col, hash_col, wide=wide), prepare(b, id_col, method_col, hash_col, wide=wide)
@@ -209,7 +208,7 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
         r = small.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m")
         j = l.join(F.broadcast(r), "m")
     else:
-        side = math.sqrt(2.0 * target_pairs_per_task)
+        side = math.sqrt(float(target_pairs_per_task))
         grid = {m: (max(1, math.ceil(sa[m] / side)), max(1, math.ceil(sb.get(m, 0) / side))) for m in sa}
         ga = F.create_map(*[x for m, (ba, _) in grid.items() for x in (F.lit(m), F.lit(ba))])
         gb = F.create_map(*[x for m, (_, bb) in grid.items() for x in (F.lit(m), F.lit(bb))])

@@ -42,3 +42,10 @@ def test_mixed_lengths_within_a_method_raise(spark):
     h = spark.createDataFrame([(1, "ff" * 8, 1), (2, "ff" * 32, 1)], "id long, hash string, hashing_method_id int")
     with pytest.raises(Exception, match="Hashes must have the same length"):
         M.match_pairs(h).collect()
+
+
+def test_rectangle_rejects_mixed_widths_across_sides(spark):
+    a = spark.createDataFrame([(1, "ff" * 8, 1)], "id long, hash string, hashing_method_id int")
+    b = spark.createDataFrame([(2, "ff" * 32, 1)], "id long, hash string, hashing_method_id int")
+    with pytest.raises(ValueError, match="same length"):
+        M.match_rectangle(a, b)
