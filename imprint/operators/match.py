@@ -48,6 +48,7 @@ class MatchPlan:
     blocks: dict  # method -> B (blocks shape only)
     partitions: int
     id_range: tuple = (0, 0)  # (min id, max id) over all methods
+    max_ids: dict = None  # method -> largest id
 
     @property
     def all64(self) -> bool:
@@ -88,6 +89,7 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
     stats = assert_equal_lengths(hashes, method_col, hash_col, id_col).collect()
     counts = {r[method_col]: (int(r["n"]), int(r["nbits"])) for r in stats}
     id_range = (min((int(r["min_id"]) for r in stats), default=0), max((int(r["max_id"]) for r in stats), default=0))
+    max_ids = {r[method_col]: int(r["max_id"]) for r in stats}
     total = sum(n for n, _ in counts.values())
     slots = max(hashes.sparkSession.sparkContext.defaultParallelism, 1)
     if shape == "auto":
@@ -95,7 +97,7 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
     pairs = sum(n * (n + 1) // 2 for n, _ in counts.values())
     if shape == "broadcast":
         parts = max(slots * 2, min(slots * 64, math.ceil(pairs / target_pairs_per_task)))
-        return MatchPlan("broadcast", counts, {}, parts, id_range)
+        return MatchPlan("broadcast", counts, {}, parts, id_range, max_ids)
     blocks = {}
     for m, (n, _) in counts.items():
         # an off-diagonal block pair holds (n/B)^2 pairs, a diagonal one half that: ~ target
@@ -105,7 +107,7 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
             b += 1
         blocks[m] = b
     parts = max(1, sum(b * (b + 1) // 2 for b in blocks.values()))
-    return MatchPlan("blocks", counts, blocks, parts, id_range)
+    return MatchPlan("blocks", counts, blocks, parts, id_range, max_ids)
 
 
 def _nbits_expr(widths: dict):

@@ -58,8 +58,12 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     modification, digest, method, hash) which are materialised, and every
     later step reads those.
     """
+    from pyspark.sql import Observation
+
     store.init(MODIFICATIONS.names(), HASHING_METHODS.names())
-    rows = materialise(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True), "batch-rows")
+    quarantined = Observation("quarantined")
+    rows = materialise(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True), "batch-rows",
+                       quarantined, F.sum(F.when(~F.col("valid"), 1).otherwise(0)).alias("bad"))
     files = rows.select("path", "user_name").distinct()
 
     # load: users (get-or-create by name), then every file on its path, ids in path order
@@ -96,8 +100,7 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
     if store_rasters:
         write_variant_rasters(store, images, new_images, new_mod, variant_root)
-    bad = rows.where(~F.col("valid")).count()
-    return BatchResult(n_images, n_mod, n_hashes, bad)
+    return BatchResult(n_images, n_mod, n_hashes, int(quarantined.get.get("bad") or 0))
 
 
 def write_variant_rasters(store: Store, images: DataFrame, new_images: DataFrame, new_mod: DataFrame,
@@ -158,11 +161,11 @@ def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     tagged = materialise(tagged.select("id", "hash", "hashing_method_id", "is_new"), "match-input")
     new = tagged.where("is_new").drop("is_new")
     old = tagged.where(~F.col("is_new")).drop("is_new")
-    upto = {r["hashing_method_id"]: int(r["u"]) for r in
-            new.groupBy("hashing_method_id").agg(F.max("id").alias("u")).collect()}
+    plan = M.plan_match(new, **plan_kw)
+    upto = plan.max_ids
     if not upto:
         return 0
-    pairs = M.match_pairs(new, **plan_kw).unionByName(M.match_rectangle(new, old))
+    pairs = M.match_pairs(new, plan=plan).unionByName(M.match_rectangle(new, old))
     upto_col = F.element_at(F.create_map(*[x for m, u in upto.items() for x in (F.lit(m), F.lit(u))]),
                             F.col("hashing_method_id"))
     return store.append("matches", pairs.withColumn("upto", upto_col))

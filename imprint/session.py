@@ -128,12 +128,15 @@ def spread(df, factor: int = 1):
     return df
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, observation=None, *metrics):
     """Write ``df`` as a Parquet table in a fresh folder of the shared root and read it back.
 
     Cuts lineage like ``checkpoint()``, and later reads get column pruning,
-    filter pushdown and real size statistics for join planning.
+    filter pushdown and real size statistics for join planning.  Optional
+    ``metrics`` are collected into ``observation`` by the same write job.
     """
     path = scratch_path(df.sparkSession, name)
+    if observation is not None:
+        df = df.observe(observation, *metrics)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

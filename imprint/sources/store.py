@@ -45,6 +45,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._ready: tuple | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -99,7 +100,13 @@ class Store:
             self.read(name).createOrReplaceTempView(name)
 
     def init(self, modification_names: list[str], method_names: list[str]) -> None:
-        """Create the tables, seed the default user, register dimension names (get-or-create)."""
+        """Create the tables, seed the default user, register dimension names (get-or-create).
+
+        Remembered per Store and registry content, so later batches of a stream skip it.
+        """
+        key = (tuple(modification_names), tuple(method_names))
+        if self._ready == key:
+            return
         for name in SCHEMAS:
             if not self._exists(name):
                 empty = self.spark.createDataFrame([], SCHEMAS[name])
@@ -112,6 +119,7 @@ class Store:
         self.ensure_names("users", [DEFAULT_USER])
         self.ensure_names("modifications", modification_names)
         self.ensure_names("hashing_methods", method_names)
+        self._ready = key
 
     def ensure_names(self, table: str, names: list[str]) -> None:
         """J7a/J7c/J7e on a name dimension; ids follow the given order of first appearance.
