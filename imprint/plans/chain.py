@@ -76,10 +76,15 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     new_images = insert_or_ignore(store.read("images"), with_uid.select("path", "user_id"), ["path"], ["path"])
     n_images = store.append("images", new_images)
 
-    # modify + hash rows of the new, decodable images, with the store's dimension ids
+    # modify + hash every decodable file of the batch, with the store's dimension ids.  Each
+    # stage is insert-or-ignore against its table, so rows already stored are no-ops and a
+    # batch interrupted between stages is completed by the next run (the tables, not the
+    # rows a previous step happened to pass on, decide what is missing).
+    batch_images = store.read("images").join(files.select("path"), "path", "left_semi") \
+        .select(F.col("id").alias("image_id"), "path")
     mods = _registry_map(spark, store, MODIFICATIONS, "modifications", "mod_id")
     meths = _registry_map(spark, store, HASHING_METHODS, "hashing_methods", "method_id")
-    ok = rows.where("valid").join(new_images.select(F.col("id").alias("image_id"), "path"), "path")
+    ok = rows.where("valid").join(batch_images, "path")
     ok = ok.join(mods, ok.modification_id == F.col("reg_id")).drop("reg_id", "modification_id") \
         .withColumnRenamed("mod_id", "modification_id")
     ok = ok.join(meths, ok.hashing_method_id == F.col("reg_id")).drop("reg_id", "hashing_method_id") \
@@ -93,31 +98,38 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     new_mod = insert_or_ignore(store.read("modified_images"), variants, ["path"], ["image_id", "modification_id"])
     n_mod = store.append("modified_images", new_mod)
 
-    # hashes of the variants that were inserted (J7f), serial ids
-    hashes = ok.join(new_mod.select(F.col("id").alias("modified_image_id"), "image_id", "modification_id"),
-                     ["image_id", "modification_id"]).select("hash", "modified_image_id", "hashing_method_id")
+    # hashes of the stored variants this batch's rows produced (J7f), serial ids; a variant
+    # that lost its content path to another image matches no stored row and gets no hash
+    stored = store.read("modified_images").select(
+        F.col("id").alias("modified_image_id"), F.col("path").alias("vpath"), "image_id", "modification_id")
+    hashes = ok.join(stored, ["vpath", "image_id", "modification_id"]) \
+        .select("hash", "modified_image_id", "hashing_method_id")
     keys = ["modified_image_id", "hashing_method_id", "hash"]
     n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
     if store_rasters:
-        write_variant_rasters(store, images, new_images, new_mod, variant_root)
+        write_variant_rasters(store, images, batch_images, stored.join(ok.select("vpath").distinct(), "vpath"))
     return BatchResult(n_images, n_mod, n_hashes, int(quarantined.get.get("bad") or 0))
 
 
-def write_variant_rasters(store: Store, images: DataFrame, new_images: DataFrame, new_mod: DataFrame,
-                          variant_root: str) -> None:
-    """Pixels of newly inserted variants, keyed by their content path, appended as Parquet.
+def write_variant_rasters(store: Store, images: DataFrame, batch_images: DataFrame, stored: DataFrame) -> None:
+    """Pixels of this batch's stored variants not yet in the raster table, keyed by content path.
 
-    Opt-in, because it decodes the batch a second time; only the inserted
-    variants are kept (a semi-join on narrow keys after the raster pass).
+    Opt-in, because it decodes the batch a second time; only narrow keys are
+    joined after the raster pass, and paths already written are skipped.
     """
-    src = images.join(new_images.select(F.col("id").alias("image_id"), "path"), "path")
+    src = images.join(batch_images, "path")
     pix = raster_variants(src)
-    keep = new_mod.select("image_id", "modification_id", "path")
     mods = _registry_map(store.spark, store, MODIFICATIONS, "modifications", "mod_id")
     pix = pix.join(mods, pix.modification_id == F.col("reg_id")).drop("reg_id", "modification_id") \
         .withColumnRenamed("mod_id", "modification_id")
+    keep = stored.select(F.col("vpath").alias("path"), "image_id", "modification_id")
     out = pix.join(keep, ["image_id", "modification_id"]).select("path", "height", "width", "n_channels", "data")
-    out.write.mode("append").parquet(store.path("variant_rasters"))
+    target = store.path("variant_rasters")
+    jvm = store.spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
+    if marker.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        out = out.join(store.spark.read.parquet(target).select("path"), "path", "left_anti")
+    out.write.mode("append").parquet(target)
 
 
 def quarantine(images: DataFrame) -> DataFrame:

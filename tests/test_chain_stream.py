@@ -77,3 +77,31 @@ def test_image_stream_matches_batch_and_replays_safely(spark):
     q2.awaitTermination()
     assert store.read("hashes").count() == 20
     assert C.match_new(spark, store) == 2 * (10 * 11 // 2)
+
+
+def test_chain_completes_an_interrupted_batch(spark):
+    """Images stored, then a crash before variants: the next run must still modify and hash them."""
+    from pyspark.sql import functions as F
+
+    from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
+    from imprint.sources.images import read_images
+
+    src = tempfile.mkdtemp(prefix="imprint-crash-")
+    rng = np.random.default_rng(17)
+    for i in range(4):
+        _png(src, f"c/{i}.png", rng.integers(0, 256, (10, 10), dtype=np.uint8))
+    store = Store(spark, scratch_path(spark, "crash-store"))
+    store.init(MODIFICATIONS.names(), HASHING_METHODS.names())
+    # the load stage ran (users + images) and then the job died
+    store.ensure_names("users", ["c"])
+    paths = read_images(spark, src).select("path").orderBy("path").collect()
+    uid = store.read("users").where("name = 'c'").first()["id"]
+    store.append("images", spark.createDataFrame(
+        [(i + 1, r["path"], uid) for i, r in enumerate(paths)], "id long, path string, user_id long"))
+    r = C.ingest_folder(spark, store, src, "/v", store_rasters=True)
+    assert r.images == 0 and r.modified_images == 8 and r.hashes == 16
+    assert spark.read.parquet(store.path("variant_rasters")).count() == 8
+    again = C.ingest_folder(spark, store, src, "/v", store_rasters=True)
+    assert (again.images, again.modified_images, again.hashes) == (0, 0, 0)
+    assert spark.read.parquet(store.path("variant_rasters")).count() == 8
+    assert store.read("images").agg(F.max("id")).first()[0] == 4
