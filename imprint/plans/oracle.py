@@ -203,13 +203,18 @@ totals AS (
          CAST(sum(CASE WHEN same_image THEN pairs ELSE 0 END) AS BIGINT) AS positives,
          CAST(sum(CASE WHEN NOT same_image THEN pairs ELSE 0 END) AS BIGINT) AS negatives
   FROM hist GROUP BY hashing_method_id),
-grid AS (SELECT t.*, CAST(g.range AS INTEGER) AS threshold_bits FROM totals t, range(65) g)
-SELECT g.hashing_method_id, g.threshold_bits,
-       CAST(coalesce(sum(CASE WHEN h.same_image THEN h.pairs END), 0) AS BIGINT) AS true_accepts,
-       CAST(coalesce(sum(CASE WHEN NOT h.same_image THEN h.pairs END), 0) AS BIGINT) AS false_accepts,
-       g.positives, g.negatives
-FROM grid g LEFT JOIN hist h ON h.hashing_method_id = g.hashing_method_id AND h.distance_bits <= g.threshold_bits
-GROUP BY g.hashing_method_id, g.threshold_bits, g.positives, g.negatives""",
+grid AS (SELECT t.*, CAST(g.range AS INTEGER) AS threshold_bits FROM totals t, range(65) g),
+acc AS (
+  SELECT g.hashing_method_id, g.threshold_bits,
+         CAST(coalesce(sum(CASE WHEN h.same_image THEN h.pairs END), 0) AS BIGINT) AS true_accepts,
+         CAST(coalesce(sum(CASE WHEN NOT h.same_image THEN h.pairs END), 0) AS BIGINT) AS false_accepts,
+         g.positives, g.negatives
+  FROM grid g LEFT JOIN hist h ON h.hashing_method_id = g.hashing_method_id AND h.distance_bits <= g.threshold_bits
+  GROUP BY g.hashing_method_id, g.threshold_bits, g.positives, g.negatives)
+SELECT *, positives - true_accepts AS false_rejects, negatives - false_accepts AS true_rejects,
+       CASE WHEN positives > 0 THEN CAST(true_accepts AS DOUBLE) / positives END AS true_accept_rate,
+       CASE WHEN negatives > 0 THEN CAST(false_accepts AS DOUBLE) / negatives END AS false_accept_rate
+FROM acc""",
         "variant_detection": f"""WITH {FINGERPRINTS}
 SELECT v.hashing_method_id, v.modification_id, count(*) AS images,
        CAST(sum(CASE WHEN {DIST.replace('a.', 'v.').replace('b.', 'b0.')} <= {NEAR_BITS} THEN 1 ELSE 0 END) AS BIGINT) AS detected,
