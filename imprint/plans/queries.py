@@ -80,17 +80,12 @@ def q_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return M.match_pairs(stored_fingerprints(spark, sf))
 
 
-def _pairs_with_images(spark: SparkSession, sf: str) -> DataFrame:
-    fp = stored_fingerprints(spark, sf)
-    return M.match_pairs(fp, carry=("image_id", "modification_id"), with_bits=True)
-
-
 def q_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.distance_histogram(_pairs_with_images(spark, sf))
+    return AN.pair_histogram(stored_fingerprints(spark, sf))
 
 
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return AN.threshold_sweep(AN.distance_histogram(_pairs_with_images(spark, sf)))
+    return AN.threshold_sweep(AN.pair_histogram(stored_fingerprints(spark, sf)))
 
 
 def q_variant_detection(spark: SparkSession, sf: str) -> DataFrame:
