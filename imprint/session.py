@@ -122,10 +122,12 @@ def spread(df, factor: int = 1):
 
     Large inputs already have many partitions and are returned unchanged (no shuffle).
     """
-    slots = max(df.sparkSession.sparkContext.defaultParallelism, 1) * factor
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = max(df.sparkSession.sparkContext.defaultParallelism, 1) * factor
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: keep the input as it is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def materialise(df, name: str, observation=None, *metrics):
