@@ -86,17 +86,20 @@ def assign_ids(df: DataFrame, order: list[str], start: int, id_col: str = "id",
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None,
-                     id_col: str | None = "id") -> DataFrame:
+                     id_col: str | None = "id", base: int | None = None) -> DataFrame:
     """Rows of ``incoming`` not yet in ``existing`` on ``keys``, deduplicated, with fresh ids.
 
     Append the result to the table; re-running with the same input yields no rows.
+    ``existing`` may be only the part of the table that can hold ``incoming``'s
+    keys (e.g. its key buckets); then pass the table's largest id as ``base``.
     """
     order = order or keys
     dedup = first_by_key(incoming, keys, [c for c in order if c not in keys])
     fresh = new_rows(dedup, existing, keys)
     if id_col is None:
         return fresh
-    base = existing.agg(max_id(existing, id_col).alias("m")).first()["m"]
+    if base is None:
+        base = existing.agg(max_id(existing, id_col).alias("m")).first()["m"]
     return assign_ids(fresh, order, int(base), id_col)
 
 

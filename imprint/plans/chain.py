@@ -73,14 +73,15 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     with_uid = lookup_id(files, store.read("users"), "user_name", "name", "id", "user_id", broadcast_dim=False)
     # insert_or_ignore materialises its rows before numbering them, so reading
     # new_images again below is cheap and sees exactly the appended rows
-    new_images = insert_or_ignore(store.read("images"), with_uid.select("path", "user_id"), ["path"], ["path"])
+    new_images = insert_or_ignore(store.read_for("images", files), with_uid.select("path", "user_id"),
+                                  ["path"], ["path"], base=store.max_id("images"))
     n_images = store.append("images", new_images)
 
     # modify + hash every decodable file of the batch, with the store's dimension ids.  Each
     # stage is insert-or-ignore against its table, so rows already stored are no-ops and a
     # batch interrupted between stages is completed by the next run (the tables, not the
     # rows a previous step happened to pass on, decide what is missing).
-    batch_images = store.read("images").join(files.select("path"), "path", "left_semi") \
+    batch_images = store.read_for("images", files).join(files.select("path"), "path", "left_semi") \
         .select(F.col("id").alias("image_id"), "path")
     mods = _registry_map(spark, store, MODIFICATIONS, "modifications", "mod_id")
     meths = _registry_map(spark, store, HASHING_METHODS, "hashing_methods", "method_id")
@@ -95,17 +96,19 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     # first writer per content path (W1), then insert-or-ignore against stored variants (J7d)
     variants = first_by_key(ok.select(F.col("vpath").alias("path"), "image_id", "modification_id").distinct(),
                             ["path"], ["image_id", "modification_id"])
-    new_mod = insert_or_ignore(store.read("modified_images"), variants, ["path"], ["image_id", "modification_id"])
+    new_mod = insert_or_ignore(store.read_for("modified_images", variants), variants, ["path"],
+                               ["image_id", "modification_id"], base=store.max_id("modified_images"))
     n_mod = store.append("modified_images", new_mod)
 
     # hashes of the stored variants this batch's rows produced (J7f), serial ids; a variant
     # that lost its content path to another image matches no stored row and gets no hash
-    stored = store.read("modified_images").select(
+    stored = store.read_for("modified_images", ok, ["vpath"]).select(
         F.col("id").alias("modified_image_id"), F.col("path").alias("vpath"), "image_id", "modification_id")
     hashes = ok.join(stored, ["vpath", "image_id", "modification_id"]) \
         .select("hash", "modified_image_id", "hashing_method_id")
     keys = ["modified_image_id", "hashing_method_id", "hash"]
-    n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
+    n_hashes = store.append("hashes", insert_or_ignore(store.read_for("hashes", hashes), hashes, keys, keys,
+                                                       base=store.max_id("hashes")))
     if store_rasters:
         write_variant_rasters(store, images, batch_images, stored.join(ok.select("vpath").distinct(), "vpath"))
     return BatchResult(n_images, n_mod, n_hashes, int(quarantined.get.get("bad") or 0))

@@ -36,7 +36,15 @@ SCHEMAS = {
 }
 # ``upto`` = the largest hash id a match run covered; the match watermark is read
 # from these partition folders instead of scanning the (largest) matches table.
-PARTITIONS = {"matches": ["hashing_method_id", "upto"]}
+# Keyed tables are partitioned by a 256-way hash bucket of their unique key, so an
+# insert-or-ignore batch reads only the buckets its keys fall into.
+BUCKETS = 256
+BUCKET_KEYS = {
+    "images": ["path"],
+    "modified_images": ["path"],
+    "hashes": ["modified_image_id", "hashing_method_id", "hash"],
+}
+PARTITIONS = {"matches": ["hashing_method_id", "upto"], **{t: ["bucket"] for t in BUCKET_KEYS}}
 # Fixed value: the seeded default user.
 DEFAULT_USER = "undefined"
 
@@ -55,16 +63,52 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def bucket_expr(self, name: str, cols: list[str] | None = None):
+        """Bucket of a row of ``name`` from its key columns (typed as the table stores them)."""
+        types = {f.name: f.dataType for f in SCHEMAS[name].fields}
+        keys = BUCKET_KEYS[name]
+        cols = cols or keys
+        return F.pmod(F.xxhash64(*[F.col(c).cast(types[k]) for c, k in zip(cols, keys)]), F.lit(BUCKETS)).cast("int")
+
+    def _stored_schema(self, name: str) -> T.StructType:
+        """Table schema plus its partition columns (explicit, so empty tables read too)."""
+        st = T.StructType(list(SCHEMAS[name].fields))
+        for c in PARTITIONS.get(name, []):
+            if c not in st.fieldNames():
+                st = st.add(c, T.IntegerType() if c == "bucket" else T.LongType())
+        return st
+
+    def _scan(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._stored_schema(name)).parquet(self.path(name))
+
+    def read_for(self, name: str, keys_df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+        """Rows of ``name`` in the buckets that ``keys_df``'s keys fall into (static partition pruning).
+
+        The bucket list has at most 256 values, so it is a bounded literal filter.
+        """
+        if name not in BUCKET_KEYS or not self._exists(name):
+            return self.read(name)
+        buckets = [r[0] for r in keys_df.select(self.bucket_expr(name, cols).alias("b")).distinct().collect()]
+        df = self._scan(name).where(F.col("bucket").isin(buckets))
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
+
+    def max_id(self, name: str) -> int:
+        """Largest id of a table (one column read), 0 when empty."""
+        row = self.read(name).agg(F.max("id").alias("m")).first()
+        return int(row["m"] or 0)
+
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.parquet(self.path(name))
+        df = self._scan(name)
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
     def append(self, name: str, df: DataFrame) -> int:
         """Append rows (one job, committed atomically); returns how many were written."""
         from pyspark.sql import Observation
 
+        if name in BUCKET_KEYS and "bucket" not in df.columns:
+            df = df.withColumn("bucket", self.bucket_expr(name))
         extra = [c for c in PARTITIONS.get(name, []) if c not in SCHEMAS[name].fieldNames()]
         cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields] + [F.col(c) for c in extra]
         obs = Observation(f"append_{name}")
@@ -114,7 +158,7 @@ class Store:
                     empty = self.spark.createDataFrame([(1, DEFAULT_USER)], SCHEMAS[name])
                 for c in PARTITIONS.get(name, []):
                     if c not in empty.columns:
-                        empty = empty.withColumn(c, F.lit(None).cast("long"))
+                        empty = empty.withColumn(c, F.lit(None).cast("int" if c == "bucket" else "long"))
                 self.append(name, empty)
         self.ensure_names("users", [DEFAULT_USER])
         self.ensure_names("modifications", modification_names)
