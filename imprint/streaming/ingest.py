@@ -25,29 +25,20 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
-SINK_BUCKETS = 256  # the sink is partitioned by pmod(xxhash64(keys), 256)
-
-
-def _bucket(keys: list[str]):
-    return F.pmod(F.xxhash64(*keys), F.lit(SINK_BUCKETS)).cast("int")
-
-
 def upsert_batch(sink: str, keys: list[str], order: list[str]):
-    """foreachBatch body: in-batch first writer, anti-join against the sink, append.
+    """foreachBatch body: in-batch first writer, anti-join against the sink's key columns, append.
 
-    The sink is partitioned by a hash bucket of the key; a batch reads only the
-    buckets its rows fall into (at most 256 literal values, so partition pruning
-    is static), instead of the whole key column of the sink.
+    A batch of document files carries keys from every part of the key space,
+    so partitioning the sink by key would not prune its reads and would only
+    multiply small files; the anti-join reads the key column alone.
     """
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_by_key(batch, keys, order).withColumn("bucket", _bucket(keys))
+        fresh = first_by_key(batch, keys, order)
         if _table_exists(spark, sink):
-            buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]
-            existing = spark.read.parquet(sink).where(F.col("bucket").isin(buckets))
-            fresh = new_rows(fresh, existing, keys + ["bucket"])
-        fresh.write.mode("append").partitionBy("bucket").parquet(sink)
+            fresh = new_rows(fresh, spark.read.parquet(sink), keys)
+        fresh.write.mode("append").parquet(sink)
 
     return run
 
@@ -78,4 +69,4 @@ def ingest_documents(spark: SparkSession, sf_dir: str, sink: str | None = None,
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink).select("doc_id", "digest")
+    return spark.read.parquet(sink)
