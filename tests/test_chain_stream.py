@@ -105,3 +105,19 @@ def test_chain_completes_an_interrupted_batch(spark):
     assert (again.images, again.modified_images, again.hashes) == (0, 0, 0)
     assert spark.read.parquet(store.path("variant_rasters")).count() == 8
     assert store.read("images").agg(F.max("id")).first()[0] == 4
+
+
+def test_non_image_files_are_quarantined(spark):
+    src = tempfile.mkdtemp(prefix="imprint-bad-")
+    rng = np.random.default_rng(2)
+    _png(src, "q/ok.png", rng.integers(0, 256, (9, 9), dtype=np.uint8))
+    with open(os.path.join(src, "q", "notes.txt"), "w") as fh:
+        fh.write("not an image")
+    store = Store(spark, scratch_path(spark, "bad-store"))
+    r = C.ingest_folder(spark, store, src, "/v")
+    # the load stage records every file; only the decodable one gets variants and hashes
+    assert (r.images, r.modified_images, r.hashes, r.quarantined) == (2, 2, 4, 1)
+    from imprint.sources.images import read_images
+
+    bad = C.quarantine(read_images(spark, src)).collect()
+    assert [os.path.basename(b["path"]) for b in bad] == ["notes.txt"]
