@@ -71,3 +71,19 @@ def test_raster_hashes_match_grid_hashes_and_dedup(spark):
                         ["image_id", "modification_id"])
     assert sorted({r["modification_id"] for r in kept.collect()}) == [1]
     assert by[("square", 1, 1)]["hash"] == "ffffffffffffffff"
+
+
+def test_stored_variant_pixels_rehash_to_the_same_fingerprints(spark):
+    root = tempfile.mkdtemp(prefix="imprint-png-")
+    rng = np.random.default_rng(9)
+    _write(root, "u/a.png", rng.integers(0, 256, (21, 17), dtype=np.uint8))
+    _write(root, "u/b.png", rng.integers(0, 256, (14, 30, 3), dtype=np.uint8))
+    imgs = read_images(spark, root).withColumn("image_id", F.regexp_extract("path", r"/(\w+)\.png$", 1))
+    imgs = imgs.withColumn("image_id", F.when(F.col("image_id") == "a", 1).otherwise(2).cast("long"))
+    fused = {(r["image_id"], r["modification_id"], r["hashing_method_id"]): r["hash"]
+             for r in RA.raster_hashes(imgs, keys=("image_id",)).collect()}
+    variants = RA.raster_variants(imgs).withColumn(
+        "modified_image_id", F.col("image_id") * 10 + F.col("modification_id"))
+    again = {(r["modified_image_id"] // 10, r["modified_image_id"] % 10, r["hashing_method_id"]): r["hash"]
+             for r in RA.raster_fingerprints(variants).collect()}
+    assert again == fused and len(fused) == 8
