@@ -8,14 +8,14 @@ Method
   1. One scan: 128 minima per document; their low 4 bits are packed as four
      128-bit planes (8 longs); 32 bands of 4 full minima give bucket keys.
   2. Equal sets collapse to their smallest id, so copies cost one row.
-  3. Candidates are (member, smallest member) of each bucket; the similarity is
-     estimated from the packed planes by bit counts, corrected for chance
-     agreement, and hopeless pairs go; the rest is confirmed on full sets.
+  3. Each member is paired with the smallest id that it shares a bucket with; the
+     similarity is estimated from the packed planes by bit counts, corrected for
+     chance agreement, and hopeless pairs go; the rest is confirmed on full sets.
   4. After components of the confirmed links, buckets that still hold members
-     of different components are compared member by member (in bounded blocks,
-     only pairs across components leave a block), so a link between two members
-     that both differ from the smallest one isn't lost, and a group of near
-     copies never emits its pairs.
+     of different components are compared member by member in bounded blocks:
+     first only the best partner per other component, then, over what is still
+     apart, every likely pair.  Only pairs across components leave a block, so no
+     link between components is lost and near copies never emit all their pairs.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -147,43 +147,49 @@ def confirm(pairs: DataFrame, texts: DataFrame, num: int = 75, den: int = 100) -
 _POP = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
 
 
-def _pairs_of_block(ids, comps, sig, side):
-    """Pairs across components within a block (side all 0) or between its two sides, as index arrays."""
+def _pairs_of_block(ids, comps, sig, side, best_only):
+    """Likely pairs across components within a block (side all 0) or between its two sides."""
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     alone = not len(right)
-    if alone:
-        right = left
     floor = (1 - (KEEP_FROM * (1 - 1 / (1 << LOW_BITS)) + 1 / (1 << LOW_BITS))) * PERMS
     for i in left:
-        j = right[right > i] if alone else right
+        j = left[left > i] if alone else right
         j = j[comps[j] != comps[i]]
         if not len(j):
             continue
         x = (sig[j] ^ sig[i]).reshape(len(j), LOW_BITS, 2)
         x = x[:, 0] | x[:, 1] | x[:, 2] | x[:, 3]
         differ = _POP[np.ascontiguousarray(x).view(np.uint16)].sum(axis=1)
-        for k in j[differ <= floor]:
-            yield max(ids[i], ids[k]), min(ids[i], ids[k])
+        likely = differ <= floor
+        j, differ = j[likely], differ[likely]
+        if best_only and len(j) > 1:
+            j = j[np.argsort(differ, kind="stable")]
+            j = j[np.unique(comps[j], return_index=True)[1]]
+        for k in j:
+            yield int(max(ids[i], ids[k])), int(min(ids[i], ids[k]))
 
 
-def _across(batches):
-    """Rows (key, bi, bj, side, id, comp, sig) sorted by block pair -> pairs across components."""
+def _across(best_only: bool):
+    """Rows (key, bi, bj, side, id, comp, sig) sorted by pair of blocks -> pairs across components."""
     def emit(rows):
-        ids = np.array([r[4] for r in rows])
-        yield from _pairs_of_block(ids, np.array([r[5] for r in rows]), np.array([r[6] for r in rows], np.int64),
-                                   np.array([r[3] for r in rows]))
+        if len(rows) > 1:
+            yield from _pairs_of_block(
+                np.array([r[4] for r in rows]), np.array([r[5] for r in rows]),
+                np.array([r[6] for r in rows], np.int64), np.array([r[3] for r in rows]), best_only)
 
-    held, at = [], None
-    for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != at:
-                out += emit(held) if len(held) > 1 else []
-                held, at = [], row[:3]
-            held.append(row)
-        yield _edges(out)
-    yield _edges(list(emit(held)) if len(held) > 1 else [])
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != at:
+                    out += emit(held)
+                    held, at = [], row[:3]
+                held.append(row)
+            yield _edges(out)
+        yield _edges(list(emit(held)))
+    return run
 
 
 def _edges(pairs):
@@ -191,6 +197,39 @@ def _edges(pairs):
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the confirmed ``links``: components of the graph of labels, which shrinks from call to call."""
+    of_u = labels.select(F.col("id").alias("u"), F.col("comp").alias("cu"))
+    of_v = labels.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
+    graph = links.join(of_u, "u").join(of_v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = components(graph).select(F.col("id").alias("comp"), "component")
+    return save(labels.join(merged, "comp", "left").select(
+        "id", F.coalesce("component", "comp").alias("comp")), "minhash-labels")
+
+
+def _across_components(bucket: DataFrame, labels: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+    """Likely pairs between members of different components that share a bucket.
+
+    Buckets are cut into blocks of about ``BLOCK`` members, and a group of rows
+    is one pair of blocks.  ``best_only`` keeps each member's best partner per
+    other component and pair of blocks; without it every likely pair is returned.
+    """
+    labelled = bucket.select("key", "id", "n").join(labels, "id")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    members = (labelled.join(mixed.select("key"), "key")
+               .withColumn("nb", F.ceil(F.col("n") / float(BLOCK)).cast("int"))
+               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+               .join(reps.select("id", "sig"), "id"))
+    spread = members.select(
+        "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
+            F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"),
+            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p"), "id", "comp", "sig")
+    return (spread.select("key", "p.bi", "p.bj", "p.side", "id", "comp", "sig")
+            .repartition(F.col("key"), F.col("bi"), F.col("bj"))
+            .sortWithinPartitions("key", "bi", "bj", "side", "id")
+            .mapInArrow(_across(best_only), "u long, v long").distinct())
+
+
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -206,42 +245,20 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     bucket = save(rows.join(shared, "key"), "minhash-buckets")
-    left = reps.select(F.col("id").alias("u"), F.col("sig").alias("su"))
-    right = reps.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
-    star = save(bucket.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-                .join(left, "u").join(right, "v").select("u", "v", estimate("su", "sv").alias("est"))
-                .where(F.col("est") >= KEEP_FROM), "minhash-star")
     texts = save(docs.join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
                  .select("doc_id", "text"), "minhash-texts")
-    best = star.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
-    sure = save(confirm(best, texts, num, den), "minhash-links")
-    comp = save(components(sure), "minhash-components")
-    named = comp.withColumnRenamed("component", "c")
-
-    def of(col):
-        return F.coalesce("c", col)
-
-    rest = (star.join(best.withColumn("done", F.lit(True)), ["u", "v"], "left_anti").select("u", "v")
-            .join(named.withColumnRenamed("id", "u"), "u", "left").select("u", "v", of("u").alias("cu"))
-            .join(named.withColumnRenamed("id", "v"), "v", "left").where(F.col("cu") != of("v")).select("u", "v"))
-    labelled = (bucket.where("n > 2").join(named, "id", "left").select("key", "id", "n", of("id").alias("comp")))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / float(BLOCK)).cast("int")
-    members = (labelled.join(mixed.select("key"), "key").withColumn("nb", blocks)
-               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(
-                   reps.select("id", "sig"), "id"))
-    spread = members.select(
-        "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
-            F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"),
-            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p"), "id", "comp", "sig")
-    across = (spread.select("key", "p.bi", "p.bj", "p.side", "id", "comp", "sig")
-              .repartition(F.col("key"), F.col("bi"), F.col("bj"))
-              .sortWithinPartitions("key", "bi", "bj", "side")
-              .mapInArrow(_across, "u long, v long"))
-    more = confirm(rest.unionByName(across).distinct(), texts, num, den)
-    final = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
-    named_docs = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("c"))
+    first = bucket.groupBy("id").agg(F.min("pivot").alias("v")).where("id <> v")
+    star = (first.select(F.col("id").alias("u"), "v")
+            .join(reps.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u")
+            .join(reps.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
+            .where(estimate("su", "sv") >= KEEP_FROM).select("u", "v"))
+    labels = bucket.select("id").distinct().select("id", F.col("id").alias("comp"))
+    labels = _merge(labels, confirm(star, texts, num, den))
+    for best_only in (True, False):
+        found = _across_components(bucket, labels, reps, best_only)
+        labels = _merge(labels, confirm(found, texts, num, den))
+    named_docs = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "doc_id", F.coalesce("comp", "rep").alias("c"))
     out = sigs.select("doc_id", "n_shingles").join(
         named_docs.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"),
