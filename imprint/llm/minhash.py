@@ -5,8 +5,8 @@ with A-Z lower-cased; fewer words give one shingle, no words give an empty set.
 Documents with Jaccard similarity >= 0.75 are linked; components are reported.
 
 Method
-  1. One scan: 128 minima per document; their low 4 bits are packed as four
-     128-bit planes (8 longs); 32 bands of 4 full minima give bucket keys.
+  1. One scan: 256 minima per document; their low 4 bits are packed as four
+     256-bit planes (16 longs); 32 bands of 4 full minima give bucket keys.
   2. Equal sets collapse to their smallest id, so copies cost one row.
   3. Each member is paired with the smallest id that it shares a bucket with; the
      similarity is estimated from the packed planes by bit counts, corrected for
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from imprint.llm.common import HashOf, components, mix64, save, slots
 
 WORDS = 5
-PERMS, BANDS, ROWS, LOW_BITS = 128, 32, 4, 4
-KEEP_FROM = 0.58  # estimated similarity from which a pair is confirmed on full sets (4.4 sigma below 0.75)
+PERMS, BANDS, ROWS, LOW_BITS = 256, 32, 4, 4
+LONGS = PERMS // 64
+KEEP_FROM = 0.63  # estimated similarity from which a pair is confirmed on full sets (4.2 sigma below 0.75)
 ROUNDS = 3  # best-partner rounds before every likely pair across components is confirmed
 BLOCK = 512
 
@@ -77,14 +78,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def planes(mins: np.ndarray) -> np.ndarray:
-    """(n, 128) minima -> (n, 8) longs: bit plane p of the low bits in words 2p and 2p+1."""
+    """(n, PERMS) minima -> longs: bit plane p of the low bits in words p * LONGS up to (p + 1) * LONGS."""
     parts = [np.packbits((mins >> np.uint32(p) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little")
              for p in range(LOW_BITS)]
     return np.concatenate(parts, axis=1).view(np.int64)
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    m = mins.astype(np.uint64).reshape(len(mins), BANDS, ROWS)
+    m = mins[:, : BANDS * ROWS].astype(np.uint64).reshape(len(mins), BANDS, ROWS)
     return mix64((mix64(m + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
@@ -108,14 +109,14 @@ def _signatures(batches):
         off = np.arange(len(texts) + 1, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(off * 2 * LOW_BITS), pa.array(planes(mins).ravel())),
+            pa.ListArray.from_arrays(pa.array(off * LONGS * LOW_BITS), pa.array(planes(mins).ravel())),
             pa.ListArray.from_arrays(pa.array(off * BANDS), pa.array(band_keys(mins).ravel()))], schema=_SIG)
 
 
 def estimate(a: str, b: str):
     """Collision-corrected similarity of two packed signatures, as a Column of bit counts."""
-    differ = sum((F.bit_count(F.expr(" | ".join(f"({a}[{2 * p + w}] ^ {b}[{2 * p + w}])" for p in range(LOW_BITS))))
-                  for w in range(2)), F.lit(0))
+    differ = sum((F.bit_count(F.expr(" | ".join(f"({a}[{LONGS * p + w}] ^ {b}[{LONGS * p + w}])" for p in range(LOW_BITS))))
+                  for w in range(LONGS)), F.lit(0))
     chance = 1.0 / (1 << LOW_BITS)
     return ((1 - differ / float(PERMS)) - chance) / (1 - chance)
 
@@ -160,8 +161,7 @@ def _pairs_of_block(ids, comps, sig, side, best_only):
         j = j[comps[j] != comps[i]]
         if not len(j):
             continue
-        x = (sig[j] ^ sig[i]).reshape(len(j), LOW_BITS, 2)
-        x = x[:, 0] | x[:, 1] | x[:, 2] | x[:, 3]
+        x = np.bitwise_or.reduce((sig[j] ^ sig[i]).reshape(len(j), LOW_BITS, LONGS), axis=1)
         differ = _POP[np.ascontiguousarray(x).view(np.uint16)].sum(axis=1)
         likely = differ <= floor
         j, differ = j[likely], differ[likely]
