@@ -83,3 +83,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     heads = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads)
+
+
+MAP_BITS = 1 << 22
+
+
+def mark(df: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with a boolean ``_marked``: true for every row whose ``keys`` occur in ``marked`` (and for a few more).
+
+    A bitmap of ``MAP_BITS`` bits, at most ``MAP_BITS / 64`` rows of two longs, is broadcast whatever the
+    size of ``marked``.  It has no misses, so what isn't marked needs no join; the caller joins the rest.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+    words = marked.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_set"))
+    return (df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
+            .join(F.broadcast(words), "_word", "left")
+            .withColumn("_marked", F.expr("coalesce(shiftrightunsigned(_set, cast(_bit % 64 as int)) & 1, 0) = 1"))
+            .drop("_bit", "_word", "_set"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.llm.common import mix64, save
+from imprint.llm.common import mark, mix64, save
 
 WINDOW, GRAM, BLOCK = 200, 32, 16
 CHUNK = 1 << 18
@@ -195,19 +195,9 @@ def _cut(batches):
             names=["did", "th", "kept", "n_removed", "n_spans"])
 
 
-MAP_BITS = 1 << 22
-
-
 def only_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (did, th) may be in ``marked``: a bitmap of MAP_BITS bits, at most
-    MAP_BITS / 64 rows, is broadcast.  A filter without misses; the caller joins exactly."""
-    def bit(df):
-        return df.withColumn("_bit", F.pmod(F.xxhash64("did", "th"), F.lit(MAP_BITS)))
-
-    words = bit(marked.select("did", "th")).groupBy(F.expr("_bit div 64").alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_set"))
-    return bit(docs).withColumn("_word", F.expr("_bit div 64")).join(F.broadcast(words), "_word").where(
-        F.expr("(shiftrightunsigned(_set, cast(_bit % 64 as int)) & 1) = 1")).drop("_bit", "_word", "_set")
+    """The rows that may be in ``marked``: a filter without misses; the caller joins exactly."""
+    return mark(docs, marked, ["did", "th"]).where("_marked").drop("_marked")
 
 
 def _key(docs: DataFrame):
