@@ -14,60 +14,59 @@ import re
 
 import numpy as np
 
-_WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İɐ-\U0010ffff]|<\\|")
+from imprint.llm.bpetrie import byte_letters
 
+_ODD = bytes([*range(9), *range(14, 32), *range(127, 161)])
+_WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0250-\U0010ffff]")
+
+
+def whole(text: str) -> bool:
+    """Whether the ids of a text can't be put together from those of its words."""
+    if "<|" in text:
+        return True
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_WHOLE.search(text))
+    return len(raw.translate(None, _ODD)) != len(raw)
+
+
+class WordIds(dict):
+    """Lower-cased word -> its ids as little-endian uint16 bytes; new words are asked from the library."""
 
-class WordIds:
     def __init__(self, path: str, memo: int = 600_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.memo: dict[str, bytes] = {}
         self.limit = memo
-        self.mark = dict(zip(".,", self._ids([".", ","])))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Add the ids of new words: plain letters in one call each thousand words, others one by one."""
-        plain, other, tail = [], [], []
-        for w in words:
-            core = w[:-1] if len(w) > 1 and w[-1] in ".," else w
-            if not core.isalpha():
-                other.append(w)
-                continue
-            if core is not w:
-                tail.append(w)
-                if core in self.memo:
-                    continue
-            plain.append(core)
-        plain = list(dict.fromkeys(plain))
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            e = self.lib.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u2"), np.array(e.word_ids)
-            edge = np.searchsorted(of, np.arange(len(part) + 1))
-            for w, lo, hi in zip(part, edge[:-1].tolist(), edge[1:].tolist()):
-                self.memo[w] = ids[lo:hi].tobytes()
-        for w in tail:
-            self.memo[w] = self.memo[w[:-1]] + self.mark[w[-1]]
-        self.memo.update(zip(other, self._ids(other)))
+        letter = {b: c for c, b in byte_letters().items()}
+        self.letters = [letter[b] for b in range(256)]
+        self.mark = {m: self._ids(m) for m in ".,"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one piece: straight to the model, in its byte letters
+            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
+            ids = np.array([t.id for t in self.lib.model.tokenize(letters)], "<u2").tobytes()
+        elif word[-1] in ".," and word[:-1].isalpha():
+            ids = self[word[:-1]] + self.mark[word[-1]]
+        else:
+            ids = self._ids(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint16) of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        words = [None if _WHOLE.search(t) else t.lower().split() for t in texts]
-        new: set[str] = set()
-        new.update(*(w for w in words if w))
-        new.difference_update(self.memo)
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        raw = [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+        if len(self) > self.limit:
+            self.clear()
+        get = self.__getitem__
+        raw = [self._ids(t) if whole(t) else b"".join(map(get, t.lower().split())) for t in texts]
         return [np.frombuffer(r, "<u2") for r in raw]
 
 
