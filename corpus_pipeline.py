@@ -1,6 +1,9 @@
 """A corpus-cleaning pipeline over ``documents``: quality rules, near-duplicates, repeated passages, packing.
 
-Every stage reads what its predecessor wrote as Parquet in the shared folder.
+Every stage reads what its predecessor wrote as Parquet in the shared folder.  Null or empty
+texts fail the quality rules; rows without an id pass the near-duplicate stage; a document of
+which nothing is left after the passage stage goes.  Extra columns of ``documents`` are kept up
+to the last stage.
 """
 
 from __future__ import annotations
@@ -8,18 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.llm import minhash
-from imprint.llm.common import save, table
+from imprint.llm import minhash, packing, quality, spans
+from imprint.llm.common import mark, save, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = save(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(),
+                "near-copies")
+    rows = mark(docs.withColumn("_gone", F.col("doc_id").cast("long")), gone, ["_gone"])
+    maybe = rows.where("_marked").join(gone, "_gone", "left_anti")
+    return rows.where("not _marked").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of later copies of a passage go, and documents made of nothing else."""
+    cut = spans.remove_passages(docs).where("n_removed = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
+            F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept texts as packed token sequences."""
+    return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup),
+          ("pack_sequences", pack_sequences)]
+ORACLE_SQL = None  # suffix arrays, tokenizers and packing are beyond SQL; tested against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

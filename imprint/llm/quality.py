@@ -113,48 +113,67 @@ _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 def _rules(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        words = [r.split() for r in raw]
-        n = np.array([len(w) for w in words], np.int64)
-        chars = np.array([len(t or "") for t in texts], np.int64) - np.array(
-            [len(r) - len(r.translate(None, b" \t\n\v\f\r")) for r in raw], np.int64)
-        symbols = np.array([len(r) - len(r.translate(None, _SYMBOLS)) for r in raw], np.int64)
-        dup = np.zeros(len(raw), np.int64)
-        for k, r in enumerate(raw):
-            lines = r.split(b"\n")
-            if len(lines) > 1:
-                seen: set[bytes] = set()
-                for line in lines:
-                    if line in seen:
-                        dup[k] += bool(line.strip(b" \t\n\v\f\r"))
-                    else:
-                        seen.add(line)
-        three, cover, longest = (np.zeros(len(raw), np.int64) for _ in range(3))
-        part = np.cumsum(n) // BATCH_WORDS
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            number: dict = defaultdict(itertools.count().__next__)
-            total = int(n[lo:hi].sum())
-            w = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(words[lo:hi])), np.int64, total)
-            end = np.cumsum(n[lo:hi])
-            start = end - n[lo:hi]
-            rep = suffix_repeats(w, start, end)
-            three[lo:hi] = covered(rep, start, end, 3, 3)
-            cover[lo:hi] = covered(rep, start, end, MIN_REPEAT)
-            if total:
-                some = np.flatnonzero(n[lo:hi])
-                longest[lo + some] = np.maximum.reduceat(rep, start[some])
         yield pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(x) for x in (n, chars, symbols, dup, three, cover, longest))],
+            [batch.column(0), *(pa.array(x) for x in facts(batch.column(1).to_pylist()))],
             names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words",
                    "longest_repeat"])
 
 
+def facts(texts: list[str | None]) -> list[np.ndarray]:
+    """The counts of each text, in the order of the columns of ``quality``."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words = [r.split() for r in raw]
+    n = np.array([len(w) for w in words], np.int64)
+    chars = np.array([len(t or "") for t in texts], np.int64) - np.array(
+        [len(r) - len(r.translate(None, b" \t\n\v\f\r")) for r in raw], np.int64)
+    symbols = np.array([len(r) - len(r.translate(None, _SYMBOLS)) for r in raw], np.int64)
+    dup = np.zeros(len(raw), np.int64)
+    for k, r in enumerate(raw):
+        lines = r.split(b"\n")
+        if len(lines) > 1:
+            seen: set[bytes] = set()
+            for line in lines:
+                if line in seen:
+                    dup[k] += bool(line.strip(b" \t\n\v\f\r"))
+                else:
+                    seen.add(line)
+    three, cover, longest = (np.zeros(len(raw), np.int64) for _ in range(3))
+    part = np.cumsum(n) // BATCH_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        number: dict = defaultdict(itertools.count().__next__)
+        total = int(n[lo:hi].sum())
+        w = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(words[lo:hi])), np.int64, total)
+        end = np.cumsum(n[lo:hi])
+        start = end - n[lo:hi]
+        rep = suffix_repeats(w, start, end)
+        three[lo:hi] = covered(rep, start, end, 3, 3)
+        cover[lo:hi] = covered(rep, start, end, MIN_REPEAT)
+        if total:
+            some = np.flatnonzero(n[lo:hi])
+            longest[lo + some] = np.maximum.reduceat(rep, start[some])
+    return [n, chars, symbols, dup, three, cover, longest]
+
+
+def _keep(at: int, max_covered: float, max_longest: int):
+    def run(batches):
+        for batch in batches:
+            n, _, _, _, three, cover, longest = facts(batch.column(at).to_pylist())
+            good = (n >= 50) & (100 * three <= 50 * n) & (cover <= max_covered * n) & (longest <= max_longest)
+            yield batch.filter(pa.array(good))
+    return run
+
+
+def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs(text, ...)`` that the rules keep, with all their columns; no shuffle."""
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(
+        _keep(docs.columns.index("text"), max_covered, max_longest), docs.schema)
+
+
 def quality(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """``docs(doc_id, text)`` -> the counts of each document, ``base_failed`` and ``kept``; no shuffle."""
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                         ).mapInArrow(_rules, _SCHEMA)
-    return facts.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn(
+    return counts.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("covered_words") <= max_covered * F.col("n_words"))
         & (F.col("longest_repeat") <= max_longest))

@@ -3,17 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from imprint.llm import (bpetrie, domcrf, licenses, minhash, packing, quality, rabitq, radixdup, spans, wavelet)
 from imprint.llm.common import table
-from imprint.llm import minhash
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree ``/source/lang/id div 1000/id.txt``."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
+                       F.expr("cast(doc_id div 1000 as string)"), F.expr("concat(doc_id, '.txt')"))
+    return licenses.scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed(
+        "id", "doc_id")
+
+
+def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpetrie.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
+def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radixdup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domcrf.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op10_minhash": op10_minhash,
-}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_rabitq, op3_bpe_trie, op4_quality, op5_sentence_spans,
+                                   op6_radix_dedup, op7_html, op8_wavelet, op9_packing, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {}
