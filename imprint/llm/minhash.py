@@ -216,8 +216,9 @@ def _across_components(bucket: DataFrame, labels: DataFrame, reps: DataFrame, be
     another component per pair of blocks; without it every likely pair is returned.
     """
     labelled = bucket.select("key", "id", "n").join(labels, "id")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    members = (labelled.join(mixed.select("key"), "key")
+    mixed = save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+                 .select("key"), "minhash-mixed")
+    members = (labelled.join(mixed, "key")
                .withColumn("nb", F.ceil(F.col("n") / float(BLOCK)).cast("int"))
                .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
                .join(reps.select("id", "sig"), "id"))
@@ -238,13 +239,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
                                              "sig array<long>, bands array<long>"), "minhash-sigs")
     key = ["set_hi", "set_lo"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # written first, here and below: a join with a bare exchange on both sides lets Spark split a hot key
+    classes = save(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "minhash-classes")
     member = save(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "minhash-members").distinct()
     reps = save(full.select("doc_id", "sig", "bands").join(
         member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("id"), "sig", "bands"), "minhash-reps")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = save(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+                  "minhash-shared")
     bucket = save(rows.join(shared, "key"), "minhash-buckets")
     texts = save(docs.join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
                  .select("doc_id", "text"), "minhash-texts")

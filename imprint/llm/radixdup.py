@@ -210,7 +210,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _pass(pieces: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """One digit: the single pieces that are repeated in full, and one piece of each class of a split group."""
-    often = pieces.groupBy("g").agg(F.sum("w").alias("c")).where("c > 1").select("g")
+    # written first: a join with a bare exchange on both sides lets Spark split a hot group
+    often = save(pieces.groupBy("g").agg(F.sum("w").alias("c")).where("c > 1").select("g"), f"{name}-often")
     some = save(pieces.join(often, "g"), f"{name}-shared")
     classes = some.groupBy("g", "s").agg(F.sum("w").alias("w"), F.min(F.struct("did", "th", "first", "n", "o")).alias("at"))
     whole = some.where("w = 1").join(classes.where("w > 1").select("g", "s"), ["g", "s"]).select(

@@ -155,7 +155,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
     spans = save(docs.select(did.alias("did"), "text").mapInArrow(_spans, "h long, did long, own boolean"), "spans")
-    first = spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("h", "a")
+    # written first: a join with a bare exchange on both sides lets Spark split a hot run
+    first = save(spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b")
+                 .select("h", "a"), "spans-first")
     later = spans.select("h", "did").join(first, "h").where("did > a").select("did", "h")
     lists = save(later.unionByName(spans.where("own").select("did", F.lit(None).cast("long").alias("h")))
                  .groupBy("did").agg(F.collect_set("h").alias("_later")).withColumnRenamed("did", "_did"), "spans-later")
