@@ -15,7 +15,9 @@ Method
      of different components are compared member by member in bounded blocks:
      first only each member's best partner (three rounds over a quarter of the
      bands each, which joins most of a group), then, over what is still apart,
-     every likely pair.  Only pairs across components leave a block, so no
+     every likely pair, unless the shingles that no other such member holds rule
+     it out: two sets of sizes a and b that share at most m with all others have
+     a similarity of at most m / (a + b - m).  Only pairs across components leave a block, so no
      link between components is lost and near copies never emit all their pairs.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from imprint.llm.common import HashOf, components, mix64, save, slots
 
 WORDS = 5
+NUM, DEN = 75, 100  # linked from this similarity on
 PERMS, BANDS, ROWS, LOW_BITS = 256, 32, 4, 4
 LONGS = PERMS // 64
 KEEP_FROM = 0.63  # estimated similarity from which a pair is confirmed on full sets (4.2 sigma below 0.75)
@@ -139,45 +142,60 @@ def _confirm(threshold_num: int, threshold_den: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets reach num/den; ``texts`` is ``(doc_id, text)``."""
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose full sets reach the threshold; ``texts`` is ``(doc_id, text)``."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
     full = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
-    return full.mapInArrow(_confirm(num, den), "u long, v long")
+    return full.mapInArrow(_confirm(NUM, DEN), "u long, v long")
 
 
 _POP = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
 
 
-def _pairs_of_block(ids, comps, sig, side, best_only):
-    """Likely pairs across components within a block (side all 0) or between its two sides."""
+def _pairs_of_block(ids, comps, sig, side, size, common, mode):
+    """Likely pairs across components within a block (side all 0) or between its two sides.
+
+    ``best``: each member's best partner; ``ids``: each member that has one, paired with itself;
+    ``all``: every pair that may still reach the threshold given how many shingles its members share
+    with any other likely member.
+    """
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     alone = not len(right)
     floor = (1 - (KEEP_FROM * (1 - 1 / (1 << LOW_BITS)) + 1 / (1 << LOW_BITS))) * PERMS
+    named = np.zeros(len(ids), bool)
     for i in left:
         j = left[left > i] if alone else right
         j = j[comps[j] != comps[i]]
+        if mode == "all":
+            most = np.minimum(common[j], common[i])
+            j = j[DEN * most >= NUM * (size[j] + size[i] - most)]
         if not len(j):
             continue
         x = np.bitwise_or.reduce((sig[j] ^ sig[i]).reshape(len(j), LOW_BITS, LONGS), axis=1)
         differ = _POP[np.ascontiguousarray(x).view(np.uint16)].sum(axis=1)
         likely = differ <= floor
         j, differ = j[likely], differ[likely]
-        if best_only and len(j) > 1:
+        if mode == "ids":
+            named[j] = True
+            named[i] |= len(j) > 0
+            continue
+        if mode == "best" and len(j) > 1:
             j = j[[int(np.argmin(differ))]]
         for k in j:
             yield int(max(ids[i], ids[k])), int(min(ids[i], ids[k]))
+    for k in np.flatnonzero(named):
+        yield int(ids[k]), int(ids[k])
 
 
-def _across(best_only: bool):
-    """Rows (key, bi, bj, side, id, comp, sig) sorted by pair of blocks -> pairs across components."""
+def _across(mode: str):
+    """Rows (key, bi, bj, side, id, comp, sig, size, common) sorted by pair of blocks -> pairs across components."""
     def emit(rows):
         if len(rows) > 1:
-            yield from _pairs_of_block(
-                np.array([r[4] for r in rows]), np.array([r[5] for r in rows]),
-                np.array([r[6] for r in rows], np.int64), np.array([r[3] for r in rows]), best_only)
+            _, _, _, side, ids, comps, sig, size, common = zip(*rows)
+            yield from _pairs_of_block(np.array(ids), np.array(comps), np.array(sig, np.int64), np.array(side),
+                                       np.array(size), np.array(common), mode)
 
     def run(batches):
         held, at = [], None
@@ -208,31 +226,49 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         "id", F.coalesce("component", "comp").alias("comp")), "minhash-labels")
 
 
-def _across_components(bucket: DataFrame, labels: DataFrame, reps: DataFrame, best_only: bool = False) -> DataFrame:
+def _across_components(bucket: DataFrame, labels: DataFrame, reps: DataFrame, mode: str) -> DataFrame:
     """Likely pairs between members of different components that share a bucket.
 
     Buckets are cut into blocks of about ``BLOCK`` members, and a group of rows
-    is one pair of blocks.  ``best_only`` keeps each member's best partner of
-    another component per pair of blocks; without it every likely pair is returned.
+    is one pair of blocks.  ``reps`` is ``(id, sig, size, common)``; members
+    that it doesn't hold are left out.
     """
     labelled = bucket.select("key", "id", "n").join(labels, "id")
+    # written first: a join with a bare exchange on both sides lets Spark split a hot bucket
     mixed = save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
                  .select("key"), "minhash-mixed")
     members = (labelled.join(mixed, "key")
                .withColumn("nb", F.ceil(F.col("n") / float(BLOCK)).cast("int"))
                .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-               .join(reps.select("id", "sig"), "id"))
+               .join(reps.select("id", "sig", "size", "common"), "id"))
     spread = members.select(
         "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
             F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"),
-            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p"), "id", "comp", "sig")
-    return (spread.select("key", "p.bi", "p.bj", "p.side", "id", "comp", "sig")
+            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p"), "id", "comp", "sig", "size", "common")
+    return (spread.select("key", "p.bi", "p.bj", "p.side", "id", "comp", "sig", "size", "common")
             .repartition(F.col("key"), F.col("bi"), F.col("bj"))
             .sortWithinPartitions("key", "bi", "bj", "side", "id")
-            .mapInArrow(_across(best_only), "u long, v long").distinct())
+            .mapInArrow(_across(mode), "u long, v long").distinct())
+
+
+def _shingles(batches):
+    for batch in batches:
+        for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = shingle_set(text).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), did, np.int64)), pa.array(s)], names=["id", "s"])
+
+
+def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, size, common)``: a document's shingles, and those that another document of ``ids`` holds too."""
+    some = texts.join(ids.select(F.col("u").alias("doc_id")).distinct(), "doc_id")
+    rows = save(some.select("doc_id", "text").mapInArrow(_shingles, "id long, s long"), "minhash-shingles")
+    alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy(
+        "id").agg(F.count(F.lit(1)).alias("alone"))
+    size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
-def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = save(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hi long, set_lo long, "
@@ -257,11 +293,14 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
             .join(reps.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
             .where(estimate("su", "sv") >= KEEP_FROM).select("u", "v"))
     labels = bucket.select("id").distinct().select("id", F.col("id").alias("comp"))
-    labels = _merge(labels, confirm(star, texts, num, den))
+    labels = _merge(labels, confirm(star, texts))
+    bare = reps.withColumn("size", F.lit(0).cast("long")).withColumn("common", F.lit(0).cast("long"))
     for r in range(ROUNDS):
-        found = _across_components(bucket.where(F.col("band") % 4 == r), labels, reps, best_only=True)
-        labels = _merge(labels, confirm(found, texts, num, den))
-    labels = _merge(labels, confirm(_across_components(bucket, labels, reps), texts, num, den))
+        found = _across_components(bucket.where(F.col("band") % 4 == r), labels, bare, "best")
+        labels = _merge(labels, confirm(found, texts))
+    # what is still apart: every likely pair, less those whose own shingles rule them out
+    facts = save(_shared_shingles(_across_components(bucket, labels, bare, "ids"), texts), "minhash-facts")
+    labels = _merge(labels, confirm(_across_components(bucket, labels, reps.join(facts, "id"), "all"), texts))
     named_docs = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("comp", "rep").alias("c"))
     out = sigs.select("doc_id", "n_shingles").join(
