@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.llm import minhash, packing, quality, spans
-from imprint.llm.common import mark, save, table
+from imprint.llm.common import fresh, mark, save, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,19 +22,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    gone = save(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(),
+    key, flag = fresh("_gone", docs), fresh("_marked", docs)
+    gone = save(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key)).distinct(),
                 "near-copies")
-    rows = mark(docs.withColumn("_gone", F.col("doc_id").cast("long")), gone, ["_gone"])
-    maybe = rows.where("_marked").join(gone, "_gone", "left_anti")
-    return rows.where("not _marked").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    rows = mark(docs.withColumn(key, F.col("doc_id").cast("long")), gone, [key], flag)
+    maybe = rows.where(F.col(flag)).join(gone, key, "left_anti")
+    return rows.where(~F.col(flag)).select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of later copies of a passage go, and documents made of nothing else."""
-    cut = spans.remove_passages(docs).where("n_removed = 0 or text <> ''")
+    cut = spans.remove_passages(docs)
+    removed = F.col(cut.columns[-1])
+    cut = cut.where((removed == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
-            F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 

@@ -26,8 +26,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
-def slots(df: DataFrame) -> int:
-    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``frames`` has it (whatever the case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class HashOf(dict):
@@ -88,16 +92,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 MAP_BITS = 1 << 22
 
 
-def mark(df: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with a boolean ``_marked``: true for every row whose ``keys`` occur in ``marked`` (and for a few more).
+def mark(df: DataFrame, marked: DataFrame, keys: list[str], flag: str = "_marked") -> DataFrame:
+    """``df`` with a boolean ``flag``: true for every row whose ``keys`` occur in ``marked`` (and for a few more).
 
     A bitmap of ``MAP_BITS`` bits, at most ``MAP_BITS / 64`` rows of two longs, is broadcast whatever the
     size of ``marked``.  It has no misses, so what isn't marked needs no join; the caller joins the rest.
     """
-    bit = F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
-    words = marked.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_set"))
-    return (df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
-            .join(F.broadcast(words), "_word", "left")
-            .withColumn("_marked", F.expr("coalesce(shiftrightunsigned(_set, cast(_bit % 64 as int)) & 1, 0) = 1"))
-            .drop("_bit", "_word", "_set"))
+    bit, word, bits = (fresh(c, df) for c in ("_bit", "_word", "_bits"))
+    at = F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+    words = marked.select(at.alias(bit)).groupBy(F.expr(f"{bit} div 64").alias(word)).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({bit} % 64 as int))")).alias(bits))
+    return (df.withColumn(bit, at).withColumn(word, F.expr(f"{bit} div 64"))
+            .join(F.broadcast(words), word, "left")
+            .withColumn(flag, F.expr(f"coalesce(shiftrightunsigned({bits}, cast({bit} % 64 as int)) & 1, 0) = 1"))
+            .drop(bit, word, bits))

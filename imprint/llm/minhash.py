@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.llm.common import HashOf, components, mix64, save, slots
+from imprint.llm.common import HashOf, components, mix64, save
 
 WORDS = 5
 NUM, DEN = 75, 100  # linked from this similarity on

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from imprint.llm.common import HashOf, mark, mix64, save
+from imprint.llm.common import HashOf, fresh, mark, mix64, save
 
 SENTENCES, WORDS, LONG = 3, 12, 20
 _M = np.uint64(0x9E3779B97F4A7C13)
@@ -135,7 +135,7 @@ def drop_copies(text: str, later: set[int]) -> tuple[str, int, int]:
     return kept.decode("utf-8", "surrogatepass").strip(), len(starts), int(cut.sum())
 
 
-def _drop(at: int):
+def _drop(at: int, names: list[str]):
     """Replaces the text in column ``at``; the last column, the list of later copies, becomes the counts."""
     def run(batches):
         for batch in batches:
@@ -145,27 +145,29 @@ def _drop(at: int):
             columns[at] = pa.array([x[0] for x in done], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())],
-                names=[*batch.schema.names[:-1], "n_sentences", "n_removed"])
+                names=names)
     return run
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs(doc_id, text, ...)`` with ``text`` cut, and what was done:
-    ``n_sentences`` (null where no sentence can be a copy) and ``n_removed``."""
+    """All rows and columns of ``docs(doc_id, text, ...)`` with ``text`` cut, and two last columns that tell
+    what was done: ``n_sentences`` (null where no sentence can be a copy) and ``n_removed``; their names get
+    underscores added if ``docs`` has such columns already."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
-    spans = save(docs.select(did.alias("did"), "text").mapInArrow(_spans, "h long, did long, own boolean"), "spans")
+    did, later_, flag, n_all, n_gone = (fresh(c, docs) for c in ("_did", "_later", "_marked", "n_sentences", "n_removed"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
+    spans = save(docs.select(key.alias("did"), "text").mapInArrow(_spans, "h long, did long, own boolean"), "spans")
     # written first: a join with a bare exchange on both sides lets Spark split a hot run
     first = save(spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b")
                  .select("h", "a"), "spans-first")
     later = spans.select("h", "did").join(first, "h").where("did > a").select("did", "h")
     lists = save(later.unionByName(spans.where("own").select("did", F.lit(None).cast("long").alias("h")))
-                 .groupBy("did").agg(F.collect_set("h").alias("_later")).withColumnRenamed("did", "_did"), "spans-later")
-    rows = mark(docs.withColumn("_did", did), lists, ["_did"])
-    same = rows.where("not _marked").select(*docs.columns, F.lit(None).cast("long").alias("n_sentences"),
-                                            F.lit(0).cast("long").alias("n_removed"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()),
-                           T.StructField("n_removed", T.LongType())])
-    cut = rows.where("_marked").join(lists, "_did", "left").select(*docs.columns, "_later").mapInArrow(
-        _drop(docs.columns.index("text")), schema)
+                 .groupBy("did").agg(F.collect_set("h").alias("later")), "spans-later")
+    lists = lists.select(F.col("did").alias(did), F.col("later").alias(later_))
+    rows = mark(docs.withColumn(did, key), lists, [did], flag)
+    same = rows.where(~F.col(flag)).select(*docs.columns, F.lit(None).cast("long").alias(n_all),
+                                           F.lit(0).cast("long").alias(n_gone))
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_all, T.LongType()), T.StructField(n_gone, T.LongType())])
+    cut = rows.where(F.col(flag)).join(lists, did, "left").select(*docs.columns, later_).mapInArrow(
+        _drop(docs.columns.index("text"), schema.names), schema)
     return same.unionByName(cut)
