@@ -74,7 +74,7 @@ def hex_to_words(hash_col) -> Column:
         F.raise_error(F.concat(F.lit("invalid hex hash: "), F.coalesce(h, F.lit("NULL")))))
     return let(checked, lambda x: F.transform(
         F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 16).cast("int")),
-        lambda k: F.conv(F.substring(x, 1, 1 << 20).substr(k * 16 + 1, F.lit(16)), 16, -10).cast("bigint")))
+        lambda k: F.conv(F.substr(x, k * 16 + 1, F.lit(16)), 16, -10).cast("bigint")))
 
 
 def words_bit_count(w1, w2) -> Column:

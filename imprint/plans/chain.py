@@ -126,9 +126,10 @@ def write_variant_rasters(store: Store, images: DataFrame, batch_images: DataFra
     out = pix.join(keep, ["image_id", "modification_id"]).select("path", "height", "width", "n_channels", "data")
     target = store.path("variant_rasters")
     jvm = store.spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
-    if marker.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        out = out.join(store.spark.read.parquet(target).select("path"), "path", "left_anti")
+    folder = jvm.org.apache.hadoop.fs.Path(target)
+    if folder.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        stored_paths = store.spark.read.schema(out.schema).parquet(target).select("path")
+        out = out.join(stored_paths, "path", "left_anti")
     out.write.mode("append").parquet(target)
 
 

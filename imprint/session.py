@@ -40,7 +40,7 @@ def build_session(cpus: int | str = "*", app: str = "imprint", extra: dict | Non
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -53,7 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="imprint-code-"), "imprint.zip")
@@ -64,7 +64,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def _is_local(spark: SparkSession) -> bool:
@@ -78,20 +78,20 @@ def shared_root(spark: SparkSession) -> str:
     the master is local do we set a fresh temp folder (tests, bench).
     """
     sc = spark.sparkContext
-    root = _LOCAL_ROOTS.get(id(sc)) or _conf(spark)
+    root = _LOCAL_ROOTS.get(sc.applicationId) or _conf(spark)
     if not root:
         if not _is_local(spark):
             raise RuntimeError(
                 f"{_CKPT_KEY} is not set; point it at a folder all executors share"
             )
         root = tempfile.mkdtemp(prefix="imprint-ckpt-")
-        _LOCAL_ROOTS[id(sc)] = root
+        _LOCAL_ROOTS[sc.applicationId] = root
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
-_LOCAL_ROOTS: dict[int, str] = {}
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def _conf(spark: SparkSession):
@@ -125,7 +125,7 @@ def spread(df, factor: int = 1):
     try:
         slots = max(df.sparkSession.sparkContext.defaultParallelism, 1) * factor
         parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: keep the input as it is
+    except (AttributeError, NotImplementedError):  # sessions without RDD access: keep the input as it is
         return df
     return df.repartition(slots) if parts < slots else df
 

@@ -33,7 +33,7 @@ def relative_path(path, root: str) -> Column:
     r = root.replace("file://", "").replace("file:", "").rstrip("/") + "/"
     while "//" in r:
         r = r.replace("//", "/")
-    return F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(
+    return F.when(p.startswith(r), F.substr(p, F.lit(len(r) + 1))).otherwise(
         F.raise_error(F.concat(F.lit("path outside the input root: "), p)))
 
 

@@ -52,13 +52,13 @@ class Store:
 
     def _exists(self, name: str) -> bool:
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
+        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.parquet(self.path(name))
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
     def append(self, name: str, df: DataFrame) -> int:

@@ -22,7 +22,7 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    return fs.exists(jpath)
 
 
 def upsert_batch(sink: str, keys: list[str], order: list[str]):
@@ -37,7 +37,7 @@ def upsert_batch(sink: str, keys: list[str], order: list[str]):
         spark = batch.sparkSession
         fresh = first_by_key(batch, keys, order)
         if _table_exists(spark, sink):
-            fresh = new_rows(fresh, spark.read.parquet(sink), keys)
+            fresh = new_rows(fresh, spark.read.schema(batch.schema).parquet(sink), keys)
         fresh.write.mode("append").parquet(sink)
 
     return run

@@ -49,3 +49,44 @@ def test_rectangle_rejects_mixed_widths_across_sides(spark):
     b = spark.createDataFrame([(2, "ff" * 32, 1)], "id long, hash string, hashing_method_id int")
     with pytest.raises(ValueError, match="same length"):
         M.match_rectangle(a, b)
+
+
+@pytest.mark.parametrize("nbits", [64, 128, 144, 256])
+def test_nearest_hash_of_any_width_brute_force(spark, nbits):
+    from imprint.operators.analytics import nearest_hash
+
+    rnd = random.Random(nbits)
+    rows = [(i, format(rnd.getrandbits(nbits), f"0{nbits // 4}x"), 1) for i in range(20)]
+    rows += [(50, "0" * (nbits // 4), 2), (51, "f" * (nbits // 4), 2)]
+    got = {r.hash_id: (r.nearest_id, r.distance_bits) for r in nearest_hash(
+        spark.createDataFrame(rows, "id long, hash string, hashing_method_id int")).collect()}
+    for i, h, m in rows:
+        best = min((bin(int(h, 16) ^ int(o, 16)).count("1"), j) for j, o, n in rows if j != i and n == m)
+        assert got[i] == best[::-1]
+
+
+def test_threshold_sweep_reaches_the_method_width(spark):
+    from imprint.operators.analytics import threshold_sweep
+
+    hist = spark.createDataFrame([(1, True, 100, 3), (1, False, 180, 7), (2, False, 5, 1)],
+                                 "hashing_method_id int, same_image boolean, distance_bits int, pairs long")
+    sweep = threshold_sweep(hist)
+    assert dict(sweep.groupBy("hashing_method_id").agg(F.max("threshold_bits")).collect()) == {1: 180, 2: 64}
+
+
+def test_store_reads_before_any_match_and_without_markers(spark, tmp_path):
+    import os
+
+    from imprint.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.init(["base"], ["averagehash"])
+    store.views()
+    assert spark.sql("SELECT * FROM matches").count() == 0
+    for base, _, files in os.walk(store.root):
+        for f in files:
+            if "_SUCCESS" in f:
+                os.remove(os.path.join(base, f))
+    again = Store(spark, store.root)
+    again.init(["base"], ["averagehash"])
+    assert again.read("users").count() == 1 and again.read("modifications").count() == 1
