@@ -12,13 +12,15 @@ Method
      similarity is estimated from the packed planes by bit counts, corrected for
      chance agreement, and hopeless pairs go; the rest is confirmed on full sets.
   4. After components of the confirmed links, buckets that still hold members
-     of different components are compared member by member in bounded blocks:
-     first only each member's best partner (three rounds over a quarter of the
-     bands each, which joins most of a group), then, over what is still apart,
-     every likely pair, unless the shingles that no other such member holds rule
-     it out: two sets of sizes a and b that share at most m with all others have
-     a similarity of at most m / (a + b - m).  Only pairs across components leave a block, so no
-     link between components is lost and near copies never emit all their pairs.
+     of different components are compared in bounded blocks.  First, in rounds
+     over a quarter of the bands each, a block of n members gives at most n - 1
+     pairs: the forest of its components that follows the highest estimates
+     (blocks are drawn anew per band, so rounds join them).  Then, over what is
+     still apart, every likely pair, in the first band that it shares, unless the
+     shingles that no other such member holds rule it out: two sets of sizes a
+     and b that share at most m with all others have a similarity of at most
+     m / (a + b - m).  Only pairs across components leave a block, so no link
+     between components is lost and near copies never emit all their pairs.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -42,8 +44,8 @@ NUM, DEN = 75, 100  # linked from this similarity on
 PERMS, BANDS, ROWS, LOW_BITS = 256, 32, 4, 4
 LONGS = PERMS // 64
 KEEP_FROM = 0.63  # estimated similarity from which a pair is confirmed on full sets (4.2 sigma below 0.75)
-ROUNDS = 3  # best-partner rounds before every likely pair across components is confirmed
-BLOCK = 512
+ROUNDS = 2  # forest rounds before every likely pair across components is confirmed
+BLOCK = 2048
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                0xA0761D6478BD642F], dtype=np.uint64)
@@ -150,39 +152,72 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(_confirm(NUM, DEN), "u long, v long")
 
 
-_POP = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
+_CHANCE = 1 / (1 << LOW_BITS)
+_MOST = int((1 - (KEEP_FROM * (1 - _CHANCE) + _CHANCE)) * PERMS)  # differing minima of a pair that is still likely
+_FAR = PERMS + 1
 
 
-def _pairs_of_block(ids, comps, sig, side, size, common, mode):
+def _differ(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing minima between each row of ``sig`` and the signature ``one``."""
+    x = np.bitwise_or.reduce((sig ^ one).reshape(len(sig), LOW_BITS, LONGS), axis=1)
+    return np.bitwise_count(x.view(np.uint64)).sum(axis=1, dtype=np.int32)
+
+
+def _forest(ids, comps, sig):
+    """Pairs that join the components of a block along the highest estimates (Prim's algorithm over likely pairs).
+
+    Members of one component count as joined already, so n members give at most n - 1 pairs.
+    """
+    if (comps == comps[0]).all():
+        return
+    rest = np.arange(1, len(ids))
+    near = np.full(len(rest), _FAR, np.int32)
+    via = np.zeros(len(rest), np.int64)
+    i = 0
+    while len(rest):
+        d = _differ(sig[rest], sig[i])
+        d[d > _MOST] = _FAR
+        d[comps[rest] == comps[i]] = -1
+        closer = d < near
+        near[closer] = d[closer]
+        via[closer] = i
+        at = int(np.argmin(near))
+        i = int(rest[at])
+        if 0 <= near[at] < _FAR:
+            yield int(max(ids[i], ids[via[at]])), int(min(ids[i], ids[via[at]]))
+        rest, near, via = (np.delete(x, at) for x in (rest, near, via))
+
+
+def _pairs_of_block(ids, comps, sig, side, size, common, bands, band, mode):
     """Likely pairs across components within a block (side all 0) or between its two sides.
 
-    ``best``: each member's best partner; ``ids``: each member that has one, paired with itself;
-    ``all``: every pair that may still reach the threshold given how many shingles its members share
-    with any other likely member.
+    ``tree``: those of a spanning forest; ``ids``: each member that has one, paired with itself;
+    ``all``: every pair whose first shared band is ``band`` and that may still reach the threshold given
+    how many shingles its members share with any other likely member.
     """
+    if mode == "tree":
+        yield from _forest(ids, comps, sig)
+        return
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     alone = not len(right)
-    floor = (1 - (KEEP_FROM * (1 - 1 / (1 << LOW_BITS)) + 1 / (1 << LOW_BITS))) * PERMS
     named = np.zeros(len(ids), bool)
     for i in left:
         j = left[left > i] if alone else right
         j = j[comps[j] != comps[i]]
+        if mode == "ids" and named[i]:
+            j = j[~named[j]]
         if mode == "all":
             most = np.minimum(common[j], common[i])
             j = j[DEN * most >= NUM * (size[j] + size[i] - most)]
         if not len(j):
             continue
-        x = np.bitwise_or.reduce((sig[j] ^ sig[i]).reshape(len(j), LOW_BITS, LONGS), axis=1)
-        differ = _POP[np.ascontiguousarray(x).view(np.uint16)].sum(axis=1)
-        likely = differ <= floor
-        j, differ = j[likely], differ[likely]
+        j = j[_differ(sig[j], sig[i]) <= _MOST]
         if mode == "ids":
             named[j] = True
             named[i] |= len(j) > 0
             continue
-        if mode == "best" and len(j) > 1:
-            j = j[[int(np.argmin(differ))]]
+        j = j[np.argmax(bands[j] == bands[i], axis=1) == band]
         for k in j:
             yield int(max(ids[i], ids[k])), int(min(ids[i], ids[k]))
     for k in np.flatnonzero(named):
@@ -190,12 +225,12 @@ def _pairs_of_block(ids, comps, sig, side, size, common, mode):
 
 
 def _across(mode: str):
-    """Rows (key, bi, bj, side, id, comp, sig, size, common) sorted by pair of blocks -> pairs across components."""
+    """Rows (key, bi, bj, side, id, comp, band, sig, size, common, bands) sorted by pair of blocks -> pairs."""
     def emit(rows):
         if len(rows) > 1:
-            _, _, _, side, ids, comps, sig, size, common = zip(*rows)
+            _, _, _, side, ids, comps, band, sig, size, common, bands = zip(*rows)
             yield from _pairs_of_block(np.array(ids), np.array(comps), np.array(sig, np.int64), np.array(side),
-                                       np.array(size), np.array(common), mode)
+                                       np.array(size), np.array(common), np.array(bands, np.int64), band[0], mode)
 
     def run(batches):
         held, at = [], None
@@ -230,22 +265,25 @@ def _across_components(bucket: DataFrame, labels: DataFrame, reps: DataFrame, mo
     """Likely pairs between members of different components that share a bucket.
 
     Buckets are cut into blocks of about ``BLOCK`` members, and a group of rows
-    is one pair of blocks.  ``reps`` is ``(id, sig, size, common)``; members
-    that it doesn't hold are left out.
+    is one pair of blocks (for ``tree`` one block).  ``reps`` is ``(id, sig,
+    size, common, bands)``; members that it doesn't hold are left out.
     """
-    labelled = bucket.select("key", "id", "n").join(labels, "id")
+    labelled = bucket.select("key", "band", "id", "n").join(labels, "id")
     # written first: a join with a bare exchange on both sides lets Spark split a hot bucket
     mixed = save(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
                  .select("key"), "minhash-mixed")
     members = (labelled.join(mixed, "key")
                .withColumn("nb", F.ceil(F.col("n") / float(BLOCK)).cast("int"))
-               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-               .join(reps.select("id", "sig", "size", "common"), "id"))
-    spread = members.select(
-        "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
+               .withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
+               .join(reps.select("id", "sig", "size", "common", "bands"), "id"))
+    if mode == "tree":
+        spread = members.select("*", F.col("b").alias("bi"), F.col("b").alias("bj"), F.lit(0).alias("side"))
+    else:
+        spread = members.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
             F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"),
-            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p"), "id", "comp", "sig", "size", "common")
-    return (spread.select("key", "p.bi", "p.bj", "p.side", "id", "comp", "sig", "size", "common")
+            F.when(F.col("b") <= o, 0).otherwise(1).alias("side")))).alias("p")).select(
+            *members.columns, "p.bi", "p.bj", "p.side")
+    return (spread.select("key", "bi", "bj", "side", "id", "comp", "band", "sig", "size", "common", "bands")
             .repartition(F.col("key"), F.col("bi"), F.col("bj"))
             .sortWithinPartitions("key", "bi", "bj", "side", "id")
             .mapInArrow(_across(mode), "u long, v long").distinct())
@@ -294,9 +332,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .where(estimate("su", "sv") >= KEEP_FROM).select("u", "v"))
     labels = bucket.select("id").distinct().select("id", F.col("id").alias("comp"))
     labels = _merge(labels, confirm(star, texts))
-    bare = reps.withColumn("size", F.lit(0).cast("long")).withColumn("common", F.lit(0).cast("long"))
+    bare = reps.select("id", "sig", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("common"),
+                       F.array().cast("array<long>").alias("bands"))
     for r in range(ROUNDS):
-        found = _across_components(bucket.where(F.col("band") % 4 == r), labels, bare, "best")
+        found = _across_components(bucket.where(F.col("band") % 4 == r), labels, bare, "tree")
         labels = _merge(labels, confirm(found, texts))
     # what is still apart: every likely pair, less those whose own shingles rule them out
     facts = save(_shared_shingles(_across_components(bucket, labels, bare, "ids"), texts), "minhash-facts")

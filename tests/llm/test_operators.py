@@ -90,6 +90,46 @@ def test_minhash_joins_a_group_through_its_members(spark):
     assert {x.component_id for x in got.values()} == {0}
 
 
+def test_minhash_blocks_of_a_hot_bucket(spark, monkeypatch):
+    """Blocks much smaller than a bucket lose no link, whether members reach the threshold or stay just below it."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    r = random.Random(5)
+    base = [f"w{r.randint(0, 10**9)}" for _ in range(200)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for at in range(i % 3, 200, 200 // (2 if i % 2 else 6)):
+            w[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = [set(minhash.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if c in (x, y) else c for c in root]
+    assert 1 < len(set(root)) < 40
+    got = _rows(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].component_id for i in range(40)] == root
+
+
+def test_forest_spans_the_likely_pairs():
+    r = np.random.default_rng(2)
+    sig = minhash.planes(r.integers(0, 2**32, (30, minhash.PERMS), dtype=np.uint64).astype(np.uint32))
+    for i in range(30):
+        if i % 5:
+            sig[i] = sig[i - 1] ^ np.int64(1 << (i % 60))
+    comps = np.array([i // 2 for i in range(30)])
+    pairs = list(minhash._forest(np.arange(30), comps, sig))
+    assert 0 < len(pairs) < 30
+    root = list(comps)
+    for u, v in pairs:
+        assert root[u] != root[v] and minhash._differ(sig[[u]], sig[v])[0] <= minhash._MOST
+        root = [root[v] if c == root[u] else c for c in root]
+    assert all(root[i] == root[j] for i in range(30) for j in range(30)
+               if minhash._differ(sig[[i]], sig[j])[0] <= minhash._MOST)
+
+
 def test_estimate_follows_similarity():
     r = np.random.default_rng(3)
     a = r.integers(0, 2**63, 4000).astype(np.uint64)
