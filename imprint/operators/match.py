@@ -18,7 +18,8 @@ counts per method (one small aggregate):
   replicated B + 1 times and every block pair holds about (n/B)^2 pairs.  B is
   chosen per method, so a method holding a third of all rows simply gets more
   blocks.  Both sides are repartitioned explicitly on the block-pair key with a
-  fixed count (AQE does not coalesce that), and the join reuses the partitioning.
+  count bounded by the slots, not by n^2 (AQE does not coalesce that), so a task
+  takes several block pairs, and the join reuses the partitioning.
 
 Both shapes return identical rows; pairs in different blocks are ordered as
 ``least/greatest(id)`` and pairs inside a block by ``id1 <= id2``.  Consumers
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from imprint.functions.bits import assert_equal_lengths, hex_to_bits, hex_to_words, words_bit_count
 
 BROADCAST_MAX_ROWS = 2_000_000
-TARGET_PAIRS_PER_TASK = 20_000_000
+TARGET_PAIRS_PER_TASK = 20_000_000  # broadcast shape
+BLOCK_PAIRS = 10_000_000_000  # pairs of a block pair: blocks of about 100,000 rows, which fit a task's memory
+PARTITIONS_PER_SLOT = 32  # most partitions that the block pairs are dealt to, whatever their number
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def bit_diff(b1, b2, wide: bool = False):
 
 def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_col: str = "hash",
                shape: str = "auto", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-               target_pairs_per_task: int = TARGET_PAIRS_PER_TASK, id_col: str = "id") -> MatchPlan:
+               target_pairs_per_task: int | None = None, id_col: str = "id") -> MatchPlan:
     """Decide the physical shape from per-method row counts (one row per method reaches the driver)."""
     stats = assert_equal_lengths(hashes, method_col, hash_col, id_col).collect()
     counts = {r[method_col]: (int(r["n"]), int(r["nbits"])) for r in stats}
@@ -96,18 +99,24 @@ def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_co
         shape = "broadcast" if total <= broadcast_max_rows else "blocks"
     pairs = sum(n * (n + 1) // 2 for n, _ in counts.values())
     if shape == "broadcast":
-        parts = max(slots * 2, min(slots * 64, math.ceil(pairs / target_pairs_per_task)))
+        parts = max(slots * 2, math.ceil(pairs / (target_pairs_per_task or TARGET_PAIRS_PER_TASK)))
         return MatchPlan("broadcast", counts, {}, parts, id_range, max_ids)
+    blocks, parts = plan_blocks(counts, slots, target_pairs_per_task or BLOCK_PAIRS)
+    return MatchPlan("blocks", counts, blocks, parts, id_range, max_ids)
+
+
+def plan_blocks(counts: dict, slots: int, target_pairs: int = BLOCK_PAIRS) -> tuple[dict, int]:
+    """Blocks per method and the partition count: one per block pair, up to ``PARTITIONS_PER_SLOT`` a slot."""
     blocks = {}
     for m, (n, _) in counts.items():
         # an off-diagonal block pair holds (n/B)^2 pairs, a diagonal one half that: ~ target
-        b = max(1, math.ceil(n / math.sqrt(float(target_pairs_per_task))))
+        b = max(1, math.ceil(n / math.sqrt(float(target_pairs))))
         # enough block pairs to keep every slot busy with dynamic scheduling
         while b * (b + 1) // 2 < slots * 4 and b < max(n, 1):
             b += 1
         blocks[m] = b
-    parts = max(1, sum(b * (b + 1) // 2 for b in blocks.values()))
-    return MatchPlan("blocks", counts, blocks, parts, id_range, max_ids)
+    pairs = sum(b * (b + 1) // 2 for b in blocks.values())
+    return blocks, max(1, min(pairs, slots * PARTITIONS_PER_SLOT))
 
 
 def _nbits_expr(widths: dict):
@@ -183,7 +192,7 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
 
 def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col: str = "hashing_method_id",
                     hash_col: str = "hash", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                    target_pairs_per_task: int = TARGET_PAIRS_PER_TASK) -> DataFrame:
+                    target_pairs_per_task: int | None = None) -> DataFrame:
     """All pairs between two disjoint hash sets of the same method (new x old of an incremental run).
 
     Pairs come out as (least(id), greatest(id)).  The smaller side is broadcast
@@ -205,16 +214,16 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
     if min(na, nb) <= broadcast_max_rows:
         big, small = (ra, rb) if na >= nb else (rb, ra)
         pairs_total = sum(sa.get(m, 0) * sb.get(m, 0) for m in sa)
-        parts = max(slots * 2, min(slots * 64, math.ceil(pairs_total / target_pairs_per_task) or 1))
+        parts = max(slots * 2, math.ceil(pairs_total / (target_pairs_per_task or TARGET_PAIRS_PER_TASK)))
         l = big.repartition(parts).select(F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m")
         r = small.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m")
         j = l.join(F.broadcast(r), "m")
     else:
-        side = math.sqrt(float(target_pairs_per_task))
+        side = math.sqrt(float(target_pairs_per_task or BLOCK_PAIRS))
         grid = {m: (max(1, math.ceil(sa[m] / side)), max(1, math.ceil(sb.get(m, 0) / side))) for m in sa}
         ga = F.create_map(*[x for m, (ba, _) in grid.items() for x in (F.lit(m), F.lit(ba))])
         gb = F.create_map(*[x for m, (_, bb) in grid.items() for x in (F.lit(m), F.lit(bb))])
-        parts = max(1, sum(ba * bb for ba, bb in grid.values()))
+        parts = max(1, min(sum(ba * bb for ba, bb in grid.values()), slots * PARTITIONS_PER_SLOT))
         l = ra.select("*", F.pmod(F.xxhash64("id"), F.element_at(ga, F.col("m"))).cast("int").alias("bi"),
                       F.explode(F.sequence(F.lit(0), F.element_at(gb, F.col("m")) - 1)).alias("bj"))
         r = rb.select("*", F.explode(F.sequence(F.lit(0), F.element_at(ga, F.col("m")) - 1)).alias("bi"),

@@ -180,13 +180,13 @@ r AS (SELECT image_id, {dct_rows_sql('px')} AS rr FROM tiled),
 d AS (SELECT image_id, {dct_cols_sql('rr')} AS dd FROM r),
 f AS (SELECT image_id, {median_flags_sql('dd')} AS f FROM d)
 SELECT image_id, {hex_sql('f')} AS hash FROM f"""
-    return {
+    sql = {
         "average_hash": f"""WITH {IMAGES}, f AS (SELECT image_id, {avg_flags_sql('px')} AS f FROM images)
 SELECT image_id, {hex_sql('f')} AS hash FROM f""",
         "dct_hash": dct_sql,
         "rotate_90": f"WITH {IMAGES} SELECT image_id, array_to_string({rot_sql('px', 8)}, ',') AS pixels FROM images",
-        "greyscale": f"""SELECT vec_id, array_to_string(list_transform(range(len(px) // 3), lambda k:
-    (px[3 * k + 1] * 19595 + px[3 * k + 2] * 38470 + px[3 * k + 3] * 7471 + 32768) >> 16), ',') AS grey
+        "greyscale": f"""SELECT vec_id, array_to_string(list_transform(range(len(px) // 4), lambda k:
+    (px[4 * k + 1] * 19595 + px[4 * k + 2] * 38470 + px[4 * k + 3] * 7471 + 32768) >> 16), ',') AS grey
 FROM (SELECT vec_id, list_transform(embedding, lambda v: {PX}) AS px FROM embeddings)""",
         "lanczos_resize": f"""WITH {TILED},
 h AS (SELECT image_id, {resize_pass_sql('px', 32, 32, 8, True)} AS h8 FROM tiled),
@@ -230,13 +230,13 @@ both_dirs AS (
   SELECT hash_id2, hash_id1, bits FROM pairs WHERE hash_id1 < hash_id2)
 SELECT hash_id, nearest_id, distance_bits FROM both_dirs
 QUALIFY row_number() OVER (PARTITION BY hash_id ORDER BY distance_bits, nearest_id) = 1""",
-        "match_provenance": f"""WITH {FINGERPRINTS}, {PAIRS}, {NEAR},
+        "match_provenance": f"""WITH {FINGERPRINTS}, {PAIRS},
 mods AS (SELECT * FROM (VALUES (1, 'base'), (2, 'rotate_90')) m(id, name)),
 meths AS (SELECT * FROM (VALUES (1, 'averagehash'), (2, 'dct-hash')) m(id, name))
 SELECT n.hash_id1, n.hash_id2, n.hamming_distance, me.name AS method_name,
        f1.image_id AS image_id1, f2.image_id AS image_id2, f1.user_name AS user1, f2.user_name AS user2,
        m1.name AS modification1, m2.name AS modification2
-FROM near n JOIN fp f1 ON n.hash_id1 = f1.id JOIN fp f2 ON n.hash_id2 = f2.id
+FROM pairs n JOIN fp f1 ON n.hash_id1 = f1.id JOIN fp f2 ON n.hash_id2 = f2.id
 JOIN mods m1 ON f1.modification_id = m1.id JOIN mods m2 ON f2.modification_id = m2.id
 JOIN meths me ON n.hashing_method_id = me.id""",
         "content_dedup": CONTENT_DEDUP,
@@ -312,3 +312,7 @@ UNION ALL SELECT 'modified_images', variants FROM n
 UNION ALL SELECT 'hashes', 2 * variants FROM n
 UNION ALL SELECT 'matches', variants * (variants + 1) FROM n""",
     }
+    # the same results by the routes meant for large tables
+    same = {"match_pairs_blocks": "match_pairs", "histogram_blocks": "distance_histogram",
+            "near_duplicates_bands": "near_duplicates", "nearest_bands": "nearest_hash", "nearest_blocks": "nearest_hash"}
+    return sql | {route: sql[plain] for route, plain in same.items()}

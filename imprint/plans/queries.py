@@ -57,7 +57,7 @@ def q_rotate_90(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_greyscale(spark: SparkSession, sf: str) -> DataFrame:
     emb = A.table(spark, sf, "embeddings")
-    grey = G.greyscale_interleaved(G.embedding_to_grid("embedding"), 3)
+    grey = G.greyscale_interleaved(G.embedding_to_grid("embedding"), 4)  # 64 values: 16 RGBA pixels
     return emb.select(F.col("vec_id"), F.array_join(grey, ",").alias("grey"))
 
 
@@ -80,6 +80,29 @@ def q_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return M.match_pairs(stored_fingerprints(spark, sf))
 
 
+def q_match_pairs_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The shape of tables beyond the broadcast bound."""
+    return M.match_pairs(stored_fingerprints(spark, sf), shape="blocks")
+
+
+def q_histogram_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The numpy kernel over block pairs."""
+    return AN.pair_histogram(stored_fingerprints(spark, sf), engine="arrow")
+
+
+def q_near_duplicates_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return AN.near_duplicates(stored_fingerprints(spark, sf), NEAR_BITS, strategy="bands")
+
+
+def q_nearest_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return AN.nearest_hash(stored_fingerprints(spark, sf), strategy="bands")
+
+
+def q_nearest_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The numpy kernel over block pairs."""
+    return AN.nearest_hash(stored_fingerprints(spark, sf), engine="arrow")
+
+
 def q_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return AN.pair_histogram(stored_fingerprints(spark, sf))
 
@@ -102,8 +125,7 @@ def q_nearest_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_match_provenance(spark: SparkSession, sf: str) -> DataFrame:
     fp = stored_fingerprints(spark, sf)
-    near = AN.near_duplicates(fp, NEAR_BITS)
-    return AN.provenance(near, fp, MODIFICATIONS.frame(spark), HASHING_METHODS.frame(spark))
+    return AN.provenance(M.match_pairs(fp), fp, MODIFICATIONS.frame(spark), HASHING_METHODS.frame(spark))
 
 
 def q_content_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,6 +284,11 @@ QUERIES = {
     "variants": q_variants,
     "fingerprints": q_fingerprints,
     "match_pairs": q_match_pairs,
+    "match_pairs_blocks": q_match_pairs_blocks,
+    "histogram_blocks": q_histogram_blocks,
+    "near_duplicates_bands": q_near_duplicates_bands,
+    "nearest_bands": q_nearest_bands,
+    "nearest_blocks": q_nearest_blocks,
     "distance_histogram": q_distance_histogram,
     "threshold_sweep": q_threshold_sweep,
     "variant_detection": q_variant_detection,

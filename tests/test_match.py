@@ -49,6 +49,14 @@ def test_block_plan_scales_blocks_with_method_size(spark):
     assert p.blocks[1] > p.blocks[2]
 
 
+def test_block_partitions_are_bounded_by_the_slots():
+    """A hundred million hashes ask for a small multiple of the slots, in blocks that fit a task."""
+    for n in (1_000, 10_000_000, 100_000_000, 1_000_000_000):
+        blocks, parts = M.plan_blocks({1: (n, 64), 2: (n // 3, 64)}, slots=4000)
+        assert 4000 <= parts <= 4000 * M.PARTITIONS_PER_SLOT
+        assert all(rows / blocks[m] <= 110_000 for m, rows in ((1, n), (2, n // 3)))
+
+
 def test_incremental_equals_full(spark):
     h = _hashes(spark, [(1, 60), (2, 30)], seed=11)
     old = h.where("id % 3 <> 0")
