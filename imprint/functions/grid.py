@@ -67,11 +67,12 @@ def tile_grids(df: DataFrame, id_col: str, px_col: str, tiles_per_side: int = 4,
                tile_side: int = 8, out_id: str = "image_id") -> DataFrame:
     """Assemble square tiles into bigger grids: tile t of image i is row ``id = i * T*T + t``.
 
-    Tiles sit row-major in a ``tiles_per_side`` square; images missing a tile are
-    dropped.  Each group holds exactly T*T small rows, so the aggregation is bounded.
+    Tiles sit row-major in a ``tiles_per_side`` square; a missing tile is black, so no row
+    is left out.  Each group holds at most T*T small rows, so the aggregation is bounded.
     """
     per = tiles_per_side * tiles_per_side
     side = tiles_per_side * tile_side
+    black = F.array_repeat(F.lit(0), tile_side * tile_side)
     grouped = (
         df.select(
             F.floor(F.col(id_col) / per).cast("bigint").alias(out_id),
@@ -79,8 +80,10 @@ def tile_grids(df: DataFrame, id_col: str, px_col: str, tiles_per_side: int = 4,
             F.col(px_col).alias("_px"),
         )
         .groupBy(out_id)
-        .agg(F.array_sort(F.collect_list(F.struct("_t", "_px"))).alias("_tiles"))
-        .where(F.size("_tiles") == per)
+        .agg(F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda t: F.coalesce(
+            F.get(F.filter(F.array_sort(F.collect_list(F.struct("_t", "_px"))), lambda x: x.getField("_t") == t),
+                  F.lit(0)).getField("_px"), black)).alias("_tiles"))
+        .where(F.size("_tiles") == per)  # always true: keeps the tiles from being inlined for each pixel below
     )
 
     def pixel(k):
@@ -88,7 +91,7 @@ def tile_grids(df: DataFrame, id_col: str, px_col: str, tiles_per_side: int = 4,
         x = (k % side).cast("int")
         t = F.floor(y / tile_side).cast("int") * tiles_per_side + F.floor(x / tile_side).cast("int")
         pos = (y % tile_side) * tile_side + (x % tile_side)
-        return F.element_at(F.element_at(F.col("_tiles"), t + 1).getField("_px"), pos + 1)
+        return F.element_at(F.element_at(F.col("_tiles"), t + 1), pos + 1)
 
     return grouped.select(
         out_id,

@@ -74,7 +74,9 @@ TILED = f"""tiles AS (
   SELECT vec_id // 16 AS image_id, vec_id % 16 AS t, list_transform(embedding, lambda v: {PX}) AS px
   FROM embeddings),
 tl AS (
-  SELECT image_id, list(px ORDER BY t) AS tl FROM tiles GROUP BY image_id HAVING count(*) = 16),
+  SELECT g.image_id, list(coalesce(p.px, list_transform(range(64), lambda k: 0)) ORDER BY g.t) AS tl
+  FROM (SELECT DISTINCT i.image_id, s.t FROM tiles i, range(16) s(t)) g
+  LEFT JOIN tiles p ON p.image_id = g.image_id AND p.t = g.t GROUP BY g.image_id),
 tiled AS (
   SELECT image_id, list_transform(range(1024), lambda k:
     tl[((k // 32) // 8) * 4 + (k % 32) // 8 + 1][((k // 32) % 8) * 8 + (k % 32) % 8 + 1]) AS px
