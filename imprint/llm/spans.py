@@ -1,16 +1,21 @@
-"""Repeated passages by sliding sentence spans (operator 5).
+"""Repeated passages by sliding sentence spans and word windows (operator 5).
 
 A text is cut into sentences: a word that ends in ``.``, ``!`` or ``?`` and a line
 end close one; a sentence of more than 20 words is cut further after words chosen
-by their hash, so passages without full stops are found at any offset too.  Every
-run of consecutive sentences is hashed: from each sentence the shortest run of at
-least 3 sentences and 12 words.  A run that occurs in a document with a smaller id,
-or earlier in its own document, is a non-first copy; the sentences it covers go.
-
-One scan emits each document's distinct run hashes; a partial aggregate finds the
-smallest document of every hash and an equi-join (skewed sides may be split) the
-documents that hold later copies.  Only documents that may change are shuffled with
-their text.  Runs are compared by 64-bit hashes of their words.
+by their hash.  Every run of consecutive sentences is hashed: from each sentence the
+shortest run of at least 3 sentences and 12 words.  So is every window of 50 words,
+wherever it starts, so a passage of 50 words and more is found to the word, whatever
+its hosts do around it.  A run or window that occurs in a document with a smaller id,
+or earlier in its own document, is a non-first copy; the words that it covers go.
+
+One scan emits each document's distinct sentence runs and, for windows, stretches:
+consecutive windows with the same least hash of 16 words, its anchor, about one row
+in 18 words.  Equal windows have equal anchors.  A partial aggregate finds the smallest
+document of every run and stretch and an equi-join (skewed sides may be split) the
+documents that hold later copies, whose words all go.  Only where an anchor has unlike
+stretches (at the ends of a passage, around an edit) the first document of each of them
+gives its single windows, which are compared in the same way.  Only documents that may
+change are shuffled with their text.  All are compared by 64-bit hashes of their words.
 
 Defined cases: null text is kept null; documents too short for a run stay as they
 are; rows of one id count as one document; null ids count as one document before
@@ -31,6 +36,7 @@ from pyspark.sql import types as T
 from imprint.llm.common import HashOf, fresh, mark, mix64, save
 
 SENTENCES, WORDS, LONG = 3, 12, 20
+WINDOW, ANCHOR = 50, 16
 _M = np.uint64(0x9E3779B97F4A7C13)
 _MINV = np.uint64(pow(int(_M), -1, 1 << 64))
 
@@ -75,64 +81,122 @@ def sentences(tokens: list[bytes]):
     return h, np.append(0, ends[:-1]), ends
 
 
-def span_hashes(h, starts, ends):
-    """(first sentence, last sentence, hash) of every run."""
+def _hashes(h, a, b, kind):
+    """Hashes of the words ``a`` up to ``b`` (arrays); unlike for unlike kinds."""
     global _POW
+    if len(h) >= len(_POW[0]):
+        _POW = _powers(_M, 2 * len(h)), _powers(_MINV, 2 * len(h))
+    total = np.append(np.uint64(0), np.cumsum(h * _POW[0][: len(h)], dtype=np.uint64))
+    s = (total[b] - total[a]) * _POW[1][a] + ((b - a) * 4 + kind).astype(np.uint64) * _M
+    return mix64(s).view(np.int64)
+
+
+def _sentence_runs(h, starts, ends):
+    """(first word, end word, hash) of every run of sentences."""
     n = len(ends)
     i = np.arange(n)
     j = np.maximum(i + SENTENCES - 1, np.searchsorted(ends, starts + WORDS))
     i, j = i[j < n], j[j < n]
-    if not len(i):
-        return i, j, np.empty(0, np.int64)
-    if len(h) >= len(_POW[0]):
-        _POW = _powers(_M, 2 * len(h)), _powers(_MINV, 2 * len(h))
-    total = np.append(np.uint64(0), np.cumsum(h * _POW[0][: len(h)], dtype=np.uint64))
     a, b = starts[i], ends[j]
-    s = (total[b] - total[a]) * _POW[1][a] + (b - a).astype(np.uint64) * _M
-    return i, j, mix64(s).view(np.int64)
+    return a, b, _hashes(h, a, b, 0)
+
+
+def _windows(h):
+    """(first word, end word, hash) of every window."""
+    a = np.arange(max(len(h) - WINDOW + 1, 0))
+    return a, a + WINDOW, _hashes(h, a, a + WINDOW, 1)
+
+
+def _stretches(h):
+    """(first word, end word, hash, anchor) of consecutive windows with the same anchor."""
+    if len(h) < WINDOW:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    a = np.arange(len(h) - ANCHOR + 1)
+    least, width, wide = _hashes(h, a, a + ANCHOR, 2), 1, WINDOW - ANCHOR + 1
+    while width < wide:
+        step = min(width, wide - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    a = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    b = np.append(a[1:], len(least)) - 1 + WINDOW
+    return a, b, _hashes(h, a, b, 3), least[a]
+
+
+def span_hashes(h, starts, ends):
+    """(first word, end word, hash) of every run of sentences and every window."""
+    return tuple(map(np.concatenate, zip(_sentence_runs(h, starts, ends), _windows(h))))
 
 
 def _tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").replace(b"\n", b" \x00 ").split()
 
 
+def _repeats(s):
+    """Which of the hashes occur earlier among them."""
+    again = np.ones(len(s), bool)
+    again[np.unique(s, return_index=True)[1]] = False
+    return again
+
+
 def _spans(batches):
+    """(h, did, own, anchor): sentence runs (without an anchor) and stretches; own: repeated within the text."""
     for batch in batches:
-        hashes, dids, own = [], [], []
+        hashes, dids, own, anchors = ([np.empty(0, t)] for t in (np.int64, np.int64, bool, np.int64))
+        runs = [np.empty(0, bool)]
         for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _, _, s = span_hashes(*sentences(_tokens(text or "")))
-            u, c = np.unique(s, return_counts=True)
-            hashes.append(u)
-            own.append(c > 1)
-            dids.append(np.full(len(u), did, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes or [np.empty(0, np.int64)])),
-                                          pa.array(np.concatenate(dids or [np.empty(0, np.int64)])),
-                                          pa.array(np.concatenate(own or [np.empty(0, bool)]))],
-                                         names=["h", "did", "own"])
+            h, starts, ends = sentences(_tokens(text or ""))
+            u, c = np.unique(_sentence_runs(h, starts, ends)[2], return_counts=True)
+            _, _, s, g = _stretches(h)
+            s, at = np.unique(s, return_index=True)
+            again = _repeats(_windows(h)[2]).any()
+            hashes += u, s
+            own += c > 1, np.full(len(s), again)
+            anchors += np.zeros(len(u), np.int64), g[at]
+            runs += np.ones(len(u), bool), np.zeros(len(s), bool)
+            dids.append(np.full(len(u) + len(s), did, np.int64))
+        yield pa.RecordBatch.from_arrays([
+            *(pa.array(np.concatenate(x)) for x in (hashes, dids, own)),
+            pa.array(np.concatenate(anchors), mask=np.concatenate(runs))], names=["h", "did", "own", "anchor"])
+
+
+def _open_windows(batches):
+    """Rows (did, text, list of stretches) -> (h, did): the windows of these stretches."""
+    for batch in batches:
+        for did, text, some in zip(*(c.to_pylist() for c in batch.columns)):
+            h = sentences(_tokens(text or ""))[0]
+            a, b, s, _ = _stretches(h)
+            pick = np.isin(s, np.array(some, np.int64))
+            inside = np.zeros(len(h) + 1, np.int32)
+            np.add.at(inside, a[pick], 1)
+            np.add.at(inside, b[pick] - WINDOW + 1, -1)
+            first, _, w = _windows(h)
+            w = np.unique(w[np.cumsum(inside)[first] > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), did, np.int64))], names=["h", "did"])
 
 
 def drop_copies(text: str, later: set[int]) -> tuple[str, int, int]:
-    """The text without sentences covered by runs in ``later`` or seen earlier in the text;
-    also the number of sentences and of removed ones."""
+    """The text without words covered by runs, windows or stretches in ``later`` or by runs or windows seen
+    earlier in the text; also the number of sentences and of those that lost words."""
     raw = text.encode("utf-8", "surrogatepass")
     found = list(_TOKEN.finditer(raw))
     tokens = [m.group() for m in found]
     h, starts, ends = sentences(tokens)
-    i, j, s = span_hashes(h, starts, ends)
-    gone = np.zeros(len(starts) + 1, np.int32)
-    seen: set[int] = set()
-    for a, b, x in zip(i.tolist(), j.tolist(), s.tolist()):
-        if x in later or x in seen:
-            gone[a] += 1
-            gone[b + 1] -= 1
-        seen.add(x)
+    known = np.fromiter(later, np.int64, len(later))
+    gone = np.zeros(len(h) + 1, np.int32)
+    for (a, b, s), alone in ((_sentence_runs(h, starts, ends), True), (_windows(h), True), (_stretches(h)[:3], False)):
+        copy = np.isin(s, known)
+        if alone:
+            copy |= _repeats(s)
+        np.add.at(gone, a[copy], 1)
+        np.add.at(gone, b[copy], -1)
     cut = np.cumsum(gone[:-1]) > 0
     if not cut.any():
         return text, len(starts), 0
     place = [m.start() for m, t in zip(found, tokens) if t not in (b"\n", b"\x00")] + [len(raw)]
-    at = [place[k] for k in starts.tolist()] + [len(raw)]
-    kept = raw[: at[0]] + b"".join(raw[at[k] : at[k + 1]] for k in np.flatnonzero(~cut).tolist())
-    return kept.decode("utf-8", "surrogatepass").strip(), len(starts), int(cut.sum())
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], cut, [True])).astype(np.int8)))
+    kept = raw[: place[0]] + b"".join(raw[place[k] : place[e]] for k, e in zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return kept.decode("utf-8", "surrogatepass").strip(), len(starts), int(np.logical_or.reduceat(cut, starts).sum())
 
 
 def _drop(at: int, names: list[str]):
@@ -156,12 +220,22 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     did, later_, flag, n_all, n_gone = (fresh(c, docs) for c in ("_did", "_later", "_marked", "n_sentences", "n_removed"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
-    spans = save(docs.select(key.alias("did"), "text").mapInArrow(_spans, "h long, did long, own boolean"), "spans")
-    # written first: a join with a bare exchange on both sides lets Spark split a hot run
-    first = save(spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b")
+    spans = save(docs.select(key.alias("did"), "text").mapInArrow(
+        _spans, "h long, did long, own boolean, anchor long"), "spans")
+    # written first, here and below: a join with a bare exchange on both sides lets Spark split a hot run
+    seen = save(spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.min("anchor").alias("anchor")),
+                "spans-seen")
+    unlike = save(seen.where("anchor is not null").groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+                  .where("lo <> hi").select("anchor"), "spans-unlike")
+    some = save(seen.join(unlike, "anchor").groupBy(F.col("a").alias(did)).agg(F.collect_set("h").alias(later_)),
+                "spans-open")
+    wide = mark(docs.select(key.alias(did), "text"), some, [did], flag).where(F.col(flag)).join(some, did)
+    windows = save(wide.select(did, "text", later_).mapInArrow(_open_windows, "h long, did long"), "spans-windows")
+    both = spans.select("h", "did").join(seen.where("a < b").select("h", "a"), "h")
+    first = save(windows.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b")
                  .select("h", "a"), "spans-first")
-    later = spans.select("h", "did").join(first, "h").where("did > a").select("did", "h")
-    lists = save(later.unionByName(spans.where("own").select("did", F.lit(None).cast("long").alias("h")))
+    later = both.unionByName(windows.join(first, "h")).where("did > a").select("did", "h")
+    lists = save(later.unionByName(spans.where("own").select("did", F.lit(None).cast("long").alias("h")).distinct())
                  .groupBy("did").agg(F.collect_set("h").alias("later")), "spans-later")
     lists = lists.select(F.col("did").alias(did), F.col("later").alias(later_))
     rows = mark(docs.withColumn(did, key), lists, [did], flag)

@@ -187,6 +187,63 @@ def test_sentence_spans(docs, texts, empty):
     assert spans.remove_passages(empty).count() == 0
 
 
+def _kept_words(texts, size=50):
+    """Words left in each text when those of every window that occurred before go; plain tuples, no operator code."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        gone, own = set(), set()
+        for k in range(len(w) - size + 1):
+            x = tuple(w[k : k + size])
+            if x in seen or x in own:
+                gone.update(range(k, k + size))
+            own.add(x)
+        seen |= own
+        out.append([x for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+def _ragged(seed=11):
+    """Texts with pasted passages of 50 to 80 words that start and end inside sentences, some in hosts without any."""
+    r = random.Random(seed)
+
+    def prose(n, ends):
+        return [f"w{r.randint(0, 10**9)}" + r.choice(ends) for _ in range(n)]
+
+    passages = [prose(n, e) for n in range(50, 81) for e in ([""], ["", "", "", "", "", "", ".", ","], [*[""] * 17, "."])]
+    out = []
+    for p in passages * 2 + r.sample(passages, 30):
+        ends = r.choice([[""], ["", "", "", "."]])
+        out.append(" ".join(prose(r.randint(0, 60), ends) + p + prose(r.randint(0, 60), ends)))
+    w = prose(400, ["", "", "", "", "."])
+    for k in range(20):  # near copies of one text: unlike stretches about the edits, which lie closer than a window or not
+        out.append(" ".join(w))
+        w[(k * 67) % 400] = f"n{k}"
+    return out
+
+
+def test_ragged_passages_equal_word_windows(spark):
+    texts = _ragged()
+    got = _rows(spans.remove_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)))
+    want = _kept_words(texts)
+    assert sum(len(t.split()) - len(x) for t, x in zip(texts, want)) > 10_000
+    for i, w in enumerate(want[:-20]):
+        assert got[i].text.split() == w, i
+    for i, w in enumerate(want[-20:], len(want) - 20):  # sentences between the edits may go as well
+        left = iter(w)
+        assert all(x in left for x in got[i].text.split()), i
+        assert (got[i].n_removed > 0) == (len(w) < 400)
+
+
+def test_three_sentences_after_an_open_one(spark):
+    """Two whole sentences and two partial ones are no run of three, but more than 50 words."""
+    s = [" ".join(f"p{k}x{j}" for j in range(18)) for k in range(3)]
+    passage = ". ".join(s)
+    rows = [(1, f"one host that goes on {passage} and on here."), (2, f"another that never stops {passage} but ends.")]
+    got = _rows(spans.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[1].text, got[2].text) == (rows[0][1], "another that never stops but ends.")
+
+
 def test_quality_counts(docs, texts, empty):
     got = _rows(quality.quality(docs))
     for i, t in enumerate(texts):
