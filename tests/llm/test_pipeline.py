@@ -45,6 +45,34 @@ def test_pipeline_equals_brute_force(spark):
     assert {r.doc_id for r in packed.collect()} == set(left)
 
 
+def test_passage_stage_leaves_no_repeated_window(spark):
+    """Planted passages of 51 to 80 words, cut loose from their sentences, by word windows without operator code."""
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(3)
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    hosts = [x for x in frame.orderBy("doc_id").collect() if x.text and len(x.text.split()) >= 150][:60]
+    planted, rows = [], []
+    for k, x in enumerate(hosts):
+        ends = r.choice([[""], ["", "", "", "", ".", ","]])
+        planted.append([f"p{k}x{j}{r.choice(ends)}" for j in range(r.randint(51, 80))] if k % 2 == 0 else planted[-1])
+        words = x.text.split()
+        cut = r.randint(20, len(words) - 20)
+        rows.append({**x.asDict(), "doc_id": k, "text": " ".join(words[:cut] + planted[-1] + words[cut:])})
+    out = corpus_pipeline.passage_dedup(spark, spark.createDataFrame(rows, frame.schema), SF)
+    left = {x.doc_id: x.text.split() for x in out.collect()}
+    seen = set()
+    for k in sorted(left):
+        windows = {tuple(left[k][j : j + 50]) for j in range(len(left[k]) - 49)}
+        assert not windows & seen, k
+        seen |= windows
+    for k, p in enumerate(planted):
+        own = [w for w in left.get(k, []) if w in set(p)]
+        assert own == (p if k % 2 == 0 else []), k
+
+
 def test_stages_take_empty_tables(spark):
     import corpus_pipeline
 
