@@ -293,17 +293,22 @@ def _shingles(batches):
     for batch in batches:
         for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingle_set(text).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), did, np.int64)), pa.array(s)], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), did, np.int64)), pa.array(s),
+                                              pa.array(np.full(len(s), len(s), np.int64))], names=["id", "s", "n"])
 
 
 def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(id, size, common)``: a document's shingles, and those that another document of ``ids`` holds too."""
-    some = texts.join(ids.select(F.col("u").alias("doc_id")).distinct(), "doc_id")
-    rows = save(some.select("doc_id", "text").mapInArrow(_shingles, "id long, s long"), "minhash-shingles")
+    """``(id, size, common)``: a document's shingles, and those that another document of ``ids`` holds too.
+
+    Repeated rows count once.  Unlike texts of one id: the smallest size, and at least the shared shingles of each,
+    so that no pair of them is ruled out wrongly.
+    """
+    some = texts.join(ids.select(F.col("u").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = save(some.select("doc_id", "text").mapInArrow(_shingles, "id long, s long, n long"), "minhash-shingles")
     alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy(
         "id").agg(F.count(F.lit(1)).alias("alone"))
-    size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    return size.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    size = rows.groupBy("id").agg(F.min("n").alias("size"), F.count(F.lit(1)).alias("total"))
+    return size.join(alone, "id", "left").select("id", "size", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

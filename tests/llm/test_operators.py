@@ -113,6 +113,27 @@ def test_minhash_blocks_of_a_hot_bucket(spark, monkeypatch):
     assert [got[i].component_id for i in range(40)] == root
 
 
+def test_minhash_repeated_rows_in_the_last_pass(spark, monkeypatch):
+    """Pairs that only the last pass can link, of a row that occurs once and one that occurs twice or has a second text."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    r = random.Random(4)
+    rows, likes = [], []
+    for k in range(12):
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(300)]
+        hub, once = list(base), list(base)
+        for at in range(0, 300, 28):
+            hub[at] = f"h{k}x{at}"
+        once[150] = f"o{k}"
+        ids = 10 * k, 10 * k + 1, 10 * k + 2
+        rows += [(ids[0], " ".join(hub)), (ids[1], " ".join(base)), (ids[2], " ".join(once)),
+                 (ids[1], " ".join(base if k % 2 else [f"u{r.randint(0, 10**9)}" for _ in range(300)]))]
+        likes.append([set(minhash.shingle_set(" ".join(t)).tolist()) for t in (hub, base, once)])
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert all(near(b, c) and not near(a, b) and not near(a, c) for a, b, c in likes)
+    got = _rows(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[10 * k + 2].component_id for k in range(12)] == [10 * k + 1 for k in range(12)]
+
+
 def test_forest_spans_the_likely_pairs():
     r = np.random.default_rng(2)
     sig = minhash.planes(r.integers(0, 2**32, (30, minhash.PERMS), dtype=np.uint64).astype(np.uint32))
