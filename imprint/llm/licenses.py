@@ -1,11 +1,14 @@
 """License scan by sparse TF-IDF cosine and directory inheritance (operator 1), DataFrame functions only.
 
-A file's candidate headers are its sentences and lines that hold a license word.  Equal
-headers are scored once: term frequencies times inverse document frequencies, counted over
+A file's candidate headers are its sentences and lines that hold a license word; the same of its
+blocks (adjacent lines joined, comment marks off), and these blocks whole; and its whole text if
+its name is that of a license file.  An SPDX line names its licenses itself, with score 1; unknown
+names there give none.  Equal headers are scored once: term frequencies times inverse document frequencies, counted over
 the headers of the whole corpus and the templates, and the cosine with each template through
 an equi-join on terms (the templates are a fixed list, the only broadcast side).  A file's own
-license is its best header's template from ``LEAST`` on.  A file is a license file if its name
-says so or if at least half of its words stand in headers that match; the best license file of a
+license is its best header's template from ``LEAST`` on; that all rights are reserved counts only
+if no license is named.  A file is a license file if its name says so or if at least half of its
+words stand in headers of one kind that match; the best license file of a
 directory speaks for it.  Files without a license of their own take that of the nearest ancestor
 directory: distinct directories are exploded into their ancestors, joined on the path, and the
 longest one wins; files of one large directory are salted in the join back.
@@ -23,8 +26,54 @@ from imprint.llm.common import save
 
 LEAST, SALTS = 0.6, 16
 
-# Common short forms of license notices.
+_PERMIT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+           "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+           "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+           "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+           "with the distribution. ")
+_NAMES_OF = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products derived from this software without specific prior written permission. ")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+          "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+          "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+          "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+          "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+          "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+          "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:")
+_MIT_REST = (" The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+             "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+             "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+             "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+             "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+             "THE SOFTWARE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_REST = (" THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+             "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+             "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+             "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+             "OR PERFORMANCE OF THIS SOFTWARE.")
+_GNU = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License "
+        "as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.")
+
+# Common short forms of license notices, standard headers and whole texts of short licenses.
 TEMPLATES = [
+    ("AGPL-3.0", _GNU.format("program", "Affero ", "3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("BSD-2-Clause", _PERMIT + _AS_IS),
+    ("BSD-3-Clause", _PERMIT + _NAMES_OF + _AS_IS),
+    ("GPL-2.0", _GNU.format("program", "", "2")),
+    ("GPL-3.0", _GNU.format("program", "", "3")),
+    ("ISC", _ISC),
+    ("ISC", _ISC + _ISC_REST),
+    ("LGPL-2.1", _GNU.format("library", "Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser ", "3")),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_REST),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license."),
@@ -49,8 +98,11 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain, the Unlicense."),
 ]
 
-_MARK = r"(?i)licen[cs]e|copyright|public domain|rights reserved|spdx"
+_MARK = r"(?i)licen[cs]e|copyright|public domain|rights reserved|spdx|permission (is hereby granted|to use)|redistribution and use"
 _NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*([^\n]*)"
+_LEAD = r"(?m)^[ \t]*(//+|#+|/?\*+/?|--+|;+|%+|rem\b)?[ \t]*"  # comment marks before a line
+_BARE = "Proprietary"
 
 
 def _terms(col):
@@ -66,11 +118,34 @@ def _weights(rows: DataFrame, key: str, idf: DataFrame, unseen) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """``files(id, text)`` -> ``(id, header, words)``: sentences and lines that hold a license word."""
-    return (files.where(F.col("text").rlike(_MARK))
-            .select("id", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("header"))
-            .where(F.col("header").rlike(_MARK))
-            .select("id", F.trim("header").alias("header"), F.size(_terms(F.col("header"))).alias("words")))
+    """``files(id, path, text)`` -> ``(id, kind, header, words)``: kind 0 sentences and lines, 1 sentences of blocks,
+    2 blocks, 3 whole license files, all but the last with a license word."""
+    some = files.where(F.col("text").rlike(_MARK) | F.col("path").rlike(_NAME) & (F.trim("text") != "")).select(
+        "id", F.coalesce(F.col("path").rlike(_NAME), F.lit(False)).alias("named"),
+        F.regexp_replace(F.regexp_replace("text", "\r", ""), _SPDX, "").alias("text"))
+    blocks = F.filter(F.transform(F.split(F.regexp_replace("text", _LEAD, ""), r"\n\s*\n"), lambda b: F.trim(
+        F.regexp_replace(b, r"\s+", " "))), lambda b: b.rlike(_MARK))
+    marked = lambda parts: F.filter(parts, lambda h: h.rlike(_MARK))
+    some = some.withColumn("blocks", blocks)
+    kinds = F.array(marked(F.split("text", r"(?<=[.!?])\s+|\n")),
+                    marked(F.flatten(F.transform("blocks", lambda b: F.split(b, r"(?<=[.!?])\s+")))), F.col("blocks"),
+                    F.when(F.col("named"), F.array(F.regexp_replace("text", r"\s+", " "))).otherwise(
+                        F.array().cast("array<string>")))
+    return (some.select("id", F.posexplode(kinds).alias("kind", "header"))
+            .select("id", "kind", F.explode(F.array_distinct("header")).alias("header"))
+            .select("id", "kind", F.trim("header").alias("header"), F.size(_terms(F.col("header"))).alias("words")))
+
+
+def spdx(files: DataFrame) -> DataFrame:
+    """``files(id, text)`` -> ``(id, kind, words, license, score)``: the known licenses that SPDX lines name."""
+    known = sorted({name for name, _ in TEMPLATES if name != _BARE})
+    line = F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1)))
+    name = F.explode(F.transform(F.split("names", r"[^A-Za-z0-9.+-]+"), lambda w: F.regexp_replace(
+        F.lower(w), r"(-only|-or-later|\+)$", "")))
+    names = F.map_from_arrays(F.array(*(F.lit(k.lower()) for k in known)), F.array(*map(F.lit, known)))
+    return (files.where(F.col("text").rlike(_SPDX)).select("id", line.alias("names")).select("id", "names", name.alias("name"))
+            .select("id", F.lit(4).alias("kind"), (F.size(_terms(F.col("names"))) + 3).alias("words"),
+                    names[F.col("name")].alias("license"), F.lit(1.0).alias("score")).where("license is not null"))
 
 
 def score_headers(found: DataFrame, least: float = LEAST) -> DataFrame:
@@ -98,11 +173,15 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """``files(id, path, text)`` -> ``(id, path, own_license, own_score, license, inherited_from)``, each row once."""
     files = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     found = save(headers(files), "license-found")
-    matched = found.join(score_headers(found, least), "header").select("id", "words", "license", "score")
-    best = matched.groupBy("id").agg(F.max("score").alias("score"), F.sum("words").alias("words"))
-    own = save(matched.join(best.select("id", "score"), ["id", "score"]).groupBy("id", "score").agg(
-        F.min("license").alias("own_license")).join(best.select("id", "words"), "id")
-        .withColumnRenamed("score", "own_score"), "license-own")
+    matched = found.join(score_headers(found, least), "header").select("id", "kind", "words", "license", "score").unionByName(
+        spdx(files))
+    # a named license comes before a bare reservation of rights, then the best score
+    rank = F.struct((F.col("license") != _BARE).alias("named"), F.col("score").alias("score"))
+    matched = save(matched.withColumn("rank", rank), "license-matched")
+    share = matched.groupBy("id", "kind").agg(F.sum("words").alias("words")).groupBy("id").agg(F.max("words").alias("words"))
+    best = matched.groupBy("id").agg(F.max("rank").alias("rank"))
+    own = save(matched.join(best, ["id", "rank"]).groupBy("id").agg(
+        F.max("score").alias("own_score"), F.min("license").alias("own_license")).join(share, "id"), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(
         F.when(F.col("path").isNotNull(), F.lit("")))
     rows = files.select("id", "path", folder.alias("dir"), F.when(F.col("text").rlike(_MARK), F.size(

@@ -425,6 +425,27 @@ def test_license_scan(spark):
     assert not re.search("Python|Pandas|Arrow", licenses.scan(df)._jdf.queryExecution().toString())
 
 
+def test_license_forms(spark):
+    """SPDX lines, wrapped headers in comments, permission paragraphs and license files as whole texts."""
+    gpl = ("// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General "
+           "Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n"
+           "// (at your option) any later version.\n\nint main() { return 0; }\n")
+    wrap = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)
+    bsd = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrap(licenses._PERMIT + licenses._AS_IS)
+    three = wrap(licenses._PERMIT + licenses._NAMES_OF.replace("the copyright holder", "Some Body") + licenses._AS_IS)
+    rows = [(1, "/a/x.c", "// SPDX-License-Identifier: MIT\nint x;"), (2, "/b/x.c", "# SPDX-License-Identifier: GPL-3.0-only\n"),
+            (3, "/c/x.c", "/* SPDX-License-Identifier: WTFPL */"), (4, "/d/x.c", gpl), (5, "/e/LICENSE", bsd),
+            (6, "/f/LICENSE.txt", "Copyright 2020 Some Body\n\n" + three), (7, "/e/y.c", "int y;"),
+            (8, "/g/z.c", "some words before\n\n" + wrap(licenses._ISC) + "\n\nsome words after"),
+            (9, "/h/COPYING", "The MIT License\n\nCopyright (c) 2021 Any One\n\n" + wrap(licenses._MIT + licenses._MIT_REST)),
+            (10, "/i/x.c", "Copyright. All rights reserved.\nReleased under the MIT License, see there."),
+            (11, "/j/x.c", "Copyright. All rights reserved."), (12, "/k/LICENSE", "no words of that kind")]
+    got = {r.id: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("GPL-3.0", None), 3: (None, None), 4: ("GPL-3.0", None), 5: ("BSD-2-Clause", None),
+                   6: ("BSD-3-Clause", None), 7: ("BSD-2-Clause", "/e"), 8: ("ISC", None), 9: ("MIT", None), 10: ("MIT", None),
+                   11: ("Proprietary", None), 12: (None, None)}
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
