@@ -106,3 +106,14 @@ def mark(df: DataFrame, marked: DataFrame, keys: list[str], flag: str = "_marked
             .join(F.broadcast(words), word, "left")
             .withColumn(flag, F.expr(f"coalesce(shiftrightunsigned({bits}, cast({bit} % 64 as int)) & 1, 0) = 1"))
             .drop(bit, word, bits))
+
+
+def slices(batch, column: int, limit: int = 1 << 20):
+    """Parts of an Arrow batch with about ``limit`` bytes of string ``column`` each, before any is made Python objects."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(size // limit)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
