@@ -4,23 +4,23 @@ Components become ``floor(SCALE * x)`` (x as double), so scores are integers.  W
 gets one more component ``sqrt(M^2 - |x|^2)`` and a query q a zero: then ``2 <q, x> = |q|^2 + M^2 - d(q, x)^2``,
 and the largest inner product is the smallest distance, to which the triangle inequality applies.
 
-The pivot table holds the distances of every row to ``PIVOTS`` pivots, and the greatest ``|d(q, p) - d(x, p)|``
-over the pivots p is a lower bound of ``d(q, x)``.  Pivots are taken from a bounded sample of ``SAMPLE`` rows,
+The pivot table holds the distances of every row to ``PIVOTS`` pivots, in steps of ``STEP`` M, and the greatest
+``|d(q, p) - d(x, p)|`` over the pivots p, less what the steps round, is a lower bound of ``d(q, x)``.  Pivots are taken from a bounded sample of ``SAMPLE`` rows,
 each the one farthest from those before it; they decide how much is eliminated, never the result.
 
 1. Rows are dealt to cells by their nearest of the first pivots, and a cell to blocks of about ``BLOCK`` rows.
    Per cell and pivot the least and the greatest distance are kept (at most PIVOTS^2 rows, broadcast).
 2. Every query evaluates one block of the cell with its smallest bound: the k-th best score there is its floor.
-3. It is sent to the blocks of every cell whose bound still reaches the floor, in groups of at most about
-   ``BLOCK`` rows and ``QUERIES`` queries.  There the pivot table bounds every row, and rows are evaluated in
+3. It is sent to the blocks of every cell whose bound still reaches the floor, in groups of about ``BLOCK`` rows
+   and ``QUERIES`` queries.  There the pivot table bounds every row, and rows are evaluated in
    bound order, until the next bound is under the k-th best score known; ties are evaluated.
 4. The k best of a query's groups are merged.
 
-A row travels once per ``QUERIES`` queries, a query once per block left.  Cells are as many as the rows need, a
-cell that holds a third of all rows is just more blocks.  Bounds are in single precision with their rounding
-taken off, so they eliminate no row that could belong to the result; scores are exact (double precision while
-products and sums stay below 2^53, Python's integers beyond; a score that no long holds counts as the nearest
-that one does).
+A row travels once per group of queries, a query once per block left.  Blocks and groups are as many as the slots
+need and the bounds on their size allow; a cell that holds a third of all rows is just more blocks.  Scores are
+exact: products in a floating type that holds all sums, in Python's integers beyond 2^53 (a score that no long
+holds counts as the nearest one that does).  Where the bounds leave over half of a block to a query, the rest of
+it is one matrix product; ``n_evaluated`` counts these rows too.
 
 Defined cases.  Vectors that are null or hold null or non-finite components (scaled) take no part.  A shorter vector
 counts as filled up with zeros (an empty one scores 0 with all).  Candidates are all rows but those of the
@@ -41,11 +41,11 @@ from imprint.llm.common import save
 SCALE = 64
 PIVOTS = 64
 SAMPLE = 4096
-BLOCK = (2048, 65_536)  # rows of a block: as many as give every slot some blocks, between these
-QUERIES = 4096
-AT_ONCE = 1 << 20  # bounds held at once
-EXACT = 2.0**53
-ROUNDING = 2e-6  # more than what single precision and sums add to a distance, in units of the largest norm
+BLOCK = (8192, 65_536)  # rows of a block: as many as give every slot some blocks, between these
+QUERIES = (256, 4096)  # queries of a group, likewise
+AT_ONCE = 1 << 17  # bounds held at once
+STEPS = 32_766
+STEP = 2 / STEPS
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -63,11 +63,15 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def exact_type(x: np.ndarray, q: np.ndarray):
+    """A floating type that holds every inner product of rows of both, and its sums; None if there is none."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(x.shape[1], 1)
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else None
+
+
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of ``x`` with ``q``, exact, within the range of long."""
-    if not len(x):
-        return np.empty(0, np.int64)
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(len(q), 1) < EXACT:
+    if exact_type(x, q[None]) is not None:
         return (x @ q).astype(np.int64)
     whole = [int(v) for v in q.tolist()]
     low, high = -(1 << 63), (1 << 63) - 1
@@ -103,20 +107,26 @@ class Table:
 
     def distances(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         points = np.hstack([x, np.zeros((len(x), 1))]) if query else self._more(x)
-        out = np.empty((len(x), len(self.pivots)), np.float32)
-        if not np.isfinite(self.top):  # squares beyond double precision: distances say nothing
-            return np.zeros_like(out)
-        for i, p in enumerate(self.pivots):
-            out[:, i] = np.sqrt(((points - p) ** 2).sum(axis=1)) / self.unit
+        out = np.zeros((len(x), len(self.pivots)), np.int16)
+        if np.isfinite(self.top):  # else squares are beyond double precision, and distances say nothing
+            for i, p in enumerate(self.pivots):
+                out[:, i] = np.minimum(np.sqrt(((points - p) ** 2).sum(axis=1)) / (STEP * self.unit), STEPS)
         return out
 
-    def most(self, bound: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """The greatest inner product with a query of squared norm ``norm`` at a distance of at least ``bound``."""
+    def most(self, steps: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """The greatest inner product with a query of squared norm ``norm`` if distances to a pivot differ by ``steps``."""
         if not np.isfinite(self.top):
-            return np.full(np.broadcast_shapes(bound.shape, norm.shape), np.inf)
-        near = np.maximum(bound - ROUNDING, 0).astype(np.float64) * self.unit
+            return np.full(np.broadcast_shapes(steps.shape, norm.shape), np.inf)
+        near = np.maximum(steps.astype(np.float64) - 2, 0) * (STEP * self.unit)
         return (norm + self.top - near * near) / 2 + 1e-9 * (norm + self.top) + 1e-6
 
+    def limit(self, floor: float, norm: float) -> int:
+        """The most steps with which a row can still reach ``floor``."""
+        near = norm + self.top - 2 * floor + 2e-9 * (norm + self.top) + 2e-6
+        if not np.isfinite(near):
+            return STEPS
+        return int(min(np.sqrt(max(near, 0)) / (STEP * self.unit) + 3, STEPS))
+
 
 def _prepare(t: Table):
     """Rows -> distances to the pivots, and the cell."""
@@ -126,7 +136,7 @@ def _prepare(t: Table):
             cell = d[:, : t.cells].argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(d.ravel()), d.shape[1]).cast(
-                    pa.list_(pa.float32())), pa.array(cell, pa.int32())], names=["id", "v", "d", "cell"])
+                    pa.list_(pa.int16())), pa.array(cell, pa.int32())], names=["id", "v", "d", "cell"])
     return run
 
 
@@ -143,7 +153,7 @@ def _ranges(batches):
         n, p = low.shape
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(cell[order][first], p), pa.int32()), pa.array(np.tile(np.arange(p), n), pa.int32()),
-             pa.array(low.ravel()), pa.array(high.ravel())], names=["cell", "pivot", "low", "high"])
+             pa.array(low.ravel(), pa.int32()), pa.array(high.ravel(), pa.int32())], names=["cell", "pivot", "low", "high"])
 
 
 def _cell_bounds(t: Table, low: np.ndarray, high: np.ndarray):
@@ -152,20 +162,25 @@ def _cell_bounds(t: Table, low: np.ndarray, high: np.ndarray):
         for batch in batches:
             q = matrix(batch.column(1), t.dim)
             d = t.distances(q, query=True)
-            bound, step = np.empty((len(q), len(low)), np.float32), max(1, AT_ONCE // low.size)
+            bound, step = np.empty((len(q), len(low)), np.int32), max(1, AT_ONCE // low.size)
             for a in range(0, len(q), step):
-                x = d[a : a + step, None]
+                x = d[a : a + step, None].astype(np.int32)
                 bound[a : a + step] = np.maximum(low[None] - x, x - high[None]).max(axis=2, initial=0)
             most = t.most(bound, np.square(q).sum(axis=1)[:, None])
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]) for a in (d, most)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists[0].cast(pa.list_(pa.float32())),
+                [batch.column(0), batch.column(1), lists[0].cast(pa.list_(pa.int16())),
                  lists[1].cast(pa.list_(pa.float64()))], names=["id", "v", "d", "most"])
     return run
 
 
 def _best(held, ids: np.ndarray, values: np.ndarray, k: int):
     """The k best of what is held and what is new: greater scores first, ties to the smaller id."""
+    if len(held[0]) == k:
+        ok = values >= held[1][-1]
+        ids, values = ids[ok], values[ok]
+    if not len(ids):
+        return held
     ids, values = np.r_[held[0], ids], np.r_[held[1], values]
     if len(ids) > 4 * k:
         ok = values >= np.partition(values, len(values) - k)[len(values) - k]
@@ -174,65 +189,87 @@ def _best(held, ids: np.ndarray, values: np.ndarray, k: int):
     return ids[order], values[order]
 
 
-def _search(t: Table, k: int, first: int):
+def _search(t: Table, k: int):
     """A block of rows (role 0) and its queries (role 1) -> the k best of every query, and how many rows it evaluated."""
     def run(key, table):
         table = table.combine_chunks()
         role = table.column("role").to_numpy()
         rows, queries = table.filter(pa.array(role == 0)), table.filter(pa.array(role == 1))
-        out = {c: [] for c in ("query_id", "vec_id", "score", "evaluated")}
+        out = {c: [np.empty(0, np.int64)] for c in ("query_id", "vec_id", "score", "evaluated")}
         if len(rows) and len(queries):
             x, q = (matrix(r.column("v").combine_chunks(), t.dim) for r in (rows, queries))
-            dx, dq = (r.column("d").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
-                      for r in (rows, queries))
+            dx, dq = (r.column("d").combine_chunks().flatten().to_numpy().reshape(len(r), -1) for r in (rows, queries))
+            norm, kind = np.square(q).sum(axis=1), exact_type(x, q)
+            if kind is not None:
+                x, q = x.astype(kind), q.astype(kind)
             ids = rows.column("id").fill_null(NO_ID).to_numpy()
-            floors = queries.column("floor").to_numpy(zero_copy_only=False)
-            columns, norm = np.ascontiguousarray(dx.T), (q * q).sum(axis=1)
-            step = max(1, AT_ONCE // len(x))
+            own, floors = queries.column("id").to_numpy(), queries.column("floor").to_numpy()
+            columns, step = np.ascontiguousarray(dx.T), max(1, AT_ONCE // len(x))
             for a in range(0, len(q), step):
-                bound = np.zeros((min(step, len(q) - a), len(x)), np.float32)
+                bounds = np.zeros((min(step, len(q) - a), len(x)), np.int16)
                 for p, column in enumerate(columns):
-                    np.maximum(bound, np.abs(column[None] - dq[a : a + step, p, None]), out=bound)
-                most = t.most(bound, norm[a : a + step, None])
-                for i, (qid, floor) in enumerate(zip(queries.column("id")[a : a + step].to_pylist(),
-                                                     floors[a : a + step].tolist()), start=a):
-                    got, n = _one(x, ids, q[i], most[i - a], qid, floor, k, first)
-                    out["query_id"].append(np.full(len(got[0]), qid))
-                    out["vec_id"].append(got[0])
-                    out["score"].append(got[1])
-                    out["evaluated"].append(np.r_[n, np.zeros(len(got[0]) - 1, np.int64)] if len(got[0]) else got[0])
-        whole = {c: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for c, v in out.items()}
+                    apart = column[None] - dq[a : a + step, p, None]
+                    np.maximum(bounds, np.abs(apart, out=apart), out=bounds)
+                some = [_Query(t, k, x, ids, bounds[i - a], q[i], own[i], norm[i], floors[i])
+                        for i in range(a, a + len(bounds))]
+                for one in some:
+                    one.go_on(len(x) // 2 if kind is not None else len(x))
+                rest = [one for one in some if len(one.left)]
+                if rest:
+                    for one, all_scores in zip(rest, (np.stack([one.q for one in rest]) @ x.T).astype(np.int64)):
+                        one.take(one.left, all_scores[one.left])
+                for one in some:
+                    n = len(one.held[0])
+                    out["query_id"].append(np.full(n, one.own))
+                    out["vec_id"].append(one.held[0])
+                    out["score"].append(one.held[1])
+                    out["evaluated"].append(np.r_[one.evaluated, np.zeros(n - 1, np.int64)] if n else one.held[0])
+        whole = {c: np.concatenate(v).astype(np.int64) for c, v in out.items()}
         return pa.table({"query_id": whole["query_id"], "vec_id": pa.array(whole["vec_id"], mask=whole["vec_id"] == NO_ID),
                          "score": whole["score"], "evaluated": whole["evaluated"]})
     return run
 
 
-def _one(x, ids, q, most, own, floor, k, first):
-    """The k best rows for one query, rows in bound order until the bound is under the k-th best score."""
-    at = np.flatnonzero(~(most < floor) & (ids != own))
-    at = at[np.argsort(-most[at], kind="stable")]
-    limits = most[at]
-    held, done, step = (np.empty(0, np.int64), np.empty(0, np.int64)), 0, first
-    while done < len(at) and not limits[done] < floor:
-        part = at[done : done + step]
-        held = _best(held, ids[part], scores(x[part], q), k)
-        done, step = done + len(part), 2 * step
-        if len(held[0]) == k:
-            floor = max(floor, float(held[1][-1]))
-    return held, done
+class _Query:
+    """One query in a block: the rows left, in bound order, and the k best so far."""
+
+    def __init__(self, t, k, x, ids, bounds, q, own, norm, floor):
+        self.t, self.k, self.x, self.ids, self.bounds, self.q, self.own, self.norm = t, k, x, ids, bounds, q, own, norm
+        self.floor, self.evaluated = floor, 0
+        self.held = np.empty(0, np.int64), np.empty(0, np.int64)
+        left = np.flatnonzero((bounds <= t.limit(floor, norm)) & (ids != own))
+        self.left = left[np.argsort(bounds[left], kind="stable")]
+
+    def take(self, rows, values):
+        self.evaluated += len(rows)
+        self.held = _best(self.held, self.ids[rows], values, self.k)
+        if len(self.held[0]) == self.k:
+            self.floor = max(self.floor, float(self.held[1][-1]))
+
+    def go_on(self, enough: int):
+        """Evaluate rows in bound order, until the next bound is too large or a step would take over ``enough`` rows."""
+        step = 8 * self.k
+        while len(self.left):
+            part = self.left[:step]
+            self.take(part, scores(self.x[part], self.q))
+            self.left = self.left[len(part) :]
+            ends = np.searchsorted(self.bounds[self.left], self.t.limit(self.floor, self.norm), side="right")
+            self.left, step = self.left[:ends], 4 * step
+            if min(step, len(self.left)) > enough:
+                return
 
 
 _FOUND = "query_id long, vec_id long, score long, evaluated long"
 
 
-def _grouped(rows: DataFrame, queries: DataFrame, t: Table, k: int, chunks: int, first: int) -> DataFrame:
+def _grouped(rows: DataFrame, queries: DataFrame, t: Table, k: int, chunks: int) -> DataFrame:
     """``rows(id, v, d, cell, block)`` and ``queries(id, v, d, floor, cell, block)`` through the kernel."""
     key = ["cell", "block", "chunk"]
     left = rows.select("id", "v", "d", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("role"), "cell", "block",
                        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     right = queries.select("id", "v", "d", "floor", F.lit(1).alias("role"), "cell", "block",
                            F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-    return left.unionByName(right).groupBy(*key).applyInArrow(_search(t, k, first), _FOUND)
+    return left.unionByName(right).groupBy(*key).applyInArrow(_search(t, k), _FOUND)
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str, scale: int, query: Column) -> DataFrame:
@@ -245,7 +282,7 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str, scale: int, query:
 
 
 def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           scale: int = SCALE, pivots: int = PIVOTS, block: int | None = None, chunk: int = QUERIES) -> DataFrame:
+           scale: int = SCALE, pivots: int = PIVOTS, block: int | None = None, chunk: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score, n_evaluated``: the k rows of greatest integer inner product of every query row.
 
     ``query`` says which rows are queries; ``n_evaluated`` is the number of rows whose score a query computed
@@ -260,7 +297,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     if not whole["n"]:
         return empty
     # 1: pivots, cells, blocks
-    block = block or min(max(whole["n"] // (4 * spark.sparkContext.defaultParallelism), BLOCK[0]), BLOCK[1])
+    slots = spark.sparkContext.defaultParallelism
+    block = block or min(max(whole["n"] // (4 * slots), BLOCK[0]), BLOCK[1])
     dim = max(int(whole["dim"]), 1)
     sample = rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(SAMPLE).collect()
     points = np.zeros((len(sample), dim))
@@ -269,28 +307,28 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     t = Table(np.empty((0, dim)), dim, float(whole["top"]))
     t.pivots = farthest_first(t._more(points), pivots)
     t.cells = max(1, min(len(t.pivots), whole["n"] // block))
-    fine = save(rows.select("id", "v").mapInArrow(_prepare(t), "id long, v array<double>, d array<float>, cell int")
+    fine = save(rows.select("id", "v").mapInArrow(_prepare(t), "id long, v array<double>, d array<smallint>, cell int")
                 .withColumn("row", F.monotonically_increasing_id()), "pivot-table")
-    ranges = fine.select("d", "cell").mapInArrow(_ranges, "cell int, pivot int, low float, high float").groupBy(
+    ranges = fine.select("d", "cell").mapInArrow(_ranges, "cell int, pivot int, low int, high int").groupBy(
         "cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
-    low = np.full((t.cells, len(t.pivots)), np.inf, np.float32)
-    high = np.full((t.cells, len(t.pivots)), -np.inf, np.float32)
+    low = np.full((t.cells, len(t.pivots)), STEPS, np.int32)  # no cell of rows: no block either
+    high = np.zeros((t.cells, len(t.pivots)), np.int32)
     for r in ranges:  # at most PIVOTS ^ 2
         low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"], r["high"]
     size = {r["cell"]: -(-r["count"] // block) for r in fine.groupBy("cell").count().collect()}
     blocks = F.array(*[F.lit(size.get(c, 0)) for c in range(t.cells)])
     dealt = fine.withColumn("block", F.pmod(F.xxhash64("row"), F.element_at(blocks, F.col("cell") + 1)).cast("int"))
     # 2: floors
-    asks = save(asks.mapInArrow(_cell_bounds(t, low, high), "id long, v array<double>, d array<float>, most array<double>"),
+    asks = save(asks.mapInArrow(_cell_bounds(t, low, high), "id long, v array<double>, d array<smallint>, most array<double>"),
                 "pivot-queries")
     n_asks = asks.count()
     if not n_asks:
         return empty
-    chunks = -(-n_asks // chunk)
+    chunks = -(-n_asks // (chunk or min(max(n_asks // slots, QUERIES[0]), QUERIES[1])))
     home = F.array_position("most", F.array_max(F.filter("most", lambda x, c: F.element_at(blocks, c + 1) > 0))) - 1
     one = asks.select("id", "v", "d", F.lit(float("-inf")).alias("floor"), home.cast("int").alias("cell")).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell") + 1)).cast("int"))
-    near = save(_grouped(dealt, one, t, k, chunks, 4 * k), "pivot-floors")
+    near = save(_grouped(dealt, one, t, k, chunks), "pivot-floors")
     floors = near.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
     # 3: every cell that the floor leaves
@@ -299,7 +337,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     left = asks.select("id", "v", "d", "floor", F.posexplode("most").alias("cell", "reaches")).where(
         "reaches >= floor").withColumn("n", F.element_at(blocks, F.col("cell") + 1)).where("n > 0")
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    found = _grouped(dealt, left, t, k, chunks, 4 * k)
+    found = _grouped(dealt, left, t, k, chunks)
     # 4: merge
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).withColumn(

@@ -264,6 +264,8 @@ def test_bounds_never_rule_out_a_neighbour():
     t = pivots.Table(np.empty((0, 8)), 8, float((x * x).sum(axis=1).max()))
     t.pivots = pivots.farthest_first(t._more(x[:100]), 32)
     dx, dq = t.distances(x), t.distances(x, query=True)
-    bound = np.abs(dq[:, None] - dx[None]).max(axis=2)
-    assert np.all(t.most(bound, (x * x).sum(axis=1)[:, None]) >= x @ x.T)
+    steps, norm, score = np.abs(dq[:, None] - dx[None]).max(axis=2), (x * x).sum(axis=1), x @ x.T
+    assert np.all(t.most(steps, norm[:, None]) >= score)
+    for q in range(100):  # a row that reaches a floor is within its limit
+        assert all(steps[q, i] <= t.limit(score[q, i], norm[q]) for i in range(500))
     assert len(np.unique(t.pivots, axis=0)) == 32
