@@ -35,19 +35,44 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 class HashOf(dict):
-    """Bounded memo: bytes -> 64-bit hash; emptied when full, so memory stays bounded."""
+    """Bounded memo: bytes -> 64-bit hash; emptied when full, long words not kept, so its bytes are bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000, longest: int = 64):
         super().__init__()
-        self.limit = limit
+        self.limit, self.longest = limit, longest
+        MEMOS.append(self)
+
+    def hash(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self.hash(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
 
+MEMOS: list[dict] = []  # of this worker
+
+
+def forget() -> None:
+    """Empty every memo of this worker."""
+    for memo in MEMOS:
+        memo.clear()
+
+
+def freeing(run):
+    """``run`` over the batches of a task; memos are emptied at its end, so that no worker carries them on."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = x ^ (x >> np.uint64(30))

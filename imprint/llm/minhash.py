@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.llm.common import HashOf, components, mix64, save
+from imprint.llm.common import HashOf, components, freeing, mix64, save
 
 WORDS = 5
 NUM, DEN = 75, 100  # linked from this similarity on
@@ -304,7 +304,7 @@ def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
     so that no pair of them is ruled out wrongly.
     """
     some = texts.join(ids.select(F.col("u").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    rows = save(some.select("doc_id", "text").mapInArrow(_shingles, "id long, s long, n long"), "minhash-shingles")
+    rows = save(some.select("doc_id", "text").mapInArrow(freeing(_shingles), "id long, s long, n long"), "minhash-shingles")
     alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy(
         "id").agg(F.count(F.lit(1)).alias("alone"))
     size = rows.groupBy("id").agg(F.min("n").alias("size"), F.count(F.lit(1)).alias("total"))
@@ -314,7 +314,7 @@ def _shared_shingles(ids: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = save(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hi long, set_lo long, "
+    sigs = save(docs.mapInArrow(freeing(_signatures), "doc_id long, n_shingles long, set_hi long, set_lo long, "
                                              "sig array<long>, bands array<long>"), "minhash-sigs")
     key = ["set_hi", "set_lo"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from imprint.llm.common import save
+from imprint.llm.common import freeing, save
 from imprint.llm.words import blocks, coder
 
 CAPACITY, END_ID = 2048, 0
@@ -135,7 +135,7 @@ def _place(tables, full: int, capacity: int):
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece with its sequence and place in it."""
     pieces = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                  .mapInArrow(_cut(path, capacity, end_id), _PIECE_SQL), "pieces")
+                  .mapInArrow(freeing(_cut(path, capacity, end_id)), _PIECE_SQL), "pieces")
     per = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("c"))
     before = per.select("part", "length", (F.sum("c").over(Window.partitionBy("length").orderBy("part"))
                                            - F.col("c")).alias("before"))

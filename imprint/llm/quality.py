@@ -1,6 +1,6 @@
 """Quality rules with suffix-array repetition (operator 4).
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text.  Per batch of documents one
+Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text.  Per slice of about 1 MB of documents one
 suffix array of words is built by prefix doubling in numpy (the first key holds the
 document, so nothing matches across documents; each round sorts only suffixes that
 still share a group), with the ranks of every round kept.  Neighbours' common
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imprint.llm.common import slices
+
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.30, 100
 BATCH_WORDS = 200_000
 
@@ -113,10 +115,11 @@ _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 def _rules(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x) for x in facts(batch.column(1).to_pylist()))],
-            names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words",
-                   "longest_repeat"])
+        for part in slices(batch, 1):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(x) for x in facts(part.column(1).to_pylist()))],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words",
+                       "longest_repeat"])
 
 
 def facts(texts: list[str | None]) -> list[np.ndarray]:
@@ -158,9 +161,10 @@ def facts(texts: list[str | None]) -> list[np.ndarray]:
 def _keep(at: int, max_covered: float, max_longest: int):
     def run(batches):
         for batch in batches:
-            n, _, _, _, three, cover, longest = facts(batch.column(at).to_pylist())
-            good = (n >= 50) & (100 * three <= 50 * n) & (cover <= max_covered * n) & (longest <= max_longest)
-            yield batch.filter(pa.array(good))
+            for part in slices(batch, at):
+                n, _, _, _, three, cover, longest = facts(part.column(at).to_pylist())
+                good = (n >= 50) & (100 * three <= 50 * n) & (cover <= max_covered * n) & (longest <= max_longest)
+                yield part.filter(pa.array(good))
     return run
 
 

@@ -1,6 +1,7 @@
-"""Repeated byte windows by a depth-limited radix sort of suffixes (operator 6).
+"""Repeated byte windows by depth-limited radix passes over suffixes, by hashed digits (operator 6).
 
-Every byte covered by a 200-byte string that starts at two or more places of the
+Digits are hashed, so groups are as a sort would make them, but in no order: only equal
+groups matter.  Every byte covered by a 200-byte string that starts at two or more places of the
 corpus is removed.  Suffixes need to be ordered only through 200 bytes, most
 significant digit first, and a pass drops every suffix that is alone in its group:
 
@@ -21,8 +22,8 @@ independent 64-bit hashes (the digit's and the whole piece's).  Only texts that
 picked with a bitmap of a fixed number of bits (a filter; the join stays exact).
 
 Defined cases: null text is empty; texts under 200 bytes are never cut; null
-doc_id and repeated rows are documents like others (a row is known by its id and
-the hash of its text).  Other columns are ignored.
+doc_id and repeated rows are documents like others (a row is known by 128 bits of
+hashes of its id and text, nulls apart).  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,9 +133,9 @@ def _runs(batches):
                           first - base, count, anchor - first, np.ones(len(first), np.int64))
 
 
-PIECE = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("did", pa.int64()), ("th", pa.int32()),
+PIECE = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("did", pa.int64()), ("th", pa.int64()),
                    ("first", pa.int32()), ("n", pa.int16()), ("o", pa.int16()), ("w", pa.int64())])
-_PIECE_SQL = "g long, s long, did long, th int, first int, n short, o short, w long"
+_PIECE_SQL = "g long, s long, did long, th long, first int, n short, o short, w long"
 
 
 def _pieces(*columns):
@@ -190,7 +191,7 @@ def _cut(batches):
         did, th, texts, lists = (batch.column(k).to_pylist() for k in range(4))
         out = [cut_spans((t or "").encode("utf-8", "surrogatepass"), x) for t, x in zip(texts, lists)]
         yield pa.RecordBatch.from_arrays([
-            pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array([x[0] for x in out], pa.binary()),
+            pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array([x[0] for x in out], pa.binary()),
             pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())],
             names=["did", "th", "kept", "n_removed", "n_spans"])
 
@@ -200,12 +201,14 @@ def only_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return mark(docs, marked, ["did", "th"]).where("_marked").drop("_marked")
 
 
-def _key(docs: DataFrame):
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.hash("text").alias("th")]
+def _key():
+    """A row's key: 128 bits of its id and text, nulls apart from all values."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text").cast("string")]
+    return [F.xxhash64(F.lit(17), *parts).alias("did"), F.xxhash64(F.lit(29), *parts).alias("th")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*_key(docs), F.col("text").cast("string").alias("text"))
+    return docs.select(*_key(), F.col("text").cast("string").alias("text"))
 
 
 def _pass(pieces: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +216,8 @@ def _pass(pieces: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     # written first: a join with a bare exchange on both sides lets Spark split a hot group
     often = save(pieces.groupBy("g").agg(F.sum("w").alias("c")).where("c > 1").select("g"), f"{name}-often")
     some = save(pieces.join(often, "g"), f"{name}-shared")
-    classes = some.groupBy("g", "s").agg(F.sum("w").alias("w"), F.min(F.struct("did", "th", "first", "n", "o")).alias("at"))
+    classes = save(some.groupBy("g", "s").agg(F.sum("w").alias("w"), F.min(F.struct("did", "th", "first", "n", "o")).alias(
+        "at")), f"{name}-classes")
     whole = some.where("w = 1").join(classes.where("w > 1").select("g", "s"), ["g", "s"]).select(
         "did", "th", "first", F.col("n").cast("int").alias("n"))
     split = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
@@ -242,10 +246,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = found.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     keys = keyed(docs)
     cut = only_marked(keys, found).dropDuplicates(["did", "th"]).join(lists, ["did", "th"]).select(
-        "did", "th", "text", "runs").mapInArrow(_cut, "did long, th int, kept binary, n_removed long, n_spans long")
+        "did", "th", "text", "runs").mapInArrow(_cut, "did long, th long, kept binary, n_removed long, n_spans long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       *_key(docs), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+                       *_key(), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     cut = cut.withColumn("cut_sha", F.sha2("kept", 256))
     return rows.join(cut, ["did", "th"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),

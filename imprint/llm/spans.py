@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from imprint.llm.common import HashOf, fresh, mark, mix64, save
+from imprint.llm.common import HashOf, freeing, fresh, mark, mix64, save
 
 SENTENCES, WORDS, LONG = 3, 12, 20
 WINDOW, ANCHOR = 50, 16
@@ -44,10 +44,8 @@ _MINV = np.uint64(pow(int(_M), -1, 1 << 64))
 class _Words(HashOf):
     """Hash of a word; its lowest bit tells whether the word closes a sentence."""
 
-    def __missing__(self, word):
-        h = (super().__missing__(word) & ~1) | (word[-1] in b".!?")
-        self[word] = h
-        return h
+    def hash(self, word):
+        return (super().hash(word) & ~1) | (word[-1] in b".!?")
 
 
 _WORDS = _Words()
@@ -221,7 +219,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     did, later_, flag, n_all, n_gone = (fresh(c, docs) for c in ("_did", "_later", "_marked", "n_sentences", "n_removed"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
     spans = save(docs.select(key.alias("did"), "text").mapInArrow(
-        _spans, "h long, did long, own boolean, anchor long"), "spans")
+        freeing(_spans), "h long, did long, own boolean, anchor long"), "spans")
     # written first, here and below: a join with a bare exchange on both sides lets Spark split a hot run
     seen = save(spans.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.min("anchor").alias("anchor")),
                 "spans-seen")
@@ -230,7 +228,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     some = save(seen.join(unlike, "anchor").groupBy(F.col("a").alias(did)).agg(F.collect_set("h").alias(later_)),
                 "spans-open")
     wide = mark(docs.select(key.alias(did), "text"), some, [did], flag).where(F.col(flag)).join(some, did)
-    windows = save(wide.select(did, "text", later_).mapInArrow(_open_windows, "h long, did long"), "spans-windows")
+    windows = save(wide.select(did, "text", later_).mapInArrow(freeing(_open_windows), "h long, did long"), "spans-windows")
     both = spans.select("h", "did").join(seen.where("a < b").select("h", "a"), "h")
     first = save(windows.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b")
                  .select("h", "a"), "spans-first")
@@ -243,5 +241,5 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                                            F.lit(0).cast("long").alias(n_gone))
     schema = T.StructType([*docs.schema.fields, T.StructField(n_all, T.LongType()), T.StructField(n_gone, T.LongType())])
     cut = rows.where(F.col(flag)).join(lists, did, "left").select(*docs.columns, later_).mapInArrow(
-        _drop(docs.columns.index("text"), schema.names), schema)
+        freeing(_drop(docs.columns.index("text"), schema.names)), schema)
     return same.unionByName(cut)

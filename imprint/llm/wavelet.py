@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from imprint.llm.common import save
+from imprint.llm.common import freeing, save
 from imprint.llm.words import blocks, coder
 
 BITS, WORD = 16, 512
@@ -192,7 +192,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return save(dealt.mapInArrow(_write(path, end_id, shard_tokens), _SHARD_SQL), "wavelet-shards")
+    return save(dealt.mapInArrow(freeing(_write(path, end_id, shard_tokens)), _SHARD_SQL), "wavelet-shards")
 
 
 def _read(batches):

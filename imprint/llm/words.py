@@ -11,15 +11,24 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 from imprint.llm.bpetrie import byte_letters
+from imprint.llm.common import MEMOS
 
 _ODD = bytes([*range(9), *range(14, 32), *range(127, 161)])
 _WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0250-\U0010ffff]")
 
 
+# marks that form one piece of their own after letters (an apostrophe may begin one with letters)
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+if sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 16-bit integers")
+
+
 def whole(text: str) -> bool:
     """Whether the ids of a text can't be put together from those of its words."""
     if "<|" in text:
@@ -34,8 +43,10 @@ def whole(text: str) -> bool:
 class WordIds(dict):
     """Lower-cased word -> its ids as little-endian uint16 bytes; new words are asked from the library."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 300_000, longest: int = 64):
         super().__init__()
+        MEMOS.append(self)
+        self.longest = longest
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,20 +56,35 @@ class WordIds(dict):
         self.limit = memo
         letter = {b: c for c, b in byte_letters().items()}
         self.letters = [letter[b] for b in range(256)]
-        self.mark = {m: self._ids(m) for m in ".,"}
+        if self.lib.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids of up to 16 bits are needed, it has {self.lib.get_vocab_size()}")
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, word: str) -> bytes:
+        """Ids of letters only, one piece: straight from the model, in its byte letters."""
+        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
+        return array("H", [t.id for t in self.lib.model.tokenize(letters)]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) >= 10_000:
+                self.tails.clear()
+            self.tails[marks] = self._ids(marks)
+        return self.tails[marks]
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():  # one piece: straight to the model, in its byte letters
-            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-            ids = np.array([t.id for t in self.lib.model.tokenize(letters)], "<u2").tobytes()
-        elif word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.mark[word[-1]]
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():
+            ids = self.get(stem) or self._piece(stem)
+            if len(stem) < len(word):
+                ids += self._tail(word[len(stem) :])
         else:
             ids = self._ids(word)
-        self[word] = ids
+        if len(word) <= self.longest:  # so that the memo's bytes are bounded
+            self[word] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
