@@ -29,12 +29,13 @@ def let(value, body) -> Column:
 
 
 def bits_to_hex(bits, nbits: int = 64) -> Column:
-    """Integer bit vector -> lower-case hex, MSB first, zero padded to nbits // 4 digits."""
+    """Integer bit vector -> lower-case hex, MSB first, zero padded to nbits // 4 digits.
+
+    Where nbits is no multiple of 4, bits beyond these digits make the string one digit longer if they are set.
+    """
     width = nbits // 4
     h = F.lower(F.hex(_c(bits)))
-    if nbits < 64:
-        h = F.substring(F.lpad(h, 16, "0"), 16 - width + 1, width)
-    return F.lpad(h, width, "0")
+    return F.when(F.length(h) >= width, h).otherwise(F.lpad(h, width, "0"))
 
 
 def bool_array_to_bits(flags) -> Column:
@@ -52,8 +53,15 @@ def bool_array_to_bits(flags) -> Column:
 HEX_DIGITS = "0123456789abcdef"
 
 
-def bool_array_to_hex(flags) -> Column:
-    """ARRAY<BOOLEAN> of any length divisible by 4 (first = most significant) -> lower-case hex."""
+def bool_array_to_hex(flags, nbits: int | None = None) -> Column:
+    """ARRAY<BOOLEAN> (first = most significant) -> lower-case hex, of ``nbits`` flags (any, but named, if no multiple of 4).
+
+    Zero padded to nbits // 4 digits, and one digit longer if bits beyond these are set.
+    """
+    if nbits is not None and nbits % 4:
+        padded = F.concat(F.array_repeat(F.lit(False), 4 - nbits % 4), _c(flags))
+        return F.regexp_replace(bool_array_to_hex(padded), "^0", "")
+
     def nib(f, j):
         v = F.lit(0)
         for i, w in enumerate((8, 4, 2, 1)):

@@ -60,7 +60,7 @@ def flags_to_hex(flags, nbits: int) -> Column:
     """Hex of a flag array: via one BIGINT up to 64 bits, nibble by nibble beyond."""
     if nbits <= 64:
         return bits_to_hex(bool_array_to_bits(flags), nbits)
-    return bool_array_to_hex(flags)
+    return bool_array_to_hex(flags, nbits)
 
 
 def average_hash(px, hash_size: int = 8) -> Column:

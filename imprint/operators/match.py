@@ -5,14 +5,14 @@ self-pairs included — gets the normalised Hamming distance; n hashes give
 n(n+1)/2 rows.  There is no distance cut-off.
 
 The only equi key is the method (a handful of values), so a plain join would
-put a whole method in one task.  Two physical shapes, picked from the row
-counts per method (one small aggregate):
-
-* ``broadcast`` — while all hashes fit ``broadcast_max_rows`` (about 32 bytes
-  each as join rows), the probe side is spread round-robin over many tasks and
-  the build side is broadcast.  No shuffle of pairs, no skew: every task sees
-  the same share of probe rows.
-* ``blocks`` — beyond that, each method's hashes are hashed into B blocks and
+put a whole method in one task.  Two physical shapes, named by the caller; the
+rows never choose:
+
+* ``broadcast`` — for tables that the caller knows to be small: the probe side is
+  spread round-robin over many tasks and the build side is broadcast.  No shuffle
+  of pairs, no skew: every task sees the same share of probe rows.  More than
+  ``broadcast_max_bytes`` of join rows raise.
+* ``blocks`` (the default) — each method's hashes are hashed into B blocks and
   each block pair (i <= j) becomes its own join key ``(method, i, j)``: a row of
   block b is sent as left to (b, j >= b) and as right to (i <= b, b), so it is
   replicated B + 1 times and every block pair holds about (n/B)^2 pairs.  B is
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from imprint.functions.bits import assert_equal_lengths, hex_to_bits, hex_to_words, words_bit_count
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 TARGET_PAIRS_PER_TASK = 20_000_000  # broadcast shape
 BLOCK_PAIRS = 10_000_000_000  # pairs of a block pair: blocks of about 100,000 rows, which fit a task's memory
 PARTITIONS_PER_SLOT = 32  # most partitions that the block pairs are dealt to, whatever their number
@@ -86,25 +86,34 @@ def bit_diff(b1, b2, wide: bool = False):
 
 
 def plan_match(hashes: DataFrame, method_col: str = "hashing_method_id", hash_col: str = "hash",
-               shape: str = "auto", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-               target_pairs_per_task: int | None = None, id_col: str = "id") -> MatchPlan:
-    """Decide the physical shape from per-method row counts (one row per method reaches the driver)."""
+               shape: str = "blocks", broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
+               target_pairs_per_task: int | None = None, id_col: str = "id", carry: tuple[str, ...] = ()) -> MatchPlan:
+    """Partitions and blocks of a shape from per-method row counts (one row per method reaches the driver)."""
+    if shape not in ("blocks", "broadcast"):
+        raise ValueError(f"shape is 'blocks' or 'broadcast', not {shape!r}")
     stats = assert_equal_lengths(hashes, method_col, hash_col, id_col).collect()
     counts = {r[method_col]: (int(r["n"]), int(r["nbits"])) for r in stats}
     id_range = (min((int(r["min_id"]) for r in stats), default=0), max((int(r["max_id"]) for r in stats), default=0))
     max_ids = {r[method_col]: int(r["max_id"]) for r in stats}
     total = sum(n for n, _ in counts.values())
     slots = max(hashes.sparkSession.sparkContext.defaultParallelism, 1)
-    if shape == "auto":
-        shape = "broadcast" if total <= broadcast_max_rows else "blocks"
     pairs = sum(n * (n + 1) // 2 for n, _ in counts.values())
     if shape == "broadcast":
+        wide = max((nb for _, nb in counts.values()), default=64)
+        size = total * (24 + max(8, wide // 8) + sum(_width(hashes.schema[c].dataType) for c in carry))
+        if size > broadcast_max_bytes:
+            raise ValueError(f"about {size} bytes of {total} hashes are too many to broadcast; use shape='blocks'")
         parts = max(slots * 2, math.ceil(pairs / (target_pairs_per_task or TARGET_PAIRS_PER_TASK)))
         return MatchPlan("broadcast", counts, {}, parts, id_range, max_ids)
     blocks, parts = plan_blocks(counts, slots, target_pairs_per_task or BLOCK_PAIRS)
     return MatchPlan("blocks", counts, blocks, parts, id_range, max_ids)
 
 
+def _width(kind) -> int:
+    """Bytes of a carried value in a join row, by its type's default size (strings and arrays: their estimate)."""
+    return {"integer": 8, "long": 8, "boolean": 8, "double": 8}.get(kind.typeName(), 64)
+
+
 def plan_blocks(counts: dict, slots: int, target_pairs: int = BLOCK_PAIRS) -> tuple[dict, int]:
     """Blocks per method and the partition count: one per block pair, up to ``PARTITIONS_PER_SLOT`` a slot."""
     blocks = {}
@@ -142,7 +151,7 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
     ``carry`` columns of the input (e.g. image ids) come out suffixed ``1``/``2``;
     ``with_bits`` adds ``distance_bits`` (the integer count of differing bits).
     """
-    plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, **plan_kw)
+    plan = plan or plan_match(hashes, method_col, hash_col, id_col=id_col, carry=carry, **plan_kw)
     rows = prepare(hashes, id_col, method_col, hash_col, carry, wide=plan.wide)
     nbits = _nbits_expr({m: nb for m, (_, nb) in plan.counts.items()})
 
@@ -191,13 +200,11 @@ def match_pairs(hashes: DataFrame, plan: MatchPlan | None = None, id_col: str =
 
 
 def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col: str = "hashing_method_id",
-                    hash_col: str = "hash", broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                    target_pairs_per_task: int | None = None) -> DataFrame:
+                    hash_col: str = "hash", target_pairs_per_task: int | None = None) -> DataFrame:
     """All pairs between two disjoint hash sets of the same method (new x old of an incremental run).
 
-    Pairs come out as (least(id), greatest(id)).  The smaller side is broadcast
-    while it fits ``broadcast_max_rows``; otherwise both sides are cut into
-    blocks (Ba x Bb grid per method, each row replicated to one grid row or column).
+    Pairs come out as (least(id), greatest(id)).  Both sides are cut into blocks
+    (Ba x Bb grid per method, each row replicated to one grid row or column).
     """
     st_a = assert_equal_lengths(a, method_col, hash_col).collect()
     st_b = assert_equal_lengths(b, method_col, hash_col).collect()
@@ -210,29 +217,30 @@ def match_rectangle(a: DataFrame, b: DataFrame, id_col: str = "id", method_col:
     wide = any(nb > 64 for nb in widths.values())
     ra, rb = prepare(a, id_col, method_col, hash_col, wide=wide), prepare(b, id_col, method_col, hash_col, wide=wide)
     slots = max(a.sparkSession.sparkContext.defaultParallelism, 1)
-    na, nb = sum(sa.values()), sum(sb.values())
-    if min(na, nb) <= broadcast_max_rows:
-        big, small = (ra, rb) if na >= nb else (rb, ra)
-        pairs_total = sum(sa.get(m, 0) * sb.get(m, 0) for m in sa)
-        parts = max(slots * 2, math.ceil(pairs_total / (target_pairs_per_task or TARGET_PAIRS_PER_TASK)))
-        l = big.repartition(parts).select(F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m")
-        r = small.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m")
-        j = l.join(F.broadcast(r), "m")
-    else:
-        side = math.sqrt(float(target_pairs_per_task or BLOCK_PAIRS))
-        grid = {m: (max(1, math.ceil(sa[m] / side)), max(1, math.ceil(sb.get(m, 0) / side))) for m in sa}
-        ga = F.create_map(*[x for m, (ba, _) in grid.items() for x in (F.lit(m), F.lit(ba))])
-        gb = F.create_map(*[x for m, (_, bb) in grid.items() for x in (F.lit(m), F.lit(bb))])
-        parts = max(1, min(sum(ba * bb for ba, bb in grid.values()), slots * PARTITIONS_PER_SLOT))
-        l = ra.select("*", F.pmod(F.xxhash64("id"), F.element_at(ga, F.col("m"))).cast("int").alias("bi"),
-                      F.explode(F.sequence(F.lit(0), F.element_at(gb, F.col("m")) - 1)).alias("bj"))
-        r = rb.select("*", F.explode(F.sequence(F.lit(0), F.element_at(ga, F.col("m")) - 1)).alias("bi"),
-                      F.pmod(F.xxhash64("id"), F.element_at(gb, F.col("m"))).cast("int").alias("bj"))
-        l = l.repartition(parts, "m", "bi", "bj").select(
-            F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m", "bi", "bj")
-        r = r.repartition(parts, "m", "bi", "bj").select(
-            F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m", "bi", "bj")
-        j = l.join(r, ["m", "bi", "bj"])
+    side = math.sqrt(float(target_pairs_per_task or BLOCK_PAIRS))
+    grid = {}
+    for m in sa:
+        ba, bb = max(1, math.ceil(sa[m] / side)), max(1, math.ceil(sb.get(m, 0) / side))
+        while ba * bb < slots * 4 and (ba < sa[m] or bb < sb.get(m, 0)):  # enough of the grid for every slot
+            if bb >= sb.get(m, 0) or (ba < sa[m] and sa[m] * bb >= sb.get(m, 0) * ba):
+                ba += 1
+            else:
+                bb += 1
+        grid[m] = (ba, bb)
+    if not grid:
+        grid = {-1: (1, 1)}
+    ga = F.create_map(*[x for m, (ba, _) in grid.items() for x in (F.lit(m), F.lit(ba))])
+    gb = F.create_map(*[x for m, (_, bb) in grid.items() for x in (F.lit(m), F.lit(bb))])
+    parts = max(1, min(sum(ba * bb for ba, bb in grid.values()), slots * PARTITIONS_PER_SLOT))
+    l = ra.select("*", F.pmod(F.xxhash64("id"), F.element_at(ga, F.col("m"))).cast("int").alias("bi"),
+                  F.explode(F.sequence(F.lit(0), F.element_at(gb, F.col("m")) - 1)).alias("bj"))
+    r = rb.select("*", F.explode(F.sequence(F.lit(0), F.element_at(ga, F.col("m")) - 1)).alias("bi"),
+                  F.pmod(F.xxhash64("id"), F.element_at(gb, F.col("m"))).cast("int").alias("bj"))
+    l = l.repartition(parts, "m", "bi", "bj").select(
+        F.col("id").alias("id1"), F.col("bits").alias("bits1"), "m", "bi", "bj")
+    r = r.repartition(parts, "m", "bi", "bj").select(
+        F.col("id").alias("id2"), F.col("bits").alias("bits2"), "m", "bi", "bj")
+    j = l.join(r, ["m", "bi", "bj"])
     return j.select(
         F.least("id1", "id2").alias("hash_id1"), F.greatest("id1", "id2").alias("hash_id2"),
         (bit_diff("bits1", "bits2", wide).cast("double") / _nbits_expr(widths)).alias("hamming_distance"),

@@ -99,6 +99,11 @@ def to_grey(rgb: np.ndarray) -> np.ndarray:
     return ((x[:, :, 0] * 19595 + x[:, :, 1] * 38470 + x[:, :, 2] * 7471 + 32768) >> 16).astype(np.uint8)
 
 
+def bits_hex(bits: int, nbits: int) -> str:
+    """A bit string as hex, most significant bit first: nbits // 4 digits, or one more where bits beyond need it."""
+    return format(bits, f"0{nbits // 4}x")
+
+
 def content_digest(pixels: np.ndarray) -> str:
     """blake2b over the raw pixel bytes (RGB order) followed by the mode name; size is not included."""
     c = 1 if pixels.ndim == 2 else pixels.shape[2]
@@ -176,7 +181,7 @@ def raster_fingerprints(variants: DataFrame, id_col: str = "modified_image_id")
                 grey = to_grey(arr)
                 for mid, meth in methods:
                     bits = meth.raster(grey)
-                    out.append((vid, mid, format(bits, f"0{meth.nbits // 4}x")))
+                    out.append((vid, mid, bits_hex(bits, meth.nbits)))
             yield pd.DataFrame(out, columns=["modified_image_id", "hashing_method_id", "hash"])
 
     return src.mapInPandas(run, HASH_SCHEMA)
@@ -228,12 +233,65 @@ def raster_hashes(images: DataFrame, image_col: str = "image", keys: tuple[str,
                     digest = content_digest(v)
                     grey = to_grey(v)
                     for hid, meth in methods:
-                        out.append(rec + (mid, digest, hid, format(meth.raster(grey), f"0{meth.nbits // 4}x"), True))
+                        out.append(rec + (mid, digest, hid, bits_hex(meth.raster(grey), meth.nbits), True))
             yield pd.DataFrame(out, columns=names)
 
     return src.mapInPandas(run, schema)
 
 
+def from_bytes(data: bytes, h: int, w: int, c: int) -> np.ndarray:
+    """Stored pixels (RGB(A) or grey order) -> (H, W[, C])."""
+    arr = np.frombuffer(data, dtype=np.uint8)
+    return arr.reshape(h, w) if c == 1 else arr.reshape(h, w, c)
+
+
+PIXEL_FIELDS = [
+    T.StructField("modification_id", T.IntegerType()),
+    T.StructField("digest", T.StringType()),
+    T.StructField("height", T.IntegerType()),
+    T.StructField("width", T.IntegerType()),
+    T.StructField("n_channels", T.IntegerType()),
+    T.StructField("hashes", T.ArrayType(T.StructType([T.StructField("hashing_method_id", T.IntegerType()),
+                                                      T.StructField("hash", T.StringType())]))),
+    T.StructField("data", T.BinaryType()),
+    T.StructField("valid", T.BooleanType()),
+]
+
+
+def raster_pixels(images: DataFrame, image_col: str = "image", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """J1 + J2 + S4 in the one decode pass: per variant its digest, its hashes and its pixels.
+
+    Meant to be written as it is: with the pixels in a column of their own, later steps read the narrow columns
+    only, and no exchange ever carries ``data``.  An undecodable image gives one row with ``valid = false``.
+    """
+    from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
+
+    mods = [(MODIFICATIONS.ids()[n], m) for n, m in MODIFICATIONS.items()]
+    methods = [(HASHING_METHODS.ids()[n], m) for n, m in HASHING_METHODS.items()]
+    src = images.select(*keys, F.col(f"{image_col}.height").alias("_h"), F.col(f"{image_col}.width").alias("_w"),
+                        F.col(f"{image_col}.nChannels").alias("_c"), F.col(f"{image_col}.data").alias("_data"))
+    schema = T.StructType([f for f in src.schema.fields if f.name in keys] + PIXEL_FIELDS)
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rec, h, w, c, data in zip(pdf[list(keys)].itertuples(index=False, name=None),
+                                          pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"]):
+                if h is None or int(h) <= 0:
+                    yield pd.DataFrame([rec + (None,) * 7 + (False,)], columns=names)
+                    continue
+                out = []
+                rgb = to_rgb(data, int(h), int(w), int(c))
+                for mid, mod in mods:
+                    v = np.ascontiguousarray(mod.raster(rgb))
+                    grey = to_grey(v)
+                    found = [{"hashing_method_id": hid, "hash": bits_hex(m.raster(grey), m.nbits)} for hid, m in methods]
+                    out.append(rec + (mid, content_digest(v), v.shape[0], v.shape[1], int(c), found, v.tobytes(), True))
+                yield pd.DataFrame(out, columns=names)
+
+    return src.mapInPandas(run, schema)
+
+
 # ---- batch kernels: many same-size grids at once (N, H, W) -------------------------------------
 
 def resize_batch(grids: np.ndarray, out_w: int, out_h: int) -> np.ndarray:
@@ -249,16 +307,11 @@ def resize_batch(grids: np.ndarray, out_w: int, out_h: int) -> np.ndarray:
 
 
 def flags_hex(flags: np.ndarray) -> list[str]:
-    """(N, nbits) booleans, MSB first -> hex strings of nbits // 4 digits (any nbits divisible by 4)."""
+    """(N, nbits) booleans, MSB first -> hex strings."""
     n = flags.shape[1]
     pad = (-n) % 8
     packed = np.packbits(flags.astype(np.uint8), axis=1)
-    width = n // 4
-    out = []
-    for row in packed:
-        v = int.from_bytes(row.tobytes(), "big") >> pad
-        out.append(format(v, f"0{width}x"))
-    return out
+    return [bits_hex(int.from_bytes(row.tobytes(), "big") >> pad, n) for row in packed]
 
 
 def average_bits_batch(grids: np.ndarray) -> np.ndarray:

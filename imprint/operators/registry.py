@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,7 @@ class Registry:
         return spark.createDataFrame([(i, n) for n, i in self.ids().items()], schema)
 
 
+RAGGED_PIXELS = 1 << 20  # pixels that one call of a batch kernel holds
 MODIFICATIONS = Registry("modification")
 HASHING_METHODS = Registry("hashing method")
 
@@ -168,19 +169,22 @@ def method_frame(spark: SparkSession) -> DataFrame:
     return HASHING_METHODS.frame(spark)
 
 
-def grid_variants(images: DataFrame, width: int, height: int, px_col: str = "px",
-                  limit: int | None = None) -> DataFrame:
+def grid_variants(images: DataFrame, width, height, px_col: str = "px",
+                  limit: int | None = None, registry: Registry | None = None) -> DataFrame:
     """J1 fan-out in one pass: one row per (image, registered modification), Column form.
 
     The registry is a handful of entries, so the fan-out is an ``inline`` of a
     literal-sized array per row: no join, no shuffle, the grid is read once.
-    ``limit`` caps the variants per image in registry order (L3; default none).
+    ``width`` and ``height`` are numbers or Columns.  ``limit`` caps the variants per image in
+    registry order (L3; default none).  ``registry``: other modifications than the global ones.
     """
+    registry = registry or MODIFICATIONS
+    size = [x if isinstance(x, Column) else F.lit(x) for x in (width, height)]
     structs = []
-    for name, mod in MODIFICATIONS.items()[:limit]:
-        px, w, h = mod.grid(F.col(px_col), F.lit(width), F.lit(height))
+    for name, mod in registry.items()[:limit]:
+        px, w, h = mod.grid(F.col(px_col), *size)
         structs.append(F.struct(
-            F.lit(MODIFICATIONS.ids()[name]).alias("modification_id"),
+            F.lit(registry.ids()[name]).alias("modification_id"),
             px.alias("vpx"), w.cast("int").alias("vwidth"), h.cast("int").alias("vheight"),
         ))
     rest = [c for c in images.columns if c != px_col]
@@ -201,6 +205,40 @@ def batch_hash_udf(method, width: int, height: int):
     return run
 
 
+def ragged_hash_udf(method):
+    """Arrow-batched fingerprint of grey grids of any sizes ``(px, width, height)``: one numpy call per size in a batch."""
+    from imprint.operators.raster import flags_hex
+
+    @F.pandas_udf("string")
+    def run(px: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        out = np.empty(len(px), dtype=object)
+        size = width.to_numpy().astype(np.int64) << 32 | height.to_numpy().astype(np.int64)
+        for one in np.unique(size):
+            at = np.flatnonzero(size == one)
+            w, h = int(one >> 32), int(one & 0xFFFFFFFF)
+            step = max(1, RAGGED_PIXELS // max(w * h, 1))
+            for a in range(0, len(at), step):
+                rows = at[a:a + step]
+                grids = np.stack(px.to_numpy()[rows]).astype(np.int64).reshape(len(rows), h, w)
+                out[rows] = flags_hex(method.batch(grids))
+        return pd.Series(out)
+
+    return run
+
+
+def ragged_fingerprints(variants: DataFrame, px_col: str = "vpx", methods: Registry | None = None) -> DataFrame:
+    """J2 fan-out for grids of any sizes (columns ``vwidth``/``vheight``), found at run time: nothing is listed.
+
+    One row per (variant, hashing method); a grid whose pixels don't fit its size raises in the kernel.
+    """
+    methods = methods or HASHING_METHODS
+    size = [F.col("vwidth"), F.col("vheight")]
+    structs = [F.struct(F.lit(methods.ids()[name]).alias("hashing_method_id"),
+                        ragged_hash_udf(method)(F.col(px_col), *size).alias("hash")) for name, method in methods.items()]
+    rest = [c for c in variants.columns if c != px_col]
+    return variants.select(*rest, F.inline(F.array(*structs)))
+
+
 def grid_fingerprints(variants: DataFrame, sizes, px_col: str = "vpx", engine: str = "arrow") -> DataFrame:
     """J2 fan-out: one row per (variant, registered hashing method).
 

@@ -11,9 +11,9 @@
 4. undecodable files go to a quarantine output instead of failing a stage.
 
 ``match_new`` is the separate match step: hashes above the per-method
-watermark (the largest ``hash_id2`` already in ``matches``) are paired with
+watermark (the largest id that a committed run covered) are paired with
 every earlier hash and with each other, so a rerun adds only new pairs and a
-crash between stages is repaired by the next run.
+run that was cut off, between stages or within one, is redone by the next.
 
 ``ingest_stream`` runs the same batch function as ``foreachBatch`` over a
 file stream with ``maxFilesPerTrigger`` (bounded batches, checkpointed).
@@ -21,20 +21,23 @@ file stream with ``maxFilesPerTrigger`` (bounded batches, checkpointed).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.operators import match as M
-from imprint.operators.raster import raster_hashes, raster_variants
+from imprint.operators.raster import from_bytes, raster_hashes, raster_pixels
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
-from imprint.operators.tables import first_by_key, insert_or_ignore, lookup_id
+from imprint.operators.tables import first_by_key, insert_or_ignore, lookup_id, new_rows
 from imprint.session import materialise
 from imprint.sources.images import read_images, split_valid, stream_images
 from imprint.sources.paths import content_path
 from imprint.sources.store import Store
 
+PIXELS, RASTERS = "variant_pixels", "variant_rasters"  # pixels by batch, and the index that makes them count
+
 
 @dataclass
 class BatchResult:
@@ -62,8 +65,17 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
 
     store.init(MODIFICATIONS.names(), HASHING_METHODS.names())
     quarantined = Observation("quarantined")
-    rows = materialise(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True), "batch-rows",
-                       quarantined, F.sum(F.when(~F.col("valid"), 1).otherwise(0)).alias("bad"))
+    bad = F.sum(F.when(~F.col("valid"), 1).otherwise(0)).alias("bad")
+    if store_rasters:
+        pixels = uuid.uuid4().hex
+        (raster_pixels(images, keys=("path", "user_name")).observe(quarantined, bad).write.mode("overwrite")
+         .parquet(f"{store.path(PIXELS)}/batch={pixels}"))
+        rows = _pixel_rows(spark, store, pixels).select(
+            "path", "user_name", "valid", "modification_id", "digest", F.explode_outer("hashes").alias("h")).select(
+            "*", "h.hashing_method_id", "h.hash").drop("h")
+    else:
+        rows = materialise(raster_hashes(images, keys=("path", "user_name"), keep_invalid=True), "batch-rows",
+                           quarantined, bad)
     files = rows.select("path", "user_name").distinct()
 
     # load: users (get-or-create by name), then every file on its path, ids in path order
@@ -107,30 +119,60 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     keys = ["modified_image_id", "hashing_method_id", "hash"]
     n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
     if store_rasters:
-        write_variant_rasters(store, images, batch_images, stored.join(ok.select("vpath").distinct(), "vpath"))
+        index_rasters(store, pixels, batch_images, stored)
     return BatchResult(n_images, n_mod, n_hashes, int(quarantined.get.get("bad") or 0))
 
 
-def write_variant_rasters(store: Store, images: DataFrame, batch_images: DataFrame, stored: DataFrame) -> None:
-    """Pixels of this batch's stored variants not yet in the raster table, keyed by content path.
+def _pixel_rows(spark: SparkSession, store: Store, batch: str) -> DataFrame:
+    """What the decode pass of one batch wrote."""
+    return spark.read.parquet(f"{store.path(PIXELS)}/batch={batch}")
+
 
-    Opt-in, because it decodes the batch a second time; only narrow keys are
-    joined after the raster pass, and paths already written are skipped.
+def index_rasters(store: Store, batch: str, batch_images: DataFrame, stored: DataFrame) -> None:
+    """S4, second phase: one index row per stored variant of the batch that has none yet.
+
+    The decode pass wrote the pixels, in the files of its tasks, with everything else that it found out; which
+    variant won its content path is settled on narrow rows.  A row of the index makes its pixels count; pixels
+    without one (exact copies, a batch cut off before this) are never read.
     """
-    src = images.join(batch_images, "path")
-    pix = raster_variants(src)
-    mods = _registry_map(store.spark, store, MODIFICATIONS, "modifications", "mod_id")
-    pix = pix.join(mods, pix.modification_id == F.col("reg_id")).drop("reg_id", "modification_id") \
-        .withColumnRenamed("mod_id", "modification_id")
-    keep = stored.select(F.col("vpath").alias("path"), "image_id", "modification_id")
-    out = pix.join(keep, ["image_id", "modification_id"]).select("path", "height", "width", "n_channels", "data")
-    target = store.path("variant_rasters")
-    jvm = store.spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(target)
-    if folder.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        stored_paths = store.spark.read.schema(out.schema).parquet(target).select("path")
-        out = out.join(stored_paths, "path", "left_anti")
-    out.write.mode("append").parquet(target)
+    spark = store.spark
+    mods = _registry_map(spark, store, MODIFICATIONS, "modifications", "mod_id")
+    made = _pixel_rows(spark, store, batch).where("valid").select(
+        F.col("path").alias("image_path"), F.col("modification_id").alias("reg_id"), "height", "width", "n_channels")
+    made = made.join(mods, "reg_id").join(batch_images.withColumnRenamed("path", "image_path"), "image_path")
+    won = made.join(stored.select(F.col("vpath").alias("path"), "image_id", F.col("modification_id").alias("mod_id")),
+                    ["image_id", "mod_id"])
+    rows = won.select("path", F.lit(batch).alias("batch"), "image_path", "reg_id", "height", "width", "n_channels")
+    if store._exists(RASTERS):
+        rows = new_rows(rows, store.spark.read.parquet(store.path(RASTERS)), ["path"])
+    rows.write.mode("append").parquet(store.path(RASTERS))
+
+
+def map_rasters(store: Store, run, schema: str) -> DataFrame:
+    """``run(path of the image, modification, pixels) -> columns`` over all stored variants, with their index rows.
+
+    The function runs where the pixels are read; only its narrow result meets the index.
+    """
+    spark = store.spark
+    pixels = spark.read.parquet(store.path(PIXELS)).where("valid").select(
+        "batch", F.col("path").alias("image_path"), F.col("modification_id").alias("reg_id"), "height", "width",
+        "n_channels", "data")
+    out = pixels.mapInPandas(_over_pixels(run, schema), f"batch string, image_path string, reg_id int, {schema}")
+    return spark.read.parquet(store.path(RASTERS)).join(out, ["batch", "image_path", "reg_id"])
+
+
+def _over_pixels(run, schema: str):
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def whole(batches):
+        for pdf in batches:
+            done = [run(from_bytes(d, int(h), int(w), int(c)))
+                    for h, w, c, d in zip(pdf.height, pdf.width, pdf.n_channels, pdf.data)]
+            out = pdf[["batch", "image_path", "reg_id"]].copy()
+            for i, name in enumerate(names):
+                out[name] = [x[i] for x in done]
+            yield out
+    return whole
 
 
 def quarantine(images: DataFrame) -> DataFrame:
@@ -145,12 +187,16 @@ def ingest_folder(spark: SparkSession, store: Store, image_root: str, variant_ro
 
 
 def ingest_stream(spark: SparkSession, store: Store, image_root: str, variant_root: str, checkpoint: str,
-                  max_files: int = 10, available_now: bool = True):
-    """The same batch function over a bounded file stream; returns the started query."""
+                  max_files: int = 10, available_now: bool = True, store_rasters: bool = False):
+    """The same batch function over a bounded file stream; returns the started query.
+
+    Every micro-batch leaves its outcome and its number of new hashes in the store's run log.
+    """
     stream = stream_images(spark, image_root, max_files)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(batch.sparkSession, store, batch, variant_root)
+        with store.log().run("ingest", epoch_id) as done:
+            done(ingest_batch(batch.sparkSession, store, batch, variant_root, store_rasters).hashes)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -159,13 +205,18 @@ def ingest_stream(spark: SparkSession, store: Store, image_root: str, variant_ro
 
 def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     """T5 + J3 + J7g: pair every hash above its method's watermark with all hashes up to it and
-    with each other (self-pairs included); append; return the number of new pairs (A3).
+    with each other (self-pairs included); return the number of new pairs (A3).
 
-    The watermark comes from the ``upto`` partition folders of ``matches`` (a
-    listing, not a scan); each run writes its pairs under ``upto`` = the largest
-    hash id it covered, in one job commit, so a failed run leaves no folder and
-    is simply redone.
+    The watermark is the store's commit manifest: the pairs are written first, replacing whatever a run that was
+    cut off left behind the same watermark, and the manifest row makes them count.
     """
+    with store.log().run("match") as done:
+        n = _match_new(spark, store, **plan_kw)
+        done(n)
+    return n
+
+
+def _match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     wm = store.match_watermarks()
     hashes = store.read("hashes").select("id", "hash", "hashing_method_id")
     marks = spark.createDataFrame([(m, w) for m, w in wm.items()] or [(-1, -1)], "hashing_method_id int, wm long")
@@ -178,7 +229,6 @@ def match_new(spark: SparkSession, store: Store, **plan_kw) -> int:
     upto = plan.max_ids
     if not upto:
         return 0
-    pairs = M.match_pairs(new, plan=plan).unionByName(M.match_rectangle(new, old))
-    upto_col = F.element_at(F.create_map(*[x for m, u in upto.items() for x in (F.lit(m), F.lit(u))]),
-                            F.col("hashing_method_id"))
-    return store.append("matches", pairs.withColumn("upto", upto_col))
+    counts = store.write_matches(M.match_pairs(new, plan=plan).unionByName(M.match_rectangle(new, old)), upto)
+    store.commit_matches(upto, counts)
+    return sum(counts.values())

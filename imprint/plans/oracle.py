@@ -10,7 +10,7 @@ from __future__ import annotations
 from imprint.functions.hashing import dct_basis
 from imprint.functions.resample import PRECISION_BITS, padded
 from imprint.plans.queries import (
-    BACKLOG_SIZE, BACKLOG_START, LOOKUP_ID, LOOKUP_METHOD, NEAR_BITS, PAGE_SIZE, PAGE_START,
+    BACKLOG_SIZE, BACKLOG_START, LOOKUP_ID, LOOKUP_METHOD, NEAR_BITS, NEAREST_K, ODD_SIDE, PAGE_SIZE, PAGE_START,
 )
 
 PX = "CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.5) * 255), 0), 255) AS INTEGER)"
@@ -30,6 +30,21 @@ def hex_sql(f: str) -> str:
     return f"array_to_string(list_transform(range(16), lambda j: substr('0123456789abcdef', 1 + {nib}, 1)), '')"
 
 
+def hex_any_sql(f: str, n: int) -> str:
+    """n booleans (MSB first) -> n // 4 hex digits, or one more if the bits beyond these are set."""
+    pad = -n % 4
+    bits = f"list_concat([{','.join(['false'] * pad)}], {f})" if pad else f
+    nib = " + ".join(f"{w} * CAST(({bits})[4 * j + {i + 1}] AS INTEGER)" for i, w in enumerate((8, 4, 2, 1)))
+    text = (f"array_to_string(list_transform(range({(n + pad) // 4}), "
+            f"lambda j: substr('0123456789abcdef', 1 + {nib}, 1)), '')")
+    return f"regexp_replace({text}, '^0', '')" if pad else text
+
+
+def crop_sql(p: str, n: int) -> str:
+    d, m = n // 8, n - 2 * (n // 8)
+    return f"list_transform(range({m * m}), lambda k: {p}[(k // {m} + {d}) * {n} + k % {m} + {d} + 1])"
+
+
 def avg_flags_sql(p: str) -> str:
     return f"list_transform({p}, lambda x: CAST(x AS BIGINT) * len({p}) >= list_sum({p}))"
 
@@ -313,8 +328,75 @@ UNION ALL SELECT 'images', images FROM n
 UNION ALL SELECT 'modified_images', variants FROM n
 UNION ALL SELECT 'hashes', 2 * variants FROM n
 UNION ALL SELECT 'matches', variants * (variants + 1) FROM n""",
+    }
+    sql |= {
+        "nearest_k": f"""WITH {FINGERPRINTS}, {PAIRS},
+both_dirs AS (
+  SELECT hash_id1 AS hash_id, hash_id2 AS neighbour_id, bits AS distance_bits FROM pairs WHERE hash_id1 < hash_id2
+  UNION ALL
+  SELECT hash_id2, hash_id1, bits FROM pairs WHERE hash_id1 < hash_id2)
+SELECT hash_id, CAST(row_number() OVER (PARTITION BY hash_id ORDER BY distance_bits, neighbour_id) AS INTEGER) AS rank,
+       neighbour_id, distance_bits FROM both_dirs QUALIFY rank <= {NEAREST_K}""",
+        "id_lookups": f"""WITH {FINGERPRINTS},
+one AS (SELECT * FROM fp WHERE id = {LOOKUP_ID} AND hashing_method_id = {LOOKUP_METHOD})
+SELECT 'hash_id' AS lookup, f.id FROM fp f JOIN one o ON f.hash = o.hash AND f.modified_image_id = o.modified_image_id
+   AND f.hashing_method_id = o.hashing_method_id
+UNION ALL SELECT 'variant_id', u.modified_image_id FROM uvar u WHERE '/variants/' || digest || '.png' =
+  (SELECT '/variants/' || w.digest || '.png' FROM uvar w JOIN one USING (modified_image_id))""",
+        "hash_walk": f"""WITH {FINGERPRINTS},
+p AS (SELECT *, CAST((row_number() OVER (PARTITION BY hashing_method_id ORDER BY id) - 1) // {PAGE_SIZE} AS INTEGER) AS page
+      FROM fp)
+SELECT hashing_method_id, page, min(id) AS first_id, max(id) AS last_id, count(*) AS rows,
+       CASE WHEN count(*) = {PAGE_SIZE} THEN max(id) + 1 END AS next_start FROM p GROUP BY ALL""",
+        "method_ids": f"WITH {FINGERPRINTS} SELECT DISTINCT hashing_method_id AS id FROM fp",
+        "variants_capped": f"""WITH {IMAGES}
+SELECT image_id, 1 AS modification_id, sha256(array_to_string(px, ',') || ':L') AS digest FROM images""",
+        "crop_fingerprints": f"""WITH {IMAGES}, {TILED},
+v AS (
+  SELECT 'grid' AS kind, image_id, 1 AS modification_id, 8 AS vwidth, px AS p8 FROM images
+  UNION ALL SELECT 'grid', image_id, 2, 6, {resize_pass_sql('c6', 8, 6, 8, False)}
+  FROM (SELECT image_id, {resize_pass_sql(crop_sql('px', 8), 6, 6, 8, True)} AS c6 FROM images)
+  UNION ALL SELECT 'tiled', image_id, 1, 32, {resize_pass_sql('c32', 8, 32, 8, False)}
+  FROM (SELECT image_id, {resize_pass_sql('px', 32, 32, 8, True)} AS c32 FROM tiled)
+  UNION ALL SELECT 'tiled', image_id, 2, 24, {resize_pass_sql('c24', 8, 24, 8, False)}
+  FROM (SELECT image_id, {resize_pass_sql('c', 24, 24, 8, True)} AS c24
+        FROM (SELECT image_id, {crop_sql('px', 32)} AS c FROM tiled))),
+f AS (SELECT *, {avg_flags_sql('p8')} AS f FROM v)
+SELECT kind, image_id, modification_id, vwidth, vwidth AS vheight, {hex_sql('f')} AS hash FROM f""",
+        "hash_9x9": f"""WITH {TILED},
+v AS (SELECT image_id, px, {rot_sql('px', 32)} AS turned FROM tiled),
+h AS (SELECT image_id, {resize_pass_sql('px', 32, 32, ODD_SIDE, True)} AS a,
+             {resize_pass_sql('turned', 32, 32, ODD_SIDE, True)} AS b FROM v),
+r AS (SELECT image_id, {resize_pass_sql('a', ODD_SIDE, 32, ODD_SIDE, False)} AS a,
+             {resize_pass_sql('b', ODD_SIDE, 32, ODD_SIDE, False)} AS b FROM h),
+f AS (SELECT image_id, {avg_flags_sql('a')} AS fa, {avg_flags_sql('b')} AS fb FROM r),
+x AS (SELECT image_id, {hex_any_sql('fa', ODD_SIDE**2)} AS hash, {hex_any_sql('fb', ODD_SIDE**2)} AS turned_hash, fa, fb
+      FROM f)
+SELECT image_id, hash, turned_hash, CASE WHEN len(hash) = len(turned_hash) THEN CAST(list_sum(list_transform(
+  range({ODD_SIDE**2}), lambda i: CAST(fa[i + 1] <> fb[i + 1] AS INTEGER))) AS INTEGER) END AS distance_bits FROM x""",
+        "image_stream": f"""{sql['stored_chain']}
+UNION ALL SELECT 'micro_batches', (SELECT sum((c + m - 1) // m) FROM (
+    SELECT count(*) AS c, any_value((t.n + 3) // 4) AS m FROM files f, (SELECT count(*) AS n, (min(image_id) + max(image_id)) // 2
+      AS mid FROM files) t GROUP BY f.image_id <= t.mid))
+UNION ALL SELECT 'replayed', 0""",
+        "incremental_match": f"""WITH {RASTER},
+rfp AS (SELECT image_id, modification_id, hashing_method_id, {hex_sql('f')} AS hash FROM rf)
+SELECT a.hashing_method_id, a.image_id AS image_id1, a.modification_id AS modification1, b.image_id AS image_id2,
+       b.modification_id AS modification2,
+       CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS INTEGER) AS distance_bits
+FROM rfp a JOIN rfp b ON a.hashing_method_id = b.hashing_method_id
+ AND (a.image_id < b.image_id OR (a.image_id = b.image_id AND a.modification_id <= b.modification_id))""",
+        "raster_sink": f"""WITH {RASTER}
+SELECT u.image_id, u.modification_id, 32 AS height, 32 AS width, u.n_channels, CAST(1024 * u.n_channels AS BIGINT) AS n_bytes,
+       {hex_sql('r.f')} AS hash, true AS path_is_content
+FROM ru u JOIN rf r ON r.image_id = u.image_id AND r.modification_id = u.modification_id AND r.hashing_method_id = 1""",
+        "run_status": f"""WITH {RASTER}, n AS (SELECT CAST(count(*) * (count(*) + 1) AS BIGINT) AS pairs FROM ru)
+SELECT 'match' AS stage, 'done' AS state, pairs AS counted, '' AS error, CAST(1 AS BIGINT) AS runs, pairs AS counted_so_far
+FROM n
+UNION ALL SELECT 'match', 'done', 0, '', 1, pairs FROM n
+UNION ALL SELECT 'match', 'failed', 0, 'Hashes must have the same length', 1, pairs FROM n""",
     }
     # the same results by the routes meant for large tables
-    same = {"match_pairs_blocks": "match_pairs", "histogram_blocks": "distance_histogram",
+    same = {"near_duplicates_multi": "near_duplicates", "match_pairs_blocks": "match_pairs", "histogram_blocks": "distance_histogram",
             "near_duplicates_bands": "near_duplicates", "nearest_bands": "nearest_hash", "nearest_blocks": "nearest_hash"}
     return sql | {route: sql[plain] for route, plain in same.items()}

@@ -14,11 +14,17 @@ from imprint.functions import grid as G
 from imprint.functions import hashing as H
 from imprint.functions.resample import resize_grid
 from imprint.operators import analytics as AN
+from imprint.functions.bits import hex_to_words, words_bit_count
 from imprint.operators import match as M
+from imprint.operators import multi_index as MI
+from imprint.operators import nearest_k as NK
+from imprint.operators import ordered as O
 from imprint.operators import tables as TB
-from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS, batch_hash_udf
+from imprint.operators.registry import (
+    HASHING_METHODS, MODIFICATIONS, AverageHash, Base, Registry, batch_hash_udf, grid_variants, ragged_fingerprints,
+)
 from imprint.plans import adapters as A
-from imprint.session import materialise
+from imprint.session import materialise, scratch_path
 from imprint.sources import paths as P
 
 # Fixed parameters of the registered queries.
@@ -26,6 +32,9 @@ NEAR_BITS = 14  # near-duplicate threshold, in bits of 64 (banded: 15 bands)
 PAGE_START, PAGE_SIZE = 100, 100  # keyset page of hashes (the reference pages by 100)
 BACKLOG_START, BACKLOG_SIZE = 500, 10
 LOOKUP_ID, LOOKUP_METHOD = 7, 2
+NEAREST_K = 5
+ORDERED_ROWS = 1000  # rows a file of the ordered layout
+ODD_SIDE = 9
 
 
 def stored_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,17 +86,18 @@ def q_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_pairs(stored_fingerprints(spark, sf))
+    """The shape for small tables (it raises beyond its bound)."""
+    return M.match_pairs(stored_fingerprints(spark, sf), shape="broadcast")
 
 
 def q_match_pairs_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The shape of tables beyond the broadcast bound."""
+    """The shape for tables of any size."""
     return M.match_pairs(stored_fingerprints(spark, sf), shape="blocks")
 
 
 def q_histogram_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The numpy kernel over block pairs."""
-    return AN.pair_histogram(stored_fingerprints(spark, sf), engine="arrow")
+    """The JVM pair join over block pairs, with the aggregate fused on top."""
+    return AN.pair_histogram(stored_fingerprints(spark, sf), engine="join")
 
 
 def q_near_duplicates_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +135,7 @@ def q_nearest_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_match_provenance(spark: SparkSession, sf: str) -> DataFrame:
     fp = stored_fingerprints(spark, sf)
-    return AN.provenance(M.match_pairs(fp), fp, MODIFICATIONS.frame(spark), HASHING_METHODS.frame(spark))
+    return AN.provenance(fp, MODIFICATIONS.frame(spark), HASHING_METHODS.frame(spark), shape="broadcast")
 
 
 def q_content_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,7 +285,117 @@ def q_stored_chain(spark: SparkSession, sf: str) -> DataFrame:
     return stored_chain_counts(spark, sf)
 
 
+def q_near_duplicates_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Four bands with probes: a few percent of the pairs are compared."""
+    return MI.near_pairs(stored_fingerprints(spark, sf), NEAR_BITS)
+
+
+def q_nearest_k(spark: SparkSession, sf: str) -> DataFrame:
+    return NK.search(stored_fingerprints(spark, sf), NEAREST_K).neighbours
+
+
+def q_id_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """P5, then from what it finds P6 (hash id by hash, variant and method) and P7 (variant id by its content path)."""
+    fp = stored_fingerprints(spark, sf)
+    variants = materialise(A.unique_variants(spark, sf).select(
+        F.col("modified_image_id").alias("id"), P.content_path("/variants", F.col("digest")).alias("path")), "variants")
+    found = TB.point_lookup(fp, ["hash", "modified_image_id"], id=LOOKUP_ID, hashing_method_id=LOOKUP_METHOD)
+    one = TB.strict_single(found, f"hash {LOOKUP_ID}").first()
+    hash_id = TB.point_lookup(fp, ["id"], hash=one["hash"], modified_image_id=one["modified_image_id"],
+                              hashing_method_id=LOOKUP_METHOD)
+    path = TB.point_lookup(variants, ["path"], id=one["modified_image_id"]).first()["path"]
+    variant_id = TB.point_lookup(variants, ["id"], path=path)
+    return hash_id.select(F.lit("hash_id").alias("lookup"), "id").unionByName(
+        variant_id.select(F.lit("variant_id").alias("lookup"), "id"))
+
+
+def _ordered(spark: SparkSession, sf: str) -> O.OrderedHashes:
+    fp = stored_fingerprints(spark, sf).select("id", "hash", "modified_image_id", "hashing_method_id")
+    return O.write_ordered(fp, scratch_path(spark, "ordered-hashes"), rows_per_file=ORDERED_ROWS)
+
+
+def q_hash_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 as a whole walk: the pages of every method with where they begin, end and resume."""
+    pages = _ordered(spark, sf).pages(PAGE_SIZE)
+    return pages.groupBy("hashing_method_id", "page").agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("rows"),
+        F.when(F.count(F.lit(1)) == PAGE_SIZE, F.max("id") + 1).alias("next_start"))
+
+
+def q_method_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The methods that have hashes."""
+    return TB.distinct_ids(stored_fingerprints(spark, sf).select(F.col("hashing_method_id").alias("id")))
+
+
+def q_variants_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: at most one variant an image, in registry order."""
+    v = grid_variants(A.grid_images(spark, sf), A.GRID_SIDE, A.GRID_SIDE, limit=1)
+    return v.select("image_id", "modification_id", A.grid_digest("vpx").alias("digest"))
+
+
+class CropBorder:
+    """A user's own modification: an eighth of each side goes, so its size follows from the image's."""
+
+    def grid(self, px, w, h):
+        dx, dy = F.floor(w / 8).cast("int"), F.floor(h / 8).cast("int")
+        nw, nh = w - dx * 2, h - dy * 2
+        crop = F.transform(F.sequence(F.lit(0), nw * nh - 1), lambda k: F.element_at(
+            px, (F.floor(k / nw).cast("int") + dy) * w + k % nw + dx + 1))
+        return crop, nw, nh
+
+    def raster(self, arr):
+        dy, dx = arr.shape[0] // 8, arr.shape[1] // 8
+        return arr[dy:arr.shape[0] - dy, dx:arr.shape[1] - dx]
+
+
+def q_crop_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """A registered modification of any size over images of unlike sizes, hashed by one kernel a size."""
+    mods = Registry("modification")
+    for name, cls in (("base", Base), ("crop_border", CropBorder)):
+        mods.register(name)(cls)
+    small = A.grid_images(spark, sf).select(F.lit("grid").alias("kind"), "image_id", "px", F.lit(A.GRID_SIDE).alias("width"),
+                                            F.lit(A.GRID_SIDE).alias("height"))
+    large = A.tiled_images(spark, sf).select(F.lit("tiled").alias("kind"), "image_id", "px", "width", "height")
+    variants = grid_variants(small.unionByName(large), F.col("width"), F.col("height"), registry=mods).select(
+        "kind", "image_id", "modification_id", "vwidth", "vheight", "vpx")
+    methods = Registry("hashing method")
+    methods.register("averagehash")(HASHING_METHODS.get("averagehash").__class__)
+    return ragged_fingerprints(variants, methods=methods).drop("hashing_method_id")
+
+
+def q_hash_9x9(spark: SparkSession, sf: str) -> DataFrame:
+    """F5, F7, F12 with 81 bits, no multiple of 4: the hash, its rotation's, and their distance where they are as long."""
+    udf = batch_hash_udf(AverageHash(ODD_SIDE), 32, 32)
+    img = A.tiled_images(spark, sf).select("image_id", "px")
+    rows = materialise(grid_variants(img, 32, 32).select("image_id", "modification_id", udf("vpx").alias("hash")), "hashes-9x9")
+    both = rows.groupBy("image_id").agg(*[F.max(F.when(F.col("modification_id") == m, F.col("hash"))).alias(name)
+                                          for m, name in ((1, "hash"), (2, "turned_hash"))])
+    alike = F.length("hash") == F.length("turned_hash")
+    return both.select("*", F.when(alike, words_bit_count(hex_to_words("hash"), hex_to_words("turned_hash"))).alias(
+        "distance_bits"))
+
+
+def _raster_query(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from imprint.plans import rasters
+
+        return getattr(rasters, name)(spark, sf)
+    return run
+
+
 QUERIES = {
+    "near_duplicates_multi": q_near_duplicates_multi,
+    "nearest_k": q_nearest_k,
+    "id_lookups": q_id_lookups,
+    "hash_walk": q_hash_walk,
+    "method_ids": q_method_ids,
+    "variants_capped": q_variants_capped,
+    "crop_fingerprints": q_crop_fingerprints,
+    "hash_9x9": q_hash_9x9,
+    "image_stream": _raster_query("image_stream"),
+    "incremental_match": _raster_query("incremental_match"),
+    "raster_sink": _raster_query("raster_sink"),
+    "run_status": _raster_query("run_status"),
     "average_hash": q_average_hash,
     "dct_hash": q_dct_hash,
     "rotate_90": q_rotate_90,

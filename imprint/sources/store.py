@@ -1,10 +1,13 @@
 """The seven result tables as Parquet folders under one root (S5, S6), read and appended by Spark.
 
 Each stage appends only rows it newly inserted (insert-or-ignore, see
-:mod:`imprint.operators.tables`); appends go through Spark's job commit, so a
-failed stage leaves nothing half-written and a rerun simply redoes it.
-``matches`` is partitioned by ``hashing_method_id`` so per-method work prunes
-partitions.
+:mod:`imprint.operators.tables`).
+
+``matches`` has a commit manifest.  A match run covers the hashes of a method above the last committed one,
+``after``, up to ``upto``; its pairs go to the partition ``(hashing_method_id, after)``, which the write replaces
+as a whole, and only then does one manifest row per method say that the run is complete.  The watermark is what
+the manifest says, and only partitions that it names are read.  So a run that was cut off anywhere, even half way
+through its files, is invisible, and the next run starts after the same hash and replaces what it left.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ SCHEMAS = {
     "matches": _schema(("hash_id1", L, False), ("hash_id2", L, False), ("hamming_distance", D, False),
                        ("hashing_method_id", I, False)),
 }
-# ``upto`` = the largest hash id a match run covered; the match watermark is read
-# from these partition folders instead of scanning the (largest) matches table.
-PARTITIONS = {"matches": ["hashing_method_id", "upto"]}
+PARTITIONS = {"matches": ["hashing_method_id", "after"]}
+# The manifest: one row a method and committed run, written after the pairs.
+RUNS = "match_runs"
+RUNS_SCHEMA = _schema(("hashing_method_id", I, False), ("after", L, False), ("upto", L, False), ("pairs", L, False))
+NONE_YET = -1  # the watermark of a method without a committed run
 # Fixed value: the seeded default user.
 DEFAULT_USER = "undefined"
 
@@ -58,41 +63,59 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        schema = SCHEMAS[name]
+        if name == "matches":
+            schema = T.StructType([*schema.fields, T.StructField("after", L)])
+        df = self.spark.read.schema(schema).parquet(self.path(name))
+        if name == "matches":  # committed runs only; the manifest has a row a method and run
+            df = df.join(F.broadcast(self.runs().select("hashing_method_id", "after")), ["hashing_method_id", "after"])
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
     def append(self, name: str, df: DataFrame) -> int:
         """Append rows (one job, committed atomically); returns how many were written."""
         from pyspark.sql import Observation
 
-        extra = [c for c in PARTITIONS.get(name, []) if c not in SCHEMAS[name].fieldNames()]
-        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields] + [F.col(c) for c in extra]
+        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields]
         obs = Observation(f"append_{name}")
-        w = df.select(*cols).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append")
-        if name in PARTITIONS:
-            w = w.partitionBy(*PARTITIONS[name])
-        w.parquet(self.path(name))
+        df.select(*cols).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(self.path(name))
         return int(obs.get.get("rows", 0))
 
+    def runs(self) -> DataFrame:
+        """The manifest of committed match runs."""
+        if not self._exists(RUNS):
+            return self.spark.createDataFrame([], RUNS_SCHEMA)
+        return self.spark.read.schema(RUNS_SCHEMA).parquet(self.path(RUNS))
+
     def match_watermarks(self) -> dict[int, int]:
-        """Per method, the largest hash id already matched: from partition folder names only."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        base = jvm.org.apache.hadoop.fs.Path(self.path("matches"))
-        fs = base.getFileSystem(conf)
-        out: dict[int, int] = {}
-        if not fs.exists(base):
-            return out
-        for m_dir in fs.listStatus(base):
-            name = m_dir.getPath().getName()
-            if not (m_dir.isDirectory() and name.startswith("hashing_method_id=")):
-                continue
-            m = int(name.split("=", 1)[1])
-            for u_dir in fs.listStatus(m_dir.getPath()):
-                un = u_dir.getPath().getName()
-                if u_dir.isDirectory() and un.startswith("upto="):
-                    out[m] = max(out.get(m, -1), int(un.split("=", 1)[1]))
-        return out
+        """Per method, the largest hash id that a committed run has matched."""
+        return {r["hashing_method_id"]: int(r["upto"]) for r in self.runs().groupBy("hashing_method_id").agg(
+            F.max("upto").alias("upto")).collect()}
+
+    def write_matches(self, pairs: DataFrame, upto: dict[int, int]) -> dict[int, int]:
+        """Write a run's pairs, replacing what an uncommitted run after the same hashes left; rows per method."""
+        from pyspark.sql import Observation
+
+        marks = self.match_watermarks()
+        method = F.col("hashing_method_id")
+        after = F.element_at(F.create_map(*[F.lit(x) for m in upto for x in (m, marks.get(m, NONE_YET))]), method)
+        obs = Observation("write_matches")
+        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS["matches"].fields]
+        counts = [F.sum(F.when(method == m, 1).otherwise(0)).alias(f"m{m}") for m in upto]
+        (pairs.select(*cols, after.cast("bigint").alias("after")).observe(obs, *counts).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS["matches"]).parquet(self.path("matches")))
+        return {m: int(obs.get.get(f"m{m}") or 0) for m in upto}
+
+    def commit_matches(self, upto: dict[int, int], counts: dict[int, int]) -> None:
+        """The manifest rows of a run whose pairs are written: from here on it counts."""
+        marks = self.match_watermarks()
+        rows = [(m, marks.get(m, NONE_YET), u, counts.get(m, 0)) for m, u in upto.items()]
+        self.spark.createDataFrame(rows, RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path(RUNS))
+
+    def log(self):
+        """Progress and outcome of the runs over this store."""
+        from imprint.streaming.status import RunLog
+
+        return RunLog(self.spark, self.path("run_log"))
 
     def views(self) -> None:
         """Every table as a temp view for ad-hoc ``spark.sql``."""
@@ -112,10 +135,8 @@ class Store:
                 empty = self.spark.createDataFrame([], SCHEMAS[name])
                 if name == "users":  # S6: the seed row goes in with the table
                     empty = self.spark.createDataFrame([(1, DEFAULT_USER)], SCHEMAS[name])
-                for c in PARTITIONS.get(name, []):
-                    if c not in empty.columns:
-                        empty = empty.withColumn(c, F.lit(None).cast("long"))
-                self.append(name, empty)
+                if name != "matches":  # made by its first run
+                    self.append(name, empty)
         self.ensure_names("users", [DEFAULT_USER])
         self.ensure_names("modifications", modification_names)
         self.ensure_names("hashing_methods", method_names)

@@ -40,9 +40,9 @@ def _norm(v):
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     cols = sorted(df.columns)
-    got = sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
+    got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
-    want = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
+    want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert got == want

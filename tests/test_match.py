@@ -63,7 +63,7 @@ def test_incremental_equals_full(spark):
     new = h.where("id % 3 = 0")
     inc = _rows(M.match_pairs(new).unionByName(M.match_rectangle(new, old)).unionByName(M.match_pairs(old)))
     assert inc == _rows(M.match_pairs(h))
-    rect_blocks = M.match_rectangle(new, old, broadcast_max_rows=0, target_pairs_per_task=50)
+    rect_blocks = M.match_rectangle(new, old, target_pairs_per_task=50)
     assert _rows(rect_blocks) == _rows(M.match_rectangle(new, old))
 
 
