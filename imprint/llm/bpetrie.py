@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imprint.llm.common import slices
+
 _SPACE = r"[\t\n\v\f\r \x85\xa0  -     　]"
 _RAGGED = re.compile(f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|[\\x1c-\\x1f]")
 _SOLID = _SPACE.replace("[", "[^", 1)
@@ -34,6 +36,9 @@ _CHUNKS = re.compile(f" ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+LONGEST = 64  # letters of a unit that a memo keeps, so that its bytes are bounded
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: letter -> byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,8 +67,19 @@ class TrieBPE:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
-        self.tails = {b[k:] for b in self.id_of for k in range(len(b))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # tokens by their bytes from the last one: (node, byte) -> node, and the token that a node spells
+        self.back: dict[int, int] = {}
+        self.spelt = [None]
+        for token, i in self.id_of.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                if key not in self.back:
+                    self.back[key] = len(self.spelt)
+                    self.spelt.append(None)
+                node = self.back[key]
+            self.spelt[node] = i
+        self.fits: dict[int, bool] = {}
         self.limit = memo
         self.first: dict[str, tuple[str, bytes]] = {}
         self.later: dict[str, tuple[str, bytes]] = {}
@@ -82,35 +98,33 @@ class TrieBPE:
         return ids
 
     def _fit(self, last: int, token: int) -> bool:
-        """Whether ``token`` may follow ``last`` (-1: nothing) in an encoding."""
-        got = self.fits.get((last, token))
-        if got is None:
-            if len(self.fits) >= 2_000_000:
-                self.fits.clear()
-            tail = self.bytes_of[token]
-            got = self.merged(tail) == [token] if last < 0 else self.merged(self.bytes_of[last] + tail) == [last, token]
-            self.fits[last, token] = got
+        """Whether ``token`` may follow ``last`` (-1: nothing) in an encoding; kept in ``fits``."""
+        if len(self.fits) >= 1_000_000:
+            self.fits.clear()
+        tail = self.bytes_of[token]
+        got = self.merged(tail) == [token] if last < 0 else self.merged(self.bytes_of[last] + tail) == [last, token]
+        self.fits[last << 20 | token] = got
         return got
 
     def walk(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct words, by one depth-first walk over their trie."""
         out = {}
-        path, state, before = [], [-1], b""
-        id_of, tails, fit, size = self.id_of, self.tails, self._fit, self.bytes_of
+        state, before = [-1], b""
+        back, spelt, fits, size = self.back.get, self.spelt, self.fits.get, self.bytes_of
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             k, most = 0, min(len(raw), len(before))
             while k < most and raw[k] == before[k]:
                 k += 1
             del state[k + 1 :]
             for end in range(k + 1, len(raw) + 1):
-                found = []
-                begin = end - 1
-                while begin >= 0 and (tail := raw[begin:end]) in tails:
-                    if (t := id_of.get(tail)) is not None:
-                        found.append((begin, t))
+                found, begin, node = [], end, 0
+                while begin and (node := back(node << 8 | raw[begin - 1])):
                     begin -= 1
-                for begin, t in reversed(found):
-                    if fit(state[begin] if begin else -1, t):
+                    if (t := spelt[node]) is not None:
+                        found.append((state[begin], t))
+                for last, t in reversed(found):  # the longest first; state[0] is -1
+                    ok = fits(last << 20 | t)
+                    if ok or ok is None and self._fit(last, t):
                         state.append(t)
                         break
             before = raw
@@ -164,6 +178,9 @@ class TrieBPE:
                 got += map(self.first.__getitem__, head)
                 got += map(self.later.__getitem__, rest)
             out.append((",".join([g[0] for g in got]), np.frombuffer(b"".join([g[1] for g in got]), "<u4")))
+        for memo, units in ((self.first, heads), (self.later, others), (self.piece, list(self.piece))):
+            for unit in [u for u in units if len(u) > LONGEST]:
+                memo.pop(unit, None)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -185,20 +202,19 @@ def _coder(path: str | None) -> TrieBPE:
     return _LOADED[path]
 
 
-def _codes(path: str | None, step: int = 200):
+def _codes(path: str | None, size: int = 4 << 20):
     def run(batches):
         coder = _coder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids_sha, text_sha = [], [], []
-            for at in range(0, len(texts), step):
-                for line, ids in coder.encode(texts[at : at + step]):
+            for part in slices(batch, 1, size):
+                n, ids_sha, text_sha = [], [], []
+                for line, ids in coder.encode([t or "" for t in part.column(1).to_pylist()]):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha),
-                                              pa.array(text_sha)],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
 

@@ -37,7 +37,7 @@ def fresh(name: str, *frames: DataFrame) -> str:
 class HashOf(dict):
     """Bounded memo: bytes -> 64-bit hash; emptied when full, long words not kept, so its bytes are bounded."""
 
-    def __init__(self, limit: int = 200_000, longest: int = 64):
+    def __init__(self, limit: int = 400_000, longest: int = 64):
         super().__init__()
         self.limit, self.longest = limit, longest
         MEMOS.append(self)

@@ -18,12 +18,14 @@ gives its single windows, which are compared in the same way.  Only documents th
 change are shuffled with their text.  All are compared by 64-bit hashes of their words.
 
 Defined cases: null text is kept null; documents too short for a run stay as they
-are; rows of one id count as one document; null ids count as one document before
-all others.  A changed text is stripped.  Other columns pass through.
+are; rows of one id count as one document; without an id each text is a document of
+its own, before those with ids from 0 (equal ones count as one).  A changed text is
+stripped.  Other columns pass through.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from imprint.llm.common import HashOf, freeing, fresh, mark, mix64, save
+from imprint.llm.common import HashOf, freeing, fresh, mark, mix64, save, slices
 
 SENTENCES, WORDS, LONG = 3, 12, 20
 WINDOW, ANCHOR = 50, 16
@@ -49,6 +51,8 @@ class _Words(HashOf):
 
 
 _WORDS = _Words()
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _TOKEN = re.compile(rb"\n|[^\x20\x09-\x0D]+")
 
 
@@ -61,22 +65,29 @@ def _powers(base, n):
 _POW = _powers(_M, 4096), _powers(_MINV, 4096)
 
 
-def sentences(tokens: list[bytes]):
-    """Tokens (``\\x00`` or a newline for line ends) -> word hashes and [first, last) word numbers of each sentence."""
+def sentences(tokens: list[bytes], sizes: list[int] | None = None):
+    """Tokens (``\\x00`` or a newline for line ends) -> word hashes, and [first, last) word numbers of each sentence.
+
+    ``sizes``: the tokens of each of several texts in a row; then also the text of each word.
+    """
     h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
     breaks = np.fromiter((t == b"\x00" or t == b"\n" for t in tokens), bool, len(tokens))
+    text = np.repeat(np.arange(len(sizes)), sizes) if sizes is not None else np.zeros(len(tokens), np.int64)
     word = ~breaks
     last = (h & np.uint64(1)).astype(bool)
     last[:-1] |= breaks[1:]
-    h, last = h[word], last[word]
+    h, last, text = h[word], last[word], text[word]
     if not len(h):
-        return h, np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return (h, none, none) if sizes is None else (h, none, none, none)
+    last[:-1] |= text[1:] != text[:-1]
     last[-1] = True
     sid = np.cumsum(last) - last
     size = np.bincount(sid)
     last = last | ((size[sid] > LONG) & ((h >> np.uint64(8)) & np.uint64(7) == 0))
     ends = np.flatnonzero(last) + 1
-    return h, np.append(0, ends[:-1]), ends
+    found = h, np.append(0, ends[:-1]), ends
+    return found if sizes is None else (*found, text)
 
 
 def _hashes(h, a, b, kind):
@@ -89,24 +100,29 @@ def _hashes(h, a, b, kind):
     return mix64(s).view(np.int64)
 
 
-def _sentence_runs(h, starts, ends):
-    """(first word, end word, hash) of every run of sentences."""
+def _sentence_runs(h, starts, ends, text=None):
+    """(first word, end word, hash) of every run of sentences within a text."""
     n = len(ends)
     i = np.arange(n)
     j = np.maximum(i + SENTENCES - 1, np.searchsorted(ends, starts + WORDS))
     i, j = i[j < n], j[j < n]
+    if text is not None:
+        inside = text[starts[i]] == text[starts[j]]
+        i, j = i[inside], j[inside]
     a, b = starts[i], ends[j]
     return a, b, _hashes(h, a, b, 0)
 
 
-def _windows(h):
-    """(first word, end word, hash) of every window."""
+def _windows(h, text=None):
+    """(first word, end word, hash) of every window within a text."""
     a = np.arange(max(len(h) - WINDOW + 1, 0))
+    if text is not None and len(a):
+        a = a[text[: len(a)] == text[WINDOW - 1 :]]
     return a, a + WINDOW, _hashes(h, a, a + WINDOW, 1)
 
 
-def _stretches(h):
-    """(first word, end word, hash, anchor) of consecutive windows with the same anchor."""
+def _stretches(h, text=None):
+    """(first word, end word, hash, anchor) of consecutive windows with the same anchor within a text."""
     if len(h) < WINDOW:
         none = np.empty(0, np.int64)
         return none, none, none, none
@@ -116,8 +132,17 @@ def _stretches(h):
         step = min(width, wide - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    a = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
-    b = np.append(a[1:], len(least)) - 1 + WINDOW
+    new = np.append(True, least[1:] != least[:-1])
+    if text is None:
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(least)) - 1 + WINDOW
+    else:
+        here = text[: len(least)]
+        whole = here == text[WINDOW - 1 :]  # a window that a text's end cuts is none
+        new[1:] |= (here[1:] != here[:-1]) | (whole[1:] != whole[:-1])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(least)) - 1 + WINDOW
+        a, b = a[whole[a]], b[whole[a]]
     return a, b, _hashes(h, a, b, 3), least[a]
 
 
@@ -130,6 +155,14 @@ def _tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").replace(b"\n", b" \x00 ").split()
 
 
+def _word_starts(raw: bytes) -> list[int]:
+    """Where the words of a text begin (lone ``\\x00`` are line ends, as in ``_tokens``)."""
+    if b"\x00" in raw:
+        return [m.start() for m in _TOKEN.finditer(raw) if m.group() not in (b"\n", b"\x00")]
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    return np.flatnonzero(~space & np.append(True, space[:-1])).tolist()
+
+
 def _repeats(s):
     """Which of the hashes occur earlier among them."""
     again = np.ones(len(s), bool)
@@ -137,25 +170,36 @@ def _repeats(s):
     return again
 
 
+def _distinct(text, s):
+    """(index, repeated) of the first of equal hashes of a text."""
+    order = np.lexsort((s, text))
+    t, u = text[order], s[order]
+    first = np.append(True, (t[1:] != t[:-1]) | (u[1:] != u[:-1]))[: len(s)]
+    at = np.flatnonzero(first)
+    return order[at], np.diff(np.append(at, len(s))) > 1
+
+
 def _spans(batches):
     """(h, did, own, anchor): sentence runs (without an anchor) and stretches; own: repeated within the text."""
     for batch in batches:
-        hashes, dids, own, anchors = ([np.empty(0, t)] for t in (np.int64, np.int64, bool, np.int64))
-        runs = [np.empty(0, bool)]
-        for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h, starts, ends = sentences(_tokens(text or ""))
-            u, c = np.unique(_sentence_runs(h, starts, ends)[2], return_counts=True)
-            _, _, s, g = _stretches(h)
-            s, at = np.unique(s, return_index=True)
-            again = _repeats(_windows(h)[2]).any()
-            hashes += u, s
-            own += c > 1, np.full(len(s), again)
-            anchors += np.zeros(len(u), np.int64), g[at]
-            runs += np.ones(len(u), bool), np.zeros(len(s), bool)
-            dids.append(np.full(len(u) + len(s), did, np.int64))
-        yield pa.RecordBatch.from_arrays([
-            *(pa.array(np.concatenate(x)) for x in (hashes, dids, own)),
-            pa.array(np.concatenate(anchors), mask=np.concatenate(runs))], names=["h", "did", "own", "anchor"])
+        for part in slices(batch, 1):
+            did = part.column(0).to_numpy()
+            lists = [_tokens(t or "") for t in part.column(1).to_pylist()]
+            h, starts, ends, text = sentences(list(itertools.chain.from_iterable(lists)), [len(x) for x in lists])
+            a, _, r = _sentence_runs(h, starts, ends, text)
+            at, often = _distinct(text[a], r)
+            ra, rs = text[a][at], r[at]
+            a, _, w = _windows(h, text)
+            at, twice = _distinct(text[a], w)
+            again = np.zeros(len(lists), bool)
+            again[text[a][at[twice]]] = True
+            a, _, s, g = _stretches(h, text)
+            at, _ = _distinct(text[a], s)
+            sa, ss, g = text[a][at], s[at], g[at]
+            no_anchor = np.arange(len(ra) + len(sa)) < len(ra)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(rs, ss)), pa.array(did[np.append(ra, sa)]), pa.array(np.append(often, again[sa])),
+                pa.array(np.append(np.zeros(len(ra), np.int64), g), mask=no_anchor)], names=["h", "did", "own", "anchor"])
 
 
 def _open_windows(batches):
@@ -173,14 +217,14 @@ def _open_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), did, np.int64))], names=["h", "did"])
 
 
-def drop_copies(text: str, later: set[int]) -> tuple[str, int, int]:
+_ENDS = r"[.!?](?=[\x20\x09-\x0D]|\z)|[^\x20\x09-\x0D](?=[\x20\x09\x0B-\x0D]*(?:\n|\z))"
+
+
+def drop_copies(text: str, later) -> tuple[str, int]:
     """The text without words covered by runs, windows or stretches in ``later`` or by runs or windows seen
-    earlier in the text; also the number of sentences and of those that lost words."""
-    raw = text.encode("utf-8", "surrogatepass")
-    found = list(_TOKEN.finditer(raw))
-    tokens = [m.group() for m in found]
-    h, starts, ends = sentences(tokens)
-    known = np.fromiter(later, np.int64, len(later))
+    earlier in the text; also the number of sentences, or pieces of long ones, that lost words."""
+    h, starts, ends = sentences(_tokens(text))
+    known = np.fromiter(later, np.int64)
     gone = np.zeros(len(h) + 1, np.int32)
     for (a, b, s), alone in ((_sentence_runs(h, starts, ends), True), (_windows(h), True), (_stretches(h)[:3], False)):
         copy = np.isin(s, known)
@@ -190,34 +234,35 @@ def drop_copies(text: str, later: set[int]) -> tuple[str, int, int]:
         np.add.at(gone, b[copy], -1)
     cut = np.cumsum(gone[:-1]) > 0
     if not cut.any():
-        return text, len(starts), 0
-    place = [m.start() for m, t in zip(found, tokens) if t not in (b"\n", b"\x00")] + [len(raw)]
+        return text, 0
+    raw = text.encode("utf-8", "surrogatepass")
+    place = [*_word_starts(raw), len(raw)]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], cut, [True])).astype(np.int8)))
     kept = raw[: place[0]] + b"".join(raw[place[k] : place[e]] for k, e in zip(edge[::2].tolist(), edge[1::2].tolist()))
-    return kept.decode("utf-8", "surrogatepass").strip(), len(starts), int(np.logical_or.reduceat(cut, starts).sum())
+    return kept.decode("utf-8", "surrogatepass").strip(), int(np.logical_or.reduceat(cut, starts).sum())
 
 
 def _drop(at: int, names: list[str]):
-    """Replaces the text in column ``at``; the last column, the list of later copies, becomes the counts."""
+    """Replaces the text in column ``at``; the last column, the list of later copies, becomes the number of sentences hit."""
     def run(batches):
         for batch in batches:
-            done = [(t, 0, 0) if t is None else drop_copies(t, set(x or ()))
-                    for t, x in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array([x[0] for x in done], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())],
-                names=names)
+            for part in slices(batch, at):
+                done = [(t, 0) if t is None else drop_copies(t, x.values.to_numpy() if x.is_valid else ())
+                        for t, x in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1))]
+                columns = list(part.columns[:-1])
+                columns[at] = pa.array([x[0] for x in done], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int64())], names=names)
     return run
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)`` with ``text`` cut, and two last columns that tell
-    what was done: ``n_sentences`` (null where no sentence can be a copy) and ``n_removed``; their names get
-    underscores added if ``docs`` has such columns already."""
+    what was done: ``n_sentences`` of the text by marks and line ends, and ``n_removed``, the sentences, or pieces
+    of long ones, that lost words; their names get underscores added if ``docs`` has such columns already."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     did, later_, flag, n_all, n_gone = (fresh(c, docs) for c in ("_did", "_later", "_marked", "n_sentences", "n_removed"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1))
+    # without an id each text is a document of its own, with a negative number
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
     spans = save(docs.select(key.alias("did"), "text").mapInArrow(
         freeing(_spans), "h long, did long, own boolean, anchor long"), "spans")
     # written first, here and below: a join with a bare exchange on both sides lets Spark split a hot run
@@ -237,9 +282,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                  .groupBy("did").agg(F.collect_set("h").alias("later")), "spans-later")
     lists = lists.select(F.col("did").alias(did), F.col("later").alias(later_))
     rows = mark(docs.withColumn(did, key), lists, [did], flag)
-    same = rows.where(~F.col(flag)).select(*docs.columns, F.lit(None).cast("long").alias(n_all),
-                                           F.lit(0).cast("long").alias(n_gone))
+    rows = rows.withColumn(n_all, F.coalesce(F.regexp_count("text", F.lit(_ENDS)), F.lit(0)).cast("long"))
+    same = rows.where(~F.col(flag)).select(*docs.columns, n_all, F.lit(0).cast("long").alias(n_gone))
     schema = T.StructType([*docs.schema.fields, T.StructField(n_all, T.LongType()), T.StructField(n_gone, T.LongType())])
-    cut = rows.where(F.col(flag)).join(lists, did, "left").select(*docs.columns, later_).mapInArrow(
+    cut = rows.where(F.col(flag)).join(lists, did, "left").select(*docs.columns, n_all, later_).mapInArrow(
         freeing(_drop(docs.columns.index("text"), schema.names)), schema)
     return same.unionByName(cut)
