@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ _CHUNKS = re.compile(f" ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+# marks that form one piece of their own after letters (an apostrophe may begin one with letters)
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+def _pieces(text: str, word: str) -> list[str]:
+    """The pieces of ``text``: a word, or one after a space."""
+    stem = word.rstrip(_MARKS)
+    if not stem.isalpha():
+        return _PIECES.findall(text)
+    return [text] if len(stem) == len(word) else [text[: len(stem) - len(word)], word[len(stem) :]]
+
+
 LONGEST = 64  # letters of a unit that a memo keeps, so that its bytes are bounded
 
 
@@ -67,18 +80,35 @@ class TrieBPE:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
-        # tokens by their bytes from the last one: (node, byte) -> node, and the token that a node spells
-        self.back: dict[int, int] = {}
-        self.spelt = [None]
+        # trie of the tokens: (node, byte) -> node; per node its longest proper suffix that is a node, and the tokens
+        # that end there, (length, id), longest first
+        self.next: dict[int, int] = {}
+        spelt: list[int | None] = [None]
         for token, i in self.id_of.items():
             node = 0
-            for byte in reversed(token):
+            for byte in token:
                 key = node << 8 | byte
-                if key not in self.back:
-                    self.back[key] = len(self.spelt)
-                    self.spelt.append(None)
-                node = self.back[key]
-            self.spelt[node] = i
+                if key not in self.next:
+                    self.next[key] = len(spelt)
+                    spelt.append(None)
+                node = self.next[key]
+            spelt[node] = i
+        self.suffix, self.ends = [0] * len(spelt), [()] * len(spelt)
+        level = [0]
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, child in self.next.items():
+            children.setdefault(key >> 8, []).append((key & 255, child))
+        while level:
+            below = []
+            for node in level:
+                for byte, child in children.get(node, ()):
+                    if node:
+                        self.suffix[child] = self.step(self.suffix[node], byte)
+                    own = () if spelt[child] is None else ((len(self.bytes_of[spelt[child]]), spelt[child]),)
+                    self.ends[child] = own + self.ends[self.suffix[child]]
+                    below.append(child)
+            level = below
+        self.steps: dict[int, int] = dict(self.next)
         self.fits: dict[int, bool] = {}
         self.limit = memo
         self.first: dict[str, tuple[str, bytes]] = {}
@@ -97,6 +127,18 @@ class TrieBPE:
             ids[k : k + 2] = [self.merge[ids[k], ids[k + 1]][1]]
         return ids
 
+    def step(self, node: int, byte: int) -> int:
+        """The node of the longest suffix of ``node``'s bytes and ``byte`` that begins a token."""
+        while node and (node << 8 | byte) not in self.next:
+            node = self.suffix[node]
+        return self.next.get(node << 8 | byte, 0)
+
+    def _step(self, key: int) -> int:
+        if len(self.steps) >= 2_000_000:
+            self.steps = dict(self.next)
+        node = self.steps[key] = self.step(key >> 8, key & 255)
+        return node
+
     def _fit(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last`` (-1: nothing) in an encoding; kept in ``fits``."""
         if len(self.fits) >= 1_000_000:
@@ -109,20 +151,22 @@ class TrieBPE:
     def walk(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct words, by one depth-first walk over their trie."""
         out = {}
-        state, before = [-1], b""
-        back, spelt, fits, size = self.back.get, self.spelt, self.fits.get, self.bytes_of
+        state, at, before = [-1], [0], b""  # per byte of the path: last token, node
+        ends, fits, size = self.ends, self.fits.get, self.bytes_of
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             k, most = 0, min(len(raw), len(before))
             while k < most and raw[k] == before[k]:
                 k += 1
-            del state[k + 1 :]
+            del state[k + 1 :], at[k + 1 :]
+            node, steps = at[k], self.steps.get
             for end in range(k + 1, len(raw) + 1):
-                found, begin, node = [], end, 0
-                while begin and (node := back(node << 8 | raw[begin - 1])):
-                    begin -= 1
-                    if (t := spelt[node]) is not None:
-                        found.append((state[begin], t))
-                for last, t in reversed(found):  # the longest first; state[0] is -1
+                key = node << 8 | raw[end - 1]
+                node = steps(key)
+                if node is None:
+                    node, steps = self._step(key), self.steps.get
+                at.append(node)
+                for length, t in ends[node]:
+                    last = state[end - length]  # -1 at the word's start
                     ok = fits(last << 20 | t)
                     if ok or ok is None and self._fit(last, t):
                         state.append(t)
@@ -137,16 +181,15 @@ class TrieBPE:
 
     def _learn(self, heads: set[str], rest: set[str]) -> None:
         """Encode units that the memos don't hold: ``rest`` are words after one space, ``heads`` stand alone."""
-        parts = [(self.first, u, _PIECES.findall(u)) for u in heads] + [
-            (self.later, u, _PIECES.findall(" " + u)) for u in rest]
+        parts = [(self.first, u, _pieces(u, u)) for u in heads] + [(self.later, u, _pieces(" " + u, u)) for u in rest]
         new = {p for _, _, ps in parts for p in ps if p not in self.piece}
         if len(self.piece) + len(new) > self.limit:
             self.piece.clear()
             new = {p for _, _, ps in parts for p in ps}
         self.piece.update(self.walk(list(new)))
         for memo, unit, ps in parts:
-            ids = [i for p in ps for i in self.piece[p]]
-            memo[unit] = (",".join(map(str, ids)), np.array(ids, "<u4").tobytes())
+            ids = self.piece[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.piece[p]]
+            memo[unit] = (",".join(map(str, ids)), array("I", ids).tobytes())
 
     def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
         """Per text the decimal ids joined by commas and the ids."""

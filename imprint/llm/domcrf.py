@@ -48,12 +48,16 @@ BAD = ("nav menu sidebar side footer foot header masthead topbar ad ads advert a
        "sponsored cookie notice consent gdpr alert comment comments disqus reply replies respond share social related "
        "recommended widget breadcrumb breadcrumbs newsletter subscribe subscription login signup modal popup overlay "
        "toolbar pagination pager search meta byline tags legal copyright skip complementary navigation contentinfo").split()
+# words of a class that tell a state or a layout of what it stands on, not what it is
+STATES = set("has with without no not is are open opened closed hidden visible active inactive collapsed expanded sticky "
+             "fixed left right top bottom none enabled disabled wide narrow".split())
+KINDS = set("category tag type status format postid template tax term author".split())  # prefixes of a post's own facts
 TAGS = ("p article main section div nav header footer aside form ul ol li table td h1 h2 h3 blockquote pre figure body "
         "address details").split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|aria-hidden|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+                    r"((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|aria-label|aria-hidden|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in DROP}
@@ -158,7 +162,7 @@ def features(page: Page) -> np.ndarray:
     x = np.zeros((n, N_FEATURES))
     x[:, 0] = 1
     base = 1 + len(TAGS)
-    inside = [False] * n
+    inside, holds, named = [False] * n, [False] * n, [(False, False, False)] * n
     for k in range(n):
         tag = page.tag[k]
         if tag in _TAG_AT:
@@ -171,11 +175,23 @@ def features(page: Page) -> np.ndarray:
                         key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
                 elif key in ("class", "id", "role", "aria-label"):
-                    names = _NAME.findall(_CAMEL.sub(" ", value).lower())
-                    good = good or any(w in _GOOD for w in names)
-                    bad = bad or any(w in _BAD for w in names)
-        p = page.parent[k]
-        inside[k] = bad or hidden or tag in _OUT or (p >= 0 and inside[p])
+                    one = roles(value)
+                    good, bad = good or one[0], bad or one[1]
+        named[k] = good, bad, hidden
+    # a block that holds most of the page and its heading or article is a wrapper, whatever it is called
+    for k in range(n - 1, 0, -1):
+        good, bad, hidden = named[k]
+        if holds[k] or not bad and (good or page.tag[k] in ("h1", "main", "article")):
+            holds[page.parent[k]] = True
+    for k in range(n):
+        tag, p = page.tag[k], page.parent[k]
+        good, bad, hidden = named[k]
+        if holds[k] and words[k] >= 0.5 * words[0] and not hidden:
+            bad = False
+            out = False
+        else:
+            out = bad or hidden or tag in _OUT
+        inside[k] = out or (p >= 0 and inside[p])
         density = linked[k] / words[k] if words[k] else 0.0
         x[k, base : base + 12] = (good, bad, hidden, inside[k], density, density > 0.5, math.log1p(words[k]) / 5,
                                   words[k] == 0, words[k] >= 25, math.log1p(words[k] / max(1, blocks[k])) / 4,
@@ -183,6 +199,25 @@ def features(page: Page) -> np.ndarray:
     return x
 
 
+def roles(value: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names something good or bad.
+
+    ``content-with-sidebar`` is content, ``has-sidebar`` and ``nav-closed`` are states, ``category-search`` is a fact
+    about a post: of each name only what it says of the block itself counts.
+    """
+    good = bad = False
+    for one in value.split():
+        names = _NAME.findall(_CAMEL.sub(" ", one).lower())
+        if len(names) > 1:
+            if names[0] in KINDS or names[-1] in STATES and names[-1] not in _GOOD | _BAD:
+                continue
+            at = next((i for i, w in enumerate(names) if w in STATES), len(names))
+            names = names[:at]
+        good = good or any(w in _GOOD for w in names)
+        bad = bad or any(w in _BAD for w in names)
+    return good, bad
+
+
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 _GOOD, _BAD = set(GOOD), set(BAD)
 _OUT = {"nav", "footer", "aside", "form", "dialog", "menu"}
@@ -326,7 +361,10 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
         elif kind < 0.92:
             core = el("section", core, 1, cls(["content", "article", "main"]))
         if r.random() < 0.3:
-            core = el("div", chrome_top() + core + chrome_end(), 1, cls(["container", "wrapper", "page", "row"]))
+            core = el("div", chrome_top() + core + chrome_end(), 1, cls([
+                "container", "wrapper", "page", "row", "site-content has-sidebar", "wrap nav-closed", "content-with-sidebar"]))
+        if r.random() < 0.08:
+            core = el("form", core, 1, 'action="/"')
         pages.append(f"<html><body>{chrome_top()}{core}{chrome_end()}</body></html>")
     return pages
 

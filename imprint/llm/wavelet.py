@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from imprint.llm.common import freeing, save
+from imprint.llm.common import save
 from imprint.llm.words import blocks, coder
 
 BITS, WORD = 16, 512
@@ -52,10 +52,12 @@ class WaveletMatrix:
             bit = (x >> np.uint16(BITS - 1 - level)) & np.uint16(1) != 0
             plane = np.packbits(bit, bitorder="little")
             planes.append(plane)
-            padded = np.pad(_POP[plane], (0, -len(plane) % (WORD // 8)))
-            ones = padded.reshape(-1, WORD // 8).sum(axis=1, dtype=np.uint32)
+            words = np.zeros(-(-len(plane) // (WORD // 8)) * (WORD // 64), "<u8")
+            words.view(np.uint8)[: len(plane)] = plane
+            ones = np.bitwise_count(words).reshape(-1, WORD // 64).sum(axis=1, dtype=np.uint32)
             counts.append(np.append(np.uint32(0), np.cumsum(ones, dtype=np.uint32)))
-            x = np.concatenate([x[~bit], x[bit]])
+            if level < BITS - 1:
+                x = np.concatenate([x[~bit], x[bit]])
             zeros.append(len(bit) - int(counts[-1][-1]))
         return cls(len(ids), zeros, planes, counts)
 
@@ -192,7 +194,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return save(dealt.mapInArrow(freeing(_write(path, end_id, shard_tokens)), _SHARD_SQL), "wavelet-shards")
+    return save(dealt.mapInArrow(_write(path, end_id, shard_tokens), _SHARD_SQL), "wavelet-shards")
 
 
 def _read(batches):

@@ -17,7 +17,6 @@ from array import array
 import numpy as np
 
 from imprint.llm.bpetrie import byte_letters
-from imprint.llm.common import MEMOS
 
 _ODD = bytes([*range(9), *range(14, 32), *range(127, 161)])
 _WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0250-\U0010ffff]")
@@ -43,9 +42,9 @@ def whole(text: str) -> bool:
 class WordIds(dict):
     """Lower-cased word -> its ids as little-endian uint16 bytes; new words are asked from the library."""
 
-    def __init__(self, path: str, memo: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, memo: int = 250_000, longest: int = 64):
         super().__init__()
-        MEMOS.append(self)
+        self.old: dict[str, bytes] = {}  # the memo before this one: what is used again moves over
         self.longest = longest
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -76,6 +75,17 @@ class WordIds(dict):
         return self.tails[marks]
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._new(word)
+        if len(word) <= self.longest:  # so that the memo's bytes are bounded
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _new(self, word: str) -> bytes:
         stem = word.rstrip(_MARKS)
         if stem.isalpha():
             ids = self.get(stem) or self._piece(stem)
@@ -83,14 +93,10 @@ class WordIds(dict):
                 ids += self._tail(word[len(stem) :])
         else:
             ids = self._ids(word)
-        if len(word) <= self.longest:  # so that the memo's bytes are bounded
-            self[word] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint16) of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        if len(self) > self.limit:
-            self.clear()
         get = self.__getitem__
         raw = [self._ids(t) if whole(t) else b"".join(map(get, t.lower().split())) for t in texts]
         return [np.frombuffer(r, "<u2") for r in raw]
