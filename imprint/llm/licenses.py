@@ -6,13 +6,15 @@ its name is that of a license file.  An SPDX line names its licenses itself, wit
 names there give none.  Equal headers are scored once: term frequencies times inverse document frequencies, counted over
 the headers of the whole corpus and the templates, and the cosine with each template through
 an equi-join on terms (the templates are a fixed list, the only broadcast side).  A file's own
-license is its best header's template from ``LEAST`` on; that all rights are reserved counts only
-if no license is named.  A file is a license file if its name says so or if at least half of its
+license is its best header's template from ``LEAST`` on, and ``licenses`` lists with it all that SPDX
+lines or headers from ``SURE`` on name; that all rights are reserved counts only if no license is named.  A file is a license file if its name says so or if at least half of its
 words stand in headers of one kind that match; the best license file of a
 directory speaks for it.  Files without a license of their own take that of the nearest ancestor
 directory: distinct directories are exploded into their ancestors, joined on the path, and the
 longest one wins; files of one large directory are salted in the join back.
 
+Rows are known by 128 bits of id, path and text, so rows without id or of one id stay apart.
+
 Defined cases: null text has no header; null path: no directory, nothing inherited; ties go to the
 license first in alphabetical order; repeated rows are returned each; other columns are ignored.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from imprint.llm.common import save
 
-LEAST, SALTS = 0.6, 16
+LEAST, SURE, SALTS = 0.6, 0.9, 16
 
 _PERMIT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
            "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
@@ -118,10 +120,10 @@ def _weights(rows: DataFrame, key: str, idf: DataFrame, unseen) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """``files(id, path, text)`` -> ``(id, kind, header, words)``: kind 0 sentences and lines, 1 sentences of blocks,
+    """``files(key, path, text)`` -> ``(key, kind, header, words)``: kind 0 sentences and lines, 1 sentences of blocks,
     2 blocks, 3 whole license files, all but the last with a license word."""
     some = files.where(F.col("text").rlike(_MARK) | F.col("path").rlike(_NAME) & (F.trim("text") != "")).select(
-        "id", F.coalesce(F.col("path").rlike(_NAME), F.lit(False)).alias("named"),
+        "key", F.coalesce(F.col("path").rlike(_NAME), F.lit(False)).alias("named"),
         F.regexp_replace(F.regexp_replace("text", "\r", ""), _SPDX, "").alias("text"))
     blocks = F.filter(F.transform(F.split(F.regexp_replace("text", _LEAD, ""), r"\n\s*\n"), lambda b: F.trim(
         F.regexp_replace(b, r"\s+", " "))), lambda b: b.rlike(_MARK))
@@ -131,20 +133,20 @@ def headers(files: DataFrame) -> DataFrame:
                     marked(F.flatten(F.transform("blocks", lambda b: F.split(b, r"(?<=[.!?])\s+")))), F.col("blocks"),
                     F.when(F.col("named"), F.array(F.regexp_replace("text", r"\s+", " "))).otherwise(
                         F.array().cast("array<string>")))
-    return (some.select("id", F.posexplode(kinds).alias("kind", "header"))
-            .select("id", "kind", F.explode(F.array_distinct("header")).alias("header"))
-            .select("id", "kind", F.trim("header").alias("header"), F.size(_terms(F.col("header"))).alias("words")))
+    return (some.select("key", F.posexplode(kinds).alias("kind", "header"))
+            .select("key", "kind", F.explode(F.array_distinct("header")).alias("header"))
+            .select("key", "kind", F.trim("header").alias("header"), F.size(_terms(F.col("header"))).alias("words")))
 
 
 def spdx(files: DataFrame) -> DataFrame:
-    """``files(id, text)`` -> ``(id, kind, words, license, score)``: the known licenses that SPDX lines name."""
+    """``files(key, text)`` -> ``(key, kind, header, words, license, score)``: the known licenses that SPDX lines name."""
     known = sorted({name for name, _ in TEMPLATES if name != _BARE})
     line = F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1)))
     name = F.explode(F.transform(F.split("names", r"[^A-Za-z0-9.+-]+"), lambda w: F.regexp_replace(
         F.lower(w), r"(-only|-or-later|\+)$", "")))
     names = F.map_from_arrays(F.array(*(F.lit(k.lower()) for k in known)), F.array(*map(F.lit, known)))
-    return (files.where(F.col("text").rlike(_SPDX)).select("id", line.alias("names")).select("id", "names", name.alias("name"))
-            .select("id", F.lit(4).alias("kind"), (F.size(_terms(F.col("names"))) + 3).alias("words"),
+    return (files.where(F.col("text").rlike(_SPDX)).select("key", line.alias("names")).select("key", "names", name.alias("name"))
+            .select("key", F.lit(4).alias("kind"), F.col("names").alias("header"), (F.size(_terms(F.col("names"))) + 3).alias("words"),
                     names[F.col("name")].alias("license"), F.lit(1.0).alias("score")).where("license is not null"))
 
 
@@ -170,34 +172,45 @@ def score_headers(found: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """``files(id, path, text)`` -> ``(id, path, own_license, own_score, license, inherited_from)``, each row once."""
+    """``files(id, path, text)`` -> ``(id, path, own_license, own_score, license, licenses, inherited_from)``, each row once.
+
+    ``licenses``: every license named by the file, else by the license file inherited from, in alphabetical order.
+    """
     files = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    given = F.to_json(F.struct("id", "path", F.col("text").isNull()))  # a null isn't an empty text
+    files = files.withColumn("key", F.struct(F.xxhash64(given, "text").alias("a"), F.xxhash64("text", given).alias("b")))
     found = save(headers(files), "license-found")
-    matched = found.join(score_headers(found, least), "header").select("id", "kind", "words", "license", "score").unionByName(
-        spdx(files))
+    matched = found.join(score_headers(found, least), "header").select(
+        "key", "kind", "header", "words", "license", "score").unionByName(spdx(files))
     # a named license comes before a bare reservation of rights, then the best score
     rank = F.struct((F.col("license") != _BARE).alias("named"), F.col("score").alias("score"))
-    matched = save(matched.withColumn("rank", rank), "license-matched")
-    share = matched.groupBy("id", "kind").agg(F.sum("words").alias("words")).groupBy("id").agg(F.max("words").alias("words"))
-    best = matched.groupBy("id").agg(F.max("rank").alias("rank"))
-    own = save(matched.join(best, ["id", "rank"]).groupBy("id").agg(
-        F.max("score").alias("own_score"), F.min("license").alias("own_license")).join(share, "id"), "license-own")
+    matched = save(matched.withColumn("rank", rank).distinct(), "license-matched")  # equal rows have equal headers
+    headed = matched.groupBy("key", "kind", "header").agg(F.max("words").alias("words"))
+    share = headed.groupBy("key", "kind").agg(F.sum("words").alias("words")).groupBy("key").agg(F.max("words").alias("words"))
+    best = matched.groupBy("key").agg(F.max("rank").alias("best"))
+    ranked = matched.join(best, "key")
+    top = F.col("rank") == F.col("best")
+    sure = top | (F.col("score") >= SURE) & F.col("rank.named")
+    own = save(ranked.where(sure).groupBy("key").agg(
+        F.max("best.score").alias("own_score"), F.min(F.when(top, F.col("license"))).alias("own_license"),
+        F.array_sort(F.collect_set("license")).alias("own_licenses")).join(share, "key"), "license-own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(
         F.when(F.col("path").isNotNull(), F.lit("")))
-    rows = files.select("id", "path", folder.alias("dir"), F.when(F.col("text").rlike(_MARK), F.size(
+    rows = files.select("key", "id", "path", folder.alias("dir"), F.when(F.col("text").rlike(_MARK), F.size(
         _terms(F.col("text")))).alias("all_words"))
-    known = rows.join(own, "id", "left")
+    known = rows.join(own, "key", "left")
     speaks = known.where("own_license is not null and dir is not null").where(
         F.col("path").rlike(_NAME) | (F.col("words") * 2 >= F.col("all_words")))
-    top = speaks.groupBy("dir").agg(F.max("own_score").alias("own_score"))
-    spoken = speaks.join(top, ["dir", "own_score"]).groupBy("dir").agg(F.min("own_license").alias("dir_license"))
+    spoken = speaks.groupBy("dir").agg(F.min(F.struct(
+        (-F.col("own_score")).alias("s"), F.col("own_license").alias("one"), F.col("own_licenses").alias("every"))).alias("said"))
     parts = F.split("dir", "/")
     above = rows.select("dir").where("dir is not null").distinct().select("dir", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"))
     near = above.join(spoken.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(
-        F.max_by(F.struct("up", "dir_license"), F.length("up")).alias("from"))
+        F.max_by(F.struct("up", "said"), F.length("up")).alias("from"))
     salted = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return known.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
+    return known.withColumn("salt", F.pmod(F.col("key.a"), F.lit(SALTS)).cast("int")).join(
         salted, ["dir", "salt"], "left").select(
-        "id", "path", "own_license", "own_score", F.coalesce("own_license", "from.dir_license").alias("license"),
+        "id", "path", "own_license", "own_score", F.coalesce("own_license", "from.said.one").alias("license"),
+        F.coalesce("own_licenses", "from.said.every").alias("licenses"),
         F.when(F.col("own_license").isNull(), F.col("from.up")).alias("inherited_from"))
