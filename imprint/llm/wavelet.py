@@ -6,15 +6,16 @@ count of ones before every 512 bits, so ``access``, ``rank`` (how often an id
 occurs before a place) and ``select`` (where it occurs the k-th time) read a few
 bytes per plane.  The file is a header and the zstd-compressed planes.
 
-Documents are dealt by ranges of doc_id and sorted, each task encodes its range and
-closes a shard about every ``SHARD_TOKENS`` ids (a longer document is a shard of its
+Documents are dealt by ranges of doc_id and, among rows of one id, of place in the input,
+and sorted; each task encodes its range and closes a shard about every ``SHARD_TOKENS`` ids (a longer document is a shard of its
 own), so files hold ascending ids and memory is bounded.  A file is one row of a
 Parquet table in the shared folder, written by Spark's commit protocol: a task that
 is lost leaves nothing, and a retry writes the same bytes.  Places of a document in the
 whole corpus come from sums per range, of which there are as many as partitions.
 
 Defined cases: null text is empty and gets the end id only; null doc_ids come first;
-rows of one doc_id are ordered by the hash of their text; other columns are ignored.
+rows of one doc_id (or none) keep the order of the input, which is to be a table's scan
+(save what comes from a shuffle first); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,8 +194,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return save(dealt.mapInArrow(_write(path, end_id, shard_tokens), _SHARD_SQL), "wavelet-shards")
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    return save(dealt.select("doc_id", "text").mapInArrow(_write(path, end_id, shard_tokens), _SHARD_SQL), "wavelet-shards")
 
 
 def _read(batches):
