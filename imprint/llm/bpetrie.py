@@ -8,7 +8,8 @@ with their common prefixes, which is its depth-first order; walking it keeps the
 states of the current path, so a shared prefix is computed once.
 
 Work is per task: each batch's new words form a trie, and a bounded memo keeps the
-encodings for later batches and tasks of the same worker.  No shuffle.
+encodings for later batches and tasks of the same worker; when it is full it becomes the
+old one, from which words used again move over.  No shuffle.
 
 Special tokens in the text are matched as the tokenizers library does by default.
 Defined cases: null text is empty; repeated rows are returned each; other columns
@@ -20,7 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from imprint.llm.common import slices
 
 _SPACE = r"[\t\n\v\f\r \x85\xa0  -     　]"
-_RAGGED = re.compile(f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|[\\x1c-\\x1f]")
 _SOLID = _SPACE.replace("[", "[^", 1)
 _CHUNKS = re.compile(f" ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -49,6 +50,13 @@ def _pieces(text: str, word: str) -> list[str]:
     return [text] if len(stem) == len(word) else [text[: len(stem) - len(word)], word[len(stem) :]]
 
 
+def _units(text: str) -> list[str]:
+    """``text`` cut where no piece crosses; a unit after a line end stands alone, any other follows one space."""
+    if text.replace("\n", " ").split(" ") != text.split():  # other or repeated white space needs the whole pattern
+        return ["\n" + c for c in _CHUNKS.findall(text)]
+    return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
+
+
 LONGEST = 64  # letters of a unit that a memo keeps, so that its bytes are bounded
 
 
@@ -62,7 +70,7 @@ def byte_letters() -> dict[str, int]:
 class TrieBPE:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 350_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
@@ -80,6 +88,11 @@ class TrieBPE:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+        self.tree = {i: (*pair, rank) for pair, (rank, i) in self.merge.items()}  # token -> its halves and their rank
+        # every token has one pair, learnt after those of its halves: then ranks tell when a merge happens
+        self.ranked = len(self.tree) == len(self.merge) and all(
+            half not in self.tree or self.tree[half][2] < rank for *halves, rank in self.tree.values() for half in halves)
+        self.whole: dict[int, bool] = {}
         # trie of the tokens: (node, byte) -> node; per node its longest proper suffix that is a node, and the tokens
         # that end there, (length, id), longest first
         self.next: dict[int, int] = {}
@@ -111,9 +124,11 @@ class TrieBPE:
         self.steps: dict[int, int] = dict(self.next)
         self.fits: dict[int, bool] = {}
         self.limit = memo
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.later: dict[str, tuple[str, bytes]] = {}
-        self.piece: dict[str, tuple[int, ...]] = {}
+        # unit -> its decimal ids joined by commas: the memo, and the one before it
+        self.memo: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.decimal = [str(i) for i in range(len(self.bytes_of))]
+        self.spelling = dict(zip(self.decimal, self.bytes_of))
 
     def merged(self, text: bytes) -> list[int]:
         """Plain BPE of a short byte string: used for pairs of tokens."""
@@ -139,99 +154,144 @@ class TrieBPE:
         node = self.steps[key] = self.step(key >> 8, key & 255)
         return node
 
+    def _whole(self, token: int) -> bool:
+        """Whether the token's bytes encode to it."""
+        if token not in self.whole:
+            self.whole[token] = self.merged(self.bytes_of[token]) == [token]
+        return self.whole[token]
+
+    def _edge(self, token: int, half: int) -> list[tuple[int, float]]:
+        """The tokens that end a whole token (``half`` 1; 0: begin it) while it is merged, each with the rank that ends it."""
+        edge = [(token, float("inf"))]
+        while token in self.tree:
+            halves = self.tree[token]
+            token = halves[half]
+            edge.append((token, halves[2]))
+        return edge
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether the joint text of two whole tokens encodes to these two: no merge across happens first."""
+        if not self.ranked:
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        merge, begins = self.merge.get, self._edge(right, 0)
+        for x, x_ends in self._edge(left, 1):
+            for y, y_ends in begins:
+                found = merge((x, y))
+                # of equal pairs the one further left is merged first
+                if found and found[0] < x_ends and found[0] <= y_ends:
+                    return False
+        return True
+
     def _fit(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last`` (-1: nothing) in an encoding; kept in ``fits``."""
         if len(self.fits) >= 1_000_000:
             self.fits.clear()
-        tail = self.bytes_of[token]
-        got = self.merged(tail) == [token] if last < 0 else self.merged(self.bytes_of[last] + tail) == [last, token]
+        got = self._whole(token) and (last < 0 or self._apart(last, token))
         self.fits[last << 20 | token] = got
         return got
 
-    def walk(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct words, by one depth-first walk over their trie."""
+    def walk(self, words: set[str]) -> dict[str, str]:
+        """Encodings of distinct words (decimal ids joined by commas), by one depth-first walk over their trie."""
         out = {}
-        state, at, before = [-1], [0], b""  # per byte of the path: last token, node
-        ends, fits, size = self.ends, self.fits.get, self.bytes_of
-        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            k, most = 0, min(len(raw), len(before))
-            while k < most and raw[k] == before[k]:
-                k += 1
+        state, at = [-1], [0]  # per byte of the path: last token, node
+        ends, fits, size, decimal, steps = self.ends, self.fits.get, self.bytes_of, self.decimal, self.steps.get
+        order = sorted(words)  # by code points, which is the order of the bytes
+        raws = [w.encode("utf-8", "surrogatepass") for w in order]
+        for word, raw, k in zip(order, raws, _shared(raws)):
             del state[k + 1 :], at[k + 1 :]
-            node, steps = at[k], self.steps.get
-            for end in range(k + 1, len(raw) + 1):
-                key = node << 8 | raw[end - 1]
+            node = at[k]
+            for byte in raw[k:] if k else raw:
+                key = node << 8 | byte
                 node = steps(key)
                 if node is None:
                     node, steps = self._step(key), self.steps.get
                 at.append(node)
                 for length, t in ends[node]:
-                    last = state[end - length]  # -1 at the word's start
+                    last = state[-length]  # -1 at the word's start
                     ok = fits(last << 20 | t)
                     if ok or ok is None and self._fit(last, t):
                         state.append(t)
                         break
-            before = raw
-            ids, end = [], len(raw)
+            end = len(raw)
+            t = state[end]
+            if len(size[t]) == end:
+                out[word] = decimal[t]
+                continue
+            ids = []
             while end:
-                ids.append(state[end])
-                end -= len(size[state[end]])
-            out[word] = tuple(reversed(ids))
+                t = state[end]
+                ids.append(decimal[t])
+                end -= len(size[t])
+            ids.reverse()
+            out[word] = ",".join(ids)
         return out
 
-    def _learn(self, heads: set[str], rest: set[str]) -> None:
-        """Encode units that the memos don't hold: ``rest`` are words after one space, ``heads`` stand alone."""
-        parts = [(self.first, u, _pieces(u, u)) for u in heads] + [(self.later, u, _pieces(" " + u, u)) for u in rest]
-        new = {p for _, _, ps in parts for p in ps if p not in self.piece}
-        if len(self.piece) + len(new) > self.limit:
-            self.piece.clear()
-            new = {p for _, _, ps in parts for p in ps}
-        self.piece.update(self.walk(list(new)))
-        for memo, unit, ps in parts:
-            ids = self.piece[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.piece[p]]
-            memo[unit] = (",".join(map(str, ids)), array("I", ids).tobytes())
-
-    def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
-        """Per text the decimal ids joined by commas and the ids."""
-        if len(self.first) + len(self.later) > self.limit:
-            self.first.clear()
-            self.later.clear()
-        jobs, heads, others = [], set(), set()
+    def _learn(self, units: set[str]) -> dict[str, str]:
+        """Encodings of units that the memo doesn't hold; it keeps them from now on, but for long ones."""
+        now, cut, pieces, before = {}, [], set(), self.old.get
+        for unit in units:
+            known = before(unit)
+            if known is not None:
+                now[unit] = known
+                continue
+            alone = unit[0] == "\n"
+            word = unit[1:] if alone else unit
+            if alone and word in self.special:
+                now[unit] = self.decimal[self.special[word]]
+                continue
+            ps = _pieces(word if alone else " " + word, word)
+            cut.append((unit, ps))
+            pieces.update(ps)
+        lines = self.walk(pieces)
+        for unit, ps in cut:
+            now[unit] = lines[ps[0]] if len(ps) == 1 else ",".join([lines[p] for p in ps])
+        if len(self.memo) + len(now) > self.limit:
+            self.old, self.memo = self.memo, {}
+        self.memo.update(now)
+        for unit in units:
+            if len(unit) > LONGEST:
+                del self.memo[unit]
+        return now
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """Per text the decimal ids joined by commas."""
+        jobs, new, get = [], set(), self.memo.get
         for text in texts:
-            job = []
+            units = []
             for seg in self._split.split(text) if self._split and "<|" in text else [text]:
                 if seg in self.special:
-                    i = self.special[seg]
-                    job.append(((str(i), np.array([i], "<u4").tobytes()), (), ()))
+                    units.append("\n" + seg)
                 elif seg:
-                    # words after single spaces are units; ragged white space needs the whole pattern
-                    head, *rest = (seg.split(" ") if not _RAGGED.search(seg) else [None])
-                    head = [head] if head is not None else _CHUNKS.findall(seg)
-                    heads.update(head)
-                    others.update(rest)
-                    job.append((None, head, rest))
-            jobs.append(job)
-        self._learn(heads.difference(self.first), others.difference(self.later))
-        out = []
-        for job in jobs:
-            got = []
-            for ready, head, rest in job:
-                if ready:
-                    got.append(ready)
-                got += map(self.first.__getitem__, head)
-                got += map(self.later.__getitem__, rest)
-            out.append((",".join([g[0] for g in got]), np.frombuffer(b"".join([g[1] for g in got]), "<u4")))
-        for memo, units in ((self.first, heads), (self.later, others), (self.piece, list(self.piece))):
-            for unit in [u for u in units if len(u) > LONGEST]:
-                memo.pop(unit, None)
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 bytes of the text; ill-formed sequences become U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+                    units += _units(seg)
+            known = list(map(get, units))
+            new.update(compress(units, map(is_, known, repeat(None))))
+            jobs.append((units, known))
+        now = self._learn(new)
+        return [",".join([now[u] if k is None else k for u, k in zip(units, known)]) for units, known in jobs]
+
+    def decode(self, line: str) -> bytes:
+        """UTF-8 bytes of the text of decimal ids joined by commas; ill-formed sequences become U+FFFD."""
+        raw = b"".join(map(self.spelling.__getitem__, line.split(","))) if line else b""
         return raw.decode("utf-8", "replace").encode("utf-8")
 
 
+def _shared(raws: list[bytes], width: int = 32) -> list[int]:
+    """Per sorted word the bytes that it shares with the one before it."""
+    if not raws:
+        return []
+    head = np.array(raws, f"S{width}").view(np.uint8).reshape(-1, width)
+    same = head[1:] == head[:-1]
+    sizes = np.array([len(r) for r in raws])
+    shared = [0, *np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)),
+                             np.minimum(sizes[1:], sizes[:-1])).tolist()]
+    for k in np.flatnonzero(np.array(shared) == width).tolist():
+        a, b, n = raws[k - 1], raws[k], width
+        while n < len(a) and n < len(b) and a[n] == b[n]:
+            n += 1
+        shared[k] = n
+    return shared
+
+
 _LOADED: dict[str, TrieBPE] = {}
 
 
@@ -251,10 +311,10 @@ def _codes(path: str | None, size: int = 4 << 20):
         for batch in batches:
             for part in slices(batch, 1, size):
                 n, ids_sha, text_sha = [], [], []
-                for line, ids in coder.encode([t or "" for t in part.column(1).to_pylist()]):
-                    n.append(len(ids))
+                for line in coder.encode([t or "" for t in part.column(1).to_pylist()]):
+                    n.append(line.count(",") + 1 if line else 0)
                     ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                    text_sha.append(hashlib.sha256(coder.decode(line)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
