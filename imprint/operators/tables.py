@@ -63,26 +63,29 @@ def max_id(df: DataFrame, id_col: str = "id") -> Column:
 
 def assign_ids(df: DataFrame, order: list[str], start: int, id_col: str = "id",
                partitions: int | None = None) -> DataFrame:
-    """Dense ids ``start + 1, start + 2, ...`` following ``order`` (which must be a total order).
+    """Dense ids ``start + 1, start + 2, ...`` following ``order`` (which must be a total order)."""
+    return numbered(df, order, start, id_col, partitions)[0]
 
-    Distributed: range partitioning + per-partition positions + a broadcast of
-    the per-partition counts (one row per partition, a proven bound).
+
+def numbered(df: DataFrame, order: list[str], start: int, id_col: str = "id",
+             partitions: int | None = None) -> tuple[DataFrame, int]:
+    """:func:`assign_ids` and the number of rows.
+
+    Distributed: range partitioning + per-partition positions + the per-partition counts, of which
+    the driver gets one row per partition (a proven bound).
     """
     spark = df.sparkSession
     n = partitions or max(1, spark.sparkContext.defaultParallelism)
     ordered = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     pos = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = pos.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_p",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_off"),
-    )
+    sizes = {r["_p"]: r["_n"] for r in pos.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    before, total = [0] * (max(sizes, default=-1) + 1), 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
     local = F.col("_mid") - F.shiftleft(F.col("_p").cast("bigint"), 33)
-    return pos.join(F.broadcast(offsets), "_p").select(
-        (F.lit(start).cast("bigint") + F.col("_off") + local + 1).alias(id_col),
-        *[c for c in df.columns if c != id_col],
-    )
+    off = F.element_at(F.lit(before or [0]).cast("array<bigint>"), F.col("_p") + 1)
+    return pos.select((F.lit(start).cast("bigint") + off + local + 1).alias(id_col),
+                      *[c for c in df.columns if c != id_col]), total
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None,

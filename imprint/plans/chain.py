@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from imprint.operators import match as M
 from imprint.operators.raster import from_bytes, raster_hashes, raster_pixels
 from imprint.operators.registry import HASHING_METHODS, MODIFICATIONS
-from imprint.operators.tables import first_by_key, insert_or_ignore, lookup_id, new_rows
+from imprint.operators.tables import first_by_key, lookup_id, new_rows
 from imprint.session import materialise
 from imprint.sources.images import read_images, split_valid, stream_images
 from imprint.sources.paths import content_path
-from imprint.sources.store import Store
+from imprint.sources.store import RASTERS, Store
 
-PIXELS, RASTERS = "variant_pixels", "variant_rasters"  # pixels by batch, and the index that makes them count
+PIXELS = "variant_pixels"  # pixels by batch; the index (RASTERS) makes them count
 
 
 @dataclass
@@ -78,21 +78,18 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
                            quarantined, bad)
     files = rows.select("path", "user_name").distinct()
 
-    # load: users (get-or-create by name), then every file on its path, ids in path order
-    users_new = insert_or_ignore(store.read("users"), files.select(F.col("user_name").alias("name")),
-                                 ["name"], ["name"])
-    store.append("users", users_new.select("id", "name"))
-    with_uid = lookup_id(files, store.read("users"), "user_name", "name", "id", "user_id", broadcast_dim=False)
-    # insert_or_ignore materialises its rows before numbering them, so reading
-    # new_images again below is cheap and sees exactly the appended rows
-    new_images = insert_or_ignore(store.read("images"), with_uid.select("path", "user_id"), ["path"], ["path"])
-    n_images = store.append("images", new_images)
+    # load: users (get-or-create by name), then every file on its path, ids in path order.  Every step is
+    # compared only with the files of its table that can hold the batch's keys (``store.near``).
+    users = files.select(F.col("user_name").alias("name"))
+    store.insert("users", users, ["name"], ["name"])
+    with_uid = lookup_id(files, store.near("users", users), "user_name", "name", "id", "user_id", broadcast_dim=False)
+    n_images = store.insert("images", with_uid.select("path", "user_id"), ["path"], ["path"])
 
     # modify + hash every decodable file of the batch, with the store's dimension ids.  Each
     # stage is insert-or-ignore against its table, so rows already stored are no-ops and a
     # batch interrupted between stages is completed by the next run (the tables, not the
     # rows a previous step happened to pass on, decide what is missing).
-    batch_images = store.read("images").join(files.select("path"), "path", "left_semi") \
+    batch_images = store.near("images", files).join(files.select("path"), "path", "left_semi") \
         .select(F.col("id").alias("image_id"), "path")
     mods = _registry_map(spark, store, MODIFICATIONS, "modifications", "mod_id")
     meths = _registry_map(spark, store, HASHING_METHODS, "hashing_methods", "method_id")
@@ -107,17 +104,16 @@ def ingest_batch(spark: SparkSession, store: Store, images: DataFrame, variant_r
     # first writer per content path (W1), then insert-or-ignore against stored variants (J7d)
     variants = first_by_key(ok.select(F.col("vpath").alias("path"), "image_id", "modification_id").distinct(),
                             ["path"], ["image_id", "modification_id"])
-    new_mod = insert_or_ignore(store.read("modified_images"), variants, ["path"], ["image_id", "modification_id"])
-    n_mod = store.append("modified_images", new_mod)
+    n_mod = store.insert("modified_images", variants, ["path"], ["image_id", "modification_id"])
 
     # hashes of the stored variants this batch's rows produced (J7f), serial ids; a variant
     # that lost its content path to another image matches no stored row and gets no hash
-    stored = store.read("modified_images").select(
+    stored = store.near("modified_images", variants).select(
         F.col("id").alias("modified_image_id"), F.col("path").alias("vpath"), "image_id", "modification_id")
     hashes = ok.join(stored, ["vpath", "image_id", "modification_id"]) \
         .select("hash", "modified_image_id", "hashing_method_id")
     keys = ["modified_image_id", "hashing_method_id", "hash"]
-    n_hashes = store.append("hashes", insert_or_ignore(store.read("hashes"), hashes, keys, keys))
+    n_hashes = store.insert("hashes", hashes, keys, keys)
     if store_rasters:
         index_rasters(store, pixels, batch_images, stored)
     return BatchResult(n_images, n_mod, n_hashes, int(quarantined.get.get("bad") or 0))
@@ -143,9 +139,8 @@ def index_rasters(store: Store, batch: str, batch_images: DataFrame, stored: Dat
     won = made.join(stored.select(F.col("vpath").alias("path"), "image_id", F.col("modification_id").alias("mod_id")),
                     ["image_id", "mod_id"])
     rows = won.select("path", F.lit(batch).alias("batch"), "image_path", "reg_id", "height", "width", "n_channels")
-    if store._exists(RASTERS):
-        rows = new_rows(rows, store.spark.read.parquet(store.path(RASTERS)), ["path"])
-    rows.write.mode("append").parquet(store.path(RASTERS))
+    rows = materialise(new_rows(rows, store.near(RASTERS, rows), ["path"]), "raster-index")
+    store.append(RASTERS, rows)
 
 
 def map_rasters(store: Store, run, schema: str) -> DataFrame:
@@ -158,7 +153,7 @@ def map_rasters(store: Store, run, schema: str) -> DataFrame:
         "batch", F.col("path").alias("image_path"), F.col("modification_id").alias("reg_id"), "height", "width",
         "n_channels", "data")
     out = pixels.mapInPandas(_over_pixels(run, schema), f"batch string, image_path string, reg_id int, {schema}")
-    return spark.read.parquet(store.path(RASTERS)).join(out, ["batch", "image_path", "reg_id"])
+    return store.read(RASTERS).join(out, ["batch", "image_path", "reg_id"])
 
 
 def _over_pixels(run, schema: str):

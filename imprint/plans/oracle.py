@@ -258,6 +258,8 @@ JOIN mods m1 ON f1.modification_id = m1.id JOIN mods m2 ON f2.modification_id =
 JOIN meths me ON n.hashing_method_id = me.id""",
         "content_dedup": CONTENT_DEDUP,
         "insert_or_ignore": f"WITH {ACTIVITY} SELECT id, user_id, event_type, day FROM created",
+        "keyed_upsert": f"""WITH {ACTIVITY}
+SELECT id, user_id, event_type, day FROM existing UNION ALL SELECT id, user_id, event_type, day FROM created""",
         "get_or_create": f"""WITH {ACTIVITY},
 dim AS (SELECT id, user_id, event_type, day FROM existing UNION ALL SELECT id, user_id, event_type, day FROM created)
 SELECT e.event_id, d.id AS activity_id

@@ -26,6 +26,7 @@ from imprint.operators.registry import (
 from imprint.plans import adapters as A
 from imprint.session import materialise, scratch_path
 from imprint.sources import paths as P
+from imprint.sources.keyed import KeyedTable
 
 # Fixed parameters of the registered queries.
 NEAR_BITS = 14  # near-duplicate threshold, in bits of 64 (banded: 15 bands)
@@ -35,6 +36,7 @@ LOOKUP_ID, LOOKUP_METHOD = 7, 2
 NEAREST_K = 5
 ORDERED_ROWS = 1000  # rows a file of the ordered layout
 ODD_SIDE = 9
+KEYED_ROWS, KEYED_LOTS = 500, 3  # rows a file, and appends, of the keyed table
 
 
 def stored_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,6 +168,20 @@ def q_insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return TB.insert_or_ignore(existing, incoming.select(*keys), keys, order).select("id", *keys)
 
 
+def q_keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """J7 on a table laid out by key: three appends, an insert of rows old and new, and its replay; the whole table."""
+    existing, incoming, keys, order = _activity(spark, sf)
+    table = KeyedTable(spark, scratch_path(spark, "keyed-activity"), existing.select("id", *keys).schema, keys,
+                       rows_per_file=KEYED_ROWS, fanout=KEYED_LOTS)
+    for lot in range(KEYED_LOTS):
+        table.append(existing.where(F.col("id") % KEYED_LOTS == lot))
+    incoming = materialise(incoming.select(*keys), "incoming")
+    table.insert(incoming, keys, order)
+    if table.insert(incoming, keys, order):
+        raise RuntimeError("a replayed insert added rows")
+    return table.read()
+
+
 def q_get_or_create(spark: SparkSession, sf: str) -> DataFrame:
     existing, incoming, keys, order = _activity(spark, sf)
     with_id, _ = TB.get_or_create(existing, incoming.select("event_id", *keys), keys, "id", order)
@@ -418,6 +434,7 @@ QUERIES = {
     "content_dedup": q_content_dedup,
     "insert_or_ignore": q_insert_or_ignore,
     "get_or_create": q_get_or_create,
+    "keyed_upsert": q_keyed_upsert,
     "name_lookup": q_name_lookup,
     "user_from_path": q_user_from_path,
     "hash_page": q_hash_page,

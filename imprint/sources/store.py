@@ -1,7 +1,8 @@
 """The seven result tables as Parquet folders under one root (S5, S6), read and appended by Spark.
 
 Each stage appends only rows it newly inserted (insert-or-ignore, see
-:mod:`imprint.operators.tables`).
+:mod:`imprint.operators.tables`).  The tables that a batch is compared with are laid out by key
+(:mod:`imprint.sources.keyed`), so a batch opens only the files that can hold its keys.
 
 ``matches`` has a commit manifest.  A match run covers the hashes of a method above the last committed one,
 ``after``, up to ``upto``; its pairs go to the partition ``(hashing_method_id, after)``, which the write replaces
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from imprint.operators.tables import insert_or_ignore
+from imprint.sources.keyed import KeyedTable
 
 L, I, S, D = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
 
@@ -37,6 +39,13 @@ SCHEMAS = {
     "matches": _schema(("hash_id1", L, False), ("hash_id2", L, False), ("hamming_distance", D, False),
                        ("hashing_method_id", I, False)),
 }
+# The index of stored variant pixels; it has no part in the seven tables.
+RASTERS = "variant_rasters"
+RASTERS_SCHEMA = _schema(("path", S, False), ("batch", S, False), ("image_path", S, False), ("reg_id", I, False),
+                         ("height", I, False), ("width", I, False), ("n_channels", I, False))
+# What the keyed tables are looked up by.
+KEYS = {"users": ["name"], "images": ["path"], "modified_images": ["path"], "hashes": ["modified_image_id"],
+        RASTERS: ["path"]}
 PARTITIONS = {"matches": ["hashing_method_id", "after"]}
 # The manifest: one row a method and committed run, written after the pairs.
 RUNS = "match_runs"
@@ -47,10 +56,13 @@ DEFAULT_USER = "undefined"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 1_000_000):
         self.spark = spark
         self.root = root.rstrip("/")
         self._ready: tuple | None = None
+        self.keyed = {name: KeyedTable(spark, self.path(name), RASTERS_SCHEMA if name == RASTERS else SCHEMAS[name],
+                                       keys, None if name == RASTERS else "id", rows_per_file)
+                      for name, keys in KEYS.items()}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -61,6 +73,8 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, name: str) -> DataFrame:
+        if name in self.keyed:
+            return self.keyed[name].read()
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         schema = SCHEMAS[name]
@@ -71,10 +85,20 @@ class Store:
             df = df.join(F.broadcast(self.runs().select("hashing_method_id", "after")), ["hashing_method_id", "after"])
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
+    def near(self, name: str, incoming: DataFrame) -> DataFrame:
+        """The rows of a keyed table that can hold a key of ``incoming``; the other files stay closed."""
+        return self.keyed[name].near(incoming)
+
+    def insert(self, name: str, rows: DataFrame, keys: list[str], order: list[str]) -> int:
+        """J7 on a keyed table: append the rows whose ``keys`` it doesn't hold yet, with fresh ids; returns how many."""
+        return self.keyed[name].insert(rows, keys, order)
+
     def append(self, name: str, df: DataFrame) -> int:
-        """Append rows (one job, committed atomically); returns how many were written."""
+        """Append rows (committed atomically); returns how many were written."""
         from pyspark.sql import Observation
 
+        if name in self.keyed:
+            return self.keyed[name].append(df)
         cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields]
         obs = Observation(f"append_{name}")
         df.select(*cols).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(self.path(name))
@@ -131,13 +155,13 @@ class Store:
         if self._ready == key:
             return
         for name in SCHEMAS:
-            if not self._exists(name):
-                empty = self.spark.createDataFrame([], SCHEMAS[name])
-                if name == "users":  # S6: the seed row goes in with the table
-                    empty = self.spark.createDataFrame([(1, DEFAULT_USER)], SCHEMAS[name])
-                if name != "matches":  # made by its first run
-                    self.append(name, empty)
-        self.ensure_names("users", [DEFAULT_USER])
+            if name in self.keyed:
+                if self._exists(name) and not self._exists(f"{name}/live"):
+                    raise ValueError(f"{self.path(name)} is not laid out by key: append its rows to a new store")
+            elif name != "matches" and not self._exists(name):  # matches is made by its first run
+                self.append(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        if not self.keyed["users"].count():  # S6: the seed row
+            self.keyed["users"].append(self.spark.createDataFrame([(1, DEFAULT_USER)], SCHEMAS["users"]), (1, 1))
         self.ensure_names("modifications", modification_names)
         self.ensure_names("hashing_methods", method_names)
         self._ready = key
@@ -148,9 +172,12 @@ class Store:
         The registry dimensions hold a handful of rows, so the present names are
         read first and the insert job runs only when one is missing.
         """
-        present = {r["name"] for r in self.read(table).where(F.col("name").isin(names)).select("name").collect()}
+        rows = self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
+        if table in self.keyed:
+            self.insert(table, rows, ["name"], ["pos"])
+            return
+        stored = self.read(table)
+        present = {r["name"] for r in stored.where(F.col("name").isin(names)).select("name").collect()}
         if present >= set(names):
             return
-        rows = self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
-        new = insert_or_ignore(self.read(table), rows, ["name"], ["pos"])
-        self.append(table, new.select("id", "name"))
+        self.append(table, insert_or_ignore(stored, rows, ["name"], ["pos"]).select("id", "name"))

@@ -175,7 +175,7 @@ def test_pixels_are_written_once_and_never_exchanged(spark):
         exchanges = [i for i, ln in enumerate(lines) if "Exchange" in ln]
         # what the pixel step reads comes straight from a scan; exchanges above it carry its narrow result
         assert all(i < pixel_step or "data#" not in "".join(lines[i:]) for i in exchanges)
-    wide = C._pixel_rows(spark, store, spark.read.parquet(store.path(C.RASTERS)).first()["batch"])
+    wide = C._pixel_rows(spark, store, store.read(C.RASTERS).first()["batch"])
     assert "data" not in _plan(wide.select("path", "digest")).split("ReadSchema")[1]
 
 

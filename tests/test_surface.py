@@ -31,7 +31,7 @@ def test_raster_sink_keeps_inserted_variants(spark):
             fh.write(png_bytes(arr.tobytes(), 10, 12, 1))
     store = Store(spark, scratch_path(spark, "sink-store"))
     C.ingest_folder(spark, store, src, "/v", store_rasters=True)
-    pix = spark.read.parquet(store.path("variant_rasters"))
+    pix = store.read("variant_rasters")
     mod = store.read("modified_images")
     assert pix.count() == mod.count() == 6
     assert pix.join(mod, "path", "left_anti").count() == 0
