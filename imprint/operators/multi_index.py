@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions.bits import assert_equal_lengths, hex_to_bits
+from imprint.operators.hot_keys import HOT, cut_hot
 from imprint.session import materialise
 
 BANDS = 4
 MOST_BAND_BITS = 20  # of the bitmap of values present: 2^20 bits a band and method
-HOT = 4096
 
 
 def radii(t: int, bands: int) -> list[int]:
@@ -119,21 +119,7 @@ def near_pairs(fp: DataFrame, threshold_bits: int, bands: int = BANDS, id_col: s
     rows = materialise(_rows(fp, id_col, method_col), "multi-index-rows")
     stored = _stored(rows, plan)
     key = ["m", "band", "value"]
-    shared = materialise(stored.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select(
-        *key, F.ceil(F.col("c") / F.lit(float(hot))).cast("int").alias("blocks")), "multi-index-hot")
-    probing = _probing(rows, stored, plan)
-    if shared.limit(1).count():
-        # block pairs of hot values: a row stands in one block, and meets all blocks of the other side
-        mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-        def cut(side, here, there):
-            side = side.join(shared, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            return side.withColumn(here, mine).withColumn(there, every).drop("blocks")
-
-        probing, stored, on = cut(probing, "pi", "si"), cut(stored, "si", "pi"), [*key, "pi", "si"]
-    else:
-        on = key
+    probing, stored, on = cut_hot(_probing(rows, stored, plan), stored, key, hot)
     left = probing.select(F.col("id").alias("id1"), F.col("bits").alias("bits1"), *on)
     right = stored.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), *on)
     pairs = left.join(right, on).where(F.col("id1") < F.col("id2"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from imprint.operators import analytics as AN
 from imprint.operators import match as M
+from imprint.operators.hot_keys import cut_hot
 from imprint.operators.tables import first_by_key
 
 
@@ -31,7 +32,7 @@ def test_hot_band_near_duplicates(spark):
         rows.append((i, format(v, "016x"), 1))
     fp = spark.createDataFrame(rows, "id long, hash string, hashing_method_id int")
     for t in (3, 6):
-        got = sorted((r[0], r[1]) for r in AN.near_duplicates(fp, t, strategy="bands").collect())
+        got = sorted((r[0], r[1]) for r in AN.near_duplicates(fp, t, strategy="bands", hot=8 if t == 3 else 4096).collect())
         brute = sorted((a[0], b[0]) for a in rows for b in rows
                        if a[0] < b[0] and bin(int(a[1], 16) ^ int(b[1], 16)).count("1") <= t)
         assert got == brute
@@ -45,3 +46,16 @@ def test_dominant_method_gets_more_blocks(spark):
     assert plan.blocks[1] > plan.blocks[2]
     got = M.match_pairs(h, plan=plan).groupBy("hashing_method_id").count().collect()
     assert {r[0]: r[1] for r in got} == {1: 540 * 541 // 2, 2: 60 * 61 // 2}
+
+
+def test_hot_keys_are_cut_into_block_pairs(spark):
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string").repartition(8)
+    left, right, on = cut_hot(df, df, ["k"], hot=100)
+    pairs = left.select(F.col("id").alias("a"), *on).join(right.select(F.col("id").alias("b"), *on), on)
+    plain = df.select(F.col("id").alias("a"), "k").join(df.select(F.col("id").alias("b"), "k"), "k")
+    assert pairs.count() == plain.count() == pairs.select("a", "b").distinct().count()
+    for side in (left, right):
+        assert side.groupBy(*on).count().agg(F.max("count")).first()[0] < 200  # 1000 rows are hot
+    cold = cut_hot(df, df, ["k"], hot=1000)
+    assert cold[2] == ["k"] and cold[0] is df
