@@ -4,7 +4,8 @@ The reference polls for new files forever and pushes each through
 insert-or-ignore writes.  Here a file-stream source with ``maxFilesPerTrigger``
 delivers bounded batches, the checkpoint remembers which files were taken,
 and ``foreachBatch`` applies the same rule as the batch job: first writer per
-key inside the batch, ``left_anti`` against the table, append.  A replayed
+key inside the batch, ``left_anti`` against the table, append.  The table is
+laid out by key, so a batch opens only the files that can hold its keys.  A replayed
 batch (after a failure, or with a fresh checkpoint) therefore appends nothing
 it already holds; no unbounded ``dropDuplicates`` state is kept.
 """
@@ -15,38 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.operators.tables import first_by_key, new_rows
-from imprint.session import scratch_path
+from imprint.session import materialise, scratch_path
+from imprint.sources.keyed import KeyedTable
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jpath)
-
-
-def upsert_batch(sink: str, keys: list[str], order: list[str]):
-    """foreachBatch body: in-batch first writer, anti-join against the sink's key columns, append.
-
-    A batch of document files carries keys from every part of the key space,
-    so partitioning the sink by key would not prune its reads and would only
-    multiply small files; the anti-join reads the key column alone.
-    """
+def upsert_batch(sink: KeyedTable, order: list[str]):
+    """foreachBatch body: in-batch first writer, anti-join against the sink's files that can hold the keys, append."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_by_key(batch, keys, order)
-        if _table_exists(spark, sink):
-            fresh = new_rows(fresh, spark.read.schema(batch.schema).parquet(sink), keys)
-        fresh.write.mode("append").parquet(sink)
+        # written before it is compared, so the source is read once a batch
+        fresh = materialise(first_by_key(batch, sink.keys, order), "stream-batch")
+        new = materialise(new_rows(fresh, sink.near(fresh), sink.keys), "stream-new")
+        sink.append(new)
 
     return run
 
 
-def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, keys: list[str], order: list[str],
-                  available_now: bool = True):
+def ingest_stream(stream: DataFrame, sink: KeyedTable, checkpoint: str, order: list[str], available_now: bool = True):
     """Start the upsert stream; with ``available_now`` it drains what exists and stops."""
-    w = stream.writeStream.foreachBatch(upsert_batch(sink, keys, order)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(upsert_batch(sink, order)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -63,10 +51,10 @@ def document_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> Dat
 def ingest_documents(spark: SparkSession, sf_dir: str, sink: str | None = None,
                      checkpoint: str | None = None) -> DataFrame:
     """Run the document stream to completion and return the deduplicated sink table."""
-    sink = sink or scratch_path(spark, "stream-documents")
-    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint")
-    q = ingest_stream(document_stream(spark, sf_dir), sink, checkpoint, ["digest"], ["doc_id"])
+    stream = document_stream(spark, sf_dir)
+    table = KeyedTable(spark, sink or scratch_path(spark, "stream-documents"), stream.schema, ["digest"], id_col=None)
+    q = ingest_stream(stream, table, checkpoint or scratch_path(spark, "stream-checkpoint"), ["doc_id"])
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink)
+    return table.read()
