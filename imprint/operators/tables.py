@@ -72,11 +72,11 @@ def numbered(df: DataFrame, order: list[str], start: int, id_col: str = "id",
     """:func:`assign_ids` and the number of rows.
 
     Distributed: range partitioning + per-partition positions + the per-partition counts, of which
-    the driver gets one row per partition (a proven bound).
+    the driver gets one row per partition (a proven bound).  Without ``partitions`` there are as many as
+    ``spark.sql.shuffle.partitions`` says, fewer where adaptive execution finds neighbours small.
     """
-    spark = df.sparkSession
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
-    ordered = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    by = order if partitions is None else [partitions, *order]
+    ordered = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*order))
     pos = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     sizes = {r["_p"]: r["_n"] for r in pos.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).collect()}
     before, total = [0] * (max(sizes, default=-1) + 1), 0
