@@ -61,7 +61,7 @@ class Registry:
         return spark.createDataFrame([(i, n) for n, i in self.ids().items()], schema)
 
 
-RAGGED_PIXELS = 1 << 20  # pixels that one call of a batch kernel holds
+RAGGED_PIXELS = 1 << 20  # pixels that one call of a batch kernel holds, resized ones included
 MODIFICATIONS = Registry("modification")
 HASHING_METHODS = Registry("hashing method")
 
@@ -191,16 +191,24 @@ def grid_variants(images: DataFrame, width, height, px_col: str = "px",
     return images.select(*rest, F.inline(F.array(*structs)))
 
 
+def _grids_a_call(method, width: int, height: int) -> int:
+    """Grids of a size that one call of a method's kernel takes, by the larger of their pixels and those it resizes to."""
+    return max(1, RAGGED_PIXELS // max(width * height, getattr(method, "side", 1) ** 2, 1))
+
+
 def batch_hash_udf(method, width: int, height: int):
-    """Arrow-batched fingerprint of same-size grey grids: one numpy call per batch of rows."""
+    """Arrow-batched fingerprint of same-size grey grids: one numpy call per ``RAGGED_PIXELS`` of a batch of rows."""
     from imprint.operators.raster import flags_hex
 
     @F.pandas_udf("string")
     def run(px: pd.Series) -> pd.Series:
         if len(px) == 0:
             return pd.Series([], dtype=object)
-        grids = np.stack(px.to_numpy()).astype(np.int64).reshape(len(px), height, width)
-        return pd.Series(flags_hex(method.batch(grids)))
+        values, step, out = px.to_numpy(), _grids_a_call(method, width, height), []
+        for a in range(0, len(values), step):
+            grids = np.stack(values[a:a + step]).astype(np.int64).reshape(-1, height, width)
+            out += flags_hex(method.batch(grids))
+        return pd.Series(out)
 
     return run
 
@@ -216,7 +224,7 @@ def ragged_hash_udf(method):
         for one in np.unique(size):
             at = np.flatnonzero(size == one)
             w, h = int(one >> 32), int(one & 0xFFFFFFFF)
-            step = max(1, RAGGED_PIXELS // max(w * h, 1))
+            step = _grids_a_call(method, w, h)
             for a in range(0, len(at), step):
                 rows = at[a:a + step]
                 grids = np.stack(px.to_numpy()[rows]).astype(np.int64).reshape(len(rows), h, w)
