@@ -46,7 +46,6 @@ RASTERS_SCHEMA = _schema(("path", S, False), ("batch", S, False), ("image_path",
 # What the keyed tables are looked up by.
 KEYS = {"users": ["name"], "images": ["path"], "modified_images": ["path"], "hashes": ["modified_image_id"],
         RASTERS: ["path"]}
-PARTITIONS = {"matches": ["hashing_method_id", "after"]}
 # The manifest: one row a method and committed run, written after the pairs.
 RUNS = "match_runs"
 RUNS_SCHEMA = _schema(("hashing_method_id", I, False), ("after", L, False), ("upto", L, False), ("pairs", L, False))
@@ -116,18 +115,23 @@ class Store:
             F.max("upto").alias("upto")).collect()}
 
     def write_matches(self, pairs: DataFrame, upto: dict[int, int]) -> dict[int, int]:
-        """Write a run's pairs, replacing what an uncommitted run after the same hashes left; rows per method."""
+        """Write a run's pairs, replacing what an uncommitted run after the same hashes left; rows per method.
+
+        Each method's pairs (a handful of methods) go straight into the folder of their partition: a write that deals
+        rows to partitions would sort all pairs of a task by them first.
+        """
         from pyspark.sql import Observation
 
         marks = self.match_watermarks()
-        method = F.col("hashing_method_id")
-        after = F.element_at(F.create_map(*[F.lit(x) for m in upto for x in (m, marks.get(m, NONE_YET))]), method)
-        obs = Observation("write_matches")
-        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS["matches"].fields]
-        counts = [F.sum(F.when(method == m, 1).otherwise(0)).alias(f"m{m}") for m in upto]
-        (pairs.select(*cols, after.cast("bigint").alias("after")).observe(obs, *counts).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS["matches"]).parquet(self.path("matches")))
-        return {m: int(obs.get.get(f"m{m}") or 0) for m in upto}
+        cols = [F.col(f.name).cast(f.dataType) for f in SCHEMAS["matches"].fields if f.name != "hashing_method_id"]
+        counts = {}
+        for m in upto:
+            obs = Observation(f"write_matches_{m}")
+            (pairs.where(F.col("hashing_method_id") == m).select(*cols).observe(obs, F.count(F.lit(1)).alias("rows"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .parquet(f"{self.path('matches')}/hashing_method_id={m}/after={marks.get(m, NONE_YET)}"))
+            counts[m] = int(obs.get.get("rows") or 0)
+        return counts
 
     def commit_matches(self, upto: dict[int, int], counts: dict[int, int]) -> None:
         """The manifest rows of a run whose pairs are written: from here on it counts."""
