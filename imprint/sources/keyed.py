@@ -27,6 +27,9 @@ from imprint.operators.tables import first_by_key, new_rows, numbered
 
 MAX_BITS = 20  # a million files a generation
 BUCKET = "bucket"
+ROWS_PER_TASK = 250_000  # of an append, where its files are smaller
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_TASKS = 64  # that look up the files of many folders
 
 
 @dataclass(frozen=True)
@@ -118,7 +121,13 @@ class KeyedTable:
     def _open(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.option("basePath", f"{self.path}/rows").schema(self.schema).parquet(*folders)
+        # the default is a task a folder, each of which sends the driver more about itself than about its file
+        was = self.spark.conf.get(LISTING, None)
+        self.spark.conf.set(LISTING, str(LISTING_TASKS))
+        try:
+            rows = self.spark.read.option("basePath", f"{self.path}/rows").schema(self.schema).parquet(*folders)
+        finally:
+            self.spark.conf.unset(LISTING) if was is None else self.spark.conf.set(LISTING, was)
         return rows.select(*self.schema.names)
 
     def _folder(self, gen: int, bucket: int | None = None) -> str:
@@ -177,7 +186,10 @@ class KeyedTable:
         gen = max((g.gen for g in live), default=0) + 1
         # static: whatever a writer that was cut off left in this folder goes
         dealt = df.withColumn(BUCKET, self._bucket(bits))
-        dealt = dealt.repartition(1 << bits, BUCKET) if bits else dealt.coalesce(1)
+        # a bucket is one task's; where buckets are small a task writes many, one after the other
+        slots = max(self.spark.sparkContext.defaultParallelism, 1)
+        tasks = min(1 << bits, max(slots * 4, math.ceil(rows / ROWS_PER_TASK)))
+        dealt = dealt.repartition(tasks, BUCKET) if bits else dealt.coalesce(1)
         (dealt.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite")
          .option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self._folder(gen)))
         fs, folder = self._fs(self._folder(gen))
