@@ -166,6 +166,82 @@ def nearest(key, table):
     return pa.table({"hash_id": ids[ok], "k": keys[ok]})
 
 
+def _met(lv: np.ndarray, rv: np.ndarray, masks: np.ndarray, width: int, most: int = 1 << 20):
+    """``(i, j)`` of all cells with ``lv[i] ^ rv[j]`` in ``masks``, in parts of about ``most``; no other cell is met."""
+    order = np.argsort(rv, kind="stable")
+    rv = rv[order]
+    dense = width <= 20
+    if dense:
+        ends = np.cumsum(np.bincount(rv.astype(np.int64), minlength=1 << width))
+    step = max(1, most // len(masks))
+    for a in range(0, len(lv), step):
+        probe = (lv[a : a + step, None] ^ masks[None]).reshape(-1)
+        if dense:
+            probe = probe.astype(np.int64)
+            last, first = ends[probe], np.where(probe > 0, ends[probe - 1], 0)
+        else:
+            first, last = np.searchsorted(rv, probe, side="left"), np.searchsorted(rv, probe, side="right")
+        at = np.flatnonzero(last > first)
+        first, n, row = first[at], (last - first)[at], at // len(masks) + a
+        done, b = np.cumsum(n), 0
+        while b < len(at):
+            c = max(b + 1, int(np.searchsorted(done, (done[b - 1] if b else 0) + most, side="right")))
+            m = n[b:c]
+            yield np.repeat(row[b:c], m), order[np.repeat(first[b:c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            b = c
+
+
+def near_probed(threshold: int, layout, masks):
+    """Group ``(method, ...)`` -> its pairs within ``threshold`` bits, by probes around the values of bands.
+
+    ``layout``: (lowest bit, width, radius) of each band; ``masks``: those that a hash's value of the band is probed
+    with.  Rows that don't meet in a band are never compared, and a pair is kept from the first band within its radius.
+    """
+    masks = [np.array(m, np.uint64) for m in masks]
+
+    def value(x, low, width):
+        return (x >> np.uint64(low)) & np.uint64((1 << width) - 1)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lid, lb, rid, rb, triangle = _pair(*sides(key, pa.Table.from_batches(list(batches))))
+
+        def found():
+            for band, (low, width, _) in enumerate(layout):
+                for i, j in _met(value(lb, low, width), value(rb, low, width), masks[band], width):
+                    apart = lb[i] ^ rb[j]
+                    dist = np.bitwise_count(apart)
+                    ok = dist <= threshold
+                    if triangle:
+                        ok &= lid[i] < rid[j]
+                    ok = np.flatnonzero(ok)
+                    for lo, w, radius in layout[:band]:
+                        ok = ok[np.bitwise_count(value(apart[ok], lo, w)) > radius]
+                    yield lid[i[ok]], rid[j[ok]], dist[ok]
+        yield from _near_batches(key, found())
+    return run
+
+
+def _near_batches(key, found) -> Iterator[pa.RecordBatch]:
+    """Parts ``(ids, other ids, distances)`` as batches of about ``OUT_ROWS`` pairs."""
+    held, size = [], 0
+
+    def out():
+        one, two, dist = (np.concatenate(x) for x in zip(*held))
+        return pa.record_batch({"hash_id1": np.minimum(one, two), "hash_id2": np.maximum(one, two),
+                                "distance_bits": dist.astype(np.int32),
+                                "m": pa.array([key[0].as_py()] * len(one), key[0].type)})
+
+    for part in found:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size >= OUT_ROWS:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def near(threshold: int, band_of=None):
     """Group ``(method, ...)`` -> its pairs (lesser id, greater id, distance) within ``threshold`` bits.
 
@@ -177,27 +253,16 @@ def near(threshold: int, band_of=None):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*sides(key, pa.Table.from_batches(list(batches))))
         lid, lb, rid, rb, _ = pair
-        held, size = [], 0
-
-        def out():
-            one, two, dist = (np.concatenate(x) for x in zip(*held))
-            return pa.record_batch({"hash_id1": np.minimum(one, two), "hash_id2": np.maximum(one, two),
-                                    "distance_bits": dist.astype(np.int32),
-                                    "m": pa.array([key[0].as_py()] * len(one), key[0].type)})
-
-        for a, c, d in tiles(*pair):
-            if not (d <= threshold).any():
-                continue
-            i, j = np.nonzero(d <= threshold)
-            dist, i, j = d[i, j], i + a, j + c
-            if band_of is not None:
-                ok = band_of(lb[i] ^ rb[j]) == key[1].as_py()
-                i, j, dist = i[ok], j[ok], dist[ok]
-            held.append((lid[i], rid[j], dist))
-            size += len(i)
-            if size >= OUT_ROWS:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+
+        def found():
+            for a, c, d in tiles(*pair):
+                if not (d <= threshold).any():
+                    continue
+                i, j = np.nonzero(d <= threshold)
+                dist, i, j = d[i, j], i + a, j + c
+                if band_of is not None:
+                    ok = band_of(lb[i] ^ rb[j]) == key[1].as_py()
+                    i, j, dist = i[ok], j[ok], dist[ok]
+                yield lid[i], rid[j], dist
+        yield from _near_batches(key, found())
     return run

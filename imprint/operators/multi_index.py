@@ -7,11 +7,12 @@ stored under its value of each band, and probes all values within the band's rad
 bands of 16 bits and t = 14 (radii 3, 3, 3, 2) a hash meets 3.4% of random others, where equal bands alone need
 t + 1 = 15 bands of 4 to 5 bits and meet 57%.
 
-* Probes of values that no hash has are dropped by a bitmap of the values present (at most 2^width bits a band
-  and method, a bound that doesn't grow with the rows, so it is broadcast) before anything is shuffled.
+* Hashes are dealt to block pairs, as for the all-pairs match; probes are made and met inside a block pair, through
+  an index of its values, so none is shuffled and a hash travels once for every block.
 * A pair is verified on all bits, and kept from the first band within its radius only, so no distinct is needed.
-* A value that more than ``HOT`` hashes share is cut into blocks, each with its own join key, on both sides:
-  no task gets the whole of it, however many of the hashes it has.
+* Blocks go by a hash of the id: no task gets the whole of a value, however many of the hashes share it.
+* :func:`candidates` drops probes of values that no hash has by a bitmap of the values present (at most 2^width bits
+  a band and method, a bound that doesn't grow with the rows, so it is broadcast) before anything is shuffled.
 
 ``bands`` is named by the caller (about bits / log2(rows) is best); hashes have one width of up to 64 bits.
 Repeated rows give a pair for each; rows of one id are never paired; hashes under null methods are not
@@ -26,7 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions.bits import assert_equal_lengths, hex_to_bits
-from imprint.operators.hot_keys import HOT, cut_hot
+from imprint.operators import block_pairs as BP
+from imprint.operators import match as M
+from imprint.operators.analytics import block_groups
 from imprint.session import materialise
 
 BANDS = 4
@@ -113,21 +116,15 @@ def candidates(fp: DataFrame, threshold_bits: int, bands: int = BANDS, id_col: s
 
 
 def near_pairs(fp: DataFrame, threshold_bits: int, bands: int = BANDS, id_col: str = "id",
-               method_col: str = "hashing_method_id", hot: int = HOT) -> DataFrame:
-    """``(hash_id1, hash_id2, hamming_distance, method)``, hash_id1 < hash_id2, of all pairs within ``threshold_bits``."""
-    plan, nbits = _plan(fp, threshold_bits, bands, id_col, method_col)
-    rows = materialise(_rows(fp, id_col, method_col), "multi-index-rows")
-    stored = _stored(rows, plan)
-    key = ["m", "band", "value"]
-    probing, stored, on = cut_hot(_probing(rows, stored, plan), stored, key, hot)
-    left = probing.select(F.col("id").alias("id1"), F.col("bits").alias("bits1"), *on)
-    right = stored.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), *on)
-    pairs = left.join(right, on).where(F.col("id1") < F.col("id2"))
-    apart = F.col("bits1").bitwiseXOR(F.col("bits2"))
-    first = F.lit(len(plan))
-    for i in reversed(range(len(plan))):
-        low, width, radius = plan[i]
-        first = F.when(F.bit_count(_value(apart, low, width)) <= radius, F.lit(i)).otherwise(first)
-    found = pairs.where((F.bit_count(apart) <= threshold_bits) & (F.col("band") == first))
-    return found.select(F.col("id1").alias("hash_id1"), F.col("id2").alias("hash_id2"),
-                        (F.bit_count(apart) / F.lit(float(nbits))).alias("hamming_distance"), F.col("m").alias(method_col))
+               method_col: str = "hashing_method_id", hot: int | None = None) -> DataFrame:
+    """``(hash_id1, hash_id2, hamming_distance, method)``, hash_id1 < hash_id2, of all pairs within ``threshold_bits``.
+
+    Blocks have up to ``hot`` rows (by default as many as fit a task's memory), however many share a value.
+    """
+    layout_, _ = _plan(fp, threshold_bits, bands, id_col, method_col)
+    fp = fp.where(F.col(method_col).isNotNull())
+    plan = M.plan_match(fp, method_col, "hash", id_col=id_col, target_pairs_per_task=hot * hot if hot else None)
+    kernel = BP.near_probed(threshold_bits, layout_, [probes(width, radius) for _, width, radius in layout_])
+    found = block_groups(fp, plan, id_col, method_col).applyInArrow(
+        kernel, BP.NEAR_SCHEMA.format(fp.schema[method_col].dataType.simpleString()))
+    return M.normalised(found, plan, method_col)

@@ -9,8 +9,8 @@ the gap between its own distance to p and the cell's range of distances to p.
    greatest distance are kept: PIVOTS^2 rows a method, broadcast.
 2. Every hash searches one block of its own cell: its k-th best distance there bounds the search.
 3. It is then sent to the other blocks of those cells only whose gap doesn't exceed that bound (an equal distance
-   counts: ties go to the smaller id).  A group is one block with some of its visitors; XOR, popcount and a
-   partition keep k of each, so a group gives at most k rows a visitor.
+   counts: ties go to the smaller id).  A group is one block with some of its visitors; XOR, popcount and
+   the k-th best of its first columns leave few of each to sort, so a group gives at most k rows a visitor.
 4. One aggregate merges a hash's groups and keeps k.
 
 The share of pairs that step 3 skips comes with :func:`search`.  Hashes have up to 64 bits (one width a method)
@@ -33,7 +33,9 @@ from imprint.session import materialise
 PIVOTS = 32
 SAMPLE = 2048  # hashes a method that reach the driver
 BLOCK = (4096, 65_536)  # rows of a block: as many as give every slot some blocks, between these
-CELLS = 1 << 20  # distances held at once
+CELLS = 1 << 18  # distances held at once: they stay in the cache
+FIRST = 2048  # columns whose k-th best bounds a hash's search in a block; with at least k of them
+OWN = 255  # stands for the distance to a row of the same id
 ID_BITS = 56
 
 
@@ -68,17 +70,26 @@ def _kernel(k: int):
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
         bits = table.column("bits").to_numpy().view(np.uint64)
         here, who = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        here = here[np.argsort(ids[here], kind="stable")]
         x, own = bits[here], ids[here]
         out_id, out_key = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         step = max(1, CELLS // max(len(here), 1))
+        xor, dist = np.empty((step, len(here)), np.uint64), np.empty((step, len(here)), np.uint8)
         for a in range(0, len(who) if len(here) else 0, step):
             part = who[a : a + step]
-            keys = np.bitwise_count(bits[part, None] ^ x[None]).astype(np.int64) << ID_BITS | own[None]
-            keys[ids[part, None] == own[None]] = np.iinfo(np.int64).max
-            if len(here) > k:
-                keys = np.partition(keys, k - 1, axis=1)[:, :k]
-            ok = keys != np.iinfo(np.int64).max
-            out_id.append(np.repeat(ids[part], ok.sum(axis=1)))
+            d = dist[: len(part)]
+            np.bitwise_count(np.bitwise_xor(bits[part, None], x[None], out=xor[: len(part)]), out=d)
+            first, last = (np.searchsorted(own, ids[part], side=s) for s in ("left", "right"))
+            for row in np.flatnonzero(first < last):
+                d[row, first[row] : last[row]] = OWN
+            # no more than the k-th best of the first columns can be among the k best of all
+            most = np.partition(d[:, :max(FIRST, k)], k - 1, axis=1)[:, k - 1] if len(here) > k else np.full(len(part), OWN, np.uint8)
+            i, j = np.nonzero(d <= np.minimum(most, OWN - 1)[:, None])
+            keys = d[i, j].astype(np.int64) << ID_BITS | own[j]
+            order = np.lexsort((keys, i))
+            i, keys = i[order], keys[order]
+            ok = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+            out_id.append(ids[part][i[ok]])
             out_key.append(keys[ok])
         compared = np.zeros(sum(map(len, out_id)), np.int64)
         if len(compared):

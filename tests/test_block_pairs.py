@@ -5,10 +5,17 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from imprint.operators import analytics as AN
 from imprint.operators import block_pairs as BP
-from imprint.operators import match as M
+from imprint.operators import multi_index as MI
+from imprint.operators import nearest_k as NK
 from imprint.operators import registry as R
+from imprint.sources.keyed import LISTING, KeyedTable
+from imprint.sources.store import Store
 from tests.test_plans import _plan
 
 COLS = "id long, hash string, hashing_method_id int, image_id long"
@@ -123,3 +130,63 @@ def test_hash_kernels_take_a_bounded_number_of_grids_a_call(spark, monkeypatch):
     assert max(sizes) <= 8 and len(out) == 50
     monkeypatch.undo()
     assert list(out) == list(R.batch_hash_udf(method, 8, 8).func(px))
+
+
+def test_probes_meet_what_brute_force_finds(spark):
+    rows = _rows(200, 8)
+    rows += [(1000 + i, rows[0][1], 1, None) for i in range(30)]  # one value of every band that many share
+    fp = spark.createDataFrame(rows, COLS)
+    for t, bands in ((14, 4), (5, 2), (3, 1)):
+        near = sorted((a[0], b[0], d / 64, a[2]) for a, b, d in _pairs(rows) if d <= t)
+        for hot in (None, 20):
+            df = MI.near_pairs(fp, t, bands, hot=hot)
+            assert sorted(tuple(r) for r in df.collect()) == near
+    assert "Join" not in _plan(MI.near_pairs(fp, 14))  # no probe is shuffled
+
+
+def test_probed_rows_are_met_in_bounded_parts():
+    left, right = np.zeros(300, np.uint64), np.zeros(200, np.uint64)
+    parts = list(BP._met(left, right, np.array([0, 1, 2], np.uint64), 16, most=1000))
+    assert max(len(i) for i, _ in parts) <= 1000 and len(set(zip(*map(np.concatenate, zip(*parts))))) == 300 * 200
+
+
+def test_the_k_nearest_of_a_block_are_exact_beyond_its_first_columns(monkeypatch):
+    monkeypatch.setattr(NK, "FIRST", 16)
+    monkeypatch.setattr(NK, "CELLS", 1000)
+    rng = np.random.default_rng(4)
+    n = 300
+    ids = rng.integers(0, 250, n)  # some twice
+    bits = rng.integers(0, 1 << 12, n)  # many ties
+    table = pa.table({"role": np.r_[np.zeros(n, np.int32), np.ones(n, np.int32)], "id": np.r_[ids, ids], "bits": np.r_[bits, bits]})
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).astype(np.int64)
+    for k in (1, 5, 20, 400):
+        out = NK._kernel(k)((), table)
+        got = sorted(zip(out["hash_id"].to_pylist(), out["k"].to_pylist()))
+        want = sorted((int(ids[i]), key) for i in range(n) for key in sorted(
+            int(d[i, j] << NK.ID_BITS | ids[j]) for j in range(n) if ids[j] != ids[i])[:k])
+        assert got == want
+
+
+def test_pairs_are_written_without_a_sort_by_partition(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    pairs = [(1, 2, 0.5, 1), (1, 1, 0.0, 1), (7, 9, 0.25, 2)]
+    df = spark.createDataFrame(pairs, "hash_id1 long, hash_id2 long, hamming_distance double, hashing_method_id int")
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *a: 1 / 0)  # it sorts all pairs of a task
+    store.write_matches(df, {1: 2, 2: 9})  # cut off: no manifest row
+    assert store.write_matches(df, {1: 2, 2: 9}) == {1: 2, 2: 1}
+    store.commit_matches({1: 2, 2: 9}, {1: 2, 2: 1})
+    assert sorted(tuple(r) for r in store.read("matches").collect()) == sorted(pairs)
+
+
+def test_small_buckets_share_a_task(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", T.StructType().add("id", "long").add("k", "long"), ["k"], rows_per_file=4)
+    rows = spark.range(4000).select("id", (F.col("id") * 7).alias("k"))
+    was = spark.conf.get(LISTING, None)
+    table.append(rows)
+    files = [f.name for f in (tmp_path / "t").rglob("*.parquet")]
+    buckets = len(list((tmp_path / "t").rglob("bucket=*")))
+    assert buckets > 500 and len(files) == buckets  # still one file a bucket
+    assert len({f.split("-")[1] for f in files}) <= 4 * spark.sparkContext.defaultParallelism
+    assert table.read().count() == 4000 and spark.conf.get(LISTING, None) == was
+    key = table.near(spark.createDataFrame([(700,)], "k long"))
+    assert key.count() < 50 and key.where("k = 700").count() == 1
