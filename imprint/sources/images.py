@@ -6,7 +6,9 @@
   Differences from a plain directory walk: Spark skips names starting with
   ``.`` or ``_`` (files and folders).
 * Stream: the same source with ``maxFilesPerTrigger`` gives bounded batches of
-  new files, remembered by the checkpoint (the "not ingested before" set).
+  new files, remembered by the checkpoint (the "not ingested before" set).  The
+  stream has a session of its own, in which the files of a batch are looked up
+  by a bounded number of tasks; Spark's default is a task a file.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imprint.sources.keyed import LISTING, LISTING_TASKS
 from imprint.sources.paths import decode_origin, user_from_path
 
 IMAGE_SCHEMA = (
@@ -46,10 +49,20 @@ def split_valid(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return images.where(ok), images.where(~ok)
 
 
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A new session with the settings of ``spark``, but ``LISTING_TASKS`` (a stream needs it as long as it runs)."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.get(k, None) != v:  # set in this session, so it can be set in the other
+            own.conf.set(k, v)
+    own.conf.set(LISTING, str(LISTING_TASKS))
+    return own
+
+
 def stream_images(spark: SparkSession, root: str, max_files: int = 10) -> DataFrame:
     """Incremental, bounded ingest of new files under ``root`` (checkpointed by the sink)."""
     _check_root(spark, root)
-    df = (spark.readStream.format("image").schema(IMAGE_SCHEMA)
+    df = (_stream_session(spark).readStream.format("image").schema(IMAGE_SCHEMA)
           .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root))
     path = decode_origin(F.col("image.origin"))
     return df.select(path.alias("path"), user_from_path(path, root).alias("user_name"), "image")

@@ -13,7 +13,7 @@ through its files, is invisible, and the next run starts after the same hash and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,9 @@ KEYS = {"users": ["name"], "images": ["path"], "modified_images": ["path"], "has
 RUNS = "match_runs"
 RUNS_SCHEMA = _schema(("hashing_method_id", I, False), ("after", L, False), ("upto", L, False), ("pairs", L, False))
 NONE_YET = -1  # the watermark of a method without a committed run
+# Pairs are three small numbers a row, so writing them is what a match costs: pages of more rows, without the
+# histograms of sizes and levels that numbers have no use for.
+PAIR_PAGES = {"parquet.page.row.count.limit": "200000", "parquet.size.statistics.enabled": "false"}
 # Fixed value: the seeded default user.
 DEFAULT_USER = "undefined"
 
@@ -80,10 +83,23 @@ class Store:
         if name == "matches":
             schema = T.StructType([*schema.fields, T.StructField("after", L)])
         df = self.spark.read.schema(schema).parquet(self.path(name))
-        if name == "matches":  # committed runs only; the manifest has a row a method and run
-            df = df.join(F.broadcast(self.runs().select("hashing_method_id", "after")), ["hashing_method_id", "after"])
+        if name == "matches":
+            df = df.where(self._committed())
         return df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name].fields])
 
+    def _committed(self) -> Column:
+        """Partitions of committed runs (the manifest has a row a method and run).
+
+        The condition is on partition columns alone, so it prunes folders and no pair is looked at.
+        """
+        after: dict[int, list[int]] = {}
+        for r in self.runs().select("hashing_method_id", "after").distinct().collect():
+            after.setdefault(r["hashing_method_id"], []).append(r["after"])
+        out = F.lit(False)
+        for m, runs in after.items():
+            out = out | ((F.col("hashing_method_id") == m) & F.col("after").isin(runs))
+        return out
+
     def near(self, name: str, incoming: DataFrame) -> DataFrame:
         """The rows of a keyed table that can hold a key of ``incoming``; the other files stay closed."""
         return self.keyed[name].near(incoming)
@@ -128,7 +144,7 @@ class Store:
         for m in upto:
             obs = Observation(f"write_matches_{m}")
             (pairs.where(F.col("hashing_method_id") == m).select(*cols).observe(obs, F.count(F.lit(1)).alias("rows"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**PAIR_PAGES)
              .parquet(f"{self.path('matches')}/hashing_method_id={m}/after={marks.get(m, NONE_YET)}"))
             counts[m] = int(obs.get.get("rows") or 0)
         return counts

@@ -121,3 +121,43 @@ def test_non_image_files_are_quarantined(spark):
 
     bad = C.quarantine(read_images(spark, src)).collect()
     assert [os.path.basename(b["path"]) for b in bad] == ["notes.txt"]
+
+
+def test_stream_looks_up_the_files_of_a_batch_with_few_tasks(spark):
+    from imprint.sources.images import stream_images
+    from imprint.sources.keyed import LISTING, LISTING_TASKS
+
+    src = tempfile.mkdtemp(prefix="imprint-many-")
+    for i in range(LISTING_TASKS + 20):
+        _png(src, f"u{i % 3}/{i}.png", np.full((4, 4), i, dtype=np.uint8))
+    was, seen = spark.conf.get(LISTING, None), []
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        stream = stream_images(spark, src, max_files=1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert stream.sparkSession.conf.get("spark.sql.shuffle.partitions") == "3"  # the settings go along
+    q = (stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.select("path").count()))
+         .option("checkpointLocation", scratch_path(spark, "many-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.exception() is None and seen == [LISTING_TASKS + 20]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(str(q.runId)) for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    assert tasks and max(tasks) <= LISTING_TASKS  # a task a file before
+    assert spark.conf.get(LISTING, None) == was
+
+
+def test_matches_are_read_without_a_join_a_pair(spark):
+    store = Store(spark, scratch_path(spark, "committed-store"))
+    pairs = spark.createDataFrame([(1, 1, 0.0, 1), (1, 2, 0.5, 1), (3, 3, 0.0, 2)], store.read("matches").schema)
+    assert store.write_matches(pairs, {1: 2, 2: 3}) == {1: 2, 2: 1}
+    assert store.read("matches").count() == 0  # no manifest row yet
+    store.commit_matches({1: 2}, {1: 2})
+    rows = store.read("matches")
+    assert sorted(map(tuple, rows.collect())) == [(1, 1, 0.0, 1), (1, 2, 0.5, 1)]
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    store.write_matches(spark.createDataFrame([(2, 3, 0.25, 1)], pairs.schema), {1: 3})
+    assert store.read("matches").count() == 2  # the second run isn't committed
+    store.commit_matches({1: 3}, {1: 1})
+    assert sorted(map(tuple, store.read("matches").select("hash_id1", "hash_id2").collect())) == [(1, 1), (1, 2), (2, 3)]
