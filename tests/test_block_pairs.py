@@ -167,6 +167,61 @@ def test_the_k_nearest_of_a_block_are_exact_beyond_its_first_columns(monkeypatch
         assert got == want
 
 
+def _nearest_table(x, ids, q, qids, **more):
+    return pa.table({"role": np.r_[np.zeros(len(x), np.int32), np.ones(len(q), np.int32)], "id": np.r_[ids, qids],
+                     "bits": np.r_[x, q].view(np.int64), **more})
+
+
+def test_the_k_nearest_meet_few_rows_of_a_large_block():
+    rng = np.random.default_rng(5)
+    n = 30_000
+    x = np.repeat(rng.integers(0, 1 << 64, n // 10, dtype=np.uint64), 10)  # ten near copies each
+    for _ in range(3):
+        x ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    out = NK._kernel(5)((), _nearest_table(x, np.arange(n), x, np.arange(n)))
+    assert sum(out["compared"].to_pylist()) < 0.2 * n * n  # all before
+    got = np.array(out["k"]).reshape(-1, 5)
+    ids = np.array(out["hash_id"]).reshape(-1, 5)[:, 0]
+    for row in rng.integers(0, n, 200):
+        d = np.bitwise_count(x ^ x[ids[row]]).astype(np.int64) << NK.ID_BITS | np.arange(n)
+        d[ids[row]] = 1 << 62
+        assert sorted(got[row]) == sorted(d)[:5]
+
+
+def test_bands_find_the_k_nearest_whatever_the_rows(monkeypatch):
+    for name, value in {"BANDED_FROM": 0, "TILE_COST": 0, "FIRST": 16, "CELLS": 1000, "HELD": 50, "VISITORS": 70}.items():
+        monkeypatch.setattr(NK, name, value)
+    rng = np.random.default_rng(6)
+    n, k, left, banded = 300, 3, [], NK._Search.banded
+
+    def spy(search):
+        rest = banded(search)
+        left.append(len(search.q) - len(rest))
+        return rest
+    monkeypatch.setattr(NK._Search, "banded", spy)
+    far = rng.integers(0, 1 << 64, 9, dtype=np.uint64)
+    for x in (rng.integers(0, 1 << 64, n, dtype=np.uint64), np.full(n, 1 << 63, np.uint64), rng.integers(0, 90, n).astype(np.uint64),
+              far[rng.integers(0, 9, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))):
+        ids = rng.integers(0, 250, n)  # some twice
+        d = np.bitwise_count(x[:, None] ^ x[None]).astype(np.int64)
+        want = [sorted(int(d[i, j] << NK.ID_BITS | ids[j]) for j in range(n) if ids[j] != ids[i])[:k] for i in range(n)]
+        for bound in (None, [w[-1] >> NK.ID_BITS if i % 3 else None for i, w in enumerate(want)]):
+            more = {} if bound is None else {"bound": pa.array([None] * n + bound, pa.int32())}
+            out = NK._kernel(k)((), _nearest_table(x, ids, x, ids, **more))
+            assert sorted(zip(out["hash_id"].to_pylist(), out["k"].to_pylist())) == sorted(
+                (int(ids[i]), key) for i in range(n) for key in want[i])
+    assert sum(left) > n  # many are done by bands alone
+
+
+def test_cells_share_blocks_or_have_several():
+    pivots = np.array([0, 1 << 20, 1, (1 << 64) - 1], np.uint64)
+    placed = NK.place({0: 10, 1: 250, 2: 20, 3: 90}, pivots, 100)
+    assert placed[1][1] == 3 and placed[0] == placed[2] and placed[3][0] != placed[0][0]
+    taken = sorted({b for first, blocks in placed.values() for b in range(first, first + blocks)})
+    assert taken == list(range(5))
+    assert NK.place({2: 7}, pivots, 100) == {2: (0, 1)}
+
+
 def test_pairs_are_written_without_a_sort_by_partition(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/store")
     pairs = [(1, 2, 0.5, 1), (1, 1, 0.0, 1), (7, 9, 0.25, 2)]
