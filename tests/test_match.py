@@ -1,6 +1,8 @@
 """All-pairs match: pair counts, shapes agree, incremental = full."""
 
+import os
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -72,3 +74,39 @@ def test_progress_observation(spark):
     df, obs = M.match_progress(M.match_pairs(h))
     df.write.format("noop").mode("overwrite").save()
     assert obs.get["matched"] == 55
+
+
+def test_written_pairs_take_little_room(spark, tmp_path):
+    rnd = random.Random(8)
+    ids = rnd.sample(range(10**6), 1500)
+    rows = [(i if n % 97 else None if n else ids[5], f"{rnd.getrandbits(64):016x}", 1 + (n % 3 == 0)) for n, i in enumerate(ids)]
+    h = spark.createDataFrame(rows, "id long, hash string, hashing_method_id int")
+    want = Counter()
+    for m in (1, 2):
+        some = [(i, int(x, 16)) for i, x, method in rows if method == m and i is not None]
+        for i, x in some:
+            for j, y in some:
+                if i <= j:
+                    want[m, (x ^ y).bit_count() / 64] += 1
+    for shape, most in (("broadcast", 1.6),):  # bytes a pair; broadcast had 2.1
+        out = f"{tmp_path}/{shape}"
+        M.match_pairs(h.where("id is not null"), shape=shape).coalesce(1).write.parquet(out)
+        size = sum(os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".parquet"))
+        pairs = spark.read.parquet(out)
+        got = {(r["hashing_method_id"], r["hamming_distance"]): r["count"] for r in pairs.groupBy(
+            "hashing_method_id", "hamming_distance").count().collect()}
+        assert got == want and pairs.where("hash_id1 > hash_id2").count() == 0
+        assert size < most * sum(want.values())
+    missing = M.match_pairs(h, shape="broadcast").groupBy("hashing_method_id").count().collect()  # no id: no pair
+    assert {r["hashing_method_id"]: r["count"] for r in missing} == {
+        m: sum(n for (k, _), n in want.items() if k == m) for m in (1, 2)}
+
+
+def test_tiles_cut_the_ids_evenly(spark):
+    h = spark.range(3000).selectExpr("id * 7 as id", "lpad(hex(id), 16, '0') as hash", "if(id < 300, 1, 2) as hashing_method_id")
+    plan = M.plan_match(h, shape="broadcast")
+    assert {m: len(c) for m, c in plan.cuts.items()} == {1: 1, 2: 10}
+    ends = [-1, *plan.cuts[2], 3000 * 7]
+    assert max((b - a) / 7 for a, b in zip(ends, ends[1:])) < 600
+    same = h.withColumn("id", F.lit(4).cast("long")).withColumn("hash", F.lit("0" * 16))
+    assert M.match_pairs(same.limit(400), shape="broadcast").count() == 300 ** 2 + 100 ** 2
