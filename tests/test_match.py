@@ -88,7 +88,7 @@ def test_written_pairs_take_little_room(spark, tmp_path):
             for j, y in some:
                 if i <= j:
                     want[m, (x ^ y).bit_count() / 64] += 1
-    for shape, most in (("broadcast", 1.6),):  # bytes a pair; broadcast had 2.1
+    for shape, most in (("broadcast", 1.6), ("blocks", 1.6)):  # bytes a pair; broadcast had 2.1
         out = f"{tmp_path}/{shape}"
         M.match_pairs(h.where("id is not null"), shape=shape).coalesce(1).write.parquet(out)
         size = sum(os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".parquet"))
